@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Scratch, table
 from .ngram_join import link_documents
+from .packing import pack, vocabulary
+from .vectors import link_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +23,13 @@ def query(f):
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
     return link_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op1"), size=3, percent=90)
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), vocabulary(), capacity=4096, end_id=1)
+
+
+@query
+def op9_embedding_near_dedup(spark, sf_dir):
+    return link_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "op9"), cosine=0.93)
