@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Scratch, table
+from . import language
+from .common import Scratch, remainder, table
 from .ngram_join import link_documents
 from .packing import pack, vocabulary
 from .vectors import link_vectors
@@ -33,3 +34,10 @@ def op4_best_fit_packing(spark, sf_dir):
 @query
 def op9_embedding_near_dedup(spark, sf_dir):
     return link_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "op9"), cosine=0.93)
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs, language.fit(docs, folds=5))
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
