@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language
+from . import language, quality
 from .common import Scratch, remainder, table
 from .ngram_join import link_documents
 from .packing import pack, vocabulary
@@ -41,3 +42,15 @@ def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = language.predict(docs, language.fit(docs, folds=5))
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def labelled_scores(spark, sf_dir, module, label, threshold):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = module.predict(docs, module.fit(docs, labels, label, folds=3, held=1))
+    more = [c for c in out.columns if c not in ("doc_id", "score")]
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    return labelled_scores(spark, sf_dir, quality, "quality", 0.5)
