@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality
+from . import language, quality, toxicity
 from .common import Scratch, remainder, table
 from .ngram_join import link_documents
 from .packing import pack, vocabulary
@@ -54,3 +54,8 @@ def labelled_scores(spark, sf_dir, module, label, threshold):
 @query
 def op5_quality_classifier(spark, sf_dir):
     return labelled_scores(spark, sf_dir, quality, "quality", 0.5)
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    return labelled_scores(spark, sf_dir, toxicity, "toxic", 0.7)
