@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language, quality, toxicity
 from .common import Scratch, remainder, table
+from .line_dedup import without_recurring
 from .ngram_join import link_documents
 from .packing import pack, vocabulary
 from .vectors import link_vectors
@@ -59,3 +60,8 @@ def op5_quality_classifier(spark, sf_dir):
 @query
 def op6_toxicity(spark, sf_dir):
     return labelled_scores(spark, sf_dir, toxicity, "toxic", 0.7)
+
+
+@query
+def op10_line_dedup(spark, sf_dir):
+    return without_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op10"))
