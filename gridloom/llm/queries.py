@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, toxicity
+from . import host_rules, language, quality, toxicity
 from .common import Scratch, remainder, table
 from .line_dedup import without_recurring
 from .ngram_join import link_documents
@@ -65,3 +65,8 @@ def op6_toxicity(spark, sf_dir):
 @query
 def op10_line_dedup(spark, sf_dir):
     return without_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op10"))
+
+
+@query
+def op3_host_quality_rules(spark, sf_dir):
+    return host_rules.verdicts(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
