@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, language, quality, toxicity
+from . import host_rules, language, mixing, quality, toxicity
 from .common import Scratch, remainder, table
 from .line_dedup import without_recurring
 from .ngram_join import link_documents
@@ -70,3 +70,9 @@ def op10_line_dedup(spark, sf_dir):
 @query
 def op3_host_quality_rules(spark, sf_dir):
     return host_rules.verdicts(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
+@query
+def op2_mixing_sources(spark, sf_dir):
+    out = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"), "source", "copies")
