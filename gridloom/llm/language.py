@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, remainder
 from .learning import sampled
-from .textnp import Texts
+from .textnp import Texts, in_parts
 
 #: Dimensions of hashed n-grams, and the most rows of labelled text that training looks at.
-GRAMS, SAMPLE = 1 << 16, 3000
+GRAMS, SAMPLE = 1 << 16, 2000
 # bytes as n-grams see them: letters in lower case, all else a space
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -82,12 +82,13 @@ def train(texts: list[str], languages: list[str], alpha: float = 0.3, beta: floa
     back = np.arange(len(y)) % 5 == 4
     if back.all() or len(set(y[~back])) < len(names):
         back[:] = False
-    t = Texts(pa.array(texts, pa.string()))
-    doc, gram, _ = grams(t)
-    df = np.bincount(gram, minlength=GRAMS)
-    model = Model(names, np.zeros((GRAMS, len(names))), np.zeros(len(names)), np.log((1 + len(y)) / (1 + df)) + 1)
-    doc, gram, w = weighed(t, model.idf)
-    at = np.searchsorted(doc, np.arange(t.n + 1))
+    df, n_texts = np.zeros(GRAMS), len(texts)
+    for _, t in in_parts(texts):
+        df += np.bincount(grams(t)[1], minlength=GRAMS)
+    model = Model(names, np.zeros((GRAMS, len(names))), np.zeros(len(names)), np.log((1 + n_texts) / (1 + df)) + 1)
+    parts = [(start + doc, gram.astype(np.int32), w.astype(np.float32)) for start, t in in_parts(texts) for doc, gram, w in [weighed(t, model.idf)]]
+    doc, gram, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    at = np.searchsorted(doc, np.arange(n_texts + 1))
     z, n = np.zeros((GRAMS + 1, len(names))), np.zeros((GRAMS + 1, len(names)))
     order = np.flatnonzero(~back)
     for turn in range(passes):
@@ -104,7 +105,7 @@ def train(texts: list[str], languages: list[str], alpha: float = 0.3, beta: floa
             n[g] = ni + grad * grad
     v = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
     model.weights, model.bias = v[:-1], v[-1]
-    logits = model.logits(t)[back if back.any() else slice(None)]
+    logits = np.concatenate([model.logits(t) for _, t in in_parts(texts)])[back if back.any() else slice(None)]
     truth = y[back] if back.any() else y
 
     def loss(temperature: float) -> float:

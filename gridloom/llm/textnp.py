@@ -89,6 +89,18 @@ class Texts:
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def in_parts(texts: list[str], limit: int = 1 << 20):
+    """(first position, Texts) of slices of a list with about ``limit`` characters each."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield start, Texts(pa.array(texts[start:i], pa.string()))
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, Texts(pa.array(texts[start:], pa.string()))
+
+
 def shingles(texts: Texts, size: int, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashed shingles of each document: (hash, document), sorted by both, and the count of each document.
 
