@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, language, mixing, quality, toxicity
+from . import host_rules, language, mixing, pii, quality, toxicity
 from .common import Scratch, remainder, table
 from .line_dedup import without_recurring
 from .ngram_join import link_documents
@@ -76,3 +76,9 @@ def op3_host_quality_rules(spark, sf_dir):
 def op2_mixing_sources(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"), "source", "copies")
+
+
+@query
+def op8_pii_surrogates(spark, sf_dir):
+    # a fixed key, so that reruns agree; production passes its own secret
+    return pii.surrogates(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), key=b"surrogate-key-of-the-registered-query")
