@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, remainder
 from .learning import sampled
-from .textnp import BYTES, Texts, U
+from .textnp import BYTES, Texts, U, in_parts
 
-SAMPLE, LATENT, NEIGHBOURS = 4000, 24, 65
+SAMPLE, LATENT, NEIGHBOURS = 3000, 24, 65
 # character classes: space, newline, vowel, consonant, capital, digit, stop, loud stop, symbol, bar, other sign, beyond ASCII
 CLASSES = 12
 _CLASS = np.full(256, 10, np.int64)
@@ -107,18 +107,17 @@ class Model:
 
 def train(texts: list[str], labels: list[int], counts: dict[int, int]) -> Model:
     """counts: the rows of each label in all, of which ``texts`` are a sample; votes are weighed up to them."""
-    t = Texts(pa.array(texts, pa.string()))
     y = np.array(labels)
-    x = np.log1p(terms(t))
-    idf = np.log((1 + len(y)) / (1 + (x > 0).sum(0))) + 1
-    x = x * idf
+    x = np.concatenate([np.log1p(terms(t)).astype(np.float32) for _, t in in_parts(texts)])
+    idf = (np.log((1 + len(y)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+    x *= idf
     x /= np.maximum(1e-12, np.sqrt((x * x).sum(1, keepdims=True)))
     _, axes = np.linalg.eigh(x.T @ x)
-    m = measures(t)
+    m = np.concatenate([measures(t) for _, t in in_parts(texts)])
     drawn = {k: max(1, int((y == k).sum())) for k in counts}
     shares = np.array([counts[k] / drawn[k] for k in labels])
     model = Model(idf, axes[:, ::-1][:, :LATENT], m.mean(0), np.maximum(1e-3, m.std(0)), np.zeros((0, 0)), y.astype(float), shares / shares.mean())
-    model.vectors = model.latent(t)
+    model.vectors = np.concatenate([model.latent(t) for _, t in in_parts(texts)])
     return model
 
 
