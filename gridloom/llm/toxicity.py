@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import per_batch
 from .quality import labelled
-from .textnp import LOWER, Texts, U, mix
+from .textnp import LOWER, Texts, U, in_parts, mix
 
 #: Hashed features of tokens, and the most labelled documents that training looks at.
-FEATURE_BITS, SAMPLE = 20, 4000
+FEATURE_BITS, SAMPLE = 20, 2500
 FEATURES = 1 << FEATURE_BITS
 #: Bytes of the beginnings of words that are features too, for stems that take many endings.
 BEGINNINGS = (3, 4, 5, 6)
 #: A feature is a seed if SEEDS_IN toxic documents of the sample have it, and this share of them, at odds of SEED_ODDS times those elsewhere.
-SEEDS_IN, SEED_SHARE, SEED_ODDS = 3, 0.02, 30.0
+SEEDS_IN, SEED_SHARE, SEED_ODDS = 3, 0.01, 30.0
 SPAN_AT, SEGMENT = 0.5, 256
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -156,18 +156,19 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float, steps: int
 
 def train(texts: list[str], labels: list[int], counts: dict[int, int], passes: int = 12, rate: float = 0.5, l2: float = 1e-4) -> Model:
     """Fits the field to the seeds' tags by adaptive gradient steps on its conditional likelihood, then calibrates document scores."""
-    t = Texts(pa.array(texts, pa.string()))
     toxic = np.array(labels) == 1
-    _, _, f, at = tokens(t)
-    doc = np.repeat(np.arange(t.n), np.diff(at))
+    parts = [tokens(t)[2:] for _, t in in_parts(texts)]
+    f, counted = np.concatenate([p[0] for p in parts]), np.concatenate([np.diff(p[1]) for p in parts])
+    at, n = np.r_[0, np.cumsum(counted)], len(texts)
+    doc = np.repeat(np.arange(n, dtype=np.int32), counted)
     tag = seeds(f, doc, toxic)[f].any(1) & toxic[doc]
-    known = np.bincount(doc[tag], minlength=t.n) > 0
+    known = np.bincount(doc[tag], minlength=n) > 0
     use = known | ~toxic  # a toxic document without a seed says nothing on which tokens are toxic
     model = Model(np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), -4.0, np.zeros((2, 2)), 0.0, np.zeros(3))
     if known.any():
         keep = use[doc]
         fk, yk, dk = f[keep], tag[keep].astype(float), doc[keep]
-        atk = np.searchsorted(dk, np.arange(t.n + 1))
+        atk = np.searchsorted(dk, np.arange(n + 1))
         first = np.zeros(len(fk), bool)
         first[atk[:-1][atk[:-1] < len(fk)]] = True
         squares = [np.zeros(FEATURES + 1) for _ in range(3)]
@@ -176,9 +177,11 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], passes: i
             p = model.marginals(fk, atk)
             g = p - yk  # of the log-likelihood, negated, for each token's odds
             inner = ~first[1:]
-            parts = [(model.own, fk.ravel(), np.repeat(g, fk.shape[1])), (model.before, fk[:-1, 0][inner], g[1:][inner]), (model.after, fk[1:, 0][inner], g[:-1][inner])]
+            parts = [(model.own, fk, g), (model.before, fk[:-1, 0][inner], g[1:][inner]), (model.after, fk[1:, 0][inner], g[:-1][inner])]
             for k, (weights, at_f, grad) in enumerate(parts):
-                total = np.bincount(at_f, grad, FEATURES + 1) + l2 * weights
+                total = l2 * weights
+                for column in at_f.reshape(len(at_f), -1).T:
+                    total += np.bincount(column, grad, FEATURES + 1)
                 total[FEATURES] = 0
                 squares[k] += total * total
                 weights -= rate * 2 * total / np.sqrt(squares[k] + 1e-8) * (total != 0)
