@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: currency signs (with the letter R), placeholders, boolean tokens and months
-CURRENCY = "$€£¥₹₽₩₺₪฿₫₴R"
-PLACEHOLDERS = ["-", "--", "---", "–", "—", "n/a", "na", "n.a.", "nil", "none", "null", "nan", "tbd", "tba", "unknown", "?", "??", "...", "…", "*", "x", "#n/a", "#value!", "#ref!"]
-TRUE = ["true", "yes", "y", "on", "1", "✓", "✔", "enabled"]
-FALSE = ["false", "no", "n", "off", "0", "✗", "✘", "×", "disabled"]
+CURRENCY = "$€£¥₹₽₩₪R"
+PLACEHOLDERS = ["-", "--", "–", "—", ".", "..", "…", "?", "*", "n/a", "n.a.", "na", "n/k", "nil", "null", "none", "nan", "tbd", "tba", "unknown", "pending", "empty", "no data", "not available"]
+TRUE = ["true", "yes", "y", "✓", "✔", "1", "on", "enabled"]
+FALSE = ["false", "no", "n", "✗", "✘", "×", "0", "off", "disabled"]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _EDGES = r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$"
 

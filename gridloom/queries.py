@@ -13,11 +13,12 @@ from .grid import POS, Grid, carried_last, from_dataframe
 from .operators.combine import adjacent_dedupe, merge_tables, transposed
 from .operators.profile import column_stats, inferred
 from .operators.region import best_boxes, rebuild
+from .operators.slicing import slice_tables
 from .plans.pipeline import apply_spec
 from .plans.spec import GridSpec, Replace, Sort, header_case
 from .sources.reader import json_records, table_rows
 from .sources.text import detect_format, sniff_delimiter
-from .streaming.capture import first_wins, last_wins
+from .streaming.capture import first_wins, last_wins, looks_next, page_signature
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -300,3 +301,27 @@ def accumulate_first_wins(spark, d):
 def carry_last(spark, d):
     g = read(spark, d, "orders").select(F.col("o_orderkey").alias(POS), "o_orderstatus")
     return carried_last(g, {"last_status": F.when(F.col(POS) % 7 == 0, F.col("o_orderstatus"))}).select(F.col(POS).alias("k"), "last_status")
+
+
+@query("select n_regionkey as table_id, n_nationkey % 5 as r, 1 as c, n_name as text from nation where n_nationkey % 5 between 1 and 3")
+def slice_region(spark, d):
+    n = read(spark, d, "nation")
+    both = F.array(F.struct(F.lit(0).alias("c"), F.col("n_nationkey").cast("string").alias("text")), F.struct(F.lit(1).alias("c"), F.col("n_name").alias("text")))
+    cells = n.select(F.col("n_regionkey").alias("table_id"), (F.col("n_nationkey") % 5).alias("r"), F.inline(both))
+    cells = cells.withColumns({"left": F.col("c") * 100.0, "right": F.col("c") * 100.0 + 100, "top": F.col("r") * 20.0, "bottom": F.col("r") * 20.0 + 20, "col_span": F.lit(1), "header": F.lit(False)})
+    box = read(spark, d, "region").select(F.col("r_regionkey").alias("table_id"), F.lit(90.0).alias("left"), F.lit(15.0).alias("top"), F.lit(300.0).alias("right"), F.lit(75.0).alias("bottom"))
+    return slice_tables(cells, box).select("table_id", "r", "c", "text")
+
+
+LABELS = [("Next ›", True), ("next", True), ("Next page →", True), ("›", True), ("»", True), ("Load more…", True), ("Show more", True), ("Previous", False), ("‹ Prev", False), ("Page 2 of 3", False), ("", False)]
+
+
+@query("select * from (values " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in LABELS) + ") as t(label, is_next)")
+def next_labels(spark, d):
+    return spark.createDataFrame([(a,) for a, _ in LABELS], "label string").select("label", looks_next(F.col("label")).alias("is_next"))
+
+
+@query("select conv_id, count(*) || '|' || substr(min(text), 1, 120) as signature from conversations group by 1")
+def page_signatures(spark, d):
+    pages = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min("text").alias("text"))
+    return pages.select("conv_id", page_signature(F.col("text"), F.col("n")).alias("signature"))

@@ -16,7 +16,7 @@ from .grid import POS, Grid
 
 FORMATS = ("csv", "tsv", "xlsx", "json", "json-arrays", "jsonl", "xml", "markdown", "html", "sql", "yaml", "latex", "text")
 # fixed values: tokens that JSON, XML and YAML write as booleans, and those that SQL does
-JSON_TRUE, JSON_FALSE = ["true", "yes", "y", "✓", "✔"], ["false", "no", "n", "✗", "✘"]
+JSON_TRUE, JSON_FALSE = ["true", "yes", "y", "1", "✓", "✔"], ["false", "no", "n", "0", "✗", "✘"]
 SQL_TRUE, SQL_FALSE = ["true", "yes", "y", "1"], ["false", "no", "n", "0"]
 
 
@@ -62,13 +62,13 @@ def sql_name(name: str, i: int, dialect: str = "postgres") -> str:
     return f"`{clean}`" if dialect == "mysql" else f'"{clean}"'
 
 
-def sql_value(cell: Column, kind: str) -> Column:
+def sql_value(cell: Column, kind: str, dialect: str = "postgres") -> Column:
     text = F.concat(F.lit("'"), F.replace(cell, F.lit("'"), F.lit("''")), F.lit("'"))
     if kind in ("number", "currency", "percent"):
         text = F.coalesce(S.number_text(S.parse_number(cell)), text)
     elif kind == "boolean":
         low = F.lower(S.trimmed(cell))
-        text = F.when(low.isin(SQL_TRUE), "TRUE").when(low.isin(SQL_FALSE), "FALSE").otherwise(text)
+        text = F.when(low.isin(SQL_TRUE), "1" if dialect == "mysql" else "TRUE").when(low.isin(SQL_FALSE), "0" if dialect == "mysql" else "FALSE").otherwise(text)
     return F.when(cell == "", F.lit("NULL")).otherwise(text)
 
 
@@ -114,7 +114,7 @@ def lines_of(grid: Grid, fmt: str, types: tuple[str, ...] | None = None, delimit
         names = [sql_name(n, i, dialect) for i, n in enumerate(h)]
         head = f"CREATE TABLE {sql_name(table, 0, dialect)} (\n" + ",\n".join(f"  {n} {kinds.get(t, 'TEXT')}" for n, t in zip(names, types, strict=True)) + "\n);"
         into = f"INSERT INTO {sql_name(table, 0, dialect)} ({', '.join(names)}) VALUES "
-        return head, line_df(grid, F.concat(F.lit(into + "("), F.concat_ws(", ", *[sql_value(F.col(c), t) for _, c, t in pairs]), F.lit(");"))), ""
+        return head, line_df(grid, F.concat(F.lit(into + "("), F.concat_ws(", ", *[sql_value(F.col(c), t, dialect) for _, c, t in pairs]), F.lit(");"))), ""
     if fmt == "yaml":
         body = [F.concat(F.lit(f"{name if re.fullmatch(r'[A-Za-z_][\w ]*', name) else _json(name)}: "), yaml_scalar(F.col(c), t)) for name, c, t in pairs]
         return "", line_df(grid, F.concat(F.lit("- "), F.concat_ws("\n  ", *body))), ""

@@ -6,6 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# fixed values: attributes that number rows, in order of trust; what a control to the next page says, bare of its arrows
+ROW_INDEX_ATTRIBUTES = ("aria-rowindex", "data-row-index", "data-rowindex", "row-index", "data-index")
+NEXT_LABELS = ("next", "next page", "older", "load more", "show more", "view more", "more results")
+_ARROWS = "›»→⟩>▶❯"
+
+
+def looks_next(label: Column) -> Column:
+    """Whether a control's label leads to the next page: one of the known phrases around arrows and dots, or arrows alone."""
+    plain = F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"(?U)\s+", " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(plain, f"[{_ARROWS}]+", " "), "[.…]+$", ""))
+    return plain.rlike(f"^[{_ARROWS}]+$") | F.lower(F.regexp_replace(bare, " +", " ")).isin(*NEXT_LABELS)
+
+
+def row_index(attributes: Column) -> Column:
+    """The row number that an element's attributes (a map) give: the first of the known ones that holds a number."""
+    return F.coalesce(*[F.element_at(attributes, F.lit(a)).try_cast("double") for a in ROW_INDEX_ATTRIBUTES]).cast("long")
+
+
 def last_wins(rows: DataFrame, index: str, arrival: str, values: list[str]) -> DataFrame:
     """One row an index: the values that arrived last. Partial aggregation keeps hot indices small."""
     return rows.groupBy(index).agg(F.max_by(F.struct(*values), arrival).alias("v")).select(index, *[F.col(f"v.{c}").alias(c) for c in values])
