@@ -69,7 +69,8 @@ def op10_line_dedup(spark, sf_dir):
 
 @query
 def op3_host_quality_rules(spark, sf_dir):
-    return host_rules.verdicts(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+    out = host_rules.verdicts(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query
@@ -82,3 +83,32 @@ def op2_mixing_sources(spark, sf_dir):
 def op8_pii_surrogates(spark, sf_dir):
     # a fixed key, so that reruns agree; production passes its own secret
     return pii.surrogates(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), key=b"surrogate-key-of-the-registered-query")
+
+
+_WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_REACH = """reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+least as (select a, min(b) as least from reach group by a)"""
+
+ORACLES["op1_ngram_jaccard_join"] = f"""with recursive words as (select doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+every as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) end) as s from words),
+sets as (select distinct doc_id, s from every), sizes as (select doc_id, count(*) as n from sets group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as c from sets x join sets y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 90 * (p.n + q.n - c)), {_REACH}
+select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(least, doc_id)) as component_id from documents left join sizes using (doc_id) left join least on a = doc_id"""
+
+ORACLES["op9_embedding_near_dedup"] = f"""with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id <> y.vec_id and len(x.e) = len(y.e) and list_cosine_similarity(x.e, y.e) >= 0.93), degree as (select a as id, count(*) as n from links group by a), {_REACH}
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(least, vec_id)) as component_id, vec_id <= coalesce(least, vec_id) as kept from embeddings left join degree on id = vec_id left join least on a = vec_id"""
+
+ORACLES["op3_host_quality_rules"] = f"""with texts as (select doc_id, source, coalesce(text, '') as t from documents),
+words as (select doc_id, source, t, {_WORDS.format(text="t")} as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from texts),
+spots as (select doc_id, w, unnest(range(1, len(w) - 6)) as i from words where len(w) >= 8), windows as (select doc_id, i, array_to_string(w[i:i+7], ' ') as k from spots),
+twice as (select doc_id, unnest(range(i, i + 8)) as p from (select *, count(*) over (partition by doc_id, k) as c from windows) where c > 1), covered as (select doc_id, count(distinct p) as n from twice group by doc_id),
+base as (select doc_id, source, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from words left join covered using (doc_id)),
+failing as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base),
+hosts as (select source, count(*) as n, count(*) filter (base_failed) as f from failing group by source), moments as (select sum(f) / sum(n) as m, var_pop(f / n) as v, avg(1 / n) as inv from hosts),
+prior as (select m, case when m > 0 and m < 1 then greatest(1.0, m * (1 - m) / greatest(v - m * (1 - m) * inv, m * (1 - m) * 1e-3) - 1) else 1.0 end as k from moments),
+rates as (select source, (f + k * m) / (n + k) as rate from hosts, prior)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+not base_failed and not (rate > 0.5 and (10 * n_symbols > n_words or 5 * n_dup_lines > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words)) as kept
+from failing join rates on failing.source is not distinct from rates.source"""
