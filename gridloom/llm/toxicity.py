@@ -26,7 +26,7 @@ FEATURES = 1 << FEATURE_BITS
 #: Bytes of the beginnings of words that are features too, for stems that take many endings.
 BEGINNINGS = (3, 4, 5, 6)
 #: A feature is a seed if SEEDS_IN toxic documents of the sample have it, and this share of them, at odds of SEED_ODDS times those elsewhere.
-SEEDS_IN, SEED_SHARE, SEED_ODDS = 3, 0.01, 30.0
+SEEDS_IN, SEED_SHARE, SEED_ODDS = 3, 0.03, 50.0
 SPAN_AT, SEGMENT = 0.5, 256
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -125,15 +125,27 @@ def aggregates(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def seeds(f: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Whether a hashed feature marks toxic documents: how many documents of each kind have it decides."""
+def unlike(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One document of those whose smallest word hash is the same: near copies would count a rare word of theirs many times."""
+    some = np.flatnonzero(np.diff(at) > 0)
+    out = np.zeros(len(at) - 1, bool)
+    if len(some):
+        least = np.minimum.reduceat((f[:, 0].astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(4), at[some])
+        out[some[np.unique(least, return_index=True)[1]]] = True
+    return out
+
+
+def seeds(f: np.ndarray, doc: np.ndarray, toxic: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Whether a hashed feature marks toxic documents: how many of the counted documents of each kind have it decides."""
+    f, doc = f[counted[doc]], doc[counted[doc]]
+    toxic_all, toxic = toxic, toxic & counted
     bad, good = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     for k in range(f.shape[1]):
         pair = np.unique(doc.astype(np.int64) * (FEATURES + 1) + f[:, k])
         d, w = pair // (FEATURES + 1), pair % (FEATURES + 1)
         bad += np.bincount(w[toxic[d]], minlength=FEATURES + 1)
         good += np.bincount(w[~toxic[d]], minlength=FEATURES + 1)
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic_all & counted).sum()))
     odds = ((bad + 0.1) / n_bad) / ((good + 0.1) / n_good)
     out = (bad >= max(SEEDS_IN, SEED_SHARE * n_bad)) & (odds >= SEED_ODDS)
     out[FEATURES] = False
@@ -161,7 +173,7 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], passes: i
     f, counted = np.concatenate([p[0] for p in parts]), np.concatenate([np.diff(p[1]) for p in parts])
     at, n = np.r_[0, np.cumsum(counted)], len(texts)
     doc = np.repeat(np.arange(n, dtype=np.int32), counted)
-    tag = seeds(f, doc, toxic)[f].any(1) & toxic[doc]
+    tag = seeds(f, doc, toxic, unlike(f, at))[f].any(1) & toxic[doc]
     known = np.bincount(doc[tag], minlength=n) > 0
     use = known | ~toxic  # a toxic document without a seed says nothing on which tokens are toxic
     model = Model(np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), -4.0, np.zeros((2, 2)), 0.0, np.zeros(3))
