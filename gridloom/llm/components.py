@@ -1,21 +1,57 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links.
+
+Up to TOGETHER links go to one task, which fits in memory whatever their shape; more take alternating large-star and
+small-star steps over the whole cluster. Both give the same labels.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+#: 2**20 links are 16 MB.
+TOGETHER = 1 << 20
+
+
+def labelled(batches):
+    """The smallest node reachable of every node, for all links of a partition."""
+    links = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches if b.num_rows]
+    if not links:
+        return
+    links = np.concatenate(links)
+    nodes, at = np.unique(links, return_inverse=True)
+    at, labels = at.reshape(links.shape), np.arange(len(nodes))
+    a, b = at[:, 0], at[:, 1]
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+    for i in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(nodes[labels[i : i + (1 << 16)]])], ["node", "label"])
+
+
+def components(links: DataFrame, scratch: Scratch, together: int = TOGETHER) -> DataFrame:
     """Labels (node, label) of all nodes that ``links`` (a, b: long) touches; label is the smallest node reachable.
 
-    Each step points nodes at the smallest neighbour that they know, first the larger neighbours, then the smaller ones,
-    until the links form stars; the steps needed grow with the logarithm of a component's width. Links from a node to
+    Each distributed step points nodes at the smallest neighbour that they know, first the larger neighbours, then the
+    smaller ones, until the links form stars; the steps needed grow with the logarithm of a component's width. Links from a node to
     itself only keep it in the result, repeated links and links with nulls change nothing, an empty table gives an empty one.
     """
     table = scratch.keep(links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if table.count() <= together:
+        out = scratch.keep(table.coalesce(1).mapInArrow(labelled, "node long, label long"))
+        scratch.drop(table)
+        return out
     alone = table.where("u = v").select(F.col("u").alias("node"))
     edges, state = table.where("u > v"), None
     while True:

@@ -8,7 +8,8 @@ no link. A chunk is 2**64 bits wide and never written out: the XOR of one 64-bit
 one value that unrelated documents share out of it without losing a link.
 
 Sets, not documents, are joined: exact copies are one node from the start. A chunk that many sets share gives a star, not
-all pairs; verified stars become components, and only chunks that still hold several components are looked at again.
+all pairs; verified stars become components. Where a chunk still holds several components, its sets are compared by how
+they differ from one of them, with a prefix filter on these differences: see ``differences``.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from .common import Scratch, partitions, per_batch
 from .components import components
 from .textnp import Texts, U, mix, set_codes, shingles
 
-#: Rounds of stars with other centres before what is left is compared pair by pair.
-ROUNDS = 3
 KEY_BITS = 48
 
 
@@ -170,31 +169,73 @@ def receiver(batches):
             yield pa.RecordBatch.from_arrays([pa.array(y[:, j].copy()) for j in range(3)], ["key", "a", "b"])
 
 
+def set_pairs(batch: pa.RecordBatch, size: int, limit: int = 1 << 21):
+    """(slice, list of the two sets of each row) of a batch with two texts in columns 2 and 3, with bounded bytes a slice."""
+    part = (pc.binary_length(batch.column(2)).to_numpy() + pc.binary_length(batch.column(3)).to_numpy()).cumsum() // limit
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for a, b in zip(cut, np.r_[cut[1:], batch.num_rows] if len(part) else [], strict=True):
+        some = batch.slice(a, b - a)
+        sides = []
+        for column in (2, 3):
+            side = some.column(column).dictionary_encode()
+            got, _, n = shingles(Texts(side.dictionary), size)
+            ends = np.r_[0, np.cumsum(n)]
+            sides.append([got[ends[k] : ends[k + 1]] for k in side.indices.to_pylist()])
+        yield some, list(zip(*sides, strict=True))
+
+
 def verifier(size: int, percent: int):
     """Whether the two texts of each pair are linked."""
 
+    def alike(u: np.ndarray, v: np.ndarray) -> bool:
+        if min(len(u), len(v)) * 100 < percent * max(len(u), len(v)):
+            return False
+        both = len(np.intersect1d(u, v, assume_unique=True))
+        return 100 * both >= percent * (len(u) + len(v) - both)
+
+    def run(batches):
+        for batch in batches:
+            for part, pairs in set_pairs(batch, size):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([alike(u, v) for u, v in pairs])], ["a", "b", "linked"])
+
+    return run
+
+
+def differences(size: int, percent: int):
+    """How each set differs from the hub of a chunk that it shares: what a link past the hub would have to share.
+
+    Sets that are both linked with the hub h are in one component, so one of a pair is not. A set x linked with y shares at
+    least percent hundredths of its own size with it; where x has fewer in common with h, s fewer, y must share s of the
+    shingles that x has beyond h, and by the prefix filter all but s - 1 of these need be looked at.
+
+    Else let D(x) be the shingles in which x and h differ, c = (100 - percent) / (100 + percent). x and y differ in |D(x)| + |D(y)|
+    - 2 |D(x) & D(y)| shingles and are linked if that is at most c (|x| + |y|). As one of them has |D(x)| > c (|x| + |h|), a link
+    needs more than (|D(y)| - c (|y| - |h|)) / 2 shared differences, seen from y, and (|D(x)| - c (|h| + |x|)) / 2 of them or more,
+    seen from x. Again that many fewer, the likely rare ones first, need be joined: those that x needs with those that y gives.
+    """
+    up, down = 100 - percent, 100 + percent
+
     def run(batches):
         for batch in batches:
-            for part in halves(batch):
-                linked = np.zeros(part.num_rows, bool)
-                left, right = part.column(2).dictionary_encode(), part.column(3).dictionary_encode()
-                sets = []
-                for side in (left, right):
-                    got, docs, n = shingles(Texts(side.dictionary), size)
-                    sets.append((got, np.r_[0, np.cumsum(n)]))
-                (x, xs), (y, ys) = sets
-                for i, (p, q) in enumerate(zip(left.indices.to_numpy(), right.indices.to_numpy(), strict=True)):
-                    u, v = x[xs[p] : xs[p + 1]], y[ys[q] : ys[q + 1]]
-                    if min(len(u), len(v)) * 100 >= percent * max(len(u), len(v)):
-                        both = len(np.intersect1d(u, v, assume_unique=True))
-                        linked[i] = 100 * both >= percent * (len(u) + len(v) - both)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked)], ["a", "b", "linked"])
-
-    def halves(batch, limit=1 << 21):
-        size_of = (pc.binary_length(batch.column(2)).to_numpy() + pc.binary_length(batch.column(3)).to_numpy()).cumsum() // limit
-        cut = np.flatnonzero(np.r_[True, size_of[1:] != size_of[:-1]]) if len(size_of) else []
-        for a, b in zip(cut, np.r_[cut[1:], batch.num_rows] if len(size_of) else [], strict=True):
-            yield batch.slice(a, b - a)
+            for part, pairs in set_pairs(batch, size):
+                linked, needs, gives = [], [], []
+                for hub, own in pairs:
+                    more = np.setdiff1d(own, hub, assume_unique=True)
+                    less = np.setdiff1d(hub, own, assume_unique=True)
+                    d = np.concatenate([np.sort(mix(more)), np.sort(mix(less))]).view(np.int64)  # what the hub lacks is rarer
+                    both = len(own) - len(more)
+                    linked.append(100 * both >= percent * (len(own) + len(less)))
+                    short = -(-percent * len(own) // 100) - both
+                    if short > 0:
+                        needs.append(d[: max(0, len(more) - short + 1)])
+                        gives.append(needs[-1])
+                        continue
+                    enough = (down * len(d) - up * (len(own) - len(hub))) // (2 * down) + 1
+                    gives.append(d[: max(len(more), len(d) - max(1, enough) + 1)])
+                    enough = -(-(down * len(d) - up * (len(own) + len(hub))) // (2 * down))
+                    needs.append(d[:0] if linked[-1] else d[: max(len(more), len(d) - max(1, enough) + 1)])
+                of = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array(linked), pa.array(needs, of), pa.array(gives, of)], ["hub", "node", "label", "linked", "needs", "gives"])
 
     return run
 
@@ -221,37 +262,31 @@ def link_documents(docs: DataFrame, scratch: Scratch, size: int = 5, percent: in
     texts = docs.join(wanted, F.col("id") == F.col("of")).select("want", "text").mapInArrow(rechecked(size), "node long, text string")
     texts = scratch.keep(texts)
 
+    def with_texts(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        left, right = texts.select(F.col("node").alias(a), F.col("text").alias("x")), texts.select(F.col("node").alias(b), F.col("text").alias("y"))
+        return pairs.join(right, b).join(left, a)
+
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-        return scratch.keep(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(verifier(size, percent), "a long, b long, linked boolean"))
+        return scratch.keep(with_texts(pairs, "a", "b").select("a", "b", "x", "y").mapInArrow(verifier(size, percent), "a long, b long, linked boolean"))
 
-    tested = [verified(shared.select("a", "b").distinct())]
-    labels = components(tested[0].where("linked").select("a", "b"), scratch)
+    found = verified(shared.select("a", "b").distinct()).where("linked").select("a", "b")
+    labels = components(found, scratch)
     members = shared.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
-    for turn in range(ROUNDS + 1):
-        named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high and n > 2")
-        # a key of two sets was settled by the first comparison
-        members = scratch.keep(named.join(mixed.select("key"), "key", "left_semi"))
-        if members.isEmpty():
-            break
-        if turn < ROUNDS:
-            centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "label")).alias("c")).select("key", F.col("c.node").alias("c"), F.col("c.label").alias("of"))
-            pairs = members.join(centre, "key").where("label != of").select("node", "c")
-        else:
-            # the exact rest: sets of different components that still share a key
-            other = members.select("key", F.col("node").alias("c"), F.col("label").alias("of"))
-            pairs = members.join(other, "key").where("label != of and node < c").select("node", "c")
-        pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        for done in tested:
-            pairs = pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        tested.append(verified(pairs))
-        found = tested[-1].where("linked").select("a", "b")
-        if found.isEmpty():
-            members = members.select("key", "node")
-            continue
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(found), scratch)
-        members = members.select("key", "node")
+    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    # a key of two sets was settled by the first comparison
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high and n > 2")
+    inside = scratch.keep(named.join(mixed.select("key", "n"), "key"))
+    # the hub of a chunk is the set that shares most with others, so that a group of near copies is seen from its middle
+    score = inside.groupBy("node").agg(F.sum("n").alias("score"))
+    hubs = inside.select("key", "node").join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("hub"))
+    spokes = scratch.keep(inside.join(hubs, "key").where("node != hub").select("hub", "node", "label").distinct())
+    if not spokes.isEmpty():
+        near = scratch.keep(with_texts(spokes, "hub", "node").select("hub", "node", "x", "y", "label").mapInArrow(differences(size, percent), "hub long, node long, label long, linked boolean, needs array<long>, gives array<long>"))
+        left = near.where("not linked").select("hub", F.col("node").alias("a"), F.col("label").alias("of"), F.explode("needs").alias("e"))
+        right = near.select("hub", F.col("node").alias("b"), "label", F.explode("gives").alias("e"))
+        pairs = left.join(right, ["hub", "e"]).where("of != label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = near.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionAll(verified(pairs).where("linked").select("a", "b"))
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more), scratch)
 
     named = signed.join(labels.withColumnRenamed("label", "to"), "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("to", "node")).alias("group"))
     named = scratch.keep(named)
