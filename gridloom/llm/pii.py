@@ -44,8 +44,10 @@ PATTERNS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("ssn", ("-",), re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", _DIGITS, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\d)")),
 ]
-_TITLE = re.compile(r"\b(" + "|".join(TITLES) + r")\.? (?=[^\W\d_])([^\W\d_]+)")
-_PAIR = re.compile(r"\b(" + "|".join(sorted(_BY_NAME, key=len, reverse=True)) + r")\b(?: ([^\W\d_]+))?")
+_NAME = r"([^\W\d_]+)"
+#: Titles and the one or two words after them; a listed given name and the word after it, which may be a given name too.
+_TITLED = re.compile(r"\b(?:(?:" + "|".join(TITLES) + r")\.? )+" + _NAME + rf"(?: {_NAME})?")
+_GIVEN = re.compile(r"\b(" + "|".join(sorted(_BY_NAME, key=len, reverse=True)) + rf")\b(?= {_NAME})")
 
 
 _SPOKEN = [t + end for t in TITLES for end in (" ", ". ")]
@@ -68,6 +70,11 @@ def script_of(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
 
+def name_kind(word: str) -> str:
+    """Names that are not listed as given names, and so have no known gender, count as surnames."""
+    return "given-{}-{}".format(*_BY_NAME[word]) if word in _BY_NAME else "surname"
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of the entities of a text, without overlaps: earlier ones first, of those at one place the longer."""
     found = []
@@ -85,18 +92,18 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     continue
             found.append((start, end, kind, value))
     names = []
-    for m in _PAIR.finditer(text) if any(n in text for n in _BY_NAME) else ():
-        script, gender = _BY_NAME[m.group(1)]
-        if m.group(2) and m.group(2)[0].isupper() and m.group(2) not in TITLES:
-            names.append((m.start(1), m.end(1), f"given-{script}-{gender}", m.group(1)))
-            names.append((m.start(2), m.end(2), "surname", m.group(2)))
-    for m in _TITLE.finditer(text) if any(t in text for t in _SPOKEN) else ():
-        if m.group(2)[0].isupper() and m.group(2) not in _BY_NAME:
-            names.append((m.start(2), m.end(2), "surname", m.group(2)))
-    known = {v for _, _, k, v in names if k == "surname"}
-    if known:  # later mentions of the surname alone
+    for m in _GIVEN.finditer(text) if any(n in text for n in _BY_NAME) else ():
+        if m.group(2)[0].isupper() and m.group(2) not in TITLES:
+            names += [(m.start(g), m.end(g), name_kind(m.group(g)), m.group(g)) for g in (1, 2)]
+    for m in _TITLED.finditer(text) if any(t in text for t in _SPOKEN) else ():
+        for g in (1, 2):
+            if not m.group(g) or not m.group(g)[0].isupper() or m.group(g) in TITLES:
+                break
+            names.append((m.start(g), m.end(g), name_kind(m.group(g)), m.group(g)))
+    known = {v for _, _, _, v in names}
+    if known:  # mentions of the given name or the surname alone
         for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")\b", text):
-            names.append((m.start(), m.end(), "surname", m.group()))
+            names.append((m.start(), m.end(), name_kind(m.group()), m.group()))
     out, upto = [], 0
     for x in sorted({*found, *names}, key=lambda x: (x[0], -x[1], x[2])):
         if x[0] >= upto:

@@ -215,6 +215,20 @@ def test_pii_surrogates(spark, scratch):
     assert got[1].text.count(pii.surrogate(b"k", "surname", "Schmidt")) == 2 and got[3].text is None and got[4].text == "nothing here" and got[None].n_pii == 1
 
 
+def test_pii_names_mentioned_apart(spark, scratch):
+    cases = {
+        "Anna Schmidt came. Anna said that Schmidt left": ["given-latin-f", "surname", "given-latin-f", "surname"], "Frau Anna kam. Anna ging": ["given-latin-f", "given-latin-f"],
+        "Frau Dr. Brunhilde Vogt kam. Brunhilde ging, Vogt blieb": ["surname"] * 4, "Anna Maria Weber, Maria": ["given-latin-f", "given-latin-f", "surname", "given-latin-f"],
+        "Anna came, and Miss that": [], "Иван Петров ушёл. Иван": ["given-cyrillic-m", "surname", "given-cyrillic-m"],
+    }
+    for text, kinds in cases.items():
+        assert [k for _, _, k, _ in pii.detect(text)] == kinds, text
+    texts = list(cases)
+    got = {x.doc_id: x.text for x in pii.surrogates(docs(spark, list(enumerate(texts))), scratch, b"k").collect()}
+    assert "Anna" not in got[0] + got[1] and "Vogt" not in got[2] and "Brunhilde" not in got[2] and got[4] == texts[4]
+    assert got[0].split()[0] == got[0].split()[3] == got[1].split()[1] and got[0].split()[1] == got[0].split()[6]
+
+
 def test_pii_collisions_are_resolved(spark, scratch):
     rows = [(i, f"token={i:06d}") for i in range(20000)]  # some of 16**6 surrogates collide
     first = [pii.surrogate(b"k", "secret", t[6:]) for _, t in rows]
