@@ -2,8 +2,8 @@
 
 A detected value is replaced by one that a keyed hash of it gives, so the same value has the same surrogate in every
 document. Parts that are mentioned apart (mail domains, given names, surnames) have surrogates of their own, so partial
-mentions still refer to the same person. A collision check over all distinct values of the corpus finds surrogates that two
-values share, or that are themselves values of the corpus; the values concerned move on to their next surrogate.
+mentions still refer to the same person. Rounds over all distinct values of the corpus settle who has which surrogate: those
+that two values share, or that are themselves values of the corpus, are drawn again, and get longer where a format is crowded.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 import hmac
 import random
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -53,6 +54,10 @@ _GIVEN = re.compile(r"\b(" + "|".join(sorted(_BY_NAME, key=len, reverse=True)) +
 _SPOKEN = [t + end for t in TITLES for end in (" ", ". ")]
 
 
+#: Rounds after which surrogates get longer by a sign a round: where any length will do, and where the format has one length.
+LONGER, LONGER_FIXED = 3, 32
+
+
 def digits_in(text: str) -> bool:
     return any(c in text for c in _DIGITS)
 
@@ -128,9 +133,16 @@ class Keyed:
         return out
 
 
-def reshaped(value: str, r: Keyed) -> str:
-    """Digits, small and capital letters are replaced by others of their kind; all else stays."""
-    out = []
+@lru_cache(maxsize=1 << 12)
+def letters_like(c: str) -> str:
+    """Letters of the same case from the same 256 code points: those of its script."""
+    first = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == unicodedata.category(c))
+
+
+def reshaped(value: str, r: Keyed, longer: int = 0) -> str:
+    """Digits and letters are replaced by others of their kind, case and script; all else stays, unless there is nothing but that."""
+    out, changed = [], False
     for c in value:
         if c.isdigit():
             out.append(str(r.below(10)))
@@ -138,9 +150,18 @@ def reshaped(value: str, r: Keyed) -> str:
             out.append(chr(97 + r.below(26)))
         elif "A" <= c <= "Z":
             out.append(chr(65 + r.below(26)))
+        elif c.isalpha():
+            like = letters_like(c)
+            out.append(like[r.below(len(like))])
         else:
             out.append(c)
-    return "".join(out)
+            continue
+        changed = True
+    if not changed:
+        out = [chr(97 + r.below(26)) for _ in value]
+    last = next((c for c in reversed(out) if c.isalnum()), "a")
+    digit, capital = last.isdigit(), "A" <= last <= "Z"
+    return "".join(out + [str(r.below(10)) if digit else chr((65 if capital else 97) + r.below(26)) for _ in range(longer)])
 
 
 @lru_cache(maxsize=64)
@@ -153,55 +174,79 @@ def permuted(key: bytes, script: str, gender: str) -> dict[str, str]:
 
 
 @lru_cache(maxsize=1 << 16)
-def surrogate(key: bytes, kind: str, value: str, turn: int = 0) -> str:
-    """The replacement of a value at its turn-th collision."""
+def surrogate(key: bytes, kind: str, value: str, turn: int = 0, domain_turn: int = 0) -> str:
+    """The replacement of a value at its turn-th collision, and for mail addresses that of its domain."""
     if kind.startswith("given-"):
         _, script, gender = kind.split("-")
         return permuted(key, script, gender)[value]
-    r = Keyed(key, kind, value, turn)
+    r, longer, fixed = Keyed(key, kind, value, turn), max(0, turn - LONGER), max(0, turn - LONGER_FIXED)
+    if kind == "domain":
+        host, _, top = value.rpartition(".")
+        return f"{reshaped(host, r, longer)}.{top}"
     if kind == "email":
         local, _, domain = value.partition("@")
-        own = Keyed(key, "domain", domain.lower(), 0)
-        host, _, top = domain.rpartition(".")
-        return f"{reshaped(local, r)}@{reshaped(host, own)}.{top}"
+        return f"{reshaped(local, r, longer)}@{surrogate(key, 'domain', domain.lower(), domain_turn)}"
     if kind == "card":
         digits = [c for c in value if c.isdigit()]
         new = digits[0] + "".join(str(r.below(10)) for _ in digits[1:-1])
         check = luhn("".join(digits[:-1])) == int(digits[-1])
         put = iter(new + (str(luhn(new)) if check else str(r.below(10))))
-        return "".join(next(put) if c.isdigit() else c for c in value)
+        return "".join(next(put) if c.isdigit() else c for c in value) + "".join(str(r.below(10)) for _ in range(fixed))
     if kind == "ip":
-        return ".".join(str(1 + r.below(254)) for _ in range(4))
+        return ".".join(str(1 + r.below(254)) for _ in range(4)) if not fixed else "2001:db8" + "".join(f":{r.below(1 << 16):x}" for _ in range(6))
     if kind == "phone":
         code = re.match(r"\+\d{1,3}(?=[ .(-])", value)
         keep = code.end() if code else 0
-        return value[:keep] + reshaped(value[keep:], r)
+        return value[:keep] + reshaped(value[keep:], r, fixed)
     if kind == "access_key":
-        return value[:4] + reshaped(value[4:], r)
+        return value[:4] + reshaped(value[4:], r, fixed)
     if kind == "iban":
-        return value[:2] + reshaped(value[2:], r)
+        return value[:2] + reshaped(value[2:], r, fixed)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
-        return "".join("0123456789abcdef"[r.below(16)] for _ in value)
+        return "".join("0123456789abcdef"[r.below(16)] for _ in range(len(value) + longer))
     if kind == "surname":
         s = SYLLABLES[script_of(value)]
-        word = "".join(s[r.below(len(s))] for _ in range(2 + r.below(2) + turn // 4))
+        word = "".join(s[r.below(len(s))] for _ in range(2 + r.below(2) + turn // 2))
         return word.upper() if value.isupper() and len(value) > 1 else word.capitalize()
-    return reshaped(value, r)
+    return reshaped(value, r, longer if kind == "secret" else fixed)
 
 
 def found_values(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = [(i, k, v) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, k, v in detect(t or "") if not k.startswith("given-")]
+    rows += [(i, "domain", v.partition("@")[2].lower()) for i, k, v in rows if k == "email"]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["id", "kind", "value"])
 
 
-def named(key: bytes):
+def named(key: bytes, turn: int):
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k, v, n = (batch.column(i).to_pylist() for i in range(3))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(key, a, b, c) for a, b, c in zip(k, v, n, strict=True)], pa.string())], ["kind", "value", "turn", "surrogate"])
+        k, v, d = (batch.column(i).to_pylist() for i in range(3))
+        new = pa.array([surrogate(key, a, b, turn, c) for a, b, c in zip(k, v, d, strict=True)], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns, new], ["kind", "value", "domain_turn", "surrogate"])
 
     return per_batch(f)
 
 
+def settled(values: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
+    """(kind, value, turn, domain_turn) of the values that do not keep their first surrogates.
+
+    values: distinct (kind, value, domain_turn). A round draws for those still without: the smallest value that drew a surrogate
+    has it for good, unless it is a value of its kind or was given out before. Rounds go on until none is left; as surrogates
+    get longer, each round has far more of them than values.
+    """
+    left = scratch.keep(values)
+    given, moved, turn = left.select("kind", F.col("value").alias("surrogate")), left.withColumn("turn", F.lit(0)).limit(0), 0
+    while True:
+        drawn = scratch.keep(left.mapInArrow(named(key, turn), "kind string, value string, domain_turn int, surrogate string"))
+        owners = scratch.keep(drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).join(given, ["kind", "surrogate"], "left_anti"))
+        has = drawn.join(owners, ["kind", "value", "surrogate"], "left_semi")
+        if turn:
+            moved = moved.unionAll(has.select("kind", "value", "domain_turn", F.lit(turn).alias("turn")))
+        left = scratch.keep(drawn.join(owners, ["kind", "value", "surrogate"], "left_anti").select("kind", "value", "domain_turn"))
+        if left.isEmpty():
+            return moved.select("kind", "value", "turn", "domain_turn")
+        given, turn = given.unionAll(owners.select("kind", "surrogate")), turn + 1
+
+
 def replaced(key: bytes):
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts, kinds = [], [], []
@@ -210,7 +255,8 @@ def replaced(key: bytes):
             turn = {(x["kind"], x["value"]): x["turn"] for x in turns or []}
             out, upto = [], 0
             for start, end, kind, value in found:
-                out += [text[upto:start], surrogate(key, kind, value, turn.get((kind, value), 0))]
+                of_domain = turn.get(("domain", value.partition("@")[2].lower()), 0) if kind == "email" else 0
+                out += [text[upto:start], surrogate(key, kind, value, turn.get((kind, value), 0), of_domain)]
                 upto = end
             texts.append("".join([*out, text[upto:]]) if found else text)
             counts.append(len(found))
@@ -223,28 +269,22 @@ def replaced(key: bytes):
 def surrogates(docs: DataFrame, scratch: Scratch, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_pii (entities replaced) and kinds (their types, sorted) of every row.
 
-    The same key gives the same surrogates; distinct values of a kind have distinct ones, none of which is a value of that kind
-    in the corpus. Null texts stay null; rows that repeat an id, and those whose id is null, are treated like any others. Other
+    The same key gives the same surrogates; distinct values of a kind, mail domains too, have distinct ones, none of which is a
+    value of that kind in the corpus; given names are exchanged among the listed ones instead. Where a format has too few free
+    places (one-letter local parts of a domain), surrogates are longer than their values. Null texts stay null; rows that repeat an id, and those whose id is null, are treated like any others. Other
     columns are dropped. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = scratch.keep(docs.where("text is not null").mapInArrow(per_batch(found_values, "text"), "id long, kind string, value string"))
-    values = found.select("kind", "value").distinct().withColumn("turn", F.lit(0))
-    moved = None
-    for _ in range(20):
-        now = scratch.keep(values.mapInArrow(named(key), "kind string, value string, turn int, surrogate string"))
-        first = now.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"), F.count("*").alias("n"))
-        taken = now.select(F.col("kind").alias("k"), F.col("value").alias("v"))
-        clash = now.join(first.where("n > 1"), ["kind", "surrogate"], "left").join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("v")), "left")
-        next_turn = F.col("turn") + F.when(F.col("v").isNotNull() | (F.col("owner") != F.col("value")), 1).otherwise(0)
-        values = clash.select("kind", "value", next_turn.cast("int").alias("turn"), (next_turn > F.col("turn")).alias("again"))
-        values = scratch.keep(values)
-        if values.where("again").isEmpty():
-            break
-        values = values.drop("again")
-        moved = True
-    if moved:
-        late = found.join(values.where("turn > 0").select("kind", "value", "turn"), ["kind", "value"]).groupBy("id").agg(F.collect_set(F.struct("kind", "value", "turn")).alias("turns")).withColumnRenamed("id", "of")
+    is_domain = F.col("kind") == "domain"
+    domains = scratch.keep(settled(found.where(is_domain).select("kind", "value").distinct().withColumn("domain_turn", F.lit(0)), scratch, key))
+    of_domain = F.when(F.col("kind") == "email", F.lower(F.substring_index("value", "@", -1)))
+    turns = domains.select(F.col("value").alias("domain"), F.col("turn").alias("moved"))
+    values = found.where(~is_domain).select("kind", "value").distinct().withColumn("of", of_domain)
+    values = values.join(turns, F.col("of") == F.col("domain"), "left").select("kind", "value", F.coalesce("moved", F.lit(0)).alias("domain_turn"))
+    moved = scratch.keep(domains.unionAll(settled(values, scratch, key)).select("kind", "value", "turn"))
+    if not moved.isEmpty():
+        late = found.join(moved, ["kind", "value"]).groupBy("id").agg(F.collect_set(F.struct("kind", "value", "turn")).alias("turns")).withColumnRenamed("id", "of")
         docs = docs.join(late, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "turns")
     else:
         docs = docs.withColumn("turns", F.lit(None).cast("array<struct<kind: string, value: string, turn: int>>"))

@@ -237,6 +237,16 @@ def test_pii_collisions_are_resolved(spark, scratch):
     assert len(set(got)) == len(rows) and not set(got) & {t for _, t in rows}
 
 
+def test_pii_crowded_formats_settle(spark, scratch):
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{c}@hot.com" for c in abc] + [f"{a}{b}@hot.com" for a in abc for b in abc] + [f"me@{c}.org" for c in abc] + ["password: пароль", "password: сезамы", "password: !?!?!?!"]
+    got = {x.doc_id: x.text for x in pii.surrogates(docs(spark, list(enumerate(texts))), scratch, b"k").collect()}
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+    domains = {got[i].partition("@")[2] for i, t in enumerate(texts) if "@" in t}
+    assert len(domains) == 27 and not domains & {t.partition("@")[2] for t in texts}
+    assert len(got[len(texts) - 3]) == len(texts[-3]) and all("Ѐ" <= c <= "ӿ" for c in got[len(texts) - 3].partition(" ")[2])
+
+
 def trained(spark, module, label):
     d, y = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.1')}/labels.parquet")
     model = module.fit(d, y, label)
