@@ -4,7 +4,8 @@ A line's tokens are masked (a token with a digit is a variable field) and it is
 leading and its closing tokens. In a leaf, the masked line that most documents have is the seed; lines that agree with it at
 most sampled positions are variants of one template, whose other positions are variable fields. A masked line recurs if two
 documents have it, a template with variants if ``variants`` documents have one of them. The first occurrence of what recurs
-stays, in the document with the smallest id; all others are dropped. Counts are by aggregation over hashes, so no group of
+stays, in the document with the smallest id; all others are dropped. Lines with too few constant tokens to be masked (numbers,
+scripts without spaces) recur by their exact tokens. Counts are by aggregation over hashes, so no group of
 equal lines meets in one task.
 """
 
@@ -23,38 +24,42 @@ DEPTH, SAMPLED = 3, 32
 _MASK = U(0x5851F42D4C957F2D)
 
 
-def lines(texts: Texts, min_tokens: int):
-    """(document, line, masked line, leaf, sampled tokens) of lines with enough constant tokens."""
+def lines(texts: Texts, min_tokens: int, min_chars: int):
+    """(document, line, masked line, leaf, sampled tokens, masked or not) of lines with enough constant tokens, and of others of
+    min_chars characters or more, which are hashed as they are and have no leaf."""
     starts, ends = texts.words()
     h = texts.hashes(starts, ends)
     digits = np.r_[0, np.cumsum((texts.data >= 48) & (texts.data <= 57))]
     variable = digits[ends] > digits[starts]
-    h[variable] = _MASK
+    exact, h = h, np.where(variable, _MASK, h)
     newlines = np.r_[0, np.cumsum(texts.data == 10)]
     doc = np.repeat(np.arange(texts.n), np.diff(texts.counts(starts)))
     line = newlines[starts] - newlines[texts.offsets[doc]]
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]) if len(h) else np.zeros(0, np.int64)
     if not len(first):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros((0, SAMPLED), np.uint8)
+        return none, none, none, none, np.zeros((0, SAMPLED), np.uint8), none.astype(bool)
     n = np.diff(np.r_[first, len(h)])
     at = np.arange(len(h)) - np.repeat(first, n)
-    whole = mix(np.add.reduceat(mix(h + at.astype(U) * U(0x9E3779B97F4A7C15)), first) + n.astype(U))
+    whole, verbatim = (mix(np.add.reduceat(mix(x + at.astype(U) * U(0x9E3779B97F4A7C15)), first) + n.astype(U)) for x in (h, exact))
     constant = n - np.add.reduceat(variable.astype(np.int64), first)
-    keep = (constant >= min_tokens) & (2 * constant >= n)
-    first, n, whole = first[keep], n[keep], whole[keep]
+    masked = (constant >= min_tokens) & (2 * constant >= n)
+    chars = np.r_[0, np.cumsum((texts.data & 0xC0) != 0x80)]
+    keep = masked | (chars[ends[first + n - 1]] - chars[starts[first]] >= min_chars)
+    whole = np.where(masked, whole, mix(verbatim ^ _MASK))
+    first, n, whole, masked = first[keep], n[keep], whole[keep], masked[keep]
     leaf = n.astype(U)
     for k in range(DEPTH):
         leaf = mix(leaf * U(31) + h[first + np.minimum(k, n - 1)])
         leaf = mix(leaf * U(37) + h[first + np.maximum(0, n - 1 - k)])
     spots = first[:, None] + (np.arange(SAMPLED)[None, :] * n[:, None]) // SAMPLED
-    return doc[first], line[first], whole.view(np.int64), leaf.view(np.int64), (h[spots] >> U(56)).astype(np.uint8)
+    return doc[first], line[first], whole.view(np.int64), leaf.view(np.int64), (h[spots] >> U(56)).astype(np.uint8), masked
 
 
-def parsed(min_tokens: int):
+def parsed(min_tokens: int, min_chars: int):
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, line, whole, leaf, sample = lines(Texts(batch.column(1)), min_tokens)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(line, pa.int32()), pa.array(whole), pa.array(leaf), pa.FixedSizeBinaryArray.from_buffers(pa.binary(SAMPLED), len(doc), [None, pa.py_buffer(sample.tobytes())]).cast(pa.binary())], ["doc", "line", "whole", "leaf", "sample"])
+        doc, line, whole, leaf, sample, masked = lines(Texts(batch.column(1)), min_tokens, min_chars)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(line, pa.int32()), pa.array(whole), pa.array(leaf, mask=~masked), pa.FixedSizeBinaryArray.from_buffers(pa.binary(SAMPLED), len(doc), [None, pa.py_buffer(sample.tobytes())]).cast(pa.binary())], ["doc", "line", "whole", "leaf", "sample"])
 
     return per_batch(f, "text")
 
@@ -71,13 +76,13 @@ def alike(share: float):
     return run
 
 
-def recurring(docs: DataFrame, scratch: Scratch, min_tokens: int = 3, copies: int = 2, variants: int = 5, share: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recurring(docs: DataFrame, scratch: Scratch, min_tokens: int = 3, min_chars: int = 10, copies: int = 2, variants: int = 5, share: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line) of every line to drop, line counted from 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    found = scratch.keep(rows.mapInArrow(parsed(min_tokens), "doc long, line int, whole long, leaf long, sample binary"))
+    found = scratch.keep(rows.mapInArrow(parsed(min_tokens, min_chars), "doc long, line int, whole long, leaf long, sample binary"))
 
     # masked lines with the number of documents that have them
-    each = scratch.keep(found.select("leaf", "whole", "doc").distinct().groupBy("leaf", "whole").agg(F.count("*").alias("docs")))
+    each = scratch.keep(found.where("leaf is not null").select("leaf", "whole", "doc").distinct().groupBy("leaf", "whole").agg(F.count("*").alias("docs")))
     mixed = each.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"), F.max_by("whole", F.struct("docs", "whole")).alias("seed")).where((F.col("kinds") > 1) & (F.col("docs") >= variants)).select("leaf", "seed")
     samples = found.join(mixed, "leaf").groupBy("leaf", "whole").agg(F.first("sample").alias("sample"), F.first("seed").alias("seed"))
     samples = scratch.keep(samples)
@@ -104,8 +109,8 @@ def without_recurring(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     """``docs`` with the recurring lines dropped from the text, and two more columns: n_lines and n_dropped.
 
     Every row and column comes back; a text that loses all lines becomes empty. Lines are what newlines separate. Lines of fewer
-    than ``min_tokens`` constant tokens, or of more variable than constant ones, never recur; repetition inside one document
-    alone does not count. Null texts and rows with a null id stay as they are (n_lines 0 for null texts). Rows that repeat an id
+    than ``min_tokens`` constant tokens, or of more variable than constant ones, recur only token by token as they are, and only
+    if they have ``min_chars`` characters; repetition inside one document alone does not count. Null texts and rows with a null id stay as they are (n_lines 0 for null texts). Rows that repeat an id
     count as one document.
     """
     gone = recurring(docs, scratch, id_col=id_col, text_col=text_col, **rules)

@@ -203,6 +203,15 @@ def test_line_dedup(spark, scratch):
     assert without_recurring(docs(spark, rows).limit(0), scratch).count() == 0
 
 
+def test_verbatim_lines_recur_whatever_their_tokens(spark, scratch):
+    prices, other = (" ".join([f"{k}.5" for k in range(at, at + 31)] + ["eur"] * 29) for at in (0, 100))
+    chinese, thai = "这是一个在很多文档里重复出现的句子。", "นี่คือประโยคที่ซ้ำกันหลายเอกสาร"
+    rows = [(i, "\n".join([prices, chinese, thai, "Read more here", "Contact us", "短い行", f"2024-01-0{i} 10:0{i}:00"])) for i in range(3)] + [(9, other)]
+    got = {x.doc_id: (x.text, x.n_dropped) for x in without_recurring(docs(spark, rows), scratch).collect()}
+    assert got[0] == (rows[0][1], 0) and got[9] == (other, 0)
+    assert all(got[i] == (f"短い行\n2024-01-0{i} 10:0{i}:00", 5) for i in (1, 2))
+
+
 def test_pii_surrogates(spark, scratch):
     text = 'a.b@mail.example.com, +1 (317) 555-7008 38.180.236.140 4999301290682266 token = "7f3a2209dd4c2e76" Anna Schmidt, Frau Schmidt'
     rows = [(1, text), (2, "again a.b@mail.example.com"), (3, None), (4, "nothing here"), (None, "1.2.3.4")]
