@@ -1,8 +1,9 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 A line's tokens are masked (a token with a digit is a variable field) and it is parsed into a leaf by its token count, its
-leading and its closing tokens. In a leaf, the masked line that most documents have is the seed; lines that agree with it at
-most sampled positions are variants of one template, whose other positions are variable fields. A masked line recurs if two
+leading and its closing tokens. In a leaf, the masked line that most documents have is a seed; lines that agree with it at
+most sampled positions are variants of one template, whose other positions are variable fields. Of the lines unlike it, the
+one that most documents have is the next seed, and so on until those left are in too few documents. A masked line recurs if two
 documents have it, a template with variants if ``variants`` documents have one of them. The first occurrence of what recurs
 stays, in the document with the smallest id; all others are dropped. Lines with too few constant tokens to be masked (numbers,
 scripts without spaces) recur by their exact tokens. Counts are by aggregation over hashes, so no group of
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, per_batch
@@ -21,6 +22,8 @@ from .textnp import Texts, U, mix
 
 #: Leading and closing tokens that lead to a leaf, and positions of a line that are sampled for its likeness to the seed.
 DEPTH, SAMPLED = 3, 32
+#: Lines of a leaf that may become seeds in one round.
+CANDIDATES = 16
 _MASK = U(0x5851F42D4C957F2D)
 
 
@@ -64,18 +67,58 @@ def parsed(min_tokens: int, min_chars: int):
     return per_batch(f, "text")
 
 
-def alike(share: float):
-    """Keeps the masked lines that agree with their leaf's seed at ``share`` of the sampled positions."""
+def seeded(share: float):
+    """The first seed of its leaf that each masked line agrees with at ``share`` of the sampled positions, or null.
+
+    A leaf's candidates come in order; one that agrees with a seed before it is none itself.
+    """
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SAMPLED) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["leaf", "whole"]).filter(pa.array((a == b).mean(1) >= share))
+            if not batch.num_rows:
+                continue
+            a = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SAMPLED)
+            leaves, first, of = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
+            order, ends = np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))
+            template, known = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+            for k in range(len(leaves)):
+                rows = order[ends[k - 1] if k else 0 : ends[k]]
+                for c in batch.column(4)[int(first[k])].as_py():
+                    seed = np.frombuffer(c["sample"], np.uint8)
+                    rest = rows[~known[rows]]
+                    # a candidate that agrees with an earlier seed went with it; its own row may be in another batch
+                    if c["rank"] > 1 and any((seed == s).mean() >= share for s in seeds):
+                        continue
+                    seeds = [seed] if c["rank"] == 1 else [*seeds, seed]
+                    hit = rest[(a[rest] == seed).mean(1) >= share]
+                    template[hit], known[hit] = c["whole"], True
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(template, mask=~known)], ["leaf", "whole", "docs", "sample", "template"])
 
     return run
 
 
+def templates(left: DataFrame, scratch: Scratch, variants: int, share: float) -> DataFrame:
+    """(whole, template) of the masked lines (leaf, whole, docs, sample) that agree with a seed, a template being named by its seed.
+
+    A round takes some candidates of each leaf, all of which find a seed; rounds go on for leaves whose other lines are in
+    enough documents together.
+    """
+    found = None
+    by_docs = Window.partitionBy("leaf").orderBy(F.desc("docs"), F.desc("whole"))
+    while True:
+        open_leaves = left.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= variants)).select("leaf")
+        left = scratch.keep(left.join(open_leaves, "leaf", "left_semi"))
+        if found is not None and left.isEmpty():
+            return found
+        ranked = left.withColumn("rank", F.row_number().over(by_docs)).where(F.col("rank") <= CANDIDATES)
+        candidates = ranked.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "whole", "sample"))).alias("candidates"))
+        put = left.join(candidates, "leaf").select("leaf", "whole", "docs", "sample", "candidates")
+        put = scratch.keep(put.mapInArrow(seeded(share), "leaf long, whole long, docs long, sample binary, template long"))
+        members = put.where("template is not null").select("whole", "template")
+        found = members if found is None else found.unionAll(members)
+        left = put.where("template is null").drop("template")
+
+
 def recurring(docs: DataFrame, scratch: Scratch, min_tokens: int = 3, min_chars: int = 10, copies: int = 2, variants: int = 5, share: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line) of every line to drop, line counted from 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
@@ -83,13 +126,11 @@ def recurring(docs: DataFrame, scratch: Scratch, min_tokens: int = 3, min_chars:
 
     # masked lines with the number of documents that have them
     each = scratch.keep(found.where("leaf is not null").select("leaf", "whole", "doc").distinct().groupBy("leaf", "whole").agg(F.count("*").alias("docs")))
-    mixed = each.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"), F.max_by("whole", F.struct("docs", "whole")).alias("seed")).where((F.col("kinds") > 1) & (F.col("docs") >= variants)).select("leaf", "seed")
-    samples = found.join(mixed, "leaf").groupBy("leaf", "whole").agg(F.first("sample").alias("sample"), F.first("seed").alias("seed"))
-    samples = scratch.keep(samples)
-    seeds = samples.where("whole = seed").select("leaf", F.col("sample").alias("of"))
-    same = samples.join(seeds, "leaf").select("leaf", "whole", "sample", "of").mapInArrow(alike(share), "leaf long, whole long")
-    # a template is named by its leaf; a line outside any stands for itself
-    member = scratch.keep(same.select(F.col("whole").alias("w"), F.col("leaf").alias("template")))
+    mixed = each.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= variants)).select("leaf")
+    samples = found.join(mixed, "leaf", "left_semi").groupBy("leaf", "whole").agg(F.first("sample").alias("sample"))
+    samples = scratch.keep(samples.join(each, ["leaf", "whole"]).select("leaf", "whole", "docs", "sample"))
+    # a line outside any template stands for itself
+    member = scratch.keep(templates(samples, scratch, variants, share).withColumnRenamed("whole", "w"))
     kinds = member.groupBy("template").agg(F.count("*").alias("n")).where("n > 1").select(F.col("template").alias("t"))
     member = member.join(kinds, F.col("template") == F.col("t"), "left_semi")
     named = found.select("doc", "line", "whole").join(member, F.col("whole") == F.col("w"), "left").select("doc", "line", "whole", "template")

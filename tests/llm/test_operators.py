@@ -203,6 +203,21 @@ def test_line_dedup(spark, scratch):
     assert without_recurring(docs(spark, rows).limit(0), scratch).count() == 0
 
 
+@pytest.mark.parametrize("candidates", [16, 1])
+def test_a_leaf_holds_several_templates(spark, scratch, monkeypatch, candidates):
+    from gridloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "CANDIDATES", candidates)
+    middles = ["is now on its way over to you at", "got lost near some old bridge in town by", "waits until someone can call our shop just before"]
+    families = [f"the order from {{}} {m} the usual place today" for m in middles]
+    names = "ann bob cyd dan eve fay".split()
+    hot = [(100 + i, "the order from zed x y z u v w r s t the usual place today") for i in range(9)]
+    rows = [(10 * k + i, f.format(n)) for k, f in enumerate(families) for i, n in enumerate(names)] + hot
+    assert {len(t.split()) for _, t in rows} == {17}
+    got = {x.doc_id: x.n_dropped for x in without_recurring(docs(spark, rows), scratch).collect()}
+    assert {i for i, n in got.items() if not n} == {0, 10, 20, 100} and sum(got.values()) == len(rows) - 4
+
+
 def test_verbatim_lines_recur_whatever_their_tokens(spark, scratch):
     prices, other = (" ".join([f"{k}.5" for k in range(at, at + 31)] + ["eur"] * 29) for at in (0, 100))
     chinese, thai = "这是一个在很多文档里重复出现的句子。", "นี่คือประโยคที่ซ้ำกันหลายเอกสาร"
