@@ -10,6 +10,8 @@ from ..grid import POS, Grid
 from .text import detect_format, parse_text, sniff_delimiter
 
 CELLS = "id long, fmt string, header boolean, r int, cells array<string>"
+#: Columns that the keys of JSON Lines may make.
+MAX_KEYS = 10_000
 
 
 def table_rows(blobs: DataFrame, id_col: str, text_col: str, fmt: str = "auto", has_header: bool | None = None) -> DataFrame:
@@ -55,9 +57,14 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
 
 
 def json_records(lines: DataFrame, text_col: str, order_col: str) -> tuple[DataFrame, list[str]]:
-    """Records of JSON objects as grid rows; the columns are the union of keys as first seen, by one aggregation over the keys."""
+    """Records of JSON objects as grid rows; the columns are the union of keys as first seen, by one aggregation over the keys.
+
+    More than MAX_KEYS distinct keys raise an error: a grid has a column for each.
+    """
     keyed = lines.select(order_col, F.posexplode(F.json_object_keys(text_col)).alias("at", "key"))
-    keys = [r["key"] for r in keyed.groupBy("key").agg(F.min(F.struct(order_col, "at")).alias("first")).orderBy("first").limit(10_000).collect()]
+    keys = [r["key"] for r in keyed.groupBy("key").agg(F.min(F.struct(order_col, "at")).alias("first")).orderBy("first").limit(MAX_KEYS + 1).collect()]
+    if len(keys) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} distinct keys")
     record = F.from_json(F.col(text_col), "map<string,string>")
     out = lines.select(F.col(order_col).cast("long").alias(POS), record.alias("m"))
     return out.select(POS, *[F.coalesce(F.element_at("m", F.lit(k)), F.lit("")).alias(f"c{i}") for i, k in enumerate(keys)]), keys

@@ -9,6 +9,7 @@ from gridloom import sinks
 from gridloom.grid import POS, from_dataframe, unique_names
 from gridloom.plans.pipeline import apply_spec
 from gridloom.plans.spec import GridSpec, Replace, Sort, unsafe_pattern
+from gridloom.sources import reader
 from gridloom.sources.html import BLANK, MARK, Options, find_tables, largest_table
 from gridloom.sources.reader import read_text
 from gridloom.sources.text import detect_format, parse_text, sniff_delimiter
@@ -34,6 +35,16 @@ def test_json_union_and_envelope():
         parse_text('{"a":1}\nnot json', "jsonl")
 
 
+def test_json_lines_with_too_many_keys_raise(spark, monkeypatch):
+    lines = lambda n: spark.createDataFrame([(i, f'{{"k{i}": {i}}}') for i in range(n)], "n long, line string")
+    with pytest.raises(ValueError):
+        reader.json_records(lines(10_001), "line", "n")
+    monkeypatch.setattr(reader, "MAX_KEYS", 3)
+    assert reader.json_records(lines(3), "line", "n")[1] == ["k0", "k1", "k2"]
+    with pytest.raises(ValueError):
+        reader.json_records(lines(4), "line", "n")
+
+
 def test_markdown_pipes():
     t, _ = parse_text("| Name | Qty |\n|---|--:|\n| Bolt \\| big | 2 |\n| Nut | 3 |")
     assert t.rows == [["Bolt | big", "2"], ["Nut", "3"]]
