@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,58 +13,82 @@ PLACEHOLDERS = ["-", "--", "–", "—", ".", "..", "…", "?", "*", "n/a", "n.a
 TRUE = ["true", "yes", "y", "✓", "✔", "1", "on", "enabled"]
 FALSE = ["false", "no", "n", "✗", "✘", "×", "0", "off", "disabled"]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-_EDGES = r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$"
+# fixed values: white space of any script, and the byte-order mark; signs for minus
+SPACES = "\t\n\x0b\x0c\r                  　﻿"
+MINUS = "−–—"
+_S = f"[{SPACES}]"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def trimmed(c: Column) -> Column:
     """Without white space of any script, or byte-order marks, at both ends."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank(c: Column) -> Column:
-    return trimmed(c) == ""
+    return F.length(trimmed(c)) == 0
+
+
+#: What is a number as it stands; most cells of most tables are.
+_PLAIN = r"^-?[0-9]+(?:\.[0-9]+)?$"
+#: A sign, then digits, points and commas with a digit among them.
+_WRITTEN = r"^-?\+?[.,]*[0-9][0-9.,]*$"
+#: Commas that only part thousands: before groups of three alone, or before the last point.
+_PARTING = r"^(?:[0-9]{0,3},[0-9]{3}|[0-9]*(?:,[0-9]{3}){2,})$|\.[^,]*$"
+_PARTING_POINTS = r"^[0-9]*(?:\.[0-9]{3}){2,}$"
 
 
 def parse_number(raw: Column, decimal_comma: bool = False) -> Column:
-    """A double out of a written number, or null: signs, currency, percent, brackets for negatives, either decimal sign."""
-    s = trimmed(F.regexp_replace(raw, "[\u2212\u2010-\u2015]", "-"))
-    bracketed = s.rlike(r"^\(.*\)$")
-    s = F.when(bracketed, F.regexp_extract(s, r"^\((.*)\)$", 1)).otherwise(s)
-    s = F.regexp_replace(s, rf"(?U)[{CURRENCY}%\s]", "")
-    minus = s.startswith("-")
-    s = F.regexp_replace(F.regexp_replace(s, "^-", ""), r"^\+", "")
-    well = s.rlike(r"^[\d.,]+$") & s.rlike(r"\d")
-    commas, dots = F.length(s) - F.length(F.replace(s, F.lit(","))), F.length(s) - F.length(F.replace(s, F.lit(".")))
-    comma_last = F.length(s) - F.instr(F.reverse(s), ",") > F.length(s) - F.instr(F.reverse(s), ".")
-    parts = F.split(s, "[.,]")
-    threes = F.forall(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p) == 3)
-    no_commas, no_dots = F.replace(s, F.lit(",")), F.replace(s, F.lit("."))
-    one_point = F.regexp_replace(s, "^([^,]*),", "$1.")  # the first comma becomes the point
-    as_thousands = threes & ((F.length(parts[0]) <= 3) | (commas > 1)) & F.lit(not decimal_comma)
-    plain = (
-        F.when((commas > 0) & (dots > 0), F.when(comma_last, F.regexp_replace(no_dots, "^([^,]*),", "$1.")).otherwise(no_commas))
-        .when(commas > 0, F.when(as_thousands, no_commas).otherwise(one_point))
-        .when((dots > 1) & threes, no_dots)
-        .otherwise(s)
-    )
-    value = F.when(well, plain.try_cast("double"))
-    return F.when(bracketed != minus, -value).otherwise(value)
+    """A double out of a written number, or null: signs, currency, percent, brackets for negatives, either decimal sign.
+
+    One pattern tells what is a number; two more, tried on what passes, tell what its commas and points mean.
+    """
+    s = trimmed(raw)
+    bracketed = s.startswith("(") & s.endswith(")") & ~s.contains("\n")
+    inner = F.when(bracketed, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    body = F.translate(inner, MINUS + CURRENCY + "%" + SPACES, "---")
+    parting = _PARTING[_PARTING.index("|\\.") + 1 :] if decimal_comma else _PARTING
+
+    def value(body: Column) -> Column:
+        digits = F.translate(body, "-+", "")
+        whole = F.when(digits.rlike(_PARTING_POINTS), F.translate(digits, ".", "")).otherwise(digits)
+        number = F.when(~digits.contains(","), whole).when(digits.rlike(parting), F.translate(digits, ",", "")).otherwise(F.translate(digits, ",.", "."))  # the comma is the decimal sign
+        return F.when(body.rlike(_WRITTEN), F.concat(F.when(bracketed | body.startswith("-"), "-").otherwise(""), number)).try_cast("double")
+
+    return F.nullif(F.when(raw.rlike(_PLAIN), raw.try_cast("double")).otherwise(let(body, value)), F.lit(float("inf")))
+
+
+def without_zeros(decimal: Column) -> Column:
+    return F.regexp_replace(decimal.cast("string"), r"\.?0+$", "")
 
 
 def number_text(n: Column) -> Column:
-    """A double as its shortest usual text: no trailing zeros, no exponent between 1e-6 and 1e21."""
-    plain = F.regexp_replace(F.regexp_replace(n.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(n == 0, F.lit("0")).otherwise(plain)
+    """A double as its shortest usual text: no trailing zeros, an exponent below 1e-6 and from 1e21 on."""
+
+    def text(x: Column) -> Column:
+        s, size = x.cast("string"), F.abs(x)
+        far = F.regexp_replace(F.regexp_replace(s, r"\.0E|E", "e"), r"e(?=\d)", "e+")
+        return (
+            F.when(x == 0, F.lit("0")).when(~s.contains("E"), F.regexp_replace(s, r"\.0$", "")).when((size >= 1e21) | (size < 1e-6), far)
+            .when(size >= 1, without_zeros(x.try_cast("decimal(38,12)"))).otherwise(without_zeros(x.try_cast("decimal(38,30)")))
+        )
+
+    return let(n, text)
+
+
+_DATE = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|^[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{2,4}}$|^[0-9]{{1,2}}{_S}+[A-Za-z]{{3,9}}\.?{_S}+[0-9]{{2,4}}$|^[A-Za-z]{{3,9}}\.?{_S}+[0-9]{{1,2}},?{_S}+[0-9]{{2,4}}$"
 
 
 def looks_date(c: Column) -> Column:
-    s = trimmed(c)
-    month = "(?i)(?:" + "|".join(MONTHS) + ")[a-z]*"
-    return s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") | s.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-](?:\d{4}|\d{2})$") | s.rlike(rf"^\d{{1,2}}\.?\s+{month}\.?,?\s+\d{{4}}$") | s.rlike(rf"^{month}\.?\s+\d{{1,2}},?\s+\d{{4}}$")
+    return trimmed(c).rlike(_DATE)
 
 
 def looks_url(c: Column) -> Column:
-    return trimmed(c).rlike(r"(?i)^(https?://|www\.|mailto:)")
+    return trimmed(c).rlike(rf"(?i)^(?:https?://|www\.)[^{SPACES}]+$|^mailto:")
 
 
 def placeholder(c: Column) -> Column:
@@ -76,22 +102,35 @@ def looks_boolean(c: Column) -> Column:
 def iso_date(c: Column) -> Column:
     """yyyy-mm-dd where the order of the parts is certain, else null; an ISO prefix is taken as it is, valid or not."""
     s = trimmed(c)
-    iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
-    day_first, month_first = r"^(\d{1,2})\.?\s+([A-Za-z]{3})[A-Za-z]*\.?,?\s+(\d{4})$", r"^([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2}),?\s+(\d{4})$"
-    slash = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
-    part = lambda p, i: F.regexp_extract(s, p, i)
-    month = lambda m: F.array_position(F.lit(MONTHS), F.lower(m)).cast("string")
-    join = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    a, b = part(slash, 1).try_cast("int"), part(slash, 2).try_cast("int")
-    named = lambda p, m: s.rlike(p) & (F.array_position(F.lit(MONTHS), F.lower(part(p, m))) > 0)
-    return (
-        F.when(s.rlike(iso), join(part(iso, 1), part(iso, 2), part(iso, 3)))
-        .when(named(day_first, 2), join(part(day_first, 3), month(part(day_first, 2)), part(day_first, 1)))
-        .when(named(month_first, 1), join(part(month_first, 3), month(part(month_first, 1)), part(month_first, 2)))
-        .when(s.rlike(slash) & (a > 12) & (b <= 12), join(part(slash, 3), part(slash, 2), part(slash, 1)))
-        .when(s.rlike(slash) & (b > 12) & (a <= 12), join(part(slash, 3), part(slash, 1), part(slash, 2)))
+    day_first, month_first = rf"^([0-9]{{1,2}}){_S}+([A-Za-z]{{3}})[A-Za-z]{{0,6}}\.?{_S}+([0-9]{{4}})$", rf"^([A-Za-z]{{3}})[A-Za-z]{{0,6}}\.?{_S}+([0-9]{{1,2}}),?{_S}+([0-9]{{4}})$"
+    # year, month (a name or a number), day
+    parts = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring(s, 1, 10)).otherwise(
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(s, day_first, "$3-$2-$1"), month_first, "$3-$1-$2"), r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})$", "$3-$2-$1!")
     )
 
+    def dated(p: Column) -> Column:
+        cut = F.split(F.rtrim(p, F.lit("!")), "-")
+        y, m, d = F.get(cut, F.lit(0)), F.get(cut, F.lit(1)), F.get(cut, F.lit(2))
+        named = F.array_position(F.lit(MONTHS), F.lower(m))
+        join = lambda m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+        a, b = d.try_cast("int"), m.try_cast("int")
+        return (
+            F.when(p.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), p).when(p.rlike("^[0-9]{4}-[A-Za-z]{3}-[0-9]{1,2}$") & (named > 0), join(named.cast("string"), d))
+            .when(p.endswith("!") & (a > 12) & (b <= 12), join(m, d)).when(p.endswith("!") & (b > 12) & (a <= 12), join(d, m))
+        )
+
+    return let(parts, dated)
+
+
+def date_key(c: Column) -> Column:
+    """What dates are sorted by: the ISO form; month first where both orders are possible, years of two digits from 1950 to 2049; else the text."""
+    s = trimmed(c)
+    both = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-](?:([0-9]{4})|([0-9]{2}))$"
+    part = lambda i: F.regexp_extract(s, both, i)
+    year = F.when(part(3) != "", part(3)).when(part(4) < "50", F.concat(F.lit("20"), part(4))).otherwise(F.concat(F.lit("19"), part(4)))
+    guess = F.when(s.rlike(both), F.concat_ws("-", year, F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0")))
+    return F.coalesce(iso_date(c), guess, F.lower(s))
+
 
 def clean_value(raw: Column, kind: str, normalise_dates: bool = False, percent_as_fraction: bool = False) -> Column:
     """A cell tidied by the type of its column; what does not parse stays, trimmed."""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions.scalar import let, number_text
+
 POS = "_pos"
 #: Buckets of rows that ordered operations work on side by side.
-BUCKETS = 256
+BUCKETS, STEP = 256, 16
 
 
 @dataclass(frozen=True)
@@ -42,18 +45,21 @@ class Grid:
 def cell_text(c: Column, kind: str) -> Column:
     """The canonical text of a typed value: null is ''; doubles without trailing zeros."""
     if kind in ("double", "float"):
-        return F.coalesce(F.regexp_replace(F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), F.lit(""))
+        return F.coalesce(number_text(c.cast("double")), F.lit(""))
     if kind.startswith(("array", "map", "struct")):
         return F.coalesce(F.to_json(c), F.lit(""))
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def from_dataframe(df: DataFrame, order_by: str | list[str], columns: list[str] | None = None, headers: list[str] | None = None) -> Grid:
-    """A grid of a typed DataFrame. Order comes from ``order_by``: one whole-number column is the position itself, else rows are sorted by range."""
+def from_dataframe(df: DataFrame, order_by: str | list[str], columns: list[str] | None = None, headers: list[str] | None = None, unique: bool = True) -> Grid:
+    """A grid of a typed DataFrame. Order comes from ``order_by``: one whole-number column is the position itself, else rows are sorted by range.
+
+    ``unique`` says that such a column has no nulls and repeats no number; where it may, pass False and rows are numbered anew.
+    """
     columns = columns or list(df.columns)
     kinds = dict(df.dtypes)
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    if len(keys) == 1 and kinds[keys[0]] in ("int", "bigint", "smallint", "tinyint"):
+    if len(keys) == 1 and kinds[keys[0]] in ("int", "bigint", "smallint", "tinyint") and unique:
         placed = df.withColumn(POS, F.col(keys[0]).cast("long"))
     else:
         placed = df.orderBy(*keys).withColumn(POS, F.monotonically_increasing_id())
@@ -75,8 +81,11 @@ def unique_names(names: list[str]) -> list[str]:
 def bucketed(df: DataFrame, name: str = "_bucket") -> DataFrame:
     """Adds a bucket that grows with the position: bounds from quantiles, so that ordered windows need no single partition."""
     bounds = sorted(set(df.approxQuantile(POS, [i / BUCKETS for i in range(1, BUCKETS)], 0.002))) if BUCKETS > 1 else []
-    # bounds: at most BUCKETS numbers
-    at = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(POS))) if bounds else F.lit(0)
+    if not bounds:
+        return df.withColumn(name, F.lit(0))
+    # at most BUCKETS numbers: first every STEPth is compared, then those between
+    below = lambda some: F.size(F.filter(some, lambda b: b <= F.col(POS)))
+    at = let(below(F.lit(bounds[STEP - 1 :: STEP])), lambda k: k * STEP + below(F.slice(F.lit(bounds), k * STEP + 1, F.lit(STEP)))) if len(bounds) >= STEP else below(F.lit(bounds))
     return df.withColumn(name, at.cast("int"))
 
 
@@ -91,3 +100,20 @@ def carried_last(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     out = rows.join(F.broadcast(ends), F.col("_bucket") == F.col("_b"))  # at most BUCKETS rows
     out = out.withColumns({name: F.coalesce(F.last(f"_v{i}", ignorenulls=True).over(within), F.col(f"_c{i}")) for i, name in enumerate(values)})
     return out.select(*df.columns, *[n for n in values if n not in df.columns])
+
+
+def numbered(df: DataFrame, name: str = "_n") -> tuple[DataFrame, int]:
+    """Adds the number of each row in the order of positions, from 0, and gives the number of rows: counts of buckets, then places within each.
+
+    The rows stay on the executors' disks, so that both passes see the same positions; a lost one is worked out again.
+    """
+    rows = bucketed(df.persist(StorageLevel.DISK_ONLY))
+    counts = sorted((r["_bucket"], r["count"]) for r in rows.groupBy("_bucket").count().collect())  # one row a bucket
+    starts, total = {}, 0
+    for bucket, n in counts:
+        starts[bucket], total = total, total + n
+    if not starts:
+        return df.withColumn(name, F.lit(0).cast("long")), 0
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_bucket"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(POS))
+    return rows.withColumn(name, (start + place - 1).cast("long")).drop("_bucket"), total

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -10,6 +10,8 @@ from ..grid import POS, Grid
 
 #: Cells of a column that vote on its type, and the count at which distinct values stop being told apart.
 VOTERS, DISTINCT_CAP = 200, 10_000
+#: Rows that are looked at first for a column's voters.
+HEAD = 2000
 
 
 def long_form(grid: Grid) -> DataFrame:
@@ -18,50 +20,65 @@ def long_form(grid: Grid) -> DataFrame:
     return grid.df.select(POS, F.inline(cells))
 
 
-def inferred(grid: Grid) -> DataFrame:
-    """(column_index, type): the first cells of each column vote; blanks and placeholders do not count.
+def votes(grid: Grid, columns: list[int]) -> dict[int, tuple[str, int]]:
+    """(type, voters) of the given columns by their first cells; one bounded row a column comes back.
 
     The first cells are found by a rank limit that each task applies before the shuffle, so a column's cells never meet.
     """
-    cells = long_form(grid).where(~S.blank(F.col("cell")))
+    cells = long_form(grid).where(F.col("column_index").isin(columns)).withColumn("cell", S.trimmed(F.col("cell"))).where("cell != ''")
     first = cells.withColumn("nth", F.row_number().over(Window.partitionBy("column_index").orderBy(POS))).where(F.col("nth") <= VOTERS)
     c = F.col("cell")
-    first = first.withColumn("data", ~S.placeholder(c))
+    first = first.withColumns({"data": ~S.placeholder(c), "number": S.parse_number(c).isNotNull()})
     yes = lambda test: F.count_if(F.col("data") & test)
-    number = S.parse_number(c).isNotNull()
-    votes = first.groupBy("column_index").agg(
-        F.count_if("data").alias("n"), yes(S.looks_boolean(c)).alias("boolean"), yes(S.looks_url(c)).alias("url"), yes(number).alias("number"), yes(S.looks_date(c)).alias("date"),
-        yes(c.rlike(f"[{S.CURRENCY}]")).alias("sign"), yes(c.contains("%")).alias("percent"),
+    number = F.col("number")
+    counts = first.groupBy("column_index").agg(
+        F.count("*").alias("voters"), F.count_if("data").alias("n"), yes(S.looks_boolean(c)).alias("boolean"), yes(S.looks_url(c)).alias("url"), yes(number).alias("number"), yes(S.looks_date(c)).alias("date"),
+        yes(number & c.rlike(f"[{S.CURRENCY}]")).alias("sign"), yes(number & c.contains("%")).alias("percent"),
     )
     most = lambda name: F.col(name) >= 0.8 * F.col("n")
     half = lambda name: F.col(name) >= 0.5 * F.col("n")
     kind = (
         F.when(F.col("n") == 0, "text").when(most("boolean"), "boolean").when(most("url"), "url").when(most("number") & half("sign"), "currency").when(most("number") & half("percent"), "percent")
-        .when(most("date") & ~half("number"), "date").when(most("number"), "number").otherwise("text")
+        .when(most("date") & ~most("number"), "date").when(most("number"), "number").otherwise("text")
     )
-    every = grid.df.sparkSession.range(len(grid.columns)).select(F.col("id").cast("int").alias("column_index"))
-    return every.join(votes.select("column_index", kind.alias("type")), "column_index", "left").select("column_index", F.coalesce("type", F.lit("empty")).alias("type"))
+    return {r["column_index"]: (r["type"], r["voters"]) for r in counts.select("column_index", "voters", kind.alias("type")).collect()}
 
 
 def infer_types(grid: Grid) -> tuple[str, ...]:
-    """The types on the driver: one bounded row a column."""
-    return tuple(r["type"] for r in sorted(inferred(grid).collect(), key=lambda r: r["column_index"]))
+    """The type of each column, by vote of its first VOTERS cells; blanks and placeholders do not count.
+
+    The first HEAD rows mostly tell; only columns with too few cells there are looked at as a whole.
+    """
+    head = grid.with_df(grid.df.orderBy(POS).limit(HEAD))
+    every = list(range(len(grid.columns)))
+    found = votes(head, every)
+    short = [i for i in every if found.get(i, ("", 0))[1] < VOTERS]
+    if short and len(grid.df.select(POS).limit(HEAD + 1).take(HEAD + 1)) > HEAD:
+        found |= votes(grid, short)
+    return tuple(found.get(i, ("empty", 0))[0] for i in every)
+
+
+def inferred(grid: Grid) -> DataFrame:
+    """(column_index, type) of each column."""
+    return grid.df.sparkSession.createDataFrame(list(enumerate(infer_types(grid))), "column_index int, type string")
 
 
 def column_stats(grid: Grid, types: tuple[str, ...] | None = None) -> DataFrame:
-    """column_index, header, type, filled, empty, unique (capped), and min, max, sum, mean of columns with numbers."""
+    """column_index, header, type, filled, empty, unique (capped), and min, max, sum, mean of columns with numbers.
+
+    Equal cells become one row with a count before any is parsed.
+    """
     types = types or infer_types(grid)
-    spark = grid.df.sparkSession
-    about = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(zip(grid.headers, types, strict=True))], "column_index int, header string, type string")
+    about = grid.df.sparkSession.createDataFrame([(i, h, t) for i, (h, t) in enumerate(zip(grid.headers, types, strict=True))], "column_index int, header string, type string")
     numeric = [i for i, t in enumerate(types) if t in ("number", "currency", "percent")]
-    cells = long_form(grid).withColumn("filled", ~S.blank(F.col("cell")))
-    value: Column = F.when(F.col("column_index").isin(numeric), S.parse_number(F.col("cell"))) if numeric else F.lit(None).cast("double")
-    cells = cells.select("column_index", "filled", S.trimmed(F.col("cell")).alias("t"), value.alias("v"))
-    # distinct first, so that a column's repeated values meet as one row
-    per_value = cells.groupBy("column_index", F.when(F.col("filled"), F.col("t")).alias("t")).agg(F.count_if("filled").alias("filled"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.col("v").cast("decimal(38,12)")).alias("s"), F.count("v").alias("nv"))
-    stats = per_value.groupBy("column_index").agg(
-        F.sum("filled").alias("filled"), (F.sum("n") - F.sum("filled")).alias("empty"), F.least(F.count("t"), F.lit(DISTINCT_CAP)).cast("long").alias("unique"),
-        F.min("lo").alias("min"), F.max("hi").alias("max"), F.round(F.sum("s").cast("double"), 6).alias("sum"), F.round((F.sum("s") / F.sum("nv")).cast("double"), 6).alias("mean"),
+    cells = long_form(grid).groupBy("column_index", S.trimmed(F.col("cell")).alias("t")).agg(F.count("*").alias("n"))
+    value = F.when(F.col("column_index").isin(numeric), S.parse_number(F.col("t"))) if numeric else F.lit(None).cast("double")
+    cells = cells.select("column_index", "n", F.nullif("t", F.lit("")).alias("t"), value.alias("v")).withColumn("d", F.col("v").try_cast("decimal(38,12)"))
+    many, exact = F.when(F.col("v").isNotNull(), F.col("n")), F.sum(F.col("d") * F.col("n").cast("decimal(20,0)")).cast("double")
+    # numbers too large for a decimal are added as doubles
+    total = F.when(F.count_if(F.col("d").isNull() & F.col("v").isNotNull()) > 0, F.sum(F.col("v") * F.col("n"))).otherwise(exact)
+    stats = cells.groupBy("column_index").agg(
+        F.sum(F.when(F.col("t").isNotNull(), F.col("n")).otherwise(0)).alias("filled"), F.sum(F.when(F.col("t").isNull(), F.col("n")).otherwise(0)).alias("empty"), F.least(F.count("t"), F.lit(DISTINCT_CAP)).cast("long").alias("unique"),
+        F.min("v").alias("min"), F.max("v").alias("max"), F.round(total, 6).alias("sum"), F.round(total / F.sum(many), 6).alias("mean"),
     )
-    none = {"filled": 0, "empty": 0, "unique": 0}
-    return about.join(stats, "column_index", "left").fillna(none)
+    return about.join(stats, "column_index", "left").fillna({"filled": 0, "empty": 0, "unique": 0})

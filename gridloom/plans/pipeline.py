@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..grid import POS, Grid, carried_last, unique_names
+from ..grid import POS, Grid, carried_last, numbered, unique_names
 from ..operators.combine import transposed
 from ..operators.profile import infer_types
 from .spec import GridSpec, header_case, unsafe_pattern
 
+#: Rows to skip that one task may find; more are counted by buckets.
+SKIPPED = 10_000
+
 
 def sort_columns(cell, direction: str, kind: str) -> list:
     """Sort keys of a column by its type; blank and unparseable cells come last either way, ties keep their order."""
     if kind in ("number", "currency", "percent"):
         key = S.parse_number(cell)
     elif kind == "date":
-        key = F.when(~S.blank(cell), F.coalesce(S.iso_date(cell), F.lower(S.trimmed(cell))))
+        key = F.when(~S.blank(cell), S.date_key(cell))
     else:
         key = F.when(~S.blank(cell), S.natural_key(cell))
     return [key.desc_nulls_last() if direction == "desc" else key.asc_nulls_last(), F.col(POS).asc()]
@@ -37,8 +39,11 @@ def apply_spec(grid: Grid, spec: GridSpec) -> Grid:
     df, columns, error = grid.df, grid.columns, None
     origin = dict(zip(columns, range(len(columns)), strict=True))
     if spec.skip_rows:
-        first = df.select(POS).orderBy(POS).offset(spec.skip_rows).limit(1)
-        df = df.join(F.broadcast(first.withColumnRenamed(POS, "_from")), F.col(POS) >= F.col("_from")).drop("_from")  # one row
+        if spec.skip_rows <= SKIPPED:
+            last = df.select(POS).orderBy(POS).limit(spec.skip_rows).agg(F.max(POS)).first()[0]  # one row
+            df = df if last is None else df.where(F.col(POS) > last)
+        else:
+            df = numbered(df)[0].where(F.col("_n") >= spec.skip_rows).drop("_n")
     needs_types = spec.clean_values
     types = infer_types(grid.with_df(df)) if needs_types else ("text",) * len(columns)
     headers = [spec.renames.get(i) or h for i, h in enumerate(grid.headers)]
@@ -51,7 +56,7 @@ def apply_spec(grid: Grid, spec: GridSpec) -> Grid:
     if spec.trim_cells:
         df = df.select(POS, *[S.trimmed(F.col(c)).alias(c) for c in columns])
     if spec.replace and spec.replace.find:
-        error = unsafe_pattern(spec.replace.find) if spec.replace.regex else None
+        error = unsafe_pattern(spec.replace.find, df.sparkSession) if spec.replace.regex else None
         if not error:
             r = spec.replace
             df = df.select(POS, *[replaced(F.col(c), r.find, r.replacement, r.regex, r.case_sensitive).alias(c) for c in columns])
@@ -90,5 +95,6 @@ def apply_spec(grid: Grid, spec: GridSpec) -> Grid:
 
 
 def ranked(grid: Grid, name: str = "rank"):
-    """Positions as ranks from 1; for small results only, as one task numbers them."""
-    return grid.df.withColumn(name, F.row_number().over(Window.orderBy(POS)))
+    """Adds the rank of each row, from 1, at any size."""
+    df, _ = numbered(grid.df, name)
+    return df.withColumn(name, F.col(name) + 1)

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import subprocess
+import sys
+import time
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException, IllegalArgumentException
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Sort:
@@ -59,8 +66,9 @@ def header_case(name: str, style: str) -> str:
     """A header in another case; words end at lower-upper borders, before digits behind two letters, and at other signs."""
     if style == "none":
         return name
-    words = re.sub(r"([A-Za-z]{2,})(\d)", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name))
-    words = [w for w in re.split(r"[^0-9A-Za-zÀ-ɏ]+", words) if w]
+    name = name.strip()
+    words = re.sub(r"([A-Za-z]{2,})([0-9])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name))
+    words = re.findall(r"[0-9A-Za-z]+", words)
     if not words:
         return name
     if style == "snake":
@@ -72,22 +80,45 @@ def header_case(name: str, style: str) -> str:
     return " ".join(w.upper() if style == "upper" else w.lower() for w in words)
 
 
-def unsafe_pattern(pattern: str) -> str | None:
-    """Why a pattern is refused: it does not compile, or a repeated group holds a repetition or alternatives that may take exponential time."""
+SLOW = "the pattern backtracks too much; repeated groups that hold repetitions are the usual cause"
+#: Texts on which patterns that backtrack without end show it, and the CPU seconds that a pattern may take for one.
+CANARIES, CANARY_SECONDS = ("a" * 24 + "!", "ab" * 12 + "!", " " * 24 + "x", "0" * 24 + "!"), 0.04
+#: Tries a pattern on each text; ends with 1 if one takes too long, with 2 if the pattern is not one of this engine's.
+_TRIAL = """
+import re, sys, time
+pattern, seconds, *texts = sys.argv[1:]
+try:
+    found = re.compile(pattern)
+except re.error:
+    sys.exit(2)
+for text in texts:
+    began = time.process_time()
+    found.search(text)
+    if time.process_time() - began > float(seconds):
+        sys.exit(1)
+"""
+
+
+def unsafe_pattern(pattern: str, spark: SparkSession) -> str | None:
+    """Why a pattern is refused: it does not compile, or it takes too long for a short text.
+
+    A process that can be stopped tries it first, then the engine that will run it.
+    """
     try:
-        re.compile(pattern)
-    except re.error as e:
+        compiled = spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
         return f"not a valid pattern: {e}"
-    depth, inner, body = [], False, re.sub(r"\\.|\[[^\]]*\]", "x", pattern)
-    for i, c in enumerate(body):
-        if c == "(":
-            depth.append(False)
-        elif c == ")" and depth:
-            inner = depth.pop()
-            if inner and re.match(r"[*+]|\{\d+,", body[i + 1 :]):
-                return "a repeated group holds another repetition"
-            if depth and inner:
-                depth[-1] = True
-        elif depth and (c in "*+|" or re.match(r"\{\d+,", body[i:])):
-            depth[-1] = True
+    try:
+        if subprocess.run([sys.executable, "-c", _TRIAL, pattern, str(CANARY_SECONDS), *CANARIES], timeout=5).returncode == 1:
+            return SLOW
+    except subprocess.TimeoutExpired:
+        return SLOW
+    for text in CANARIES:
+        began = time.perf_counter()
+        try:
+            compiled.matcher(text).find()
+        except (Py4JJavaError, CapturedException):  # it runs out of stack
+            return SLOW
+        if time.perf_counter() - began > 5 * CANARY_SECONDS:
+            return SLOW
     return None

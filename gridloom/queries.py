@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +17,7 @@ from .operators.combine import adjacent_dedupe, merge_tables, transposed
 from .operators.profile import column_stats, inferred
 from .operators.region import best_boxes, rebuild
 from .operators.slicing import slice_tables
-from .plans.pipeline import apply_spec
+from .plans.pipeline import apply_spec, ranked
 from .plans.spec import GridSpec, Replace, Sort, header_case
 from .sources.reader import json_records, table_rows
 from .sources.text import detect_format, sniff_delimiter
@@ -79,16 +82,29 @@ def typed_sort_topk(spark, d):
     return g.df.select(F.col("c0").cast("bigint").alias("l_orderkey"), F.col("c1").cast("int").alias("l_linenumber"), S.parse_number(F.col("c2")).alias("price"))
 
 
-@query("select o_orderkey, case when o_orderkey % 5 = 0 then '' else cast(o_custkey as varchar) end as cust from orders order by case when o_orderkey % 5 = 0 then null else o_custkey end desc nulls last, o_orderkey limit 200")
+def with_rank(grid: Grid, kinds: list[str]) -> DataFrame:
+    df = ranked(grid)
+    return df.select("rank", *[F.col(c).cast(k).alias(h) for c, h, k in zip(grid.columns, grid.headers, kinds, strict=True)])
+
+
+@query("select row_number() over (order by case when o_orderkey % 5 = 0 then null else o_custkey end desc nulls last, o_orderkey) as rank, o_orderkey, case when o_orderkey % 5 = 0 then '' else cast(o_custkey as varchar) end as cust from orders")
 def sort_blanks_last_desc(spark, d):
     x = read(spark, d, "orders").select("o_orderkey", F.expr("if(o_orderkey % 5 = 0, '', string(o_custkey))").alias("cust"))
-    return typed(apply_spec(from_dataframe(x, "o_orderkey"), GridSpec(sort=Sort(1, "desc"), limit=200)), ["bigint", "string"])
+    return with_rank(apply_spec(from_dataframe(x, "o_orderkey"), GridSpec(sort=Sort(1, "desc"))), ["bigint", "string"])
 
 
-@query("select c_custkey, 'Cust ' || (c_custkey % 997) as label from customer order by c_custkey % 997, c_custkey limit 100")
+@query("select row_number() over (order by c_custkey % 997, c_custkey) as rank, c_custkey, 'Cust ' || (c_custkey % 997) as label from customer")
 def natural_sort_rank(spark, d):
     x = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("Cust "), F.col("c_custkey") % 997).alias("label"))
-    return typed(apply_spec(from_dataframe(x, "c_custkey"), GridSpec(sort=Sort(1), limit=100)), ["bigint", "string"])
+    return with_rank(apply_spec(from_dataframe(x, "c_custkey"), GridSpec(sort=Sort(1))), ["bigint", "string"])
+
+
+@query("select row_number() over (order by o_orderdate::date desc, o_orderkey) as rank, o_orderkey from orders")
+def sort_dates(spark, d):
+    date = F.col("o_orderdate")
+    shown = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(date, "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format(date, "d MMMM yyyy")).otherwise(F.date_format(date, "M/d/yyyy"))
+    g = apply_spec(from_dataframe(read(spark, d, "orders").select("o_orderkey", shown.alias("day")), "o_orderkey"), GridSpec(sort=Sort(1, "desc")))
+    return with_rank(g, ["bigint", "string"]).select("rank", "o_orderkey")
 
 
 @query("select event_id, last_value(case when event_id % 4 = 0 then event_type end ignore nulls) over (order by event_id rows unbounded preceding) as kind from events")
@@ -118,7 +134,7 @@ def merge_pages(spark, d):
     return typed(merge_tables([*pages, from_dataframe(o.select("o_orderkey"), "o_orderkey")]), ["bigint", "string"])
 
 
-NUMBERS = [("1,234.56", 1234.56), ("1.234,56", 1234.56), ("(1,234)", -1234.0), ("1 234,5", 1234.5), ("$1,200", 1200.0), ("45%", 45.0), ("abc", None), ("", None), ("-5", -5.0), ("−7", -7.0), ("+3", 3.0), ("1.234", 1.234), ("1.234.567", 1234567.0), ("1,234", 1234.0), ("12,5", 12.5), ("€ 9,99", 9.99), ("R100", 100.0), ("1e5", None), ("1,2,3", None)]
+NUMBERS = [("1,234.56", 1234.56), ("1.234,56", 1234.56), ("(1,234)", -1234.0), ("1 234,5", 1234.5), ("$1,200", 1200.0), ("45%", 45.0), ("abc", None), ("", None), ("-5", -5.0), ("−7", -7.0), ("+3", 3.0), ("1.234", 1.234), ("1.234.567", 1234567.0), ("1,234", 1234.0), ("12,5", 12.5), ("€ 9,99", 9.99), ("R100", 100.0), ("1e5", None), ("1,2,3", None), ("(-5)", -5.0), ("-+5", -5.0), ("+-5", None), (",123", 123.0), ("12345,678", 12345.678), ("1234,567,890", 1234567890.0), ("1.2.3", None), ("( 5 )", -5.0), ("$ (5)", None), (".5", 0.5), (".", None), ("—3", -3.0), ("‐3", None)]
 
 
 @query("select * from (values " + ", ".join(f"('{a}', {'null' if b is None else b}::double)" for a, b in NUMBERS) + ") as t(raw, value)")
@@ -153,6 +169,32 @@ def iso_dates(spark, d):
     return o.select("o_orderkey", S.iso_date(shown).alias("iso")).where("iso is not null")
 
 
+SHOWN = [(1e30, "1e+30"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (1.2e-13, "1.2e-13"), (1e-7, "1e-7"), (1e-6, "0.000001"), (0.5, "0.5"), (1234.5, "1234.5"), (12345678.9, "12345678.9"), (5.0, "5"), (-0.0, "0"), (-2.5, "-2.5")]
+
+
+@query("select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in SHOWN) + ") as t(raw, text)")
+def number_texts(spark, d):
+    rows = spark.createDataFrame([(str(a), a) for a, _ in SHOWN], "raw string, n double")
+    return rows.select("raw", S.number_text(F.col("n")).alias("text"))
+
+
+DATES = [("2024-1-2", False, None), ("2024-01-02T10:00", True, "2024-01-02"), ("12. March 2024", False, None), ("12 March 2024", True, "2024-03-12"), ("Mar. 5, 2024", True, "2024-03-05"), ("12 March 24", True, None), ("13/02/2024", True, "2024-02-13"), ("02/03/2024", True, None), ("1/2/123", True, None), ("12 Foo 2024", True, None), ("soon", False, None)]
+
+
+@query("select * from (values " + ", ".join(f"('{a}', {str(b).lower()}, {'null' if c is None else repr(c)})" for a, b, c in DATES) + ") as t(raw, is_date, iso)")
+def date_forms(spark, d):
+    rows = spark.createDataFrame([(a,) for a, _, _ in DATES], "raw string")
+    return rows.select("raw", S.looks_date(F.col("raw")).alias("is_date"), S.iso_date(F.col("raw")).alias("iso"))
+
+
+URLS = [("https://x.org/a", True), ("https://x y", False), ("www.", False), ("www.a", True), ("mailto:a b", True), ("HTTP://A", True), ("ftp://a", False)]
+
+
+@query("select * from (values " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in URLS) + ") as t(raw, is_url)")
+def url_forms(spark, d):
+    return spark.createDataFrame([(a,) for a, _ in URLS], "raw string").select("raw", S.looks_url(F.col("raw")).alias("is_url"))
+
+
 @query("select * from (values (0,'number'),(1,'number'),(2,'text'),(3,'number'),(4,'date'),(5,'text')) as t(column_index, type)")
 def infer_types(spark, d):
     return inferred(from_dataframe(read(spark, d, "orders"), "o_orderkey"))
@@ -185,9 +227,9 @@ def trim_cells(spark, d):
     return typed(apply_spec(from_dataframe(x, "p_partkey"), GridSpec(trim_cells=True)), ["bigint", "string"])
 
 
-@query("select * from (values ('totalSales2024','total_sales_2024','totalSales2024','Total Sales 2024'), ('First Name','first_name','firstName','First Name'), ('unit-price','unit_price','unitPrice','Unit Price')) as t(raw, snake, camel, title)")
+@query("select * from (values ('totalSales2024','total_sales_2024','totalSales2024','Total Sales 2024'), ('First Name','first_name','firstName','First Name'), ('unit-price','unit_price','unitPrice','Unit Price'), ('Größe 2','gr_e_2','grE2','Gr E 2'), ('Q1','q1','q1','Q1')) as t(raw, snake, camel, title)")
 def header_cases(spark, d):
-    names = ["totalSales2024", "First Name", "unit-price"]
+    names = ["totalSales2024", "First Name", "unit-price", "Größe 2", "Q1"]
     return spark.createDataFrame([(n, *[header_case(n, s) for s in ("snake", "camel", "title")]) for n in names], "raw string, snake string, camel string, title string")
 
 
@@ -224,23 +266,79 @@ def round_trip_arrays(spark, d):
     return rows.where("not header").select(*[F.get("cells", F.lit(i)).cast(k).alias(h) for i, (h, k) in enumerate(zip(g.headers, ["int", "string", "int"], strict=True))])
 
 
-def exported(fmt: str, sql: str, types=("number", "text", "number")):
-    def f(spark, d):
-        g = from_dataframe(read(spark, d, "nation"), "n_nationkey")
-        return sinks.lines_of(g, fmt, types)[1].select("line")
+# cells with everything that a format must take care of, by expressions that both dialects know
+HAZARDS = {
+    "k": "cast(p_partkey as string)",
+    "name": "p_name || case p_partkey % 6 when 0 then '' when 1 then ' \"q\", x' when 2 then chr(10) || ' b|c' when 3 then ' ' || chr(92) || ' {5%} & ~^_$#' when 4 then ' <it' || chr(39) || 's>: 1' else ' é' end",
+    "r n": "case when p_partkey % 7 = 3 then '' when p_partkey % 7 = 5 then '$' || p_size || '.50' else cast(p_size as string) end",
+    "ok": "case p_partkey % 4 when 0 then 'yes' when 1 then 'NO' when 2 then 'maybe' else '' end",
+}
+HAZARD_TYPES = ("number", "text", "currency", "boolean")
 
-    f.__name__ = "export_" + fmt.replace("-", "_")
-    QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+
+def hazards(spark, d) -> Grid:
+    x = read(spark, d, "part")
+    return from_dataframe(x.select("p_partkey", *[F.expr(e).alias(n) for n, e in HAZARDS.items()]), "p_partkey", list(HAZARDS))
 
 
-exported("csv", "select n_nationkey || ',' || n_name || ',' || n_regionkey as line from nation")
-exported("jsonl", """select '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' as line from nation""")
-exported("json-arrays", """select '  ["' || n_nationkey || '", "' || n_name || '", "' || n_regionkey || '"]' as line from nation""")
-exported("xml", "select '  <row>' || chr(10) || '    <n_nationkey>' || n_nationkey || '</n_nationkey>' || chr(10) || '    <n_name>' || n_name || '</n_name>' || chr(10) || '    <n_regionkey>' || n_regionkey || '</n_regionkey>' || chr(10) || '  </row>' as line from nation")
-exported("html", "select '<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td><td>' || n_regionkey || '</td></tr>' as line from nation")
-exported("sql", """select 'INSERT INTO "data" ("n_nationkey", "n_name", "n_regionkey") VALUES (' || n_nationkey || ', ''' || n_name || ''', ' || n_regionkey || ');' as line from nation""")
-exported("yaml", "select '- n_nationkey: ' || n_nationkey || chr(10) || '  n_name: ' || n_name || chr(10) || '  n_regionkey: ' || n_regionkey as line from nation")
-exported("latex", r"select n_nationkey || ' & ' || replace(n_name, '_', '\_') || ' & ' || n_regionkey || ' \\' as line from nation")
+# r is the written number, null where empty; ok is a boolean's JSON form
+_CELLS = "with t as (select p_partkey as pos, " + ", ".join(f'{e} as "{n.replace(" ", "_")}"' for n, e in HAZARDS.items()) + """ from part), typed as (select *, case when r_n = '' then null when r_n like '$%' then regexp_replace(substr(r_n, 2), '\\.?0+$', '') else r_n end as r, case ok when 'yes' then 'true' when 'NO' then 'false' when 'maybe' then null end as b from t) """
+
+
+def exported(fmt: str, line: str, head: str = "", foot: str = "", extra: str = "typed", **options):
+    """A query that gives all lines of a format, head and foot at -1 and -2, and its SQL."""
+
+    def f(spark, d):
+        out = sinks.lines_of(hazards(spark, d), fmt, HAZARD_TYPES, **options)
+        ends = spark.createDataFrame([(-1, out.head), (-2, out.foot)], "pos long, line string")
+        return out.rows.select(F.col(POS).alias("pos"), "line").unionAll(ends)
+
+    f.__name__ = "export_" + fmt.replace("-", "_")
+    quote = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'" if not x.startswith("select ") else f"({x})"
+    QUERIES[f.__name__] = f
+    ORACLES[f.__name__] = _CELLS + f"select pos, {line} as line from {extra} union all select -1, {quote(head)} union all select -2, {quote(foot)}"
+
+
+def _sql_delimited(d: str) -> str:
+    field = lambda c: f"""case when regexp_matches({c}, '[{d}"\n]') then '"' || replace({c}, '"', '""') || '"' else {c} end"""
+    sep = f" || '{d}' || "
+    return sep.join(["k", field("name"), field("r_n"), "ok"])
+
+
+exported("csv", _sql_delimited(","), "k,name,r n,ok\r\n")
+exported("tsv", _sql_delimited("\t"), "k\tname\tr n\tok\r\n")
+_JSON = {"k": "k", "name": "to_json(name)::varchar", "r n": "coalesce(r, 'null')", "ok": "case when ok = 'maybe' then '\"maybe\"' else coalesce(b, 'null') end"}
+exported("jsonl", "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in _JSON.items()) + " || '}'")
+exported("json", "'  {' || chr(10) || " + " || ',' || chr(10) || ".join(f"'    \"{k}\": ' || {v}" for k, v in _JSON.items()) + " || chr(10) || '  }'", "[\n", "]")
+exported("json-arrays", "'  [' || chr(10) || " + " || ',' || chr(10) || ".join(f"'    ' || to_json({c})::varchar" for c in ("k", "name", "r_n", "ok")) + " || chr(10) || '  ]'", '[\n  [\n    "k",\n    "name",\n    "r n",\n    "ok"\n  ],\n', "]")
+_XML = {"k": "k", "name": "replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')", "r_n": "coalesce(r, '')", "ok": "coalesce(b, ok)"}
+exported("xml", "'  <row>' || chr(10) || " + " || chr(10) || ".join(f"'    <{k}>' || {v} || '</{k}>'" for k, v in _XML.items()) + " || chr(10) || '  </row>'", '<?xml version="1.0" encoding="UTF-8"?>\n<table>\n', "</table>\n")
+exported("html", "'<tr><td>' || k || '</td><td>' || replace(" + _XML["name"] + ", '\"', '&quot;') || '</td><td>' || r_n || '</td><td>' || ok || '</td></tr>'", "<table>\n<thead>\n<tr><th>k</th><th>name</th><th>r n</th><th>ok</th></tr>\n</thead>\n<tbody>\n", "</tbody>\n</table>", full=False)
+_INTO = "'INSERT INTO \"data\" (\"k\", \"name\", \"r_n\", \"ok\") VALUES' || chr(10)"
+_VALUES = "'  (' || k || ', ''' || replace(name, '''', '''''') || ''', ' || coalesce(r, 'NULL') || ', ' || case when ok = 'maybe' then '''maybe''' else coalesce(upper(b), 'NULL') end || ')'"
+exported("sql", f"case when n % 500 = 0 then {_INTO} else '' end || {_VALUES} || case when n % 500 = 499 or n = total - 1 then ';' || chr(10) else ',' end", 'CREATE TABLE "data" (\n  "k" NUMERIC,\n  "name" TEXT,\n  "r_n" NUMERIC,\n  "ok" BOOLEAN\n);\n\n', extra="(select *, row_number() over (order by pos) - 1 as n, count(*) over () as total from typed)")
+_YAML = "case when contains(name, chr(10)) then '|-' || chr(10) || '    ' || replace(name, chr(10), chr(10) || '    ') when regexp_matches(name, '[:#\\-?{}\\[\\],&*!|>''\"%@`]') then '''' || replace(name, '''', '''''') || '''' else name end"
+exported("yaml", f"'- k: ' || k || chr(10) || '  name: ' || {_YAML} || chr(10) || '  ''r n'': ' || coalesce(r, 'null') || chr(10) || '  ok: ' || case when ok = 'maybe' then ok else coalesce(b, 'null') end")
+_TEX = "replace({0}, '\\', '\\textbackslash{{}}')"
+for _a in "&%$#_{}":
+    _TEX = f"replace({_TEX}, '{_a * 2 if _a in '{}' else _a}', '\\{_a * 2 if _a in '{}' else _a}')"
+_TEX = f"replace(replace(replace({_TEX}, '~', '\\textasciitilde{{{{}}}}'), '^', '\\textasciicircum{{{{}}}}'), chr(10), ' ')".replace("{{{{}}}}", "{{}}")
+exported("latex", " || ' & ' || ".join(_TEX.format(c) for c in ("k", "name", "r_n", "ok")) + r" || ' \\'", "\\begin{tabular}{rlrl}\n\\hline\n\\textbf{k} & \\textbf{name} & \\textbf{r n} & \\textbf{ok} \\\\\n\\hline\n", "\\hline\n\\end{tabular}")
+_WIDE = "(select *, greatest({least}, length('k'), max(length(k)) over ())::int as wk, least(60, greatest({least}, length('name'), max(length(shown)) over ()))::int as wn, greatest({least}, 3, max(length(r_n)) over ())::int as wr, greatest({least}, 2, max(length(ok)) over ())::int as wo from (select *, {shown} as shown from typed))"
+_PAD = {"k": "lpad({0}, wk, ' ')", "name": "shown || repeat(' ', wn - length(shown))", "r_n": "lpad({0}, wr, ' ')", "ok": "rpad({0}, wo, ' ')"}
+_NAMES = ["lpad('k', wk, ' ')", "rpad('name', wn, ' ')", "lpad('r n', wr, ' ')", "rpad('ok', wo, ' ')"]
+_MD, _TXT = _WIDE.format(least=3, shown="replace(replace(name, '|', '\\|'), chr(10), '<br>')"), _WIDE.format(least=0, shown="replace(name, chr(10), ' ')")
+_RULE = {"md": " || ' | ' || ".join(["repeat('-', wk - 1) || ':'", "repeat('-', wn)", "repeat('-', wr - 1) || ':'", "repeat('-', wo)"]), "txt": " || '  ' || ".join(f"repeat('-', {w})" for w in ("wk", "wn", "wr", "wo"))}
+exported("markdown", "'| ' || " + " || ' | ' || ".join(v.format(k) for k, v in _PAD.items()) + " || ' |'", f"select '| ' || {' || \' | \' || '.join(_NAMES)} || ' |' || chr(10) || '| ' || {_RULE['md']} || ' |' || chr(10) from {_MD} limit 1", extra=_MD)
+exported("text", "rtrim(" + " || '  ' || ".join(v.format(k) for k, v in _PAD.items()) + ")", f"select rtrim({' || \'  \' || '.join(_NAMES)}) || chr(10) || {_RULE['txt']} || chr(10) from {_TXT} limit 1", extra=_TXT)
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def roundtrip_xlsx(spark, d):
+    book = sinks.xlsx(from_dataframe(read(spark, d, "nation"), "n_nationkey"), ("number", "text", "number"))
+    sheet = zipfile.ZipFile(io.BytesIO(book)).read("xl/worksheets/sheet1.xml").decode()
+    rows = [re.findall(r"<v>([^<]*)</v>|<t xml:space=\"preserve\">([^<]*)</t>", r) for r in re.findall(r"<row .*?</row>", sheet)[1:]]
+    return spark.createDataFrame([(int(k[0]), name[1], int(r[0])) for k, name, r in rows], "n_nationkey int, n_name string, n_regionkey int")
 
 
 @query("select * from (values (0, 'csv', ','), (1, 'tsv', chr(9)), (2, 'csv', ';'), (3, 'json', ','), (4, 'jsonl', ','), (5, 'markdown', '|'), (6, 'html', ','), (7, 'csv', ',')) as t(id, format, delimiter)")

@@ -1,12 +1,16 @@
 """Parsing, clean-up, sinks and captures on literal cases."""
 
 import io
+import json
 import zipfile
+from datetime import date
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom import sinks
-from gridloom.grid import POS, from_dataframe, unique_names
+from gridloom.grid import POS, from_dataframe, numbered, unique_names
 from gridloom.plans.pipeline import apply_spec
 from gridloom.plans.spec import GridSpec, Replace, Sort, unsafe_pattern
 from gridloom.sources import reader
@@ -94,7 +98,8 @@ def test_natural_order_and_blanks_last(spark):
 
 
 def test_patterns_are_gated(spark):
-    assert unsafe_pattern("(a+)+$") and unsafe_pattern("[") and not unsafe_pattern(r"(\d+)-(x)")
+    assert unsafe_pattern("(a+)+$", spark) and unsafe_pattern("[", spark) and unsafe_pattern("(a*)*(a*)*(a*)*b", spark)
+    assert not any(unsafe_pattern(p, spark) for p in (r"(\d+)-(x)", "(foo|bar)+", r"\p{L}+"))
     g = read_text(spark, "a,b\n1.5,125", "csv", True)
     assert cells(apply_spec(g, GridSpec(replace=Replace("1.5", "z")))) == [["z", "125"]]
     out = apply_spec(g, GridSpec(replace=Replace("(a+)+$", "z", regex=True)))
@@ -107,7 +112,49 @@ def test_guarded_export_and_workbook(spark):
     assert '"n": 2' in sinks.to_string(g, "json", ("text", "number"))
     assert "\\textbackslash\\{\\}" in sinks.to_string(read_text(spark, "a,b\n\\,1", "csv", True), "latex")
     book = zipfile.ZipFile(io.BytesIO(sinks.xlsx(g, ("text", "number"))))
-    assert "<v>-3.0</v>" in book.read("xl/worksheets/sheet1.xml").decode()
+    assert '<c r="B3" t="n"><v>-3</v></c>' in book.read("xl/worksheets/sheet1.xml").decode()
+    assert sinks.suggested_filename("  Größe: My (Table)!", "markdown", date(2024, 1, 2)) == "gre-my-table-2024-01-02.md"
+    assert set(sinks.clipboard(g, "csv")) == {"text/plain", "text/html"} and sinks.media_type("jsonl") == "application/x-ndjson"
+    with pytest.raises(ValueError):
+        sinks.clipboard(g, "xlsx")
+
+
+def written(grid, path, fmt, **options):
+    """The parts of a written folder, one behind the other."""
+    sinks.write_grid(grid, path, fmt, ("number", "text"), **options)
+    return b"".join(p.read_bytes() for p in sorted(Path(path).glob("part-*"))).decode()
+
+
+@pytest.mark.parametrize("fmt", ["csv", "tsv", "json", "json-arrays", "jsonl", "xml", "markdown", "html", "sql", "yaml", "latex", "text", "no such format"])
+def test_written_parts_are_the_text(spark, tmp_path, fmt):
+    g = from_dataframe(spark.range(1203).selectExpr("id", "id as k", "concat('a\n|', id) as t").repartition(5), "id", ["k", "t"])
+    text = sinks.to_string(g, fmt, ("number", "text"))
+    assert written(g, str(tmp_path / "a"), fmt).rstrip("\r\n") == text.rstrip("\n")
+    if fmt.startswith("json"):
+        assert len([json.loads(x) for x in text.splitlines()] if fmt == "jsonl" else json.loads(text)) == 1203 + (fmt == "json-arrays")
+    if fmt == "sql":
+        assert text.count("INSERT") == 3 and text.count(";") == 4
+    none = g.with_df(g.df.limit(0))
+    assert written(none, str(tmp_path / "b"), fmt).rstrip("\r\n") == sinks.to_string(none, fmt, ("number", "text")).rstrip("\r\n")
+    if fmt == "csv":
+        assert written(g, str(tmp_path / "c"), fmt, bom=True).startswith("\ufeffk,t\r\n") and written(g, str(tmp_path / "d"), fmt, include_headers=False).startswith("0,")
+
+
+def test_large_numbers_do_not_crash(spark):
+    g = from_dataframe(spark.createDataFrame([(1, 1e30), (2, 1.2e-13), (3, float("nan"))], "k int, x double"), "k")
+    assert [r[1] for r in cells(g)] == ["1e+30", "1.2e-13", "NaN"]
+    assert [r[1] for r in cells(apply_spec(g, GridSpec(clean_values=True)))][:2] == ["1e+30", "1.2e-13"]
+
+
+def test_rows_are_numbered_in_order(spark):
+    df = spark.range(5000).select((F.col("id") * F.col("id")).alias(POS)).repartition(7)
+    got, total = numbered(df)
+    assert total == 5000 and {(r[POS], r["_n"]) for r in got.collect()} == {(i * i, i) for i in range(5000)}
+    g = from_dataframe(spark.range(30).selectExpr("id", "id as k"), "id", ["k"])
+    assert cells(apply_spec(g, GridSpec(skip_rows=12, limit=2))) == [["12"], ["13"]]
+
+
+def test_unique_names():
     assert unique_names(["a", "", "a"]) == ["a", "Column 2", "a (2)"]
 
 
