@@ -37,6 +37,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.held: set[str] = set()
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -44,12 +45,22 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.held.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Removes all that this has kept but ``tables``: what an operator that returns them leaves."""
+        for path in self.held - {t._scratch_path for t in tables}:
+            self._delete(path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.held.discard(name)
 
 
 def partitions(spark: SparkSession) -> int:

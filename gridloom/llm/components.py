@@ -1,8 +1,4 @@
-"""Connected components of a table of links.
-
-Up to TOGETHER links go to one task, which fits in memory whatever their shape; more take alternating large-star and
-small-star steps over the whole cluster. Both give the same labels.
-"""
+"""Connected components of a table of links, by alternating large-star and small-star steps over the whole cluster."""
 
 from __future__ import annotations
 
@@ -13,17 +9,24 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Links that a task contracts at a time.
+CONTRACTED = 1 << 18
+
 
-#: 2**20 links are 16 MB.
-TOGETHER = 1 << 20
+def contracted(batches):
+    """Fewer links (u, v) with the same components: in each piece of a partition, every node is linked with the smallest that it reaches there."""
+    held: list = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1))
+        if sum(map(len, held)) >= CONTRACTED:
+            yield stars(np.concatenate(held))
+            held = []
+    if held:
+        yield stars(np.concatenate(held))
 
 
-def labelled(batches):
-    """The smallest node reachable of every node, for all links of a partition."""
-    links = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches if b.num_rows]
-    if not links:
-        return
-    links = np.concatenate(links)
+def stars(links: np.ndarray) -> pa.RecordBatch:
     nodes, at = np.unique(links, return_inverse=True)
     at, labels = at.reshape(links.shape), np.arange(len(nodes))
     a, b = at[:, 0], at[:, 1]
@@ -36,39 +39,38 @@ def labelled(batches):
         np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
         while (labels[labels] != labels).any():
             labels = labels[labels]
-    for i in range(0, len(nodes), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(nodes[labels[i : i + (1 << 16)]])], ["node", "label"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[labels])], ["u", "v"])
+
 
+def settled(edges: DataFrame) -> bool:
+    """Whether the links form stars: a node that has a smaller one has no other link."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").isEmpty()
 
-def components(links: DataFrame, scratch: Scratch, together: int = TOGETHER) -> DataFrame:
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Labels (node, label) of all nodes that ``links`` (a, b: long) touches; label is the smallest node reachable.
 
     Each distributed step points nodes at the smallest neighbour that they know, first the larger neighbours, then the
-    smaller ones, until the links form stars; the steps needed grow with the logarithm of a component's width. Links from a node to
-    itself only keep it in the result, repeated links and links with nulls change nothing, an empty table gives an empty one.
+    smaller ones, until the links form stars; the steps needed grow with the logarithm of a component's width. Before the first
+    step and after each, every task contracts the links that it has at hand, piece by piece. Links from a node to itself only
+    keep it in the result, repeated links and links with nulls change nothing, an empty table gives an empty one.
     """
-    table = scratch.keep(links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if table.count() <= together:
-        out = scratch.keep(table.coalesce(1).mapInArrow(labelled, "node long, label long"))
-        scratch.drop(table)
-        return out
-    alone = table.where("u = v").select(F.col("u").alias("node"))
-    edges, state = table.where("u > v"), None
-    while True:
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    schema = "u long, v long"
+    links = links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    table = scratch.keep(links.mapInArrow(contracted, schema).distinct())
+    edges = table.where("u > v")
+    while not settled(edges):
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = scratch.keep(both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        fewer = scratch.keep(large.join(low, F.col("u") == F.col("k")).select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u > v").distinct())
-        now = fewer.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        scratch.drop(large, *([edges] if state else []))
+        fewer = large.join(low, F.col("u") == F.col("k")).select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+        fewer = scratch.keep(fewer.mapInArrow(contracted, schema).where("u > v").distinct())
+        scratch.drop(large, *([edges] if hasattr(edges, "_scratch_path") else []))
         edges = fewer
-        if now == state:
-            break
-        state = now
-    found = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label"))
-    out = scratch.keep(found.unionAll(roots).unionAll(alone.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label")))
-    scratch.drop(table, edges)
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")), F.struct(F.col("v").alias("node"), F.col("v").alias("label")))))
+    out = scratch.keep(ends.unionAll(table.toDF("node", "label").where("node = label")).groupBy("node").agg(F.min("label").alias("label")))
+    scratch.drop(table, *([edges] if hasattr(edges, "_scratch_path") else []))
     return out

@@ -71,6 +71,8 @@ def test_shingle_join_matches_brute_force(spark, scratch, size, percent):
         w = WORD.findall((t or "").lower())
         sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
     both = lambda a, b: len(sets[a] & sets[b])
+    narrow = {x.doc_id: (x.n_shingles, x.component_id) for x in link_documents(df, scratch, size, percent, code_bits=8).collect()}
+    assert narrow == got
     top = grouped(sets, lambda a, b: bool(sets[a]) and 100 * both(a, b) >= percent * (len(sets[a]) + len(sets[b]) - both(a, b)))
     assert got == {i: (len(sets[i]), top[i]) for i in sets}
 
@@ -83,12 +85,13 @@ def test_shingle_join_edges(spark, scratch):
     assert {r.doc_id for r in near_duplicates_removed(docs(spark, EDGES[:5]), scratch).collect()} == {1, 2, 3, 4}
 
 
-def test_components_both_ways(spark, scratch):
+def test_components(spark, scratch):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300), (None, 1)]
     df = spark.createDataFrame(links, "a long, b long")
     want = {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 300}
-    for together in (1 << 20, 0):
-        assert {r.node: r.label for r in components(df, scratch, together).collect()} == want
+    for n in (1, 30):
+        assert {r.node: r.label for r in components(df.repartition(n), scratch).collect()} == want
+    assert components(df.limit(0), scratch).count() == 0
 
 
 def test_mix_meets_targets(spark, scratch):
