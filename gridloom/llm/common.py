@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one if all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
@@ -94,6 +97,7 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str |
                 out = f(part)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()  # workers are used again, by other stages too
 
     return run
 

@@ -1,7 +1,7 @@
 """Quality rules with verdicts on hosts, in DataFrame functions alone.
 
 Document rules give failures; failures are counted by host; an empirical beta prior, fitted to the hosts' failure rates by
-moments, shrinks them; hosts whose shrunk rate is high lose the documents that are themselves doubtful.
+moments, shrinks them; hosts whose shrunk rate stands out of the prior lose the documents that are themselves doubtful.
 """
 
 from __future__ import annotations
@@ -57,13 +57,13 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return with_repeat_words(out)
 
 
-def verdicts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, host_rate: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, host_rate (shrunk), doubtful and kept of every row.
+def verdicts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, spreads: float = 2.0) -> DataFrame:
+    """doc_id, the counts, base_failed, host_rate (shrunk), doubtful, host_failed and kept of every row.
 
     base_failed: fewer than ``min_words`` words or more than ``max_repeat_percent`` of them in repeated windows. A host fails
-    when its shrunk rate of such documents is above ``host_rate``; of a failed host, documents go that are doubtful as well:
+    when its shrunk rate of such documents lies ``spreads`` standard deviations of the prior or more above the prior's mean; of a failed host, documents go that are doubtful as well:
     many symbols for their words, many repeated lines, or words of odd length. A null host is a host of its own; null and
-    empty texts have no words and fail. Repeated rows count each; other columns are not looked at. An empty table gives no rows.
+    empty texts have no words and fail. Texts count whole, however long. Repeated rows count each; a tie with the bound fails; other columns are not looked at. An empty table gives no rows.
     """
     found = scratch.keep(measured(docs, id_col, text_col, host_col).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))))
     hosts = found.groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
@@ -72,7 +72,11 @@ def verdicts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     moments = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), F.var_pop("rate").alias("v"), F.avg(1 / F.col("n")).alias("inv"))
     spread = F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("inv"), F.col("m") * (1 - F.col("m")) * 1e-3)
     prior = moments.select("m", F.when((F.col("m") > 0) & (F.col("m") < 1), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / spread - 1)).otherwise(F.lit(1.0)).alias("weight"))
-    judged = hosts.join(F.broadcast(prior)).select(F.col("host").alias("h"), ((F.col("failed") + F.col("weight") * F.col("m")) / (F.col("n") + F.col("weight"))).alias("host_rate"))  # prior: one row
+    # the prior is beta(weight * m, weight * (1 - m)); where all hosts are alike none stands out
+    prior = prior.withColumn("bound", F.when((F.col("m") > 0) & (F.col("m") < 1), F.col("m") + spreads * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("weight") + 1))))
+    judged = hosts.join(F.broadcast(prior)).select(F.col("host").alias("h"), ((F.col("failed") + F.col("weight") * F.col("m")) / (F.col("n") + F.col("weight"))).alias("host_rate"), "bound")  # prior: one row
     doubtful = (10 * F.col("n_symbols") > F.col("n_words")) | (5 * F.col("n_dup_lines") > F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))
     out = found.join(judged, F.col("host").eqNullSafe(F.col("h")), "left").drop("h", "host")
-    return out.withColumn("doubtful", doubtful).withColumn("kept", ~F.col("base_failed") & ~((F.col("host_rate") > host_rate) & F.col("doubtful"))).withColumnRenamed("doc_id", id_col)
+    host_failed = F.coalesce(F.col("host_rate") >= F.col("bound"), F.lit(False))
+    out = out.withColumn("doubtful", doubtful).withColumn("host_failed", host_failed).drop("bound")
+    return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_failed") & F.col("doubtful"))).withColumnRenamed("doc_id", id_col)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import per_batch, remainder
 from .learning import sampled
@@ -124,9 +125,9 @@ def has_letters(texts: Texts, column: pa.Array) -> np.ndarray:
     return out
 
 
-def scorer(shared):
+def scorer(shared, text: str):
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, column = shared.value, batch.column(1)
+        model, column = shared.value, batch.column(text)
         texts = Texts(column)
         if model is None:
             best, score, known = np.zeros(texts.n, int), np.zeros(texts.n), np.zeros(texts.n, bool)
@@ -135,9 +136,10 @@ def scorer(shared):
             p = softmax(model.logits(texts) / model.temperature)
             best, score, known, names = p.argmax(1), p.max(1), has_letters(texts, column), model.languages
         score = np.where(known, score, 0.0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[k] if ok else "und" for k, ok in zip(best, known, strict=True)], pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+        told = pa.array([names[k] if ok else "und" for k, ok in zip(best, known, strict=True)], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns, told, pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    return per_batch(f, "text")
+    return per_batch(f, text)
 
 
 def fit(docs: DataFrame, folds: int | None = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = SAMPLE) -> Model | None:
@@ -158,5 +160,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     Whole texts count. Repeated rows and null ids are returned as they come; other columns are not looked at.
     """
+    return with_language(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), model, text_col).drop(text_col)
+
+
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with lang_pred and score as ``predict`` tells them, without a shuffle; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scorer(shared), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    kept = docs.drop("lang_pred", "score")
+    told = StructType([*kept.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return kept.mapInArrow(scorer(shared, text_col), told)

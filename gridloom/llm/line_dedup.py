@@ -2,7 +2,7 @@
 
 A line's tokens are masked (a token with a digit is a variable field) and it is parsed into a leaf by its token count, its
 leading and its closing tokens. In a leaf, the masked line that most documents have is a seed; lines that agree with it at
-most sampled positions are variants of one template, whose other positions are variable fields. Of the lines unlike it, the
+most positions are variants of one template, whose other positions are variable fields. Of the lines unlike it, the
 one that most documents have is the next seed, and so on until those left are in too few documents. A masked line recurs if two
 documents have it, a template with variants if ``variants`` documents have one of them. The first occurrence of what recurs
 stays, in the document with the smallest id; all others are dropped. Lines with too few constant tokens to be masked (numbers,
@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, per_batch
 from .textnp import Texts, U, mix
 
-#: Leading and closing tokens that lead to a leaf, and positions of a line that are sampled for its likeness to the seed.
-DEPTH, SAMPLED = 3, 32
+#: Leading and closing tokens that lead to a leaf.
+DEPTH = 3
 #: Lines of a leaf that may become seeds in one round.
 CANDIDATES = 16
 _MASK = U(0x5851F42D4C957F2D)
 
 
 def lines(texts: Texts, min_tokens: int, min_chars: int):
-    """(document, line, masked line, leaf, sampled tokens, masked or not) of lines with enough constant tokens, and of others of
+    """(document, line, masked line, 32 more bits of its hash, leaf, codes of its tokens, masked or not) of lines with enough constant tokens, and of others of
     min_chars characters or more, which are hashed as they are and have no leaf."""
     starts, ends = texts.words()
     h = texts.hashes(starts, ends)
@@ -41,34 +41,38 @@ def lines(texts: Texts, min_tokens: int, min_chars: int):
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]) if len(h) else np.zeros(0, np.int64)
     if not len(first):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros((0, SAMPLED), np.uint8), none.astype(bool)
+        return none, none, none, none.astype(np.int32), none, pa.array([], pa.binary()), none.astype(bool)
     n = np.diff(np.r_[first, len(h)])
     at = np.arange(len(h)) - np.repeat(first, n)
-    whole, verbatim = (mix(np.add.reduceat(mix(x + at.astype(U) * U(0x9E3779B97F4A7C15)), first) + n.astype(U)) for x in (h, exact))
+    place = at.astype(U) * U(0x9E3779B97F4A7C15)
+    whole, verbatim, more, more_verbatim = (mix(np.add.reduceat(mix(x + place), first) + n.astype(U)) for x in (h, exact, mix(h), mix(exact)))
     constant = n - np.add.reduceat(variable.astype(np.int64), first)
     masked = (constant >= min_tokens) & (2 * constant >= n)
     chars = np.r_[0, np.cumsum((texts.data & 0xC0) != 0x80)]
     keep = masked | (chars[ends[first + n - 1]] - chars[starts[first]] >= min_chars)
-    whole = np.where(masked, whole, mix(verbatim ^ _MASK))
-    first, n, whole, masked = first[keep], n[keep], whole[keep], masked[keep]
+    whole, more = np.where(masked, whole, mix(verbatim ^ _MASK)), np.where(masked, more, more_verbatim)
+    first, n, whole, more, masked = first[keep], n[keep], whole[keep], more[keep], masked[keep]
     leaf = n.astype(U)
     for k in range(DEPTH):
         leaf = mix(leaf * U(31) + h[first + np.minimum(k, n - 1)])
         leaf = mix(leaf * U(37) + h[first + np.maximum(0, n - 1 - k)])
-    spots = first[:, None] + (np.arange(SAMPLED)[None, :] * n[:, None]) // SAMPLED
-    return doc[first], line[first], whole.view(np.int64), leaf.view(np.int64), (h[spots] >> U(56)).astype(np.uint8), masked
+    size = np.where(masked, n, 0)
+    ends_at = np.r_[0, np.cumsum(size)]
+    codes = (h[np.repeat(first - ends_at[:-1], size) + np.arange(ends_at[-1])] >> U(48)).astype("<u2")
+    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * ends_at).astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
+    return doc[first], line[first], whole.view(np.int64), (more >> U(32)).astype(np.uint32).view(np.int32), leaf.view(np.int64), packed, masked
 
 
 def parsed(min_tokens: int, min_chars: int):
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, line, whole, leaf, sample, masked = lines(Texts(batch.column(1)), min_tokens, min_chars)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(line, pa.int32()), pa.array(whole), pa.array(leaf, mask=~masked), pa.FixedSizeBinaryArray.from_buffers(pa.binary(SAMPLED), len(doc), [None, pa.py_buffer(sample.tobytes())]).cast(pa.binary())], ["doc", "line", "whole", "leaf", "sample"])
+        doc, line, whole, more, leaf, codes, masked = lines(Texts(batch.column(1)), min_tokens, min_chars)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(line, pa.int32()), pa.array(whole), pa.array(more), pa.array(leaf, mask=~masked), codes], ["doc", "line", "whole", "more", "leaf", "codes"])
 
     return per_batch(f, "text")
 
 
 def seeded(share: float):
-    """The first seed of its leaf that each masked line agrees with at ``share`` of the sampled positions, or null.
+    """The first seed of its leaf that each masked line agrees with at ``share`` of its tokens, or null.
 
     A leaf's candidates come in order; one that agrees with a seed before it is none itself.
     """
@@ -77,28 +81,29 @@ def seeded(share: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SAMPLED)
+            codes = batch.column(3).to_pylist()
             leaves, first, of = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
             order, ends = np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))
-            template, known = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+            template, known = np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
             for k in range(len(leaves)):
                 rows = order[ends[k - 1] if k else 0 : ends[k]]
+                a = np.frombuffer(b"".join(codes[r] for r in rows), "<u2").reshape(len(rows), -1)  # lines of a leaf have as many tokens
                 for c in batch.column(4)[int(first[k])].as_py():
-                    seed = np.frombuffer(c["sample"], np.uint8)
-                    rest = rows[~known[rows]]
+                    seed = np.frombuffer(c["codes"], "<u2")
+                    rest = np.flatnonzero(~known[rows])
                     # a candidate that agrees with an earlier seed went with it; its own row may be in another batch
                     if c["rank"] > 1 and any((seed == s).mean() >= share for s in seeds):
                         continue
                     seeds = [seed] if c["rank"] == 1 else [*seeds, seed]
-                    hit = rest[(a[rest] == seed).mean(1) >= share]
+                    hit = rows[rest[(a[rest] == seed).mean(1) >= share]]
                     template[hit], known[hit] = c["whole"], True
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(template, mask=~known)], ["leaf", "whole", "docs", "sample", "template"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(template, mask=~known)], ["leaf", "whole", "docs", "codes", "template"])
 
     return run
 
 
 def templates(left: DataFrame, scratch: Scratch, variants: int, share: float) -> DataFrame:
-    """(whole, template) of the masked lines (leaf, whole, docs, sample) that agree with a seed, a template being named by its seed.
+    """(whole, template) of the masked lines (leaf, whole, docs, codes) that agree with a seed, a template being named by its seed.
 
     A round takes some candidates of each leaf, all of which find a seed; rounds go on for leaves whose other lines are in
     enough documents together.
@@ -111,9 +116,9 @@ def templates(left: DataFrame, scratch: Scratch, variants: int, share: float) ->
         if found is not None and left.isEmpty():
             return found
         ranked = left.withColumn("rank", F.row_number().over(by_docs)).where(F.col("rank") <= CANDIDATES)
-        candidates = ranked.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "whole", "sample"))).alias("candidates"))
-        put = left.join(candidates, "leaf").select("leaf", "whole", "docs", "sample", "candidates")
-        put = scratch.keep(put.mapInArrow(seeded(share), "leaf long, whole long, docs long, sample binary, template long"))
+        candidates = ranked.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "whole", "codes"))).alias("candidates"))
+        put = left.join(candidates, "leaf").select("leaf", "whole", "docs", "codes", "candidates")
+        put = scratch.keep(put.mapInArrow(seeded(share), "leaf long, whole long, docs long, codes binary, template long"))
         members = put.where("template is not null").select("whole", "template")
         found = members if found is None else found.unionAll(members)
         left = put.where("template is null").drop("template")
@@ -122,36 +127,39 @@ def templates(left: DataFrame, scratch: Scratch, variants: int, share: float) ->
 def recurring(docs: DataFrame, scratch: Scratch, min_tokens: int = 3, min_chars: int = 10, copies: int = 2, variants: int = 5, share: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line) of every line to drop, line counted from 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    found = scratch.keep(rows.mapInArrow(parsed(min_tokens, min_chars), "doc long, line int, whole long, leaf long, sample binary"))
+    found = scratch.keep(rows.mapInArrow(parsed(min_tokens, min_chars), "doc long, line int, whole long, more int, leaf long, codes binary"))
 
     # masked lines with the number of documents that have them
     each = scratch.keep(found.where("leaf is not null").select("leaf", "whole", "doc").distinct().groupBy("leaf", "whole").agg(F.count("*").alias("docs")))
     mixed = each.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= variants)).select("leaf")
-    samples = found.join(mixed, "leaf", "left_semi").groupBy("leaf", "whole").agg(F.first("sample").alias("sample"))
-    samples = scratch.keep(samples.join(each, ["leaf", "whole"]).select("leaf", "whole", "docs", "sample"))
+    samples = found.join(mixed, "leaf", "left_semi").groupBy("leaf", "whole").agg(F.min("codes").alias("codes"))
+    samples = scratch.keep(samples.join(each, ["leaf", "whole"]).select("leaf", "whole", "docs", "codes"))
     # a line outside any template stands for itself
     member = scratch.keep(templates(samples, scratch, variants, share).withColumnRenamed("whole", "w"))
     kinds = member.groupBy("template").agg(F.count("*").alias("n")).where("n > 1").select(F.col("template").alias("t"))
-    member = member.join(kinds, F.col("template") == F.col("t"), "left_semi")
-    named = found.select("doc", "line", "whole").join(member, F.col("whole") == F.col("w"), "left").select("doc", "line", "whole", "template")
-    named = scratch.keep(named)
+    member = scratch.keep(member.join(kinds, F.col("template") == F.col("t"), "left_semi"))
 
-    def beyond_first(key: str, least: int) -> DataFrame:
-        part = named.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "doc", "line")
-        many = part.groupBy("key", "doc").agg(F.min("line").alias("line")).groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "line")).alias("first")).where(F.col("docs") >= least)
-        return part.join(many.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).where(F.struct("doc", "line") != F.col("first")).select("doc", "line")
+    def beyond_first(part: DataFrame, key: list[str], least: int) -> DataFrame:
+        """The occurrences after the first of what has ``key``; the keys are written first, so that a frequent one can be split when it meets its rows."""
+        many = part.groupBy(*key, "doc").agg(F.min("line").alias("line")).groupBy(*key).agg(F.count("*").alias("docs"), F.min(F.struct("doc", "line")).alias("first")).where(F.col("docs") >= least)
+        many = scratch.keep(many.select(*key, "first"))
+        return part.join(many, key).where(F.struct("doc", "line") != F.col("first")).select("doc", "line")
 
-    out = scratch.keep(beyond_first("whole", copies).unionAll(beyond_first("template", variants)).distinct())
-    scratch.drop(found, each, samples, named)
+    named = found.where("leaf is not null").join(member, F.col("whole") == F.col("w")).select("template", "doc", "line")
+    named = scratch.keep(named)
+    same = beyond_first(found.select("whole", "more", "doc", "line"), ["whole", "more"], copies)
+    out = scratch.keep(same.unionAll(beyond_first(named, ["template"], variants)).distinct())
+    scratch.drop_all_but(out)
     return out
 
 
 def without_recurring(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """``docs`` with the recurring lines dropped from the text, and two more columns: n_lines and n_dropped.
+    """``docs`` with the recurring lines dropped from the text, and two more columns: n_lines and n_dropped, which replace columns of these names.
 
     Every row and column comes back; a text that loses all lines becomes empty. Lines are what newlines separate. Lines of fewer
     than ``min_tokens`` constant tokens, or of more variable than constant ones, recur only token by token as they are, and only
-    if they have ``min_chars`` characters; repetition inside one document alone does not count. Null texts and rows with a null id stay as they are (n_lines 0 for null texts). Rows that repeat an id
+    if they have ``min_chars`` characters; repetition inside one document alone does not count. Null texts and rows with a null id stay as they are (n_lines 0 for null texts). Very long lines and texts are
+    taken whole. Of ties the smallest line of the smallest id stays. Rows that repeat an id
     count as one document.
     """
     gone = recurring(docs, scratch, id_col=id_col, text_col=text_col, **rules)

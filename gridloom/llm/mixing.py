@@ -20,6 +20,8 @@ from .common import Scratch
 #: Words that a block holds on average, before the bound on blocks of a source.
 BLOCK_WORDS, MAX_BLOCKS = 20_000, 1 << 20
 MAX_REPEATS = 3
+#: Leaves of the splitting tree: for the sources with most blocks, and for all others together.
+OWN_LEAVES, SHARED_LEAVES = 960, 64
 
 
 def hypergeometric(r: random.Random, good: int, bad: int, draws: int) -> int:
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5.0, 2.
     for each pass over its source, and once more if the last partial pass reaches it, at most MAX_REPEATS times; a source's
     taken words are off its target by less than its largest document. The same rows give the same mix at any partitioning. A
     null source is a source of its own, last in order; rows that repeat an id go together; a row with a null id is
-    a document too. Documents without words are taken with the pass that their place is in. An empty table gives no rows.
+    a document too. Texts count whole, however long. Documents without words are taken with the pass that their place is in. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = scratch.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")))
@@ -128,24 +130,40 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5.0, 2.
     # one row a block and pass, in a permuted order of each source
     taking = blocks.select("k", "block").join(planned.select("k", "passes"), "k").join(edge.select("k", "block", F.lit(1).alias("more")), ["k", "block"], "left")
     taking = taking.withColumn("n", F.col("passes") + F.coalesce("more", F.lit(0))).where("n > 0")
-    taking = taking.select("k", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pass"))
-    dealt = Window.partitionBy("k").orderBy(F.xxhash64(F.lit(seed + 2), "k", "block", "pass"), "block", "pass")
+    taking = scratch.keep(taking.select("k", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pass")))
+    # the sources with most blocks have leaves of the tree of their own, the others share some; in a shared leaf the permuted
+    # order deals each source's blocks, which is the same draw
+    largest = [r["k"] for r in taking.groupBy("k").count().orderBy(F.desc("count"), "k").limit(OWN_LEAVES).collect()]
+    taking = taking.withColumn("leaf", F.when(F.col("k").isin(largest), F.col("k")).otherwise(F.pmod("k", F.lit(SHARED_LEAVES))))
+    dealt = Window.partitionBy("leaf").orderBy(F.xxhash64(F.lit(seed + 2), "k", "block", "pass"), "k", "block", "pass")
     taking = scratch.keep(taking.withColumn("rank", F.row_number().over(dealt) - 1))
 
-    # exact quotas of each source's blocks for the shards: numbers for each source and shard, whatever the rows
-    totals = [(r["k"], r["n"]) for r in taking.groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect()]
+    # exact quotas of each leaf's blocks for the shards: a bounded number of leaves, whatever the sources
+    totals = [(r["leaf"], r["n"]) for r in taking.groupBy("leaf").agg(F.count("*").alias("n")).orderBy("leaf").collect()]
     quotas = split(random.Random(seed), [n for _, n in totals], max(1, min(shards, sum(n for _, n in totals)))) if totals else []
     ends = [{"q": k, "ends": [sum(quota[j] for quota in quotas[: i + 1]) for i in range(len(quotas))]} for j, (k, _) in enumerate(totals)]
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ends)), "array<struct<q: bigint, ends: array<bigint>>>")))
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
-    shards_of = taking.join(plan, F.col("k") == F.col("q")).groupBy("k", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("pass"), shard.alias("shard")))).alias("places"))
+    shards_of = taking.join(F.broadcast(plan), F.col("leaf") == F.col("q")).groupBy("k", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("pass"), shard.alias("shard")))).alias("places"))
     out = out.join(shards_of.withColumnsRenamed({"k": "bk", "block": "bb"}), (F.col("k") == F.col("bk")) & (F.col("block") == F.col("bb")), "left")
     taken = F.slice(F.coalesce("places", F.array()), F.lit(1), F.col("n"))
     copies = F.transform(taken, lambda x: F.struct(x["pass"].alias("pass"), F.col("block"), x["shard"].alias("shard"), F.xxhash64("spot", x["pass"]).alias("spot")))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    out = scratch.keep(out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")))
+    scratch.drop_all_but(out)
+    return out
 
 
-def shards_of(mixed: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: the rows of ``docs``, once for each copy, with shard and spot; a shard is read in the order of its spots."""
-    places = mixed.select(F.col("doc_id").alias("_id"), F.inline("copies"))
-    return docs.join(places, F.col(id_col) == F.col("_id")).drop("_id", "block")
+def shards_of(mixed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``docs``, once for each copy, with shard and spot, which replace columns of these names; a shard is read in the order of its spots.
+
+    Rows of one id, source and size go together in the mix, so each finds its copies by these three, nulls included; repeated
+    rows each come as often as they are taken, not as often as they meet one another.
+    """
+    keys = {"_mix_id": F.col(id_col).cast("long"), "_mix_source": F.col(source_col).cast("string"), "_mix_size": word_count(text_col)}
+    places = mixed.where(F.size("copies") > 0).dropDuplicates(["doc_id", "source", "size"]).select(F.col("doc_id").alias("_at_id"), F.col("source").alias("_at_source"), F.col("size").alias("_at_size"), F.col("copies").alias("_mix_copies"))
+    on = F.lit(True)
+    for one, two in zip(keys, ("_at_id", "_at_source", "_at_size"), strict=True):
+        on &= F.col(one).eqNullSafe(F.col(two))
+    met = docs.drop("shard", "spot").withColumns(keys).join(places, on)
+    kept = [c for c in docs.columns if c not in ("shard", "spot")]
+    return met.select(*kept, F.explode("_mix_copies").alias("_mix_copy")).select(*kept, F.col("_mix_copy.shard").alias("shard"), F.col("_mix_copy.spot").alias("spot"))

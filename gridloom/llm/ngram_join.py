@@ -35,7 +35,9 @@ KEY_BITS = 48
 #: Bits of a folded sketch for each shingle that linked sets may differ in, at least; the next power of two is taken.
 SKETCH_BITS = 16
 #: Bytes of keys that a task receives, on average, before it unpacks them.
-RECEIVED = 24 << 20
+RECEIVED = 16 << 20
+#: Keys that a task packs at a time.
+SENT = 1 << 19
 #: Parts of a star, so that its centre is sent so often at most and no task gets a whole star.
 POINTS = 64
 #: Sets of a chunk that one task compares with one another or with as many others.
@@ -180,26 +182,31 @@ def signatures(size: int, percent: int, codes):
 
 
 def sender(size: int, percent: int, n_parts: int, codes):
-    """Packs the chunk keys of a batch by partition; of the sets that share a key in the batch, one goes on and the others are linked to it."""
+    """Packs the chunk keys of some documents by partition; of the sets that share a key among them, one goes on and the others are linked to it."""
 
     def run(batches):
+        keys, nodes = [], []
         for batch in batches:
-            keys, nodes = [], []
             for part in chunks(batch, "text"):
                 got, docs, n, name, _ = sets_of(Texts(part.column(0)), size, codes)
                 k, of, _ = chunk_keys(got, docs, n, percent)
                 keys.append(k)
                 nodes.append(name[of])
-            if not keys:
-                continue
-            k, v, hub = stars(np.concatenate(keys), np.concatenate(nodes))
-            lone = v == hub
-            row = np.stack([k, v.view(U)], 1)[lone].view(np.uint8)[:, USED]
-            rows = pack(((k[lone] >> U(1)) % U(n_parts)).astype(np.int32), False, row)
-            if (~lone).any():
-                more = np.stack([k, hub.view(U), v.view(U)], 1)[~lone]
-                rows += pack((mix(more[:, 2]) % U(n_parts)).astype(np.int32), True, more)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["part", "link", "data"])
+                if sum(map(len, keys)) >= SENT:
+                    yield sent(np.concatenate(keys), np.concatenate(nodes))
+                    keys, nodes = [], []
+        if keys:
+            yield sent(np.concatenate(keys), np.concatenate(nodes))
+
+    def sent(keys, nodes):
+        k, v, hub = stars(keys, nodes)
+        lone = v == hub
+        row = np.stack([k, v.view(U)], 1)[lone].view(np.uint8)[:, USED]
+        rows = pack(((k[lone] >> U(1)) % U(n_parts)).astype(np.int32), False, row)
+        if (~lone).any():
+            more = np.stack([k, hub.view(U), v.view(U)], 1)[~lone]
+            rows += pack((mix(more[:, 2]) % U(n_parts)).astype(np.int32), True, more)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["part", "link", "data"])
 
     return run
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, large_text, per_batch
 from .textnp import Texts
 
-#: Rows of one length that share a rank counter; a more common length has several counters.
-RANKED_TOGETHER = 20_000
+#: Rows of one length that share a rank counter, on average; a more common length has several counters.
+RANKED_TOGETHER = 1000
 
 
 class Fit:
@@ -137,11 +137,11 @@ def byte_signs() -> dict[int, str]:
 class Vocabulary:
     """Token ids of whole columns of text: each distinct piece meets the library's merges once in a worker."""
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.signs = Tokenizer.from_file(path), limit, byte_signs()
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -169,13 +169,15 @@ class Vocabulary:
             odd[:-1] |= (texts.data[:-1] == a) & (texts.data[1:] == b)
         before = np.r_[0, np.cumsum(odd)]
         quick = before[texts.offsets[1:]] == before[texts.offsets[:-1]]
+        for token in self.added:  # texts that hold one are the library's whole
+            quick &= ~np.asarray(pc.match_substring(column, token, ignore_case=True).fill_null(False))
         out: list = [None] * texts.n
         some = np.flatnonzero(quick)
         if len(some):
             for i, ids in zip(some.tolist(), self.quick(large_text(column).take(pa.array(some)), end_id), strict=True):
                 out[i] = ids
         for i in np.flatnonzero(~quick).tolist():
-            out[i] = np.array([*self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, end_id], "<u4")
+            out[i] = np.array([*self.tokenizer.encode(column[i].as_py() or "", add_special_tokens=False).ids, end_id], "<u4")
         return out
 
     def quick(self, column: pa.Array, end_id: int) -> list[np.ndarray]:

@@ -45,9 +45,9 @@ def op7_language_id(spark, sf_dir):
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def labelled_scores(spark, sf_dir, module, label, threshold):
+def labelled_scores(spark, sf_dir, module, label, threshold, **more):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = module.predict(docs, module.fit(docs, labels, label, folds=3, held=1))
+    out = module.predict(docs, module.fit(docs, labels, label, folds=3, held=1), **more)
     more = [c for c in out.columns if c not in ("doc_id", "score")]
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
@@ -59,7 +59,7 @@ def op5_quality_classifier(spark, sf_dir):
 
 @query
 def op6_toxicity(spark, sf_dir):
-    return labelled_scores(spark, sf_dir, toxicity, "toxic", 0.7)
+    return labelled_scores(spark, sf_dir, toxicity, "toxic", 0.7, with_spans=True)
 
 
 @query
@@ -70,7 +70,7 @@ def op10_line_dedup(spark, sf_dir):
 @query
 def op3_host_quality_rules(spark, sf_dir):
     out = host_rules.verdicts(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
 
 
 @query
@@ -108,7 +108,7 @@ base as (select doc_id, source, len(w) as n_words, coalesce(list_sum(list_transf
 failing as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base),
 hosts as (select source, count(*) as n, count(*) filter (base_failed) as f from failing group by source), moments as (select sum(f) / sum(n) as m, var_pop(f / n) as v, avg(1 / n) as inv from hosts),
 prior as (select m, case when m > 0 and m < 1 then greatest(1.0, m * (1 - m) / greatest(v - m * (1 - m) * inv, m * (1 - m) * 1e-3) - 1) else 1.0 end as k from moments),
-rates as (select source, (f + k * m) / (n + k) as rate from hosts, prior)
-select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-not base_failed and not (rate > 0.5 and (10 * n_symbols > n_words or 5 * n_dup_lines > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words)) as kept
+rates as (select source, m > 0 and m < 1 and (f + k * m) / (n + k) >= m + 2 * sqrt(m * (1 - m) / (k + 1)) as host_failed from hosts, prior)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed, host_failed,
+not base_failed and not (host_failed and (10 * n_symbols > n_words or 5 * n_dup_lines > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words)) as kept
 from failing join rates on failing.source is not distinct from rates.source"""

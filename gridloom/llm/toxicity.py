@@ -25,8 +25,8 @@ FEATURE_BITS, SAMPLE = 20, 2500
 FEATURES = 1 << FEATURE_BITS
 #: Bytes of the beginnings of words that are features too, for stems that take many endings.
 BEGINNINGS = (3, 4, 5, 6)
-#: A feature is a seed if SEEDS_IN toxic documents of the sample have it, and this share of them, at odds of SEED_ODDS times those elsewhere.
-SEEDS_IN, SEED_SHARE, SEED_ODDS = 3, 0.03, 50.0
+#: A feature is a seed if SEEDS_IN toxic documents of the sample have it, and a share of them, at some times the odds of the others; the sample itself tells which.
+SEEDS_IN, SEED_SHARES, SEED_ODDS = 3, (0.003, 0.01, 0.02, 0.04), (10.0, 25.0, 50.0, 100.0)
 SPAN_AT, SEGMENT = 0.5, 256
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -44,8 +44,8 @@ def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return starts, ends, out, texts.counts(starts)
 
 
-def marginals(odds: np.ndarray, at: np.ndarray, move: np.ndarray, start: float) -> np.ndarray:
-    """P(toxic) of each token by forward-backward over the two states.
+def marginals(odds: np.ndarray, at: np.ndarray, move: np.ndarray, start: float, pairs: np.ndarray | None = None) -> np.ndarray:
+    """P(toxic) of each token by forward-backward over the two states; to ``pairs`` (2x2) the expected number of each transition is added.
 
     odds: log-odds of the toxic state of each token; move: 2x2 transition scores; start: log-odds at the first token.
     Messages are kept as odds, which two states need alone. Documents are cut into segments that go side by side; each starts
@@ -80,6 +80,12 @@ def marginals(odds: np.ndarray, at: np.ndarray, move: np.ndarray, start: float)
             fore[t] *= back
             if t:
                 y = back * x[t]
+                if pairs is not None:
+                    here = first[rows] + t
+                    own = live[t] & (here >= core[rows]) & (here < core[rows] + SEGMENT)  # a core's first token has the one before it in the warm-up
+                    r, y_own = fore[t - 1][own], y[own]
+                    joint = np.stack([np.full(len(r), e[0, 0]), e[0, 1] * y_own, r * e[1, 0], r * e[1, 1] * y_own])
+                    pairs += (joint / joint.sum(0)).sum(1).reshape(2, 2)
                 back = np.where(live[t], (e[1, 0] + y * e[1, 1]) / (e[0, 0] + y * e[0, 1]), 1.0)
         p = (fore / (1 + fore)).T
         own = inside & (first[rows][:, None] + col >= core[rows][:, None]) & (first[rows][:, None] + col < core[rows][:, None] + SEGMENT)
@@ -107,8 +113,8 @@ class Model:
             out[:-1] += np.where(last[:-1], 0.0, self.after[f[1:, 0]])
         return out
 
-    def marginals(self, f: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return marginals(self.odds(f, at), at, self.move, self.start)
+    def marginals(self, f: np.ndarray, at: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        return marginals(self.odds(f, at), at, self.move, self.start, pairs)
 
     def scores(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(aggregates(p, at) @ self.final)))
@@ -126,32 +132,55 @@ def aggregates(p: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def unlike(f: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One document of those whose smallest word hash is the same: near copies would count a rare word of theirs many times."""
+    """One document of each group of near copies, which would count a rare word of theirs many times: those whose three smallest word hashes
+    in one of two sets of orders are the same."""
     some = np.flatnonzero(np.diff(at) > 0)
     out = np.zeros(len(at) - 1, bool)
-    if len(some):
-        least = np.minimum.reduceat((f[:, 0].astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(4), at[some])
-        out[some[np.unique(least, return_index=True)[1]]] = True
+    if not len(some):
+        return out
+    word, alone = f[:, 0].astype(U), np.ones(len(some), bool)
+    for k in range(2):
+        least = [np.minimum.reduceat(mix(word + U(1 << (FEATURE_BITS + 3 * k + j))), at[some]) for j in range(3)]
+        first = np.zeros(len(some), bool)
+        first[np.unique(np.stack(least, 1), axis=0, return_index=True)[1]] = True
+        alone &= first
+    out[some[alone]] = True
     return out
 
 
-def seeds(f: np.ndarray, doc: np.ndarray, toxic: np.ndarray, counted: np.ndarray) -> np.ndarray:
-    """Whether a hashed feature marks toxic documents: how many of the counted documents of each kind have it decides."""
-    f, doc = f[counted[doc]], doc[counted[doc]]
-    toxic_all, toxic = toxic, toxic & counted
-    bad, good = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
+def occurrences(f: np.ndarray, doc: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """How many of the documents in use have each feature."""
+    f, doc = f[use[doc]], doc[use[doc]]
+    out = np.zeros(FEATURES + 1)
     for k in range(f.shape[1]):
-        pair = np.unique(doc.astype(np.int64) * (FEATURES + 1) + f[:, k])
-        d, w = pair // (FEATURES + 1), pair % (FEATURES + 1)
-        bad += np.bincount(w[toxic[d]], minlength=FEATURES + 1)
-        good += np.bincount(w[~toxic[d]], minlength=FEATURES + 1)
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic_all & counted).sum()))
-    odds = ((bad + 0.1) / n_bad) / ((good + 0.1) / n_good)
-    out = (bad >= max(SEEDS_IN, SEED_SHARE * n_bad)) & (odds >= SEED_ODDS)
-    out[FEATURES] = False
+        out += np.bincount(np.unique(doc.astype(np.int64) * (FEATURES + 1) + f[:, k]) % (FEATURES + 1), minlength=FEATURES + 1)
+    out[FEATURES] = 0
     return out
 
 
+def marking(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, share: float, least_odds: float) -> np.ndarray:
+    """Whether a feature marks toxic documents, by the numbers of documents of each kind that have it."""
+    odds = ((bad + 0.1) / max(1, n_bad)) / ((good + 0.1) / max(1, n_good))
+    return (bad >= max(SEEDS_IN, share * n_bad)) & (odds >= least_odds)
+
+
+def seeds(f: np.ndarray, doc: np.ndarray, toxic: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Whether a hashed feature marks toxic documents. Of several demands the one is made that, put to one half of the sample, finds the other's toxic documents best."""
+    half = np.arange(len(toxic)) % 2 == 0
+    n = [[int((half == h)[counted & (toxic == t)].sum()) for t in (True, False)] for h in (True, False)]
+    found = [[occurrences(f, doc, counted & (toxic == t) & (half == h)) for t in (True, False)] for h in (True, False)]
+    best = (-1.0, 0.0, 0.0)
+    for share in SEED_SHARES:
+        for odds in SEED_ODDS:
+            hit = np.zeros(len(toxic), bool)
+            for k, h in enumerate((True, False)):
+                mark = marking(*found[k], *n[k], share, odds)
+                rows = (half != h)[doc]
+                hit[np.unique(doc[rows][mark[f[rows]].any(1)])] = True
+            best = max(best, (2 * (hit & toxic).sum() / max(1, hit.sum() + toxic.sum()), odds, share))
+    return marking(found[0][0] + found[1][0], found[0][1] + found[1][1], n[0][0] + n[1][0], n[0][1] + n[1][1], best[2], best[1])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float, steps: int = 60) -> np.ndarray:
     """Weighted logistic regression by Newton's method; x has few columns."""
     b = np.zeros(x.shape[1])
@@ -186,7 +215,8 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], passes: i
         squares = [np.zeros(FEATURES + 1) for _ in range(3)]
         more = np.zeros(6)
         for _ in range(passes):
-            p = model.marginals(fk, atk)
+            pairs = np.zeros((2, 2))
+            p = model.marginals(fk, atk, pairs)
             g = p - yk  # of the log-likelihood, negated, for each token's odds
             inner = ~first[1:]
             parts = [(model.own, fk, g), (model.before, fk[:-1, 0][inner], g[1:][inner]), (model.after, fk[1:, 0][inner], g[:-1][inner])]
@@ -197,9 +227,8 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], passes: i
                 total[FEATURES] = 0
                 squares[k] += total * total
                 weights -= rate * 2 * total / np.sqrt(squares[k] + 1e-8) * (total != 0)
-            # pair marginals under independence of neighbours given the chain are close enough for the transitions
-            a, b, ya, yb = p[:-1][inner], p[1:][inner], yk[:-1][inner], yk[1:][inner]
-            steps = [g.sum()] + [(u * v).sum() - (x * y).sum() for u, v, x, y in ((a, b, ya, yb), (a, 1 - b, ya, 1 - yb), (1 - a, b, 1 - ya, yb))] + [g[first].sum()]
+            ya, yb = yk[:-1][inner], yk[1:][inner]
+            steps = [g.sum(), pairs[1, 1] - (ya * yb).sum(), pairs[1, 0] - (ya * (1 - yb)).sum(), pairs[0, 1] - ((1 - ya) * yb).sum(), g[first].sum()]
             for k, total in enumerate(steps):
                 more[k] += total * total
                 step = 0.2 * total / math.sqrt(more[k] + 1e-8)

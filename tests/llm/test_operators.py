@@ -1,6 +1,7 @@
 """The operators against brute force on small tables, and their edge cases."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -9,10 +10,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import host_rules, language, mixing, packing, pii, quality, toxicity
 from gridloom.llm.common import Scratch
 from gridloom.llm.components import components
+from gridloom.llm.learning import sampled
 from gridloom.llm.line_dedup import without_recurring
 from gridloom.llm.ngram_join import link_documents, near_duplicates_removed
 from gridloom.llm.packing import best_fit_decreasing, pack, vocabulary, vocabulary_of
@@ -112,6 +115,59 @@ def test_mix_meets_targets(spark, scratch):
     assert mixing.mix(docs(spark, rows).limit(0), scratch).count() == 0
 
 
+def filled(sizes, weights=(5, 2, 1)):
+    """Targets by resharing what is above the bound until nothing is."""
+    names = sorted(sizes, key=lambda k: (k is None, k or ""))
+    w = {k: weights[i % len(weights)] for i, k in enumerate(names)}
+    left, full = float(sum(sizes.values())), {}
+    while True:
+        open_ = [k for k in names if k not in full]
+        share = {k: left * w[k] / sum(w[x] for x in open_) for k in open_} if open_ else {}
+        over = [k for k in open_ if share[k] > 3 * sizes[k]]
+        if not over:
+            return share | full
+        for k in over:
+            full[k] = 3.0 * sizes[k]
+            left -= full[k]
+
+
+def test_mix_targets_match_brute_force(spark, scratch):
+    for seed in range(3):
+        r = random.Random(seed)
+        names = [None, *"abcdefg"][: r.randint(1, 8)]
+        rows = [(i, "w " * r.randint(0, 40), None, k) for k in names for i in range(r.choice([1, 3, 80]))]
+        got = {x.source: x.target for x in mixing.mix(docs(spark, [(j, *x[1:]) for j, x in enumerate(rows)]), scratch).collect()}
+        want = filled({k: sum(len(x[1].split()) for x in rows if x[3] == k) for k in names})
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want), (got, want)
+
+
+@pytest.mark.parametrize("own", [960, 2])
+def test_blocks_are_dealt_once_and_evenly(spark, scratch, monkeypatch, own):
+    monkeypatch.setattr(mixing, "OWN_LEAVES", own)
+    monkeypatch.setattr(mixing, "SHARED_LEAVES", 2)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+    r = random.Random(5)
+    rows = [(i, "w " * r.randint(1, 30), None, r.choice("abcdef")) for i in range(600)] + [(9000, "v " * 20000, None, "a")]
+    place = {}
+    for x in mixing.mix(docs(spark, rows), scratch, shards=8).collect():
+        assert len({c.spot for c in x.copies}) == len(x.copies)
+        for c in x.copies:
+            assert place.setdefault((x.source, c.block, c["pass"]), c.shard) == c.shard
+    sizes = Counter(place.values())
+    # blocks without a document in the mix are dealt too, so shards may differ a little more than by one
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 4
+
+
+def test_shards_keep_odd_rows(spark, scratch):
+    rows = [(7, "a b c", None, "s", 1, 10), (7, "a b c", None, "s", 2, 20), (None, "d e", None, "s", 3, 30), (8, None, None, None, 4, 40), (9, "x", None, None, 5, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, block int, shard int")
+    mixed = mixing.mix(df, scratch)
+    copies = {(x.doc_id, x.source, x.size): len(x.copies) for x in mixed.collect()}
+    got = mixing.shards_of(mixed, df).collect()
+    assert Counter((x.doc_id, x.source, x.block) for x in got) == Counter({(i, s, b): copies[i, s, len((t or "").split())] for i, t, _, s, b, _ in rows if copies[i, s, len((t or "").split())]})
+    assert all(0 <= x.shard < 64 and x.spot is not None for x in got) and mixing.shards_of(mixed, df.limit(0)).count() == 0
+
+
 def test_splitting_tree_is_exact():
     parts = mixing.split(random.Random(1), [100, 37, 5], 8)
     assert [sum(c) for c in zip(*parts, strict=True)] == [100, 37, 5] and {sum(p) for p in parts} <= {17, 18}
@@ -134,6 +190,19 @@ def test_host_rules_count_as_brute_force(spark, scratch):
         assert x.base_failed == (len(w) < 20 or 100 * len(inside) > 30 * len(w)) and not (x.base_failed and x.kept)
 
 
+def test_hosts_that_stand_out_lose_doubtful_documents(spark, scratch):
+    good, bad, odd = " ".join(f"w{i}" for i in range(30)), "too short", " ".join(f"w{i}" for i in range(30)) + " #####"
+    rows = [(100 * h + i, bad if i < 2 else odd if i == 2 else good, None, f"h{h}") for h in range(20) for i in range(40)]
+    rows += [(5000 + i, bad if i < 30 else odd if i < 35 else good, None, "worst") for i in range(40)] + [(6000, good, None, None)]
+    got = {x.doc_id: x for x in host_rules.verdicts(docs(spark, rows), scratch).collect()}
+    assert {x.host_failed for i, x in got.items() if 5000 <= i < 6000} == {True} and not any(x.host_failed for i, x in got.items() if not 5000 <= i < 6000)
+    assert [got[5000 + i].kept for i in (0, 32, 38)] == [False, False, True] and got[2].kept and not got[0].kept and got[6000].kept
+    once = [(1, good), (1, good), (2, "word " * 40000), (3, "")]
+    out = host_rules.verdicts(docs(spark, once), scratch).collect()
+    assert sorted((x.doc_id, x.n_words) for x in out) == [(1, 30), (1, 30), (2, 40000), (3, 0)]
+    assert host_rules.verdicts(docs(spark, once).limit(0), scratch).count() == 0
+
+
 def test_best_fit_matches_brute_force():
     for seed in range(30):
         r = random.Random(seed)
@@ -153,9 +222,8 @@ def test_tokens_are_the_library_s(spark, scratch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     r = random.Random(1)
-    texts = ["", "it's DON'T 's x'r", "ǅ ŉ ß K İ", "a\x1cb", "naïve—“q” €5 日本", "<|endoftext|> x", *("".join(r.choice("ab'sStdrevl m1 9.é,×\n") for _ in range(25)) for _ in range(300))]
+    texts = ["", "it's DON'T 's x'r", "ǅ ŉ ß K İ", "a\x1cb", "naïve—“q” €5 日本", "<|endoftext|> x", "a <|ENDOFTEXT|><|endoftext|>", *("".join(r.choice("ab'sStdrevl m1 9.é,×\n") for _ in range(25)) for _ in range(300))]
     for text, got in zip(texts, vocabulary_of(vocabulary()).documents(pa.array(texts), 1), strict=True):
         assert got.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
 
@@ -274,6 +342,93 @@ def test_pii_crowded_formats_settle(spark, scratch):
     assert len(got[len(texts) - 3]) == len(texts[-3]) and all("Ѐ" <= c <= "ӿ" for c in got[len(texts) - 3].partition(" ")[2])
 
 
+def test_recurring_lines_match_brute_force(spark, scratch):
+    r = random.Random(8)
+    pool = [" ".join(r.choice("alpha beta gamma delta kappa omega sigma theta".split()) for _ in range(n)) for n in (4, 6, 9, 70, 120) for _ in range(12)]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.5 else " ".join(f"{r.choice('xyz')}{r.random()}".replace("0.", "q").translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(5)) for _ in range(r.randint(1, 8)))) for i in range(120)]
+    first = {}
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            first.setdefault(line, []).append((i, k))
+    # templates are out of the way: their demand is above the number of documents
+    got = {x.doc_id: x.text for x in without_recurring(docs(spark, rows).repartition(5), scratch, variants=10**6).collect()}
+    drop = {at for line, places in first.items() if len({i for i, _ in places}) > 1 for at in sorted(places)[1:]}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in drop) for i, t in rows}
+
+
+def test_likeness_counts_every_token(spark, scratch):
+    """Lines of 96 tokens that agree at every third place, and so at the 32 that a sample would see, but at too few in all."""
+    words = lambda seed: [f"w{chr(97 + (seed * 7 + k) % 26)}{chr(97 + (seed * 3 + k * 5) % 26)}" for k in range(96)]
+    base = words(0)
+    unlike = [" ".join(base[k] if k < 3 or k > 92 or k % 3 == 0 else f"u{chr(97 + n)}{chr(97 + k % 26)}" for k in range(96)) for n in range(8)]
+    alike = [" ".join(base[k] if k != 50 else f"v{chr(97 + n)}" for k in range(96)) for n in range(8)]
+    assert sum(x.n_dropped for x in without_recurring(docs(spark, list(enumerate(unlike))), scratch).collect()) == 0
+    assert sum(x.n_dropped for x in without_recurring(docs(spark, list(enumerate(alike))), scratch).collect()) == 7
+
+
+def test_line_dedup_edges(spark, scratch):
+    text = "this very line stands in each of the documents\nand a line of its own " + "x" * 200000
+    rows = [(1, text), (1, text), (2, text), (None, text), (3, None), (4, "")]
+    df = docs(spark, rows).withColumns({"n_lines": F.lit(-1), "n_dropped": F.lit(-1)})
+    got = sorted(((x.doc_id or 0, x.n_lines, x.n_dropped) for x in without_recurring(df, scratch).collect()))
+    assert got == [(0, 2, 0), (1, 2, 0), (1, 2, 0), (2, 2, 2), (3, 0, 0), (4, 1, 0)]
+
+
+def test_samples_keep_the_smallest_hashes(spark):
+    for bound in (10, 41, 100):
+        rows = spark.createDataFrame([(i, "a" if i % 5 else "b") for i in range(300)] + [(None, "a"), (7, None)], "id long, c string")
+        one, two = (sorted(map(tuple, sampled(rows.repartition(n), "c", "id", bound)[0].collect()), key=str) for n in (1, 9))
+        assert one == two and len(one) == bound and Counter(c for _, c in one)["b"] == min(60, bound // 2)
+    assert sampled(rows.limit(0), "c", "id", 5)[1] == {}
+
+
+def test_votes_match_a_plain_loop():
+    r = random.Random(4)
+    texts = [" ".join(r.choice("red green blue black white ### !!! one two".split()) for _ in range(r.randint(1, 50))) for _ in range(400)]
+    labels = [int("#" not in t) for t in texts]
+    model = quality.train(texts, labels, {0: 300, 1: 100})
+    some = Texts(pa.array(texts[:30]))
+    q = model.latent(some).astype(float)
+    for x, got in zip(q, model.score(some), strict=True):
+        cos = [sum(a * b for a, b in zip(x, v, strict=True)) for v in model.vectors.astype(float).tolist()]
+        near = sorted(range(len(cos)), key=lambda i: -cos[i])[: quality.NEIGHBOURS]
+        w = [math.exp(12 * (cos[i] - 1)) * model.shares[i] for i in near]
+        assert abs(got - sum(a * model.labels[i] for a, i in zip(w, near, strict=True)) / sum(w)) < 1e-3
+    assert np.allclose(model.axes.T @ model.axes, np.eye(model.axes.shape[1]), atol=1e-3)
+
+
+def test_ftrl_matches_a_plain_loop(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice(s) for _ in range(40)) for s in ("abcde ", "defgh ") for _ in range(15)]
+    names = ["x"] * 15 + ["y"] * 15
+    order = np.random.default_rng(1).permutation(30)
+    texts, names = [texts[i] for i in order], [names[i] for i in order]
+    alpha, beta, l1, l2 = 0.3, 1.0, 1e-2, 1e-3
+    model = language.train(texts, names, alpha, beta, l1, l2, passes=2)
+    z, n = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+
+    def weight(g, k):
+        return 0.0 if abs(z[g][k]) <= l1 else -(z[g][k] - math.copysign(l1, z[g][k])) / ((beta + math.sqrt(n[g][k])) / alpha + l2)
+
+    rows = []
+    for t in texts:
+        _, gram, w = language.weighed(Texts(pa.array([t])), model.idf)
+        rows.append([*zip(gram.tolist(), w.astype(np.float32).tolist(), strict=True), (language.GRAMS, 1.0)])
+    for turn in range(2):
+        for i in np.random.default_rng(turn).permutation([k for k in range(30) if k % 5 != 4]):
+            v = {(g, k): weight(g, k) for g, _ in rows[i] for k in (0, 1)}
+            s = [sum(v[g, k] * x for g, x in rows[i]) for k in (0, 1)]
+            p = [1 / (1 + math.exp(s[1 - k] - s[k])) for k in (0, 1)]
+            for g, x in rows[i]:
+                for k in (0, 1):
+                    grad = (p[k] - (names[i] == "xy"[k])) * x
+                    sigma = (math.sqrt(n[g][k] + grad * grad) - math.sqrt(n[g][k])) / alpha
+                    z[g][k] += grad - sigma * v[g, k]
+                    n[g][k] += grad * grad
+    want = np.array([[weight(g, k) for k in (0, 1)] for g in range(language.GRAMS)])
+    assert np.allclose(model.weights, want, atol=1e-6) and np.count_nonzero(want)
+
+
 def trained(spark, module, label):
     d, y = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.1')}/labels.parquet")
     model = module.fit(d, y, label)
@@ -300,18 +455,22 @@ def test_toxicity_on_held_out_rows(spark):
 def test_marginals_match_enumeration():
     r = np.random.default_rng(0)
     odds, move = r.normal(size=7), r.normal(size=(2, 2))
-    total, on = 0.0, np.zeros(7)
+    total, on, moves = 0.0, np.zeros(7), np.zeros((2, 2))
     for tags in itertools.product((0, 1), repeat=7):
         s = 0.4 * tags[0] + sum(o for o, t in zip(odds, tags, strict=True) if t) + sum(move[a, b] for a, b in itertools.pairwise(tags))
         total += np.exp(s)
         on += np.exp(s) * np.array(tags)
-    assert np.allclose(toxicity.marginals(odds, np.array([0, 7]), move, 0.4), on / total)
+        for a, b in itertools.pairwise(tags):
+            moves[a, b] += np.exp(s)
+    pairs = np.zeros((2, 2))
+    assert np.allclose(toxicity.marginals(odds, np.array([0, 7]), move, 0.4, pairs), on / total) and np.allclose(pairs, moves / total)
     long = r.normal(size=3000)
-    a = toxicity.marginals(long, np.array([0, 3000]), move, 0.0)
+    cut, whole = np.zeros((2, 2)), np.zeros((2, 2))
+    a = toxicity.marginals(long, np.array([0, 900, 3000]), move, 0.0, cut)
     toxicity_segment, toxicity.SEGMENT = toxicity.SEGMENT, 3000
-    b = toxicity.marginals(long, np.array([0, 3000]), move, 0.0)
+    b = toxicity.marginals(long, np.array([0, 900, 3000]), move, 0.0, whole)
     toxicity.SEGMENT = toxicity_segment
-    assert np.allclose(a, b)
+    assert np.allclose(a, b) and np.allclose(cut, whole) and np.isclose(cut.sum(), 2998)
 
 
 def test_language_on_held_out_rows(spark):
@@ -325,11 +484,66 @@ def test_language_on_held_out_rows(spark):
     assert language.fit(docs(spark, EDGES).limit(0)) is None
 
 
-def test_pipeline_on_small_table(spark):
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    some = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").limit(150).collect()
+    rows = [tuple(x) for x in some]
+    long = max(rows, key=lambda x: len(x[1] or ""))[1].split("\n")[0]
+    words = (long * 3).split()[:200]
+    near = [" ".join(words[:k] + ["changed"] + words[k + 1 :]) for k in (20, 90, 150)]
+    rows += [(10**6 + i, t, "en", "planted", len(t)) for i, t in enumerate(near)]
+    rows += [(None, near[0], "en", None, 5), (2 * 10**6, None, None, "planted", None), (2 * 10**6 + 1, "", "en", None, 0), (2 * 10**6 + 2, "123 456", "en", None, 7), rows[0], rows[0]]
+    rows += [(3 * 10**6 + i, f"a line that both of them have, word for word\nline of {x} alone, which is the only one of its kind here", "en", "lines", 1) for i, x in enumerate(("ann", "bob"))]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    scratch, stage = Scratch(spark, "stages"), dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    out, kept = {}, docs
+    for name, f in corpus_pipeline.STAGES:
+        kept = scratch.keep(f(spark, kept, d))
+        out[name] = kept.collect()
+    assert len(stage) == 5 and all(set(out[n][0].asDict()) == set(corpus_pipeline.COLUMNS) for n in list(stage)[:4])
+
+    told = {(x.doc_id, x.text): x for x in language.predict(docs, language.fit(docs, folds=None)).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    want = Counter((i, t) for i, t, *_ in rows if i is not None and told[i, t].lang_pred != "und" and told[i, t].score >= 0.4)
+    assert Counter((x.doc_id, x.text) for x in out["language_id"] if x.doc_id is not None) == want and not any(x.text in (None, "", "123 456") for x in out["language_id"])
+    assert sum(x.doc_id is None for x in out["language_id"]) == 1
+
+    text = {x.doc_id: x.text for x in out["line_dedup"]}
+    assert "both of them" in text[3 * 10**6] and "both of them" not in text[3 * 10**6 + 1] and "alone" in text[3 * 10**6 + 1]
+
+    sets = {}
+    for x in out["line_dedup"]:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), x.text))
+        if x.doc_id is not None:
+            sets[x.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    both = lambda a, b: len(sets[a] & sets[b])
+    top = grouped(sets, lambda a, b: bool(sets[a]) and 100 * both(a, b) >= 80 * (len(sets[a]) + len(sets[b]) - both(a, b)))
+    assert Counter(x.doc_id for x in out["ngram_jaccard_join"]) == Counter(x.doc_id for x in out["line_dedup"] if x.doc_id is None or top[x.doc_id] == x.doc_id)
+    assert top[10**6 + 2] == 10**6
+
+    mixed = mixing.mix(scratch.keep(spark.createDataFrame(out["ngram_jaccard_join"], "doc_id long, text string, lang string, source string, n_chars long")), scratch)
+    want = Counter()
+    for x in mixed.collect():
+        want[x.doc_id] += len(x.copies)
+    assert Counter(x.doc_id for x in out["mixing"]) == +want
+
+    ids = [vocabulary_of(vocabulary()).documents(pa.array([x.text]), 1)[0] for x in out["mixing"]]
+    assert sum(len(x) for x in ids) == sum(x.length for x in out["best_fit_packing"])
+    final = corpus_pipeline.run(spark, d).collect()
+    assert Counter((x.doc_id, x.start, x.length, x.ids_crc32) for x in final) == Counter((x.doc_id, x.start, x.length, x.ids_crc32) for x in out["best_fit_packing"])
+    used = defaultdict(int)
+    for x in final:
+        used[x.sequence_id] += x.length
+    assert max(used.values()) <= 4096
+
+
+def test_pipeline_takes_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
-    got = corpus_pipeline.run(spark, SF)
-    assert {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns) and got.count() > 0
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_words_are_cut_between_documents():
