@@ -25,6 +25,7 @@ class Grid:
     caption: str = ""
     types: tuple[str, ...] | None = field(default=None, compare=False)
     pattern_error: str | None = None
+    merged_from: int = 1
 
     @property
     def columns(self) -> list[str]:

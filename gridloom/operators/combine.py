@@ -33,7 +33,7 @@ def merge_tables(grids: list[Grid]) -> Grid | None:
     for f in frames[1:]:
         df = df.union(f)
     df = df.withColumnRenamed(POS, "_at").orderBy("_src", "_at").withColumn(POS, F.monotonically_increasing_id()).drop("_src", "_at")
-    return base.with_df(adjacent_dedupe(df, base.columns).select(*base.df.columns))
+    return base.with_df(adjacent_dedupe(df, base.columns).select(*base.df.columns), merged_from=len(frames))
 
 
 def transposed(grid: Grid, most_rows: int = 20_000) -> Grid:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..sources.text import NUMERIC
 
 SIDES = ("left", "top", "right", "bottom")
 
@@ -80,14 +81,62 @@ def synthesised(items: list[dict]) -> tuple[list[list[str]], float]:
     return cells, filled / max(1, len(cells) * len(used))
 
 
-def rebuild(items: DataFrame) -> DataFrame:
-    """(region_id, r, cells, confidence) out of (region_id, text, left, top, right, bottom); regions are rebuilt side by side."""
+#: Pieces of text that a region takes at most, the first ones in order: what one view of a page can hold.
+ITEMS = 4000
+#: A header of a region has no cell longer than this.
+HEADER_CHARS = 60
+
+
+def visible_items(items: DataFrame, order: str = "nth", limit: int = ITEMS) -> DataFrame:
+    """The items (region_id, text, sides, visible, the region's box as box_left, ...) that are seen in their region: with text, a pixel wide and high, and inside its box in part; the first ``limit`` of each."""
+    inside = S.intersects({c: F.col(c) for c in SIDES}, {c: F.col(f"box_{c}") for c in SIDES})
+    seen = items.where(F.col("visible") & ~S.blank(F.col("text")) & (F.col("right") - F.col("left") >= 1) & (F.col("bottom") - F.col("top") >= 1) & inside)
+    seen = seen.withColumn("text", S.trimmed(F.regexp_replace("text", rf"[{S.SPACES}]+", " ")))
+    nth = F.row_number().over(Window.partitionBy("region_id").orderBy(order))
+    return seen.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_nth")
+
+
+def heads(cells: list[list[str]]) -> bool:
+    """Whether the first row is a header: no number in it, no long cell, and rows below."""
+    return len(cells) > 1 and not any(c and NUMERIC.match(c) for c in cells[0]) and all(len(c) <= HEADER_CHARS for c in cells[0])
+
+
+def rebuild(items: DataFrame, infer_headers: bool = True) -> DataFrame:
+    """(region_id, header, r, cells, confidence) out of (region_id, text, left, top, right, bottom); regions are rebuilt side by side.
+
+    A first row of short labels without numbers is the header, as row -1. A region's items meet in one task: ``visible_items`` bounds them.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         cells, share = synthesised(table.to_pylist())
-        return pa.table({"region_id": pa.array([key[0].as_py()] * len(cells), pa.string()), "r": pa.array(range(len(cells)), pa.int32()), "cells": pa.array(cells, pa.list_(pa.string())), "confidence": pa.array([share] * len(cells), pa.float64())})
+        head = int(infer_headers and heads(cells))
+        n = len(cells)
+        return pa.table({"region_id": pa.array([key[0].as_py()] * n, pa.string()), "header": pa.array([k < head for k in range(n)], pa.bool_()), "r": pa.array([k - head for k in range(n)], pa.int32()), "cells": pa.array(cells, pa.list_(pa.string())), "confidence": pa.array([share] * n, pa.float64())})
+
+    return items.select(F.col("region_id").cast("string"), "text", *[F.col(c).cast("double") for c in SIDES]).groupBy("region_id").applyInArrow(run, "region_id string, header boolean, r int, cells array<string>, confidence double")
+
+
+#: A table that a box covers less than this is offered in part too; text is read by its layout from this many pieces on.
+WHOLE, LAYOUT_ITEMS = 0.92, 4
 
-    return items.select(F.col("region_id").cast("string"), "text", *[F.col(c).cast("double") for c in SIDES]).groupBy("region_id").applyInArrow(run, "region_id string, r int, cells array<string>, confidence double")
+
+def candidates(boxes: DataFrame, tables: DataFrame, slices: DataFrame, layouts: DataFrame, keep: int = 3) -> DataFrame:
+    """(box_id, nth, kind, table_id, rows, columns): what a box may mean, the likeliest first.
+
+    boxes: box_id and sides; tables: table_id, grid (no markup), sides, rows, columns; slices: box_id, table_id, rows, columns,
+    partial; layouts: box_id, items, rows, columns of the text in each box. The ``keep`` tables that the box lies in most are
+    offered whole, before them their covered part if the box covers less than WHOLE of them; the layout comes last.
+    """
+    near = best_boxes(tables.select(F.col("table_id").alias("box_id"), *SIDES), boxes.select(F.col("box_id").alias("target_id"), *SIDES), keep).select(F.col("target_id").alias("box_id"), F.col("box_id").alias("table_id"), "rank")
+    about = tables.where("rows > 0").select("table_id", "grid", "rows", "columns", *[F.col(c).alias(f"t_{c}") for c in SIDES])
+    near = near.join(about, "table_id").join(boxes, "box_id").withColumn("covered", S.coverage({c: F.col(f"t_{c}") for c in SIDES}, {c: F.col(c) for c in SIDES}))
+    whole = near.select("box_id", (2 * F.col("rank") + 1).alias("at"), F.when(F.col("grid"), "grid").otherwise("table").alias("kind"), "table_id", "rows", "columns")
+    part = near.where((F.col("covered") < WHOLE) & ~F.col("grid")).select("box_id", "table_id", "rank").join(slices.where("partial and rows > 0"), ["box_id", "table_id"])
+    part = part.select("box_id", (2 * F.col("rank")).alias("at"), F.lit("slice").alias("kind"), "table_id", "rows", "columns")
+    layout = layouts.where((F.col("items") >= LAYOUT_ITEMS) & (F.col("columns") >= 2) & (F.col("rows") >= 1)).select("box_id", F.lit(2 * keep + 2).alias("at"), F.lit("layout").alias("kind"), F.lit(None).cast("long").alias("table_id"), "rows", "columns")
+    every = whole.unionByName(part).unionByName(layout)
+    # at most 2 * keep + 1 rows a box
+    return every.withColumn("nth", F.row_number().over(Window.partitionBy("box_id").orderBy("at"))).drop("at")
 
 
 def best_boxes(boxes: DataFrame, targets: DataFrame, keep: int = 3, cell: float = 256.0) -> DataFrame:

@@ -8,6 +8,7 @@ import subprocess
 import sys
 import time
 from dataclasses import asdict, dataclass, field
+from dataclasses import replace as changed
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors.exceptions.captured import CapturedException, IllegalArgumentException
@@ -50,6 +51,30 @@ class GridSpec:
     limit: int = 0
     transpose: bool = False
 
+    def showing_all(self) -> GridSpec:
+        return changed(self, hidden=frozenset())
+
+    def showing_one(self, width: int) -> GridSpec:
+        """All columns hidden but the first in order: a table without columns is of no use."""
+        first = next((c for c in (*self.order, *range(width)) if 0 <= c < width), None)
+        return changed(self, hidden=frozenset(range(width)) - {first})
+
+    def columns_reset(self) -> GridSpec:
+        return changed(self, hidden=frozenset(), renames={}, order=())
+
+    @staticmethod
+    def reset() -> GridSpec:
+        """The table as it came; blank rows go all the same."""
+        return GridSpec()
+
+    def sort_toggled(self, column: int) -> GridSpec:
+        """Ascending first, then descending, then unsorted; another column starts anew. A turned table is not sorted."""
+        if self.transpose:
+            return self
+        if not self.sort or self.sort.column != column:
+            return changed(self, sort=Sort(column))
+        return changed(self, sort=Sort(column, "desc") if self.sort.direction == "asc" else None)
+
     def to_json(self) -> str:
         return json.dumps(asdict(self) | {"hidden": sorted(self.hidden)})
 

@@ -7,7 +7,7 @@ import re
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sinks
@@ -15,13 +15,14 @@ from .functions import scalar as S
 from .grid import POS, Grid, carried_last, from_dataframe
 from .operators.combine import adjacent_dedupe, merge_tables, transposed
 from .operators.profile import column_stats, inferred
-from .operators.region import best_boxes, rebuild
+from .operators.readings import readings, refound
+from .operators.region import best_boxes, candidates, rebuild, visible_items
 from .operators.slicing import slice_tables
 from .plans.pipeline import apply_spec, ranked
 from .plans.spec import GridSpec, Replace, Sort, header_case
 from .sources.reader import json_records, table_rows
 from .sources.text import detect_format, sniff_delimiter
-from .streaming.capture import first_wins, last_wins, looks_next, page_signature
+from .streaming.capture import first_wins, last_wins, looks_next, page_signature, pages_taken, scroll_stops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -423,3 +424,83 @@ def next_labels(spark, d):
 def page_signatures(spark, d):
     pages = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min("text").alias("text"))
     return pages.select("conv_id", page_signature(F.col("text"), F.col("n")).alias("signature"))
+
+
+_STEPS = """select user_id as capture_id, row_number() over w as step, (event_id % 7) // 3 as gain, event_id % 5 = 0 as still, event_id % 97 = 1 as asked_to_stop from events window w as (partition by user_id order by event_id)"""
+_WALK = f"""with recursive s as ({_STEPS}), walk as (
+select capture_id, 0::bigint as step, 0::bigint as scrolls, 0::bigint as rows, 0::bigint as top, 0::bigint as stalls, 0::bigint as stuck, null::varchar as reason from s where step = 1
+union all select capture_id, step, case when asked_to_stop or (still and (top >= 396 or stuck >= 2)) then scrolls else scrolls + 1 end, case when asked_to_stop then rows else rows + gain end, case when still then top else top + 100 end,
+case when gain = 0 and step > 1 then stalls + 1 else 0 end, case when still then stuck + 1 else 0 end,
+case when asked_to_stop then 'asked' when still and top >= 396 then 'end' when still and stuck >= 2 then 'stuck' when gain = 0 and step > 1 and stalls >= 3 then 'stalled' end
+from (select w.*, x.step as next_step, x.gain, x.still, x.asked_to_stop from walk w join s x on x.capture_id = w.capture_id and x.step = w.step + 1 where w.reason is null) as t(capture_id, old_step, scrolls, rows, top, stalls, stuck, reason_before, step, gain, still, asked_to_stop))
+select capture_id, scrolls, coalesce(reason, 'open') as reason, coalesce(reason, 'open') not in ('asked', 'open') as complete, coalesce(reason, '') = 'asked' as stopped from walk qualify row_number() over (partition by capture_id order by step desc) = 1"""
+
+
+@query(_WALK)
+def scroll_walks(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    s = read(spark, d, "events").select(F.col("user_id").alias("capture_id"), F.row_number().over(w).alias("step"), F.floor(F.col("event_id") % 7 / 3).alias("gain"), (F.col("event_id") % 5 == 0).alias("still"), (F.col("event_id") % 97 == 1).alias("asked_to_stop"))
+    upto = Window.partitionBy("capture_id").orderBy("step")
+    s = s.withColumn("rows", F.sum("gain").over(upto)).withColumn("moved_to", F.sum(F.when(F.col("still"), 0).otherwise(100)).over(upto))
+    s = s.withColumns({"moved_from": F.col("moved_to") - F.when(F.col("still"), 0).otherwise(100), "viewport": F.lit(600), "height": F.lit(1000)})
+    return scroll_stops(s).select("capture_id", "scrolls", "reason", "complete", "stopped")
+
+
+_PAGES = "select conv_id as capture_id, turn as page, role as signature, length(text) % 9 as rows, (conv_id + turn) % 6 <> 0 as has_next, (conv_id * 7 + turn) % 11 = 0 as asked_to_stop from conversations"
+_TAKEN = f"""with recursive p as (select *, row_number() over (partition by capture_id order by page) as k from ({_PAGES})), walk as (select capture_id, page, k, signature, rows, has_next, asked_to_stop from p where k = 1
+union all select x.capture_id, x.page, x.k, x.signature, x.rows, x.has_next, x.asked_to_stop from walk w join p x on x.capture_id = w.capture_id and x.k = w.k + 1 where w.has_next and not w.asked_to_stop and x.signature <> w.signature and x.rows > 0 and x.k <= 100)
+select w.capture_id, w.page, max(not l.asked_to_stop and (not l.has_next or n.k is not null)) over (partition by w.capture_id) as complete
+from walk w join (select * from walk qualify row_number() over (partition by capture_id order by k desc) = 1) l on l.capture_id = w.capture_id left join p n on n.capture_id = l.capture_id and n.k = l.k + 1"""
+
+
+@query(_TAKEN)
+def paged_walks(spark, d):
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("capture_id"), F.col("turn").alias("page"), F.col("role").alias("signature"), (F.length("text") % 9).alias("rows"), ((F.col("conv_id") + F.col("turn")) % 6 != 0).alias("has_next"), ((F.col("conv_id") * 7 + F.col("turn")) % 11 == 0).alias("asked_to_stop"))
+    return pages_taken(c).select("capture_id", "page", "complete")
+
+
+@query("""select c_custkey as capture_id, min(n_nationkey) as nth from customer join nation on n_regionkey = c_nationkey % 5 and length(n_name) = 4 + c_custkey % 4 group by 1""")
+def refound_tables(spark, d):
+    tables = read(spark, d, "nation").select(F.col("n_regionkey").alias("page_id"), F.col("n_nationkey").alias("nth"), F.length("n_name").alias("columns"))
+    captures = read(spark, d, "customer").select(F.col("c_custkey").alias("capture_id"), (F.col("c_nationkey") % 5).alias("page_id"), (4 + F.col("c_custkey") % 4).cast("int").alias("columns"))
+    return refound(tables, captures).select("capture_id", "nth")
+
+
+@query("""with x as (select n_regionkey as e, n_nationkey as k, n_name as name from nation)
+select e::bigint as element_id, case e when 0 then 'registry' when 1 then 'layout' when 2 then 'text' else 'table' end as how, k::varchar || '|' || name as line from x where e < 4""")
+def readings_of_elements(spark, d):
+    n = read(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("element_id"), F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name"))
+    registry = n.where("element_id = 0").select("element_id", F.lit(False).alias("header"), F.col("k").cast("int").alias("r"), F.array("k", "name").alias("cells"))
+    cells = F.array(*[F.struct(F.lit(i * 100.0).alias("left"), F.col(c).alias("text")) for i, c in enumerate(("k", "name"))])
+    items = n.where("element_id in (0, 1, 3)").select("element_id", (F.col("k").cast("double") * 20).alias("top"), F.inline(cells))
+    items = items.select("element_id", "text", "left", "top", (F.col("left") + 60).alias("right"), (F.col("top") + 12).alias("bottom"))
+    rows = n.groupBy("element_id").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("x"))
+    table = F.concat(F.lit("<div><table><tr><td>"), F.array_join(F.transform("x", lambda y: F.concat(y["k"], F.lit("</td><td>"), y["name"])), "</td></tr><tr><td>"), F.lit("</td></tr></table></div>"))
+    text = F.array_join(F.transform("x", lambda y: F.concat(y["k"], F.lit(","), y["name"])), "\n")
+    elements = rows.select("element_id", F.when(F.col("element_id") == 3, table).otherwise("<p>x</p>").alias("html"), F.when(F.col("element_id") == 2, text).when(F.col("element_id") == 4, "no table here").otherwise("").alias("text"))
+    return readings(elements, registry, items).where("not header").select("element_id", "how", F.array_join("cells", "|").alias("line"))
+
+
+@query("""with b as (select p_partkey as box_id, (p_partkey % 13) * 40.0 as l, p_size * 10.0 as t from part where p_partkey % 50 = 0), t as (select p_partkey as table_id, (p_partkey % 17) * 30.0 as l, p_size * 12.0 as t, p_partkey % 3 = 0 as grid, p_partkey % 5 as rows from part),
+m as (select b.box_id, t.table_id, t.grid, t.rows, greatest(0, least(b.l + 50, t.l + 60) - greatest(b.l, t.l)) * greatest(0, least(b.t + 40, t.t + 30) - greatest(b.t, t.t)) as a from b join t on b.l < t.l + 60 and b.l + 50 > t.l and b.t < t.t + 30 and b.t + 40 > t.t),
+r as (select *, row_number() over (partition by box_id order by a desc, table_id) as rank from m), k as (select * from r where rank <= 3 and rows > 0),
+every as (select box_id, 2 * rank + 1 as p, case when grid then 'grid' else 'table' end as kind, table_id from k union all select box_id, 2 * rank, 'slice', table_id from k where a / 1800.0 < 0.92 and not grid and table_id % 2 = 0 union all select box_id, 8, 'layout', null from b where box_id % 4 = 0)
+select box_id, kind, table_id, row_number() over (partition by box_id order by p) as nth from every""")
+def box_candidates(spark, d):
+    p = read(spark, d, "part")
+    boxes = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("box_id"), (F.col("p_partkey") % 13 * 40.0).alias("left"), (F.col("p_size") * 10.0).alias("top"))
+    boxes = boxes.withColumns({"right": F.col("left") + 50, "bottom": F.col("top") + 40})
+    tables = p.select(F.col("p_partkey").alias("table_id"), (F.col("p_partkey") % 17 * 30.0).alias("left"), (F.col("p_size") * 12.0).alias("top"), (F.col("p_partkey") % 3 == 0).alias("grid"), (F.col("p_partkey") % 5).alias("rows"), F.lit(2).alias("columns"))
+    tables = tables.withColumns({"right": F.col("left") + 60, "bottom": F.col("top") + 30})
+    met = best_boxes(tables.withColumnRenamed("table_id", "box_id"), boxes.withColumnRenamed("box_id", "target_id")).select(F.col("target_id").alias("box_id"), F.col("box_id").alias("table_id"))
+    slices = met.join(tables.select("table_id", "rows", "columns"), "table_id").withColumn("partial", F.col("table_id") % 2 == 0)
+    layouts = boxes.select("box_id", F.lit(9).alias("items"), F.lit(3).alias("rows"), F.when(F.col("box_id") % 4 == 0, 2).otherwise(1).alias("columns"))
+    return candidates(boxes, tables, slices, layouts).select("box_id", "kind", "table_id", "nth")
+
+
+@query("select doc_id as region_id, turn as nth from (select conv_id as doc_id, turn, text, row_number() over (partition by conv_id order by turn) as k from conversations where turn % 3 <> 1 and turn < 7) where k <= 3")
+def items_in_view(spark, d):
+    c = read(spark, d, "conversations")
+    items = c.select(F.col("conv_id").alias("region_id"), F.col("turn").alias("nth"), "text", F.lit(0.0).alias("left"), F.lit(90.0).alias("right"), (F.col("turn") * 10.0).alias("top"), (F.col("turn") * 10.0 + 9).alias("bottom"), (F.col("turn") % 3 != 1).alias("visible"))
+    items = items.withColumns({"box_left": F.lit(0.0), "box_top": F.lit(-5.0), "box_right": F.lit(50.0), "box_bottom": F.lit(70.0)})
+    return visible_items(items, limit=3).select("region_id", "nth")

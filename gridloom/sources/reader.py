@@ -6,16 +6,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..grid import POS, Grid
-from .text import detect_format, parse_text, sniff_delimiter
+from ..grid import POS, Grid, unique_names
+from .text import detect_format, is_header, padded, parse_text, sniff_delimiter, split_delimited
 
-CELLS = "id long, fmt string, header boolean, r int, cells array<string>"
+CELLS = "id long, fmt string, header boolean, r int, cells array<string>, error string"
+#: Where Spark's reader puts a record that is not as long as the schema.
+BROKEN = "_broken"
 #: Columns that the keys of JSON Lines may make.
 MAX_KEYS = 10_000
 
 
 def table_rows(blobs: DataFrame, id_col: str, text_col: str, fmt: str = "auto", has_header: bool | None = None) -> DataFrame:
-    """(id, fmt, header, r, cells): the rows of the table in each text, its headers as row -1. Texts are parsed side by side."""
+    """(id, fmt, header, r, cells, error): the rows of the table in each text, its headers as row -1. Texts are parsed side by side.
+
+    A text that cannot be parsed gives one row with header true, no cells and what is wrong in error, which is null elsewhere.
+    """
 
     def run(batches):
         for batch in batches:
@@ -24,13 +29,13 @@ def table_rows(blobs: DataFrame, id_col: str, text_col: str, fmt: str = "auto",
                 try:
                     table, used = parse_text(text or "", fmt, has_header)
                 except ValueError as e:
-                    out.append((i, f"error: {e}", False, -1, []))
+                    out.append((i, fmt, True, -1, [], str(e)))
                     continue
-                out.append((i, used, True, -1, table.headers))
-                out += [(i, used, False, r, row) for r, row in enumerate(table.rows)]
+                out.append((i, used, True, -1, table.headers, None))
+                out += [(i, used, False, r, row, None) for r, row in enumerate(table.rows)]
             if out:
-                types = [pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["id", "fmt", "header", "r", "cells"])
+                types = [pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["id", "fmt", "header", "r", "cells", "error"])
 
     return blobs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, CELLS)
 
@@ -44,16 +49,87 @@ def read_text(spark: SparkSession, text: str, fmt: str = "auto", has_header: boo
     return Grid(spark.createDataFrame(rows, schema), tuple(table.headers), tuple(range(width)), table.caption)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True) -> Grid:
-    """A grid of delimited files of any size, by Spark's reader; a first piece tells the delimiter."""
-    head = "\n".join(r[0] for r in spark.read.text(path).limit(20).collect())
-    fmt = detect_format(head)
-    delimiter = delimiter or ("\t" if fmt == "tsv" else sniff_delimiter(head))
-    df = spark.read.csv(path, sep=delimiter, header=header, quote='"', escape='"', multiLine=True, inferSchema=False, enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    rows = df.select(F.monotonically_increasing_id().alias(POS), *cells)
-    names = [f"c{i}" for i in range(len(df.columns))]
-    return Grid(rows.where(F.exists(F.array(*names), lambda x: F.trim(x) != "")), tuple(df.columns), tuple(range(len(names))))
+def widest(df: DataFrame, last: str) -> int:
+    """Cells of the longest record, or 0 if some record has more than there are columns."""
+    names = [c for c in df.columns if c != BROKEN]
+    # a record that is not as long as the schema is marked as broken; one that fills it all the same is longer
+    seen = df.agg(F.max(F.col(BROKEN).isNotNull() & F.col(last).isNotNull()).alias("more"), F.max(F.greatest(*[F.when(F.col(c).isNotNull(), i).otherwise(0) for i, c in enumerate(names, 1)], F.lit(0))).alias("n")).first()
+    return 0 if seen["more"] else seen["n"] or 0
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, multi_line: bool | None = None) -> Grid:
+    """A grid of delimited files of any size, by Spark's reader; a first piece tells the delimiter and, unless given, whether there is a header.
+
+    Columns are as many as the widest record has cells; shorter ones are filled up, blank ones go. Files are split among tasks unless
+    quotes hold newlines (``multi_line``), which is looked for unless it is given. The order is that of paths and of places within them.
+    """
+    lines = spark.read.text(path)
+    first = [r[0] for r in lines.limit(50).collect()]
+    head = "\n".join(first).removeprefix("\ufeff")
+    delimiter = delimiter or ("\t" if detect_format(head) == "tsv" else sniff_delimiter(head))
+    if multi_line is None:
+        multi_line = not lines.where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+    sample = split_delimited(head, delimiter)
+    if header is None:
+        header = len(sample) > 1 and is_header(padded(sample)[0])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "nullValue": "\x00", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    width, n = 0, max(1, max(map(len, sample), default=1)) + 1
+    while not width:
+        names = [f"c{i}" for i in range(n)]
+        df = spark.read.schema(", ".join([*(f"{c} string" for c in names), f"{BROKEN} string"])).csv(path, **options)
+        width = widest(df, names[-1])
+        if not width and df.select("c0").isEmpty():
+            return Grid(spark.createDataFrame([], f"{POS} long"), (), ())
+        n *= 2
+    names = names[:width]
+    cells = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in names]
+    place = df.select(F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_file"), F.monotonically_increasing_id().alias(POS), *cells)
+    if len(df.inputFiles()) > 1:
+        place = place.orderBy("_file", POS).withColumn(POS, F.monotonically_increasing_id())
+    rows = place.drop("_file").where(F.exists(F.array(*names), lambda x: F.trim(x) != ""))
+    top = rows.orderBy(POS).limit(1).first() if width else None
+    labels = [top[c] for c in names] if top else []
+    if labels:
+        labels[0] = labels[0].removeprefix("\ufeff")
+        rows = rows.where(F.col(POS) > top[POS]) if header else rows.withColumn("c0", F.when(F.col(POS) == top[POS], F.ltrim("c0", F.lit("\ufeff"))).otherwise(F.col("c0")))
+    return Grid(rows.select(POS, *names), tuple(unique_names(labels if header else [""] * width)), tuple(range(width)))
+
+
+def sampled_format(head: str) -> str:
+    """The format that the first lines of a file tell; JSON that goes on beyond them counts by how it begins."""
+    found = detect_format(head)
+    return "json" if found in ("csv", "tsv") and head.lstrip("\ufeff \t\n")[:1] in ("[", "{") else found
+
+
+def read_grid(spark: SparkSession, path: str, fmt: str = "auto", has_header: bool | None = None, delimiter: str | None = None) -> Grid:
+    """A grid of files in any format that texts may have; ``auto`` tells it by the first lines.
+
+    Delimited files and JSON Lines may have any size. JSON, Markdown and HTML are parsed a file at a time, by one task each; of
+    several files with one table each the rows follow one another in the order of paths, under the first one's headers.
+    """
+    if fmt == "auto":
+        fmt = sampled_format("\n".join(r[0] for r in spark.read.text(path).limit(50).collect()))
+    if fmt in ("csv", "tsv"):
+        return read_delimited(spark, path, "\t" if fmt == "tsv" else delimiter, has_header)
+    if fmt == "jsonl":
+        lines = spark.read.text(path).select(F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_file"), F.monotonically_increasing_id().alias("_at"), "value").where(F.trim("value") != "")
+        lines = lines.orderBy("_file", "_at").withColumn("_at", F.monotonically_increasing_id())
+        if not lines.where(F.try_parse_json("value").isNull()).isEmpty():
+            raise ValueError("a line is not JSON")
+        df, keys = json_records(lines, "value", "_at")
+        return Grid(df, tuple(unique_names(keys)), tuple(range(len(keys))))
+    texts = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value").orderBy("file_path").select(F.monotonically_increasing_id().alias("id"), "value")
+    rows = table_rows(texts, "id", "value", fmt, has_header)
+    told = rows.where("header").orderBy("id").collect()  # one row a file
+    for r in told:
+        if r["error"]:
+            raise ValueError(r["error"])
+    headers = next((r["cells"] for r in told), [])
+    width = max((len(r["cells"]) for r in told), default=0)
+    headers = unique_names([*headers, *[""] * (width - len(headers))])
+    cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(width)]
+    out = rows.where("not header").select(F.monotonically_increasing_id().alias(POS), "id", "r", *cells).orderBy("id", "r")
+    return Grid(out.select(F.monotonically_increasing_id().alias(POS), *[f"c{i}" for i in range(width)]), tuple(headers), tuple(range(width)))
 
 
 def json_records(lines: DataFrame, text_col: str, order_col: str) -> tuple[DataFrame, list[str]]:

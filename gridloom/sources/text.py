@@ -88,6 +88,12 @@ def padded(rows: list[list[str]]) -> list[list[str]]:
     return [r + [""] * (width - len(r)) for r in rows]
 
 
+def is_header(row: list[str]) -> bool:
+    first = [c.strip() for c in row]
+    filled = [c for c in first if c]
+    return not any(NUMERIC.match(c) for c in filled) and len(filled) >= max(1, int(0.6 * len(row))) and all(len(c) <= 80 for c in row)
+
+
 def to_table(rows: list[list[str]], has_header: bool | None = None) -> Table:
     """Header inference: no number in the first row, most of it filled, no long cell."""
     from ..grid import unique_names
@@ -95,9 +101,7 @@ def to_table(rows: list[list[str]], has_header: bool | None = None) -> Table:
     rows = padded(rows)
     width = len(rows[0]) if rows else 0
     if has_header is None:
-        first = [c.strip() for c in rows[0]] if rows else []
-        filled = [c for c in first if c]
-        has_header = len(rows) > 1 and not any(NUMERIC.match(c) and re.search(r"\d", c) for c in filled) and len(filled) >= max(1, int(0.6 * width)) and all(len(c) <= 80 for c in first)
+        has_header = len(rows) > 1 and is_header(rows[0])
     if has_header and rows:
         return Table(unique_names(rows[0]), rows[1:])
     return Table([f"Column {i + 1}" for i in range(width)], rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,9 @@ def accumulate(stream: DataFrame, path: str, index: str, arrival: str, values: l
         if n:
             new = last_wins(spark.read.parquet(f"{path}/v{n - 1}").unionByName(new), index, arrival, [arrival, *values])
         new.write.mode("overwrite").parquet(f"{path}/v{n}")
+        if n > 1:  # the one before stays, for a batch that runs again
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -61,6 +64,55 @@ def grown(original: int, collected: int) -> tuple[bool, int]:
     return (True, collected - original) if collected > original else (False, 0)
 
 
+#: When a walk down a table ends: steps, steps without a new row, steps without movement, pixels from the end that count as the end; pages.
+MOST_STEPS, STALLED, STUCK, AT_END, MOST_PAGES = 600, 4, 3, 4, 100
+
+
+def run_of(same: Column, walk: Window) -> Column:
+    """How many rows in a row, this one included, ``same`` has held."""
+    at = F.row_number().over(walk)
+    return at - F.coalesce(F.max(F.when(~same, at)).over(walk.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+
+
+def scroll_stops(steps: DataFrame) -> DataFrame:
+    """(capture_id, scrolls, rows, reason, complete, stopped): where each walk down a table ends; a step that ends it by not moving is no scroll.
+
+    steps: capture_id, step (from 1), rows (known after it), moved_from, moved_to, viewport, height, asked_to_stop. A walk ends when it is
+    asked to, at the end of what scrolls, after STUCK steps without movement or STALLED steps without a new row, or after MOST_STEPS.
+    ``complete`` says that nothing but the number of steps or a request ended it.
+    """
+    walk = Window.partitionBy("capture_id").orderBy("step")
+    still = F.col("moved_to") == F.col("moved_from")
+    end = still & (F.col("moved_to") + F.col("viewport") >= F.col("height") - AT_END)
+    reason = (
+        F.when(F.col("asked_to_stop"), "asked").when(end, "end").when(run_of(still, walk) >= STUCK, "stuck")
+        .when(run_of(F.col("_same"), walk) >= STALLED, "stalled").when(F.col("step") >= MOST_STEPS, "steps")
+    )
+    told = steps.withColumn("_same", F.coalesce(F.col("rows") == F.lag("rows").over(walk), F.lit(False))).withColumn("reason", reason)
+    last = F.coalesce(F.min(F.when(F.col("reason").isNotNull(), F.col("step"))).over(Window.partitionBy("capture_id")), F.max("step").over(Window.partitionBy("capture_id")))
+    out = told.withColumn("_last", last).where("step = _last")
+    why = F.coalesce("reason", F.lit("open"))
+    return out.select("capture_id", (F.col("step") - why.isin("asked", "end", "stuck").cast("int")).alias("scrolls"), "rows", why.alias("reason"), (~why.isin("asked", "steps", "open")).alias("complete"), (why == "asked").alias("stopped"))
+
+
+def pages_taken(pages: DataFrame) -> DataFrame:
+    """The pages of each capture that a walk through them takes, with ``complete``: whether it came to their end.
+
+    pages: capture_id, page (from 1), signature, rows, has_next (a control leads on), asked_to_stop. The walk ends before a page that it is
+    asked not to turn to, after one without a control, before one whose signature is the last one's or that has no rows, and after MOST_PAGES.
+    """
+    walk = Window.partitionBy("capture_id").orderBy("page")
+    before = lambda c: F.lag(c).over(walk)
+    first = F.col("page") == F.min("page").over(Window.partitionBy("capture_id"))
+    why = F.when(first, None).when(F.row_number().over(walk) > MOST_PAGES, "pages").when(F.coalesce(before("asked_to_stop"), F.lit(False)), "asked").when(~before("has_next"), "end").when(F.col("signature") == before("signature"), "end").when(F.col("rows") == 0, "end")
+    told = pages.withColumn("_why", why)
+    upto = F.min(F.when(F.col("_why").isNotNull(), F.col("page"))).over(Window.partitionBy("capture_id"))
+    told = told.withColumn("_stop", upto).where(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop")))
+    last = F.max(F.struct("page", "_why", "has_next", "asked_to_stop")).over(Window.partitionBy("capture_id"))
+    ended = F.when(last["_why"].isNotNull(), last["_why"] == "end").otherwise(~last["has_next"] & ~last["asked_to_stop"])
+    return told.withColumn("complete", ended).where("_why is null").drop("_why", "_stop")
+
+
 def accumulate_distinct(stream: DataFrame, keys: list[str], event_time: str | None = None, late: str = "1 hour") -> DataFrame:
     """First-seen rows of a stream; with an event time, state is dropped once rows are too late."""
     if event_time:

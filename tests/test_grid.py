@@ -17,7 +17,8 @@ from gridloom.sources import reader
 from gridloom.sources.html import BLANK, MARK, Options, find_tables, largest_table
 from gridloom.sources.reader import read_text
 from gridloom.sources.text import detect_format, parse_text, sniff_delimiter
-from gridloom.operators.region import synthesised
+from gridloom.operators.combine import merge_tables
+from gridloom.operators.region import rebuild, synthesised
 from gridloom.streaming.capture import accumulate, grown
 
 
@@ -173,3 +174,49 @@ def test_positions_of_typed_tables(spark):
     df = spark.createDataFrame([(3, 1.5), (1, None)], "k int, x double")
     g = from_dataframe(df, "k")
     assert g.df.columns == [POS, "c0", "c1"] and cells(g) == [["1", ""], ["3", "1.5"]]
+
+
+FILES = {
+    "a.csv": ("\ufeffa,b\n1,2,3\n\n4\n", ("a", "b", "Column 3"), [("1", "2", "3"), ("4", "", "")]), "h.csv": ("1,2\n3,4\n", ("Column 1", "Column 2"), [("1", "2"), ("3", "4")]),
+    "q.csv": ('name,note\n"a, ""b""","two\nlines"\nc,d\n', ("name", "note"), [('a, "b"', "two\nlines"), ("c", "d")]), "t.tsv": ("a\tb\nx,y\t2\n", ("a", "b"), [("x,y", "2")]),
+    "j.json": ('[{"a":1,"b":null},\n{"b":true,"c":{"x":[1]}}]', ("a", "b", "c"), [("1", "", ""), ("", "true", '{"x":[1]}')]), "l.jsonl": ('{"a":1}\n\n{"b":"x","a":2}\n', ("a", "b"), [("1", ""), ("2", "x")]),
+    "m.md": ("| Name | Qty |\n|---|--:|\n| Bolt \\| big | 2 |\n", ("Name", "Qty"), [("Bolt | big", "2")]), "t.html": ("<table><tr><th>a<th>b</tr><tr><td>1<td>2</tr></table>", ("a", "b"), [("1", "2")]),
+    "e.csv": ("", (), []), "b.csv": ('a,b\n,\n"",7\n', ("a", "b"), [("", "7")]),
+}
+
+
+@pytest.mark.parametrize("name", list(FILES))
+def test_files_of_every_format(spark, tmp_path, name):
+    text, headers, rows = FILES[name]
+    (tmp_path / name).write_text(text)
+    g = reader.read_grid(spark, str(tmp_path / name))
+    assert g.headers == headers and g.preview() == rows
+
+
+def test_several_files_in_order_and_a_broken_one(spark, tmp_path):
+    for i in (2, 1, 3):
+        (tmp_path / f"{i}.csv").write_text("k,v\n" * (i == 1) + f"{i},a\n{i},b\n")
+    assert [r[0] for r in reader.read_grid(spark, str(tmp_path), has_header=True).preview()] == ["1", "1", "2", "2", "3", "3"]
+    (tmp_path / "x.jsonl").write_text('{"a":1}\n{"a":2}\nnot json\n')
+    with pytest.raises(ValueError):
+        reader.read_grid(spark, str(tmp_path / "x.jsonl"))
+    bad = reader.table_rows(spark.createDataFrame([(1, "{"), (2, '[{"a":1}]')], "id long, text string"), "id", "text", "json").collect()
+    assert [(r.id, r.header, r.error is None) for r in bad] == [(1, True, False), (2, True, True), (2, False, True)]
+
+
+def test_specs_by_the_click():
+    spec = GridSpec(order=(2, 0), hidden=frozenset({1}), renames={0: "x"}, sort=Sort(1))
+    assert spec.showing_one(3).hidden == {0, 1} and spec.showing_all().hidden == frozenset() and spec.columns_reset() == GridSpec(sort=Sort(1)) and GridSpec.reset() == GridSpec()
+    assert spec.sort_toggled(1).sort == Sort(1, "desc") and spec.sort_toggled(1).sort_toggled(1).sort is None and spec.sort_toggled(0).sort == Sort(0)
+
+
+def test_regions_with_headers(spark):
+    rows = [("a", "Name", 0, 0), ("a", "Qty", 100, 0), ("a", "Nut", 0, 20), ("a", "3", 100, 20), ("b", "1", 0, 0), ("b", "2", 100, 0), ("b", "3", 0, 20), ("b", "4", 100, 20)]
+    df = spark.createDataFrame([(i, t, float(x), float(y), x + 40.0, y + 10.0) for i, t, x, y in rows], "region_id string, text string, left double, top double, right double, bottom double")
+    got = sorted((r.region_id, r.header, r.r, r.cells) for r in rebuild(df).collect())
+    assert got == [("a", False, 0, ["Nut", "3"]), ("a", True, -1, ["Name", "Qty"]), ("b", False, 0, ["1", "2"]), ("b", False, 1, ["3", "4"])]
+
+
+def test_merges_say_from_how_many(spark):
+    one, two = read_text(spark, "a,b\n1,2", "csv", True), read_text(spark, "a\n1", "csv", True)
+    assert merge_tables([one, one, two]).merged_from == 2 and cells(merge_tables([one, one])) == [["1", "2"]]
