@@ -359,10 +359,10 @@ def html_span_fill(spark, d):
     return rows.select(F.get("cells", F.lit(1)).cast("int").alias("n_nationkey"), F.get("cells", F.lit(2)).alias("n_name"), F.get("cells", F.lit(0)).alias("r_name"))
 
 
-@query("select count(*) as n_tables from pages where html like '%<table%'")
+@query("select count(*) filter (html like '%<table%') as n_tables, count(*) filter (html not like '%<table%') as n_without from pages")
 def html_pages_without_tables(spark, d):
     rows = table_rows(read(spark, d, "pages"), "page_id", "html", "html")
-    return rows.where("header").agg(F.count("*").alias("n_tables"))
+    return rows.where("header").agg(F.count_if(F.col("error").isNull()).alias("n_tables"), F.count_if(F.col("error").isNotNull()).alias("n_without"))
 
 
 @query("""with b as (select p_partkey as id, p_size * 10.0 as l, (p_partkey % 100) * 10.0 as t from part),
