@@ -112,7 +112,7 @@ def templates(left: DataFrame, scratch: Scratch, variants: int, share: float) ->
     by_docs = Window.partitionBy("leaf").orderBy(F.desc("docs"), F.desc("whole"))
     while True:
         open_leaves = left.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= variants)).select("leaf")
-        left = scratch.keep(left.join(open_leaves, "leaf", "left_semi"))
+        left = scratch.keep(left.join(scratch.keep(open_leaves), "leaf", "left_semi"))
         if found is not None and left.isEmpty():
             return found
         ranked = left.withColumn("rank", F.row_number().over(by_docs)).where(F.col("rank") <= CANDIDATES)
@@ -131,7 +131,8 @@ def recurring(docs: DataFrame, scratch: Scratch, min_tokens: int = 3, min_chars:
 
     # masked lines with the number of documents that have them
     each = scratch.keep(found.where("leaf is not null").select("leaf", "whole", "doc").distinct().groupBy("leaf", "whole").agg(F.count("*").alias("docs")))
-    mixed = each.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= variants)).select("leaf")
+    # written, so that a leaf with many lines can be split where it meets them
+    mixed = scratch.keep(each.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= variants)).select("leaf"))
     samples = found.join(mixed, "leaf", "left_semi").groupBy("leaf", "whole").agg(F.min("codes").alias("codes"))
     samples = scratch.keep(samples.join(each, ["leaf", "whole"]).select("leaf", "whole", "docs", "codes"))
     # a line outside any template stands for itself

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import random
 import re
 import unicodedata
@@ -42,6 +43,7 @@ PATTERNS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("iban", _DIGITS, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("card", _DIGITS, re.compile(r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d.]\d)(?!\d)")),
     ("ip", _DIGITS, re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)")),
+    ("ipv6", ("::", ":"), re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?=:)|(?=::))[0-9A-Fa-f:]{2,38}(?![\w:]|\.\d)")),
     ("ssn", ("-",), re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", _DIGITS, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\d)")),
 ]
@@ -71,6 +73,19 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def is_ipv6(value: str) -> bool:
+    try:
+        return value.count(":") > 2 and bool(ipaddress.IPv6Address(value))
+    except ValueError:
+        return False
+
+
+def iban_check(country: str, account: str) -> str:
+    """The two digits by which an account number passes the check of its country's kind: the whole leaves 1 modulo 97."""
+    number = "".join(str(int(c, 36)) for c in f"{account}{country}00")
+    return f"{98 - int(number) % 97:02d}"
+
+
 def script_of(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
@@ -95,6 +110,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 digits = re.sub(r"\D", "", value)
                 if not 13 <= len(digits) <= 19 or (len(digits) != 16 and luhn(digits[:-1]) != int(digits[-1])):
                     continue
+            if kind == "ipv6" and not is_ipv6(value):
+                continue
             found.append((start, end, kind, value))
     names = []
     for m in _GIVEN.finditer(text) if any(n in text for n in _BY_NAME) else ():
@@ -201,7 +218,14 @@ def surrogate(key: bytes, kind: str, value: str, turn: int = 0, domain_turn: int
     if kind == "access_key":
         return value[:4] + reshaped(value[4:], r, fixed)
     if kind == "iban":
-        return value[:2] + reshaped(value[2:], r, fixed)
+        plain = value.replace(" ", "")
+        new = value[:2] + reshaped(value[2:], r, fixed)
+        if iban_check(plain[:2], plain[4:]) == plain[2:4]:  # only what passed the check passes it afterwards
+            new = new[:2] + iban_check(new[:2], new[4:].replace(" ", "")) + new[4:]
+        return new
+    if kind == "ipv6":
+        new = "2001:db8" + "".join(f":{r.below(1 << 16):x}" for _ in range(6))
+        return new.upper() if value.isupper() else new
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
         return "".join("0123456789abcdef"[r.below(16)] for _ in range(len(value) + longer))
     if kind == "surname":

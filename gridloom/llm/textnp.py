@@ -15,7 +15,7 @@ _powers = [np.ones(1, U), np.ones(1, U)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i below n."""
     if len(_powers[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 20)
         with np.errstate(over="ignore"):
             for k, base in enumerate((_BASE, _INV)):
                 steps = np.full(n, base, U)

@@ -324,6 +324,26 @@ def test_pii_names_mentioned_apart(spark, scratch):
     assert got[0].split()[0] == got[0].split()[3] == got[1].split()[1] and got[0].split()[1] == got[0].split()[6]
 
 
+def test_pii_account_numbers_and_addresses(spark, scratch):
+    text = "IBAN DE89 3704 0044 0532 0130 00 and DE00 3704 0044 0532 0130 00, host fe80::1ff:fe23:4567:890a or 2001:DB8::A:B:1 at 10:20:30 in std::vector, x::y"
+    assert [(k, v) for _, _, k, v in pii.detect(text) if k == "ipv6"] == [("ipv6", "fe80::1ff:fe23:4567:890a"), ("ipv6", "2001:DB8::A:B:1")]
+    good, bad = [v for _, _, k, v in pii.detect(text) if k == "iban"]
+    one, two = (pii.surrogate(b"k", "iban", v).replace(" ", "") for v in (good, bad))
+    check = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    assert check(one) and not check(two) and one[:2] == two[:2] == "DE" and len(pii.surrogate(b"k", "iban", good)) == len(good)
+    rows = [(1, text), (1, text), (2, "word " * 40000 + text), (3, ""), (4, None)]
+    got = pii.surrogates(docs(spark, rows), scratch, b"k").collect()
+    assert len(got) == 5 and len({x.text for x in got if x.doc_id == 1}) == 1 and next(x.text for x in got if x.doc_id == 2).endswith(next(x.text for x in got if x.doc_id == 1))
+    assert pii.surrogates(docs(spark, rows).limit(0), scratch, b"k").count() == 0
+
+
+def test_vector_edges(spark, scratch):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (None, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<double>, label int, node int, cell string")
+    assert sorted(tuple(r) for r in link_vectors(df, scratch).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    assert link_vectors(df.limit(0), scratch).count() == 0
+
+
 def test_pii_collisions_are_resolved(spark, scratch):
     rows = [(i, f"token={i:06d}") for i in range(20000)]  # some of 16**6 surrogates collide
     first = [pii.surrogate(b"k", "secret", t[6:]) for _, t in rows]
