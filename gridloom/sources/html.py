@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 
 from .text import NUMERIC, Table
 
+# fixed values: elements without content, what ends an open one, what is not read, and what starts a line
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Opening one of these ends an open one of those, up to the table that holds them.
 ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "tbody": {"td", "th", "tr", "thead", "tbody"}, "tfoot": {"td", "th", "tr", "tbody", "thead"}, "thead": {"td", "th", "tr"}, "li": {"li"}, "option": {"option"}, "p": {"p"}}
