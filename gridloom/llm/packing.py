@@ -149,7 +149,9 @@ class Vocabulary:
         self.begin, self.length, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
 
     def add(self, key: int, piece: bytes) -> int:
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.signs))]
+        return self.hold(key, [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.signs))])
+
+    def hold(self, key: int, ids: list[int]) -> int:
         n = len(self.slots)
         if n == len(self.begin):
             self.begin, self.length = np.resize(self.begin, 2 * n), np.resize(self.length, 2 * n)
@@ -177,9 +179,13 @@ class Vocabulary:
             for i, ids in zip(some.tolist(), self.quick(large_text(column).take(pa.array(some)), end_id), strict=True):
                 out[i] = ids
         for i in np.flatnonzero(~quick).tolist():
-            out[i] = np.array([*self.tokenizer.encode(column[i].as_py() or "", add_special_tokens=False).ids, end_id], "<u4")
+            out[i] = np.array([*self.odd(column[i].as_py() or ""), end_id], "<u4")
         return out
 
+    def odd(self, text: str) -> list[int]:
+        """The ids of a text that does not take the quick path."""
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def quick(self, column: pa.Array, end_id: int) -> list[np.ndarray]:
         texts = Texts(pc.utf8_lower(column))
         data, n = texts.data, len(texts.data)

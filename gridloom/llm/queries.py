@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, language, mixing, pii, quality, toxicity
+from . import alignment, audit, bpe, host_rules, language, mixing, pii, quality, toxicity
 from .common import Scratch, remainder, table
 from .line_dedup import without_recurring
 from .ngram_join import link_documents
@@ -85,6 +85,29 @@ def op8_pii_surrogates(spark, sf_dir):
     return pii.surrogates(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), key=b"surrogate-key-of-the-registered-query")
 
 
+@query
+def op11_tokenizer_alignment(spark, sf_dir):
+    files, scratch = alignment.Tokenizers(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model")), Scratch(spark, "op11")
+    spelled = F.transform("groups", lambda g: F.concat_ws("|", F.array_join(g["a"].cast("array<string>"), ","), F.array_join(g["b"].cast("array<string>"), ",")))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join(spelled, ";").cast("binary"), 256)).otherwise("")
+    n = F.size("link_a").cast("long")
+    rows = scratch.keep(alignment.aligned(table(spark, sf_dir, "documents"), files).select("doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), n.alias("n_links"), digest.alias("groups_sha256"), "link_a", "link_b"))
+    return alignment.scored(rows, alignment.pair_counts(rows), files)
+
+
+@query
+def op12_bpe_round_trip(spark, sf_dir):
+    path = vocabulary()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return bpe.decode(encoded, path, keep=("doc_id", "ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _REACH = """reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
 least as (select a, min(b) as least from reach group by a)"""
@@ -112,3 +135,12 @@ rates as (select source, m > 0 and m < 1 and (f + k * m) / (n + k) >= m + 2 * sq
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed, host_failed,
 not base_failed and not (host_failed and (10 * n_symbols > n_words or 5 * n_dup_lines > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words)) as kept
 from failing join rates on failing.source is not distinct from rates.source"""
+
+ORACLES["op13_filter_audit"] = f"""with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents), words as (select *, {_WORDS.format(text="t")} as w, min(doc_id) over (partition by t) as first from texts),
+marks as (select doc_id, part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as m from words),
+good as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id), docs as (select part, m, coalesce(good, false) as good, coalesce(toxic, false) as toxic from marks left join good using (doc_id)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as bit), orders as (select [p.bit, q.bit, r.bit, s.bit, u.bit] as bits, p.x || q.x || r.x || s.x || u.x as filter_order from letters p, letters q, letters r, letters s, letters u where p.bit + q.bit + r.bit + s.bit + u.bit = 31 and len(list_distinct([p.bit, q.bit, r.bit, s.bit, u.bit])) = 5),
+steps as (select filter_order, unnest([1, 2, 3, 4, 5]) as step, bits from orders), placed as (select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from steps),
+counted as (select part, filter_order, step::int as step, bit, count(*) filter (m & before = 0 and m & bit = 0) as kept, count(*) filter (m & before = 0 and m & bit <> 0) as removed, count(*) filter (m & before <> 0 and m & bit <> 0) as redundant, count(*) filter (m = bit) as unique_fails,
+count(*) filter (m & before = 0 and m & bit <> 0 and good) as good_lost, count(*) filter (m & before = 0 and m & bit <> 0 and toxic) as toxic_lost from docs, placed group by all)
+select * exclude (bit), (sum(removed) over (partition by part, bit))::bigint as shapley from counted"""
