@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large_text, per_batch
+from .common import per_batch
 from .packing import byte_signs
 from .textnp import Texts
 
@@ -72,6 +73,7 @@ class Pair:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.ranked = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.model = sentencepiece.SentencePieceProcessor(model_file=files.b)
+        self.space = self.model.piece_to_id("▁")
         pieces = [(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(self.model.get_piece_size())]
         self.b = Spelled([bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces])
 
@@ -79,12 +81,68 @@ class Pair:
         """No more pairs of ids than these can end together: of each token the ends, of which B may spell one byte twice, as itself and as <0xHH>."""
         return int(2 * self.a.lengths.sum() + self.b.lengths.sum())
 
-    def encoded_a(self, texts: list[str], plain: np.ndarray) -> list[list[int]]:
-        """Ids of a space and each text. Plain texts go by the ranks, which give the same ids sooner; what has signs that Unicode's tables may tell apart goes by the file itself."""
-        return [self.ranked.encode_ordinary(" " + t) if p else self.library.encode(" " + t, add_special_tokens=False).ids for t, p in zip(texts, plain.tolist(), strict=True)]
-
-    def encoded_b(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1) if texts else []
+    def whole(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and B, each text by the libraries as a whole."""
+        return [self.library.encode(" " + t, add_special_tokens=False).ids for t in texts], self.model.encode(texts, num_threads=1)
+
+    def units(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and B of words with what stands before them, which begin with a space. The ranks give A the ids of the file, sooner."""
+        b = self.model.encode([u[1:] for u in units], num_threads=1)
+        return [self.ranked.encode_ordinary(u) for u in units], [x or [self.space] for x in b]  # the model adds no space to nothing
+
+
+class Known:
+    """Both encodings of the units that a worker has met: texts repeat their words, so few units are encoded."""
+
+    def __init__(self, pair: Pair, limit: int = 1 << 19, ids: int = 1 << 23):
+        self.pair, self.limit, self.ids = pair, limit, ids
+        # a unit ends before a space behind a sign that is none; A's pattern always parts there, B's merges if no piece of it has one inside
+        self.apart = not pair.model.is_unknown(pair.space) and not any(re.search("[^▁]▁", pair.model.id_to_piece(i)) for i in range(pair.model.get_piece_size()))
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.a, self.b = Pool(), Pool()
+
+    def encoded(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of A and B of all units, and how many each unit has."""
+        if len(self.slots) > self.limit or self.b.used > self.ids:
+            self.clear()
+        keys, at, of = np.unique(texts.hashes(starts, ends), return_index=True, return_inverse=True)
+        slots = np.array([-1 if x is None else x for x in map(self.slots.get, keys.tolist())], np.int64)
+        fresh = np.flatnonzero(slots < 0)
+        if len(fresh):
+            data = texts.data.tobytes()
+            a, b = self.pair.units([data[i:j].decode() for i, j in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)])
+            self.a.add(a)
+            self.b.add(b)
+            slots[fresh] = np.arange(len(fresh)) + len(self.slots)
+            self.slots.update(zip(keys[fresh].tolist(), slots[fresh].tolist(), strict=True))
+        slots = slots[of]
+        return *self.a.ids_of(slots), *self.b.ids_of(slots)
+
+
+class Pool:
+    """Lists of ids one after the other, which grow together."""
+
+    def __init__(self):
+        self.starts, self.counts, self.ids, self.n, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0, 0
+
+    def add(self, lists: list[list[int]]) -> None:
+        ids, counts = flat(lists)
+        n, used = self.n + len(counts), self.used + len(ids)
+        if n > len(self.starts):
+            self.starts, self.counts = (np.resize(x, 2 * n) for x in (self.starts, self.counts))
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * used)
+        self.starts[self.n : n], self.counts[self.n : n] = self.used + np.cumsum(counts) - counts, counts
+        self.ids[self.used : used] = ids
+        self.n, self.used = n, used
+
+    def ids_of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists with these numbers, and how many each has."""
+        n = self.counts[slots]
+        return self.ids[np.repeat(self.starts[slots] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 @lru_cache(maxsize=2)
@@ -92,17 +150,22 @@ def pair_of(files: Tokenizers) -> Pair:
     return Pair(files)
 
 
+@lru_cache(maxsize=2)
+def known_of(files: Tokenizers) -> Known:
+    return Known(pair_of(files))
+
+
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all lists, and the list that each is of."""
+    """The numbers of all lists, and how many each has."""
     counts = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), np.repeat(np.arange(len(lists)), counts)
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
 
 
 #: Classes of bytes that begin the signs of plain texts: up to U+04FF, and general punctuation to mathematical signs.
 _PLAIN = np.ones(256, bool)
 _PLAIN[0xD4:] = False
 _PLAIN[0xE2] = True
-#: A run of white space longer than this goes by the library, whose pattern takes it in one step.
+#: A text with a longer run of white space goes by the libraries, whose pattern takes it in one step.
 RUN = 500
 
 
@@ -129,12 +192,35 @@ def same_bytes(spelled: Spelled, ids: np.ndarray, of: np.ndarray, want: np.ndarr
     return good & (sums[at[1:]] == sums[at[:-1]])
 
 
-def groups_of(pair: Pair, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, pa.Array]:
+def ids_of(known: Known, spaced: Texts, docs: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A's ids, the document of each, B's ids and theirs. ``docs`` numbers the texts, which begin with their space."""
+    data, n = spaced.data, len(spaced.data)
+    quick = plain & known.apart
+    first = np.zeros(n, bool)
+    first[1:] = (data[1:] == 32) & ~((data[:-1] == 32) | ((data[:-1] >= 9) & (data[:-1] <= 13)))
+    first[spaced.offsets[:-1]] = True
+    starts = np.flatnonzero(first)
+    ends = np.r_[starts[1:], n].astype(np.int64)
+    of = np.repeat(np.arange(spaced.n), np.diff(spaced.counts(starts)))
+    some = quick[of]
+    a, n_a, b, n_b = known.encoded(spaced, starts[some], ends[some])
+    of_a, of_b = np.repeat(of[some], n_a), np.repeat(of[some], n_b)
+    rest = np.flatnonzero(~quick)
+    if len(rest):
+        cut = spaced.offsets
+        lists_a, lists_b = known.pair.whole([data[cut[i] + 1 : cut[i + 1]].tobytes().decode() for i in rest.tolist()])
+        (more_a, n_a), (more_b, n_b) = flat(lists_a), flat(lists_b)
+        # in the order of texts again
+        a, b, of_a, of_b = np.r_[a, more_a], np.r_[b, more_b], np.r_[of_a, np.repeat(rest, n_a)], np.r_[of_b, np.repeat(rest, n_b)]
+        order_a, order_b = np.argsort(of_a, kind="stable"), np.argsort(of_b, kind="stable")
+        a, b, of_a, of_b = a[order_a], b[order_b], of_a[order_a], of_b[order_b]
+    return a, docs[of_a], b, docs[of_b]
+
+
+def groups_of(known: Known, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, pa.Array]:
     """n_a, n_b, groups and the linked ids of both for each text of a column."""
-    column = large_text(column)
-    texts = Texts(column)
+    pair, texts = known.pair, Texts(column)
     n = texts.n
-    strings = column.to_pylist()
     # a text with its space; empty ones have none
     sizes = np.diff(texts.offsets)
     full = np.flatnonzero(sizes > 0)
@@ -144,10 +230,9 @@ def groups_of(pair: Pair, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.
     place = np.ones(at[-1], bool)
     place[at[full]] = False
     want[place] = texts.data
-    plain = plain_texts(texts)
-    some = [strings[i] for i in full.tolist()]
-    (a, of_a), (b, of_b) = flat(pair.encoded_a(some, plain[full])), flat(pair.encoded_b(some))
-    of_a, of_b = full[of_a], full[of_b]
+    spaced = Texts(pa.array([], pa.large_string()))
+    spaced.data, spaced.offsets, spaced.n = want, np.r_[at[full], at[-1]], len(full)
+    a, of_a, b, of_b = ids_of(known, spaced, full, plain_texts(texts)[full])
     good = (sizes > 0) & same_bytes(pair.a, a, of_a, want, at) & same_bytes(pair.b, b, of_b, want, at)
     a, b, of_a, of_b = a[good[of_a]], b[good[of_b]], of_a[good[of_a]], of_b[good[of_b]]
 
@@ -176,7 +261,7 @@ def aligned(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col
     """
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_a, n_b, groups, link_a, link_b = groups_of(pair_of(files), batch.column(1))
+        n_a, n_b, groups, link_a, link_b = groups_of(known_of(files), batch.column(1))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_a.astype(np.int64)), pa.array(n_b.astype(np.int64)), groups, link_a, link_b], ["doc_id", "n_a", "n_b", "groups", "link_a", "link_b"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(f, "text"), ALIGNED)

@@ -11,6 +11,7 @@ import heapq
 import json
 import re
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import per_batch
 from .packing import Vocabulary, byte_signs
 
+#: Bits for the place in a piece, behind the rank; the symbol that is no id, whose pairs are below those of all ids.
+PLACE, GONE = 32, -(1 << 40)
 #: Token ids that a worker turns into text at once; a longer text is taken whole.
 IDS_AT_ONCE = 1 << 18
 
@@ -34,46 +37,47 @@ class Merges:
         self.ids: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.base = 1 + max(self.ids.values())
-        self.found: dict[int, tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        self.rank: dict[int, int] = {}  # of a pair of ids, as one number
+        self.into: list[int] = []  # what the pair of each rank becomes
+        for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.found[self.ids[a] * self.base + self.ids[b]] = rank, self.ids[a + b]
+            self.rank[self.ids[a] * self.base + self.ids[b]] = len(self.into)
+            self.into.append(self.ids[a + b])
 
     def symbols(self, piece: str) -> list[int]:
         """The ids of the signs of a piece; the last one bears the mark of a word's end."""
         return [self.ids[x] for x in piece[:-1]] + [self.ids[piece[-1] + self.end]] if piece else []
 
     def merged(self, symbols: list[int]) -> list[int]:
-        n, base, found = len(symbols), self.base, self.found
-        symbols, after, before = list(symbols), [*range(1, n), -1], list(range(-1, n - 1))
-        queue = []
-
-        def offer(i: int, j: int) -> None:
-            pair = symbols[i] * base + symbols[j]
-            if pair in found:
-                heapq.heappush(queue, (found[pair][0], i, pair))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        n, base, rank = len(symbols), self.base, self.rank.get
+        # the list ends in a symbol that pairs with none, as do those that a merge has taken out
+        symbols, after, before = [*symbols, GONE], list(range(1, n + 2)), list(range(-1, n))
+        ranks = [rank(a * base + b) for a, b in pairwise(symbols)]
+        queue = [r << PLACE | i for i, r in enumerate(ranks) if r is not None]
+        heapq.heapify(queue)
         while queue:
-            _, i, pair = heapq.heappop(queue)
+            top = heapq.heappop(queue)
+            i, r = top & (1 << PLACE) - 1, top >> PLACE
             j = after[i]
-            if symbols[i] < 0 or j < 0 or symbols[i] * base + symbols[j] != pair:
+            if rank(symbols[i] * base + symbols[j]) != r:
                 continue  # one of the two has merged since
-            symbols[i], symbols[j] = found[pair][1], -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-                offer(i, after[i])
-            if before[i] >= 0:
-                offer(before[i], i)
+            symbols[i] = new = self.into[r]
+            symbols[j] = GONE
+            after[i] = j = after[j]
+            if (r := rank(new * base + symbols[j])) is not None:
+                heapq.heappush(queue, r << PLACE | i)
+            if j < n:
+                before[j] = i
+            k = before[i]
+            if k >= 0 and (r := rank(symbols[k] * base + new)) is not None:
+                heapq.heappush(queue, r << PLACE | k)
         return [x for x in symbols if x >= 0]
 
 
 class Encoder(Vocabulary):
     """Whole columns of text to ids: the pieces are cut as the vocabulary file says, the merges are those above."""
 
-    def __init__(self, path: str, limit: int = 1 << 18):
+    def __init__(self, path: str, limit: int = 1 << 19):
         super().__init__(path, limit)
         self.merges, self.specials = Merges(path), {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
