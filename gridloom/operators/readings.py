@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.html import find_tables
+from ..sources.html import tables_of
 from ..sources.text import parse_text
 from .region import LAYOUT_ITEMS, rebuild
 
@@ -25,10 +25,9 @@ def by_markup(batches):
     for batch in batches:
         out = []
         for i, html, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            found = [t for t in find_tables(html or "") if t.rows]
-            how, table = "grid", max(found, key=lambda t: len(t.rows) * len(t.headers), default=None)
-            if table is not None and "<table" in html.lower():
-                how = "table"
+            found = tables_of(html or "")
+            kind, table = max(found, key=lambda x: len(x[1].rows) * len(x[1].headers), default=(None, None))
+            how = kind.kind if kind else ""
             if table is None and "\n" in (text or "").strip() and len(text) < LONGEST_TEXT:
                 try:
                     table, how = parse_text(text.strip())[0], "text"

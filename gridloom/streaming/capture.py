@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.html import ROW_INDEX_ATTRIBUTES, Options
+from ..sources.pages import numbered_rows, page_candidates, page_tables
 
-# fixed values: attributes that number rows, in order of trust; what a control to the next page says, bare of its arrows
-ROW_INDEX_ATTRIBUTES = ("aria-rowindex", "data-row-index", "data-rowindex", "row-index", "data-index")
+# fixed values: what a control to the next page says, bare of its arrows
 NEXT_LABELS = ("next", "next page", "older", "load more", "show more", "view more", "more results")
 _ARROWS = "›»→⟩>▶❯"
 
@@ -59,6 +60,33 @@ def accumulate(stream: DataFrame, path: str, index: str, arrival: str, values: l
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def captured(snapshots: DataFrame, options: Options | None = None) -> DataFrame:
+    """What a walk down a virtual table has collected: capture_id, strategy, gained, r (from 0; the headers are row -1), cells.
+
+    snapshots: capture_id, step, html - what the page showed at each step. Rows that bear a number are kept by it, the one seen last
+    wins, in the order of numbers (strategy `row-index`, where any row bears one); else distinct rows of the first table of each
+    step are kept as first seen, without those that repeat the headers (`content-dedupe`). A capture never gives fewer rows than
+    its first step: one that has found no more comes back as that step showed it, with ``gained`` 0.
+    """
+    keyed = snapshots.select(F.struct("capture_id", "step").alias("page"), "html")
+    found = page_candidates(keyed, "page", "html", options)
+    own = ["page_id.capture_id", "page_id.step"]
+    shown = page_tables(found, options).where("nth = 1").select(*own, "headers", "body")
+    first = shown.groupBy("capture_id").agg(F.min_by("body", "step").alias("original"), F.max_by("headers", "step").alias("headers"), F.min_by("headers", "step").alias("first_headers"))
+    # by number: the last step wins, in the order of numbers
+    by_number = numbered_rows(found).select(*own, "index", "cells").groupBy("capture_id", "index").agg(F.max_by("cells", "step").alias("cells")).select("capture_id", F.lit(True).alias("numbered"), F.struct(F.lit(0).alias("step"), "index").alias("at"), "cells")
+    body = shown.select("capture_id", "step", F.posexplode("body").alias("i", "cells"))
+    by_content = body.groupBy("capture_id", "cells").agg(F.min(F.struct("step", F.col("i").cast("long").alias("index"))).alias("at")).join(first.select("capture_id", "first_headers"), "capture_id").where("cells <> first_headers").select("capture_id", F.lit(False).alias("numbered"), "at", "cells")
+    rows = by_number.unionByName(by_content).groupBy("capture_id", "numbered").agg(F.array_sort(F.collect_list(F.struct("at", "cells"))).alias("rows"))
+    best = rows.groupBy("capture_id").agg(F.max("numbered").alias("numbered"), F.max_by("rows", "numbered").alias("rows")).join(first, "capture_id")
+    more = F.size("rows") > F.size("original")
+    cells = F.when(more, F.transform("rows", lambda x: x["cells"])).otherwise(F.col("original"))
+    strategy = F.when(F.col("numbered"), "row-index").otherwise("content-dedupe")
+    out = best.select("capture_id", strategy.alias("strategy"), F.when(more, F.size("rows") - F.size("original")).otherwise(0).alias("gained"), F.when(more, F.col("headers")).otherwise(F.col("first_headers")).alias("headers"), cells.alias("cells"))
+    lines = F.concat(F.array(F.struct(F.lit(-1).alias("r"), F.col("headers").alias("cells"))), F.transform("cells", lambda x, i: F.struct(i.alias("r"), x.alias("cells"))))
+    return out.select("capture_id", "strategy", "gained", F.inline(lines))
+
+
 def grown(original: int, collected: int) -> tuple[bool, int]:
     """Whether a capture is kept, and what it gained: one that found no more than was there is not."""
     return (True, collected - original) if collected > original else (False, 0)

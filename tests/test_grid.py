@@ -180,7 +180,7 @@ FILES = {
     "a.csv": ("\ufeffa,b\n1,2,3\n\n4\n", ("a", "b", "Column 3"), [("1", "2", "3"), ("4", "", "")]), "h.csv": ("1,2\n3,4\n", ("Column 1", "Column 2"), [("1", "2"), ("3", "4")]),
     "q.csv": ('name,note\n"a, ""b""","two\nlines"\nc,d\n', ("name", "note"), [('a, "b"', "two\nlines"), ("c", "d")]), "t.tsv": ("a\tb\nx,y\t2\n", ("a", "b"), [("x,y", "2")]),
     "j.json": ('[{"a":1,"b":null},\n{"b":true,"c":{"x":[1]}}]', ("a", "b", "c"), [("1", "", ""), ("", "true", '{"x":[1]}')]), "l.jsonl": ('{"a":1}\n\n{"b":"x","a":2}\n', ("a", "b"), [("1", ""), ("2", "x")]),
-    "m.md": ("| Name | Qty |\n|---|--:|\n| Bolt \\| big | 2 |\n", ("Name", "Qty"), [("Bolt | big", "2")]), "t.html": ("<table><tr><th>a<th>b</tr><tr><td>1<td>2</tr></table>", ("a", "b"), [("1", "2")]),
+    "m.md": ("| Name | Qty |\n|---|--:|\n| Bolt \\| big | 2 |\n", ("Name", "Qty"), [("Bolt | big", "2")]), "t.html": ("<table><tr><th>a<th>b</tr><tr><td>1<td>2</tr><tr><td>3<td>4</tr></table>", ("a", "b"), [("1", "2"), ("3", "4")]),
     "e.csv": ("", (), []), "b.csv": ('a,b\n,\n"",7\n', ("a", "b"), [("", "7")]),
 }
 

@@ -1,5 +1,6 @@
 import pytest
 
+from gridloom import page_queries  # noqa: F401  registers its queries
 from gridloom.queries import ORACLES, QUERIES
 from oracle import compare
 
