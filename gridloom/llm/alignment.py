@@ -17,7 +17,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from hashlib import sha256
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from .common import per_batch
 from .packing import byte_signs
 from .textnp import Texts
 
-ALIGNED = "doc_id long, n_a long, n_b long, groups array<struct<a: array<int>, b: array<int>>>, link_a array<int>, link_b array<int>"
+GROUPS = "groups array<struct<a: array<int>, b: array<int>>>"
+ALIGNED = f"doc_id long, n_a long, n_b long, {GROUPS}, link_a array<int>, link_b array<int>"
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,7 @@ class Pair:
 class Known:
     """Both encodings of the units that a worker has met: texts repeat their words, so few units are encoded."""
 
-    def __init__(self, pair: Pair, limit: int = 1 << 19, ids: int = 1 << 23):
+    def __init__(self, pair: Pair, limit: int = 1 << 18, ids: int = 1 << 22):
         self.pair, self.limit, self.ids = pair, limit, ids
         # a unit ends before a space behind a sign that is none; A's pattern always parts there, B's merges if no piece of it has one inside
         self.apart = not pair.model.is_unknown(pair.space) and not any(re.search("[^▁]▁", pair.model.id_to_piece(i)) for i in range(pair.model.get_piece_size()))
@@ -251,20 +253,53 @@ def groups_of(known: Known, column: pa.Array) -> tuple[np.ndarray, np.ndarray, p
     return np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), by_text(inner), by_text(pa.array(a[last_a])), by_text(pa.array(b[last_b]))
 
 
-def aligned(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def group_digests(groups: pa.ListArray) -> pa.Array:
+    """The sha256 of each document's groups as text: the ids of A joined by commas, a bar, those of B; groups joined by semicolons. '' for no groups."""
+    inner = groups.flatten()
+    (a, at_a), (b, at_b) = ((x.values.to_numpy(), x.offsets.to_numpy().astype(np.int64)) for x in (inner.field("a"), inner.field("b")))
+    a, b, at_a, at_b = a[at_a[0] : at_a[-1]], b[at_b[0] : at_b[-1]], at_a - at_a[0], at_b - at_b[0]
+    n = len(inner)
+    # A's ids of a group stand behind B's of the groups before, B's behind A's of this one; each with the sign that follows it
+    place_a, place_b = np.arange(len(a)) + np.repeat(at_b[:-1], np.diff(at_a)), np.arange(len(b)) + np.repeat(at_a[1:], np.diff(at_b))
+    code = np.empty(len(a) + len(b), np.int64)
+    code[place_a], code[place_b] = 3 * a.astype(np.int64), 3 * b.astype(np.int64)
+    if n:
+        code[place_a[at_a[1:] - 1]] += 1
+        code[place_b[at_b[1:] - 1]] += 2
+    signs = decimals(int(code.max(initial=0)) // 3 + 1)
+    cut = (at_a + at_b)[groups.offsets.to_numpy() - groups.offsets[0].as_py()]
+    texts = (b"".join(map(signs.__getitem__, code[i:j].tolist()))[:-1] for i, j in pairwise(cut.tolist()))
+    return pa.array([sha256(t).hexdigest() if t else "" for t in texts], pa.string())
+
+
+@lru_cache(maxsize=1)
+def _decimals(n: int) -> list[bytes]:
+    return [f"{i}{sign}".encode() for i in range(n) for sign in ",|;"]
+
+
+def decimals(n: int) -> list[bytes]:
+    """Each number with each of three signs behind it; for more numbers than asked for, so that one list serves."""
+    return _decimals(1 << max(16, n.bit_length()))
+
+
+def aligned(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col: str = "text", derive: dict[str, Callable[[pa.ListArray], pa.Array]] | None = None) -> DataFrame:
     """Each document's tokens of A and B in groups that cover the same bytes, as short as they can be.
 
     Returns doc_id, n_a, n_b, groups (in order; the ids of A and of B) and, for each place where tokens of both end, their ids as
     link_a and link_b. A encodes a space and the text, B the text, to which it adds the space itself; special tokens are plain
     text. A null or empty text, and one whose tokens do not spell it (B writes a space for the sign U+2581), has no tokens. Rows
-    stay as they come, with null ids and repeats; other columns are dropped.
+    stay as they come, with null ids and repeats; other columns are dropped. With ``derive``, n_groups and strings made out of the
+    groups in the task come in their place: names, and what makes the strings of a column of groups.
     """
+    derive = derive or {}
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_a, n_b, groups, link_a, link_b = groups_of(known_of(files), batch.column(1))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_a.astype(np.int64)), pa.array(n_b.astype(np.int64)), groups, link_a, link_b], ["doc_id", "n_a", "n_b", "groups", "link_a", "link_b"])
+        made = {"n_groups": groups.value_lengths().cast(pa.int64()), **{name: g(groups) for name, g in derive.items()}} if derive else {"groups": groups}
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_a": pa.array(n_a.astype(np.int64)), "n_b": pa.array(n_b.astype(np.int64)), **made, "link_a": link_a, "link_b": link_b})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(f, "text"), ALIGNED)
+    schema = ALIGNED.replace(GROUPS, ", ".join(["n_groups long", *[f"{name} string" for name in derive]])) if derive else ALIGNED
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(f, "text"), schema)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

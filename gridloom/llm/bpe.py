@@ -23,7 +23,7 @@ from .common import per_batch
 from .packing import Vocabulary, byte_signs
 
 #: Bits for the place in a piece, behind the rank; the symbol that is no id, whose pairs are below those of all ids.
-PLACE, GONE = 32, -(1 << 40)
+PLACE, MASK, GONE = 32, (1 << 32) - 1, -(1 << 40)
 #: Token ids that a worker turns into text at once; a longer text is taken whole.
 IDS_AT_ONCE = 1 << 18
 
@@ -49,28 +49,28 @@ class Merges:
         return [self.ids[x] for x in piece[:-1]] + [self.ids[piece[-1] + self.end]] if piece else []
 
     def merged(self, symbols: list[int]) -> list[int]:
-        n, base, rank = len(symbols), self.base, self.rank.get
-        # the list ends in a symbol that pairs with none, as do those that a merge has taken out
-        symbols, after, before = [*symbols, GONE], list(range(1, n + 2)), list(range(-1, n))
+        n, base, rank, into, push, pop = len(symbols), self.base, self.rank.get, self.into, heapq.heappush, heapq.heappop
         ranks = [rank(a * base + b) for a, b in pairwise(symbols)]
         queue = [r << PLACE | i for i, r in enumerate(ranks) if r is not None]
         heapq.heapify(queue)
+        # the list ends in a symbol that pairs with none, as do those that a merge has taken out
+        symbols, after, before = [*symbols, GONE], list(range(1, n + 2)), list(range(-1, n))
         while queue:
-            top = heapq.heappop(queue)
-            i, r = top & (1 << PLACE) - 1, top >> PLACE
+            top = pop(queue)
+            i, r = top & MASK, top >> PLACE
             j = after[i]
             if rank(symbols[i] * base + symbols[j]) != r:
                 continue  # one of the two has merged since
-            symbols[i] = new = self.into[r]
+            symbols[i] = new = into[r]
             symbols[j] = GONE
             after[i] = j = after[j]
             if (r := rank(new * base + symbols[j])) is not None:
-                heapq.heappush(queue, r << PLACE | i)
+                push(queue, r << PLACE | i)
             if j < n:
                 before[j] = i
             k = before[i]
             if k >= 0 and (r := rank(symbols[k] * base + new)) is not None:
-                heapq.heappush(queue, r << PLACE | k)
+                push(queue, r << PLACE | k)
         return [x for x in symbols if x >= 0]
 
 
@@ -80,14 +80,16 @@ class Encoder(Vocabulary):
     def __init__(self, path: str, limit: int = 1 << 19):
         super().__init__(path, limit)
         self.merges, self.specials = Merges(path), {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # the ids of single bytes, inside a piece and at its end
+        self.inner, self.last = ([self.merges.ids[sign + end] for sign in self.signs.values()] for end in ("", self.merges.end))
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
 
     def clear(self) -> None:
         super().clear()
         self.known: dict[str, list[int]] = {}
 
-    def add(self, key: int, piece: bytes) -> int:
-        return self.hold(key, self.merges.merged(self.merges.symbols(piece.decode("latin-1").translate(self.signs))))
+    def ids_of(self, piece: bytes) -> list[int]:
+        return self.merges.merged([*map(self.inner.__getitem__, piece[:-1]), self.last[piece[-1]]])
 
     def odd(self, text: str) -> list[int]:
         """Special tokens as they stand; what is between them is normalised and cut by the library."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -148,19 +149,22 @@ class Vocabulary:
         self.slots: dict[int, int] = {}
         self.begin, self.length, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
 
-    def add(self, key: int, piece: bytes) -> int:
-        return self.hold(key, [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.signs))])
+    def ids_of(self, piece: bytes) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.signs))]
 
-    def hold(self, key: int, ids: list[int]) -> int:
-        n = len(self.slots)
-        if n == len(self.begin):
+    def hold(self, keys: list[int], lists: list[list[int]]) -> np.ndarray:
+        """Keeps the ids of new pieces; their slots."""
+        counts = np.array([len(x) for x in lists], np.int64)
+        first, n, used = len(self.slots), len(self.slots) + len(lists), self.used + int(counts.sum())
+        if n > len(self.begin):
             self.begin, self.length = np.resize(self.begin, 2 * n), np.resize(self.length, 2 * n)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.begin[n], self.length[n], self.slots[key] = self.used, len(ids), n
-        self.used += len(ids)
-        return n
+        if used > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * used)
+        self.begin[first:n], self.length[first:n] = self.used + np.cumsum(counts) - counts, counts
+        self.pool[self.used : used] = np.fromiter(chain.from_iterable(lists), np.uint32, used - self.used)
+        self.slots.update(zip(keys, range(first, n), strict=True))
+        self.used = used
+        return np.arange(first, n)
 
     def documents(self, column: pa.Array, end_id: int) -> list[np.ndarray]:
         """The ids of each text, then end_id."""
@@ -210,8 +214,10 @@ class Vocabulary:
             self.clear()
         keys, at, of = np.unique(texts.hashes(starts, ends), return_index=True, return_inverse=True)
         slots = np.array([-1 if x is None else x for x in map(self.slots.get, keys.tolist())], np.int64)
-        for k in np.flatnonzero(slots < 0).tolist():
-            slots[k] = self.add(int(keys[k]), data[starts[at[k]] : ends[at[k]]].tobytes())
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            whole = data.tobytes()
+            slots[new] = self.hold(keys[new].tolist(), [self.ids_of(whole[i:j]) for i, j in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
         slot = slots[of] if len(of) else np.zeros(0, np.int64)
         lengths = self.length[slot]
         # one more id, the end, after the last piece of each document

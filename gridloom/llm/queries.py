@@ -88,10 +88,8 @@ def op8_pii_surrogates(spark, sf_dir):
 @query
 def op11_tokenizer_alignment(spark, sf_dir):
     files, scratch = alignment.Tokenizers(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model")), Scratch(spark, "op11")
-    spelled = F.transform("groups", lambda g: F.concat_ws("|", F.array_join(g["a"].cast("array<string>"), ","), F.array_join(g["b"].cast("array<string>"), ",")))
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join(spelled, ";").cast("binary"), 256)).otherwise("")
-    n = F.size("link_a").cast("long")
-    rows = scratch.keep(alignment.aligned(table(spark, sf_dir, "documents"), files).select("doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), n.alias("n_links"), digest.alias("groups_sha256"), "link_a", "link_b"))
+    found = alignment.aligned(table(spark, sf_dir, "documents"), files, derive={"groups_sha256": alignment.group_digests})
+    rows = scratch.keep(found.select("doc_id", "n_a", "n_b", "n_groups", F.size("link_a").cast("long").alias("n_links"), "groups_sha256", "link_a", "link_b"))
     return alignment.scored(rows, alignment.pair_counts(rows), files)
 
 

@@ -114,6 +114,10 @@ def test_alignment_matches_a_loop_over_tokens(spark):
         assert [(g.a, g.b) for g in r.groups] == groups, all_texts[r.doc_id]
         assert r.link_a == [g[0][-1] for g in groups] and r.link_b == [g[1][-1] for g in groups]
         links.update(zip(r.link_a, r.link_b, strict=True))
+    for r in alignment.aligned(df, FILES, derive={"digest": alignment.group_digests}).collect():
+        groups = want[r.doc_id][2]
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        assert r.digest == (sha(text) if groups else "") and r.n_groups == len(groups)
     counts = alignment.pair_counts(rows)
     assert {(r.a, r.b): r.n for r in counts.collect()} == links
     most = {}
