@@ -338,4 +338,4 @@ def scored(rows: DataFrame, counts: DataFrame, files: Tokenizers) -> DataFrame:
     np.maximum.at(highest, b, n)
     shared = rows.sparkSession.sparkContext.broadcast(((a << 32) + b, n, (n == highest[b]).astype(np.int64)))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("link_a", "link_b"))
-    return rows.mapInArrow(per_batch(link_scorer(shared)), kept + ", n_best long, count_sum long")
+    return rows.mapInArrow(per_batch(link_scorer(shared), lists="link_a"), kept + ", n_best long, count_sum long")

@@ -15,7 +15,6 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -24,8 +23,6 @@ from .packing import Vocabulary, byte_signs
 
 #: Bits for the place in a piece, behind the rank; the symbol that is no id, whose pairs are below those of all ids.
 PLACE, MASK, GONE = 32, (1 << 32) - 1, -(1 << 40)
-#: Token ids that a worker turns into text at once; a longer text is taken whole.
-IDS_AT_ONCE = 1 << 18
 
 
 class Merges:
@@ -177,13 +174,8 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", keep: tuple
     """
     keep = list(keep)
 
-    def run(batches):
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         decoder = decoder_of(tokenizer)
-        for batch in batches:
-            sizes = np.cumsum(pc.list_value_length(batch.column(ids_col)).fill_null(0).to_numpy(zero_copy_only=False))
-            # as many rows at once as have about IDS_AT_ONCE ids
-            for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(sizes // IDS_AT_ONCE)) + 1):
-                some = batch.slice(int(part[0]), len(part)) if len(part) else batch
-                yield _with(some, keep, name, pa.array([decoder.decoded(x.values.to_pylist() if x.is_valid else []) for x in some.column(ids_col)], pa.string()))
-
-    return encoded.mapInArrow(run, _schema(encoded, keep, name, StringType()))
+        return _with(batch, keep, name, pa.array([decoder.decoded(x.values.to_pylist() if x.is_valid else []) for x in batch.column(ids_col)], pa.string()))
+
+    return encoded.mapInArrow(per_batch(f, lists=ids_col), _schema(encoded, keep, name, StringType()))

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once; one longer text is taken whole.
 CHUNK_BYTES = 1 << 19
+#: Items of lists that it takes at once.
+CHUNK_ITEMS = 1 << 18
 
 
 _own: dict[str, str] = {}
@@ -88,12 +91,21 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         yield batch.slice(start)
 
 
-def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str | None = None) -> Callable:
-    """A mapInArrow function out of one on record batches, cut to bounded bytes where ``text`` is named."""
+def by_lists(batch: pa.RecordBatch, lists: str, limit: int = CHUNK_ITEMS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` items of a column of lists each; one longer list is taken whole."""
+    sizes = pc.list_value_length(batch.column(lists)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    cuts = [0, *(i for i in range(1, len(sizes)) if sizes[i] // limit != sizes[i - 1] // limit), len(sizes)]
+    for i, j in pairwise(cuts):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
+def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str | None = None, lists: str | None = None) -> Callable:
+    """A mapInArrow function out of one on record batches, cut to bounded bytes where ``text`` is named, to bounded items where ``lists`` is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text) if text else [batch]:
+            for part in chunks(batch, text) if text else by_lists(batch, lists) if lists else [batch]:
                 out = f(part)
                 if out is not None and out.num_rows:
                     yield out
