@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import POS, Grid, unique_names
+from .ranges import Delimited, JsonList, records, sizes_of, split_records
 from .text import detect_format, is_header, padded, parse_text, sniff_delimiter, split_delimited
 
 CELLS = "id long, fmt string, header boolean, r int, cells array<string>, error string"
 #: Where Spark's reader puts a record that is not as long as the schema.
 BROKEN = "_broken"
+#: Characters of a line that tell a format.
+HEAD = 1 << 16
 #: Columns that the keys of JSON Lines may make.
 MAX_KEYS = 10_000
 
@@ -60,8 +63,9 @@ def widest(df: DataFrame, last: str) -> int:
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, multi_line: bool | None = None) -> Grid:
     """A grid of delimited files of any size, by Spark's reader; a first piece tells the delimiter and, unless given, whether there is a header.
 
-    Columns are as many as the widest record has cells; shorter ones are filled up, blank ones go. Files are split among tasks unless
-    quotes hold newlines (``multi_line``), which is looked for unless it is given. The order is that of paths and of places within them.
+    Columns are as many as the widest record has cells; shorter ones are filled up, blank ones go. Files are split among tasks, also
+    where quotes hold newlines (``multi_line``, which is looked for unless it is given): each task then finds out in what state it
+    leaves its range. The order is that of paths and of places within them.
     """
     lines = spark.read.text(path)
     first = [r[0] for r in lines.limit(50).collect()]
@@ -72,7 +76,9 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     sample = split_delimited(head, delimiter)
     if header is None:
         header = len(sample) > 1 and is_header(padded(sample)[0])
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "nullValue": "\x00", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if multi_line:
+        return scanned(split_records(records(spark, path, Delimited(delimiter)), delimiter), header)
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "nullValue": "\x00", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     width, n = 0, max(1, max(map(len, sample), default=1)) + 1
     while not width:
         names = [f"c{i}" for i in range(n)]
@@ -95,6 +101,38 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     return Grid(rows.select(POS, *names), tuple(unique_names(labels if header else [""] * width)), tuple(range(width)))
 
 
+def scanned(rows: DataFrame, header: bool | None) -> Grid:
+    """A grid of records with cells, in the order of paths, ranges and places in them; the header is looked for unless it is known."""
+    spark = rows.sparkSession
+    width = rows.agg(F.max(F.size("cells"))).first()[0]  # one row
+    if not width:
+        return Grid(spark.createDataFrame([], f"{POS} long"), (), ())
+    ordered = rows.orderBy("file_path", "block", "n").select(F.monotonically_increasing_id().alias(POS), *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(width)])
+    top = [list(r)[1:] for r in ordered.orderBy(POS).limit(2).collect()]
+    if header is None:
+        header = len(top) > 1 and is_header(top[0])
+    if header:
+        first = ordered.agg(F.min(POS)).first()[0]
+        ordered = ordered.where(F.col(POS) > first)
+    return Grid(ordered, tuple(unique_names(top[0] if header else [""] * width)), tuple(range(width)))
+
+
+def read_json(spark: SparkSession, path: str, head: str, has_header: bool | None = None) -> Grid:
+    """A grid of files with a JSON list each, which any number of tasks read: an element is found by its depth. Lists of records or of rows."""
+    start = JsonList().opened(head)
+    opening = head[start:].lstrip()[:1] if start else ""
+    if opening not in ("{", "["):
+        raise ValueError("that JSON is not a list of records or rows")
+    found = records(spark, path, JsonList("}" if opening == "{" else "]")).where("text <> ''")
+    if not found.where(F.try_parse_json("text").isNull()).isEmpty():
+        raise ValueError("an element is not JSON")
+    if opening == "[":
+        return scanned(found.select("file_path", "block", F.struct("n", "k").alias("n"), F.transform(F.from_json("text", "array<string>"), lambda x: F.coalesce(x, F.lit(""))).alias("cells")), has_header)
+    placed = found.orderBy("file_path", "block", "n", "k").select(F.monotonically_increasing_id().alias("_at"), "text")
+    df, keys = json_records(placed, "text", "_at")
+    return Grid(df, tuple(unique_names(keys)), tuple(range(len(keys))))
+
+
 def sampled_format(head: str) -> str:
     """The format that the first lines of a file tell; JSON that goes on beyond them counts by how it begins."""
     found = detect_format(head)
@@ -104,11 +142,12 @@ def sampled_format(head: str) -> str:
 def read_grid(spark: SparkSession, path: str, fmt: str = "auto", has_header: bool | None = None, delimiter: str | None = None) -> Grid:
     """A grid of files in any format that texts may have; ``auto`` tells it by the first lines.
 
-    Delimited files and JSON Lines may have any size. JSON, Markdown and HTML are parsed a file at a time, by one task each; of
-    several files with one table each the rows follow one another in the order of paths, under the first one's headers.
+    Delimited files and JSON Lines may have any size, and so may JSON lists, which many tasks read where a file is larger than what
+    one task takes (``spark.sql.files.maxPartitionBytes``). Markdown, HTML and smaller JSON are parsed a file at a time, by one task
+    each; of several files with one table each the rows follow one another in the order of paths, under the first one's headers.
     """
     if fmt == "auto":
-        fmt = sampled_format("\n".join(r[0] for r in spark.read.text(path).limit(50).collect()))
+        fmt = sampled_format("\n".join(r[0] for r in spark.read.text(path).select(F.left("value", F.lit(HEAD))).limit(50).collect()))
     if fmt in ("csv", "tsv"):
         return read_delimited(spark, path, "\t" if fmt == "tsv" else delimiter, has_header)
     if fmt == "jsonl":
@@ -116,8 +155,17 @@ def read_grid(spark: SparkSession, path: str, fmt: str = "auto", has_header: boo
         lines = lines.orderBy("_file", "_at").withColumn("_at", F.monotonically_increasing_id())
         if not lines.where(F.try_parse_json("value").isNull()).isEmpty():
             raise ValueError("a line is not JSON")
+        first = lines.orderBy("_at").select("value").first()
+        if first and first[0].strip()[:1] == "[":  # rows, not records
+            cells = F.transform(F.from_json("value", "array<string>"), lambda x: F.coalesce(x, F.lit("")))
+            return scanned(lines.select(F.lit("").alias("file_path"), F.lit(0).alias("block"), F.col("_at").alias("n"), cells.alias("cells")), has_header)
         df, keys = json_records(lines, "value", "_at")
+        if not keys:  # scalars are one column
+            return Grid(lines.select(F.col("_at").alias(POS), F.coalesce(F.try_parse_json("value").try_cast("string"), F.lit("")).alias("c0")), ("Column 1",), (0,)) if first else Grid(df, (), ())
         return Grid(df, tuple(unique_names(keys)), tuple(range(len(keys))))
+    if fmt == "json" and sizes_of(spark, path) > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        first = spark.read.text(path, lineSep="}").select(F.left("value", F.lit(HEAD))).limit(50).collect()
+        return read_json(spark, path, "".join(r[0] + "}" for r in first), has_header)
     texts = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value").orderBy("file_path").select(F.monotonically_increasing_id().alias("id"), "value")
     rows = table_rows(texts, "id", "value", fmt, has_header)
     told = rows.where("header").orderBy("id").collect()  # one row a file

@@ -10,7 +10,8 @@ FORMATS = ("auto", "html", "csv", "tsv", "json", "jsonl", "markdown")
 # fixed values: candidate delimiters in order of preference, and what a number looks like to the header test
 DELIMITERS = ("\t", ",", ";", "|")
 NUMERIC = re.compile(r"^[-+(]?[$€£¥₹]?\s?[\d,.\s]+%?\)?$")
-_SEPARATOR = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+#: The line under a Markdown header.
+_RULE = re.compile(r"^\s*\|?[\s:|-]+\|[\s:|-]*$")
 
 
 @dataclass
@@ -36,7 +37,7 @@ def detect_format(text: str) -> str:
     lines = [x.strip() for x in body.splitlines() if x.strip()]
     if len(lines) > 1 and all(x.startswith("{") and x.endswith("}") for x in lines[:5]):
         return "jsonl"
-    if len(lines) > 1 and "|" in lines[0] and "|" in lines[1] and "-" in lines[1] and _SEPARATOR.match(lines[1]):
+    if len(lines) > 1 and "|" in lines[0] and _RULE.match(lines[1]):
         return "markdown"
     return "tsv" if sniff_delimiter(text) == "\t" else "csv"
 
@@ -117,31 +118,44 @@ def json_cell(x) -> str:
     return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
 
-def from_json(value) -> Table:
-    """A list of records (headers are the union of keys as first seen), of rows or of scalars; an object gives its first list, or one record."""
+def from_json(value, has_header: bool | None = None) -> Table:
+    """A list of rows, of records (headers are the union of keys as first seen) or of scalars, by its first item; an object gives its first list, or one record."""
+    from ..grid import unique_names
+
     if isinstance(value, dict):
         value = next((v for v in value.values() if isinstance(v, list)), [value])
     if not isinstance(value, list):
         raise ValueError("JSON without a list or an object holds no table")
-    if value and all(isinstance(r, list) for r in value):
-        return to_table([[json_cell(c) for c in r] for r in value])
-    if value and all(not isinstance(r, (dict, list)) for r in value):
-        return Table(["Column 1"], [[json_cell(r)] for r in value])
-    records = [r if isinstance(r, dict) else {"value": r} for r in value]
-    keys = list(dict.fromkeys(k for r in records for k in r))
-    return Table(keys, [[json_cell(r.get(k)) for k in keys] for r in records])
+    if value and isinstance(value[0], list):
+        if not all(isinstance(r, list) for r in value):
+            raise ValueError("a list of rows holds something else")
+        return to_table([[json_cell(c) for c in r] for r in value], has_header)
+    keys = list(dict.fromkeys(k for r in value if isinstance(r, dict) for k in r))
+    if not keys:
+        return to_table([[json_cell(r)] for r in value], has_header=False)
+    return Table(unique_names(keys), [[json_cell(r.get(k)) if isinstance(r, dict) else "" for k in keys] for r in value])
 
 
 def parse_markdown(text: str) -> Table:
-    lines = [x.strip() for x in text.splitlines() if "|" in x]
-    cut = next((i for i, x in enumerate(lines) if "-" in x and _SEPARATOR.match(x)), None)
-    cells = [[re.sub(r"<br\s*/?>", "\n", c.strip().replace(r"\|", "|")) for c in re.split(r"(?<!\\)\|", re.sub(r"(?<!\\)\|$", "", x.removeprefix("|")))] for x in lines if not ("-" in x and _SEPARATOR.match(x))]
-    if cut is None:
-        return to_table(cells)
-    if cut == 0:
-        return to_table(cells, has_header=False)
-    out = to_table(cells[cut - 1 :], has_header=True)
-    return out
+    """The lines with pipes; the row above the first rule is the header, those above that are rows. Without such a row the header is looked for."""
+    from ..grid import unique_names
+
+    lines = [x for x in map(str.strip, text.splitlines()) if "|" in x]
+    if not lines:
+        raise ValueError("no Markdown table in this text")
+    rows, header = [], None
+    for line in lines:
+        if "-" in line and _RULE.match(line):
+            if rows and header is None:
+                header = rows.pop()
+            continue
+        bare = line.removeprefix("|").removesuffix("|")
+        rows.append([re.sub(r"<br\s*/?>", "\n", c.strip().replace(r"\|", "|"), flags=re.I) for c in re.split(r"(?<!\\)\|", bare)])
+    if header is None:
+        return to_table(rows)
+    width = max(len(r) for r in [header, *rows])
+    header, *rows = [r + [""] * (width - len(r)) for r in [header, *rows]]
+    return Table(unique_names(header), rows)
 
 
 def parse_text(text: str, fmt: str = "auto", has_header: bool | None = None, delimiter: str | None = None) -> tuple[Table, str]:
@@ -149,9 +163,9 @@ def parse_text(text: str, fmt: str = "auto", has_header: bool | None = None, del
     if fmt in ("csv", "tsv"):
         return to_table(split_delimited(text, delimiter or ("\t" if fmt == "tsv" else sniff_delimiter(text))), has_header), fmt
     if fmt == "json":
-        return from_json(json.loads(text)), fmt
+        return from_json(json.loads(text), has_header), fmt
     if fmt == "jsonl":
-        return from_json([json.loads(x) for x in text.splitlines() if x.strip()]), fmt
+        return from_json([json.loads(x) for x in text.splitlines() if x.strip()], has_header), fmt
     if fmt == "markdown":
         return parse_markdown(text), fmt
     if fmt == "html":
