@@ -19,9 +19,9 @@ from .operators.readings import readings, refound
 from .operators.region import best_boxes, candidates, rebuild, visible_items
 from .operators.slicing import slice_tables
 from .plans.pipeline import apply_spec, ranked
-from .plans.spec import GridSpec, Replace, Sort, header_case
-from .sources.reader import json_records, table_rows
-from .sources.text import detect_format, sniff_delimiter
+from .plans.spec import GridSpec, Replace, Sort
+from .shared import new_path
+from .sources.reader import json_records, read_grid, table_rows
 from .streaming.capture import first_wins, last_wins, looks_next, page_signature, pages_taken, scroll_stops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,13 +135,15 @@ def merge_pages(spark, d):
     return typed(merge_tables([*pages, from_dataframe(o.select("o_orderkey"), "o_orderkey")]), ["bigint", "string"])
 
 
-NUMBERS = [("1,234.56", 1234.56), ("1.234,56", 1234.56), ("(1,234)", -1234.0), ("1 234,5", 1234.5), ("$1,200", 1200.0), ("45%", 45.0), ("abc", None), ("", None), ("-5", -5.0), ("−7", -7.0), ("+3", 3.0), ("1.234", 1.234), ("1.234.567", 1234567.0), ("1,234", 1234.0), ("12,5", 12.5), ("€ 9,99", 9.99), ("R100", 100.0), ("1e5", None), ("1,2,3", None), ("(-5)", -5.0), ("-+5", -5.0), ("+-5", None), (",123", 123.0), ("12345,678", 12345.678), ("1234,567,890", 1234567890.0), ("1.2.3", None), ("( 5 )", -5.0), ("$ (5)", None), (".5", 0.5), (".", None), ("—3", -3.0), ("‐3", None)]
+#: Forms of a price, by expressions that both dialects know: {p} has thousands and two decimals, {w} is whole; and the number each stands for.
+NUMBER_FORMS = [("{p}", "price"), ("translate({p}, ',.', '.,')", "price"), ("'(' || {w} || ')'", "-whole"), ("'$' || {p}", "price"), ("{w} || '%'", "whole"), ("'abc' || {w}", "null"), ("''", "null"), ("'−' || {w}", "-whole"), ("'+' || {w}", "whole"), ("'R' || {w}", "whole"), ("{w} || 'e5'", "null"), ("'-+' || {w}", "-whole"), ("'+-' || {w}", "null"), ("'( ' || {w} || ' )'", "-whole"), ("{w} || ',5'", "whole + 0.5"), ("'€ ' || {w} || ',25'", "whole + 0.25"), ("{w} || '.1.2'", "null"), ("'1,2,' || {w}", "null"), ("'—' || {w}", "-whole"), ("'.' || {w}", "null")]
 
 
-@query("select * from (values " + ", ".join(f"('{a}', {'null' if b is None else b}::double)" for a, b in NUMBERS) + ") as t(raw, value)")
+@query("with o as (select o_orderkey, round(o_totalprice, 2) as price, floor(o_totalprice)::bigint as whole from orders) select o_orderkey, case o_orderkey % " + str(len(NUMBER_FORMS) - 1) + " " + " ".join(f"when {i} then ({v})::double" for i, (_, v) in enumerate(NUMBER_FORMS[:-1])) + " end as value from o")
 def parse_number(spark, d):
-    rows = spark.createDataFrame([(a,) for a, _ in NUMBERS], "raw string")
-    return rows.select("raw", S.parse_number(F.col("raw")).alias("value"))
+    forms = "case o_orderkey % " + str(len(NUMBER_FORMS) - 1) + " " + " ".join(f"when {i} then {f.format(p='p', w='w')}" for i, (f, _) in enumerate(NUMBER_FORMS[:-1])) + " end"
+    o = read(spark, d, "orders").select("o_orderkey", F.format_number("o_totalprice", 2).alias("p"), F.floor("o_totalprice").cast("string").alias("w"))
+    return o.select("o_orderkey", S.parse_number(F.expr(forms)).alias("value"))
 
 
 @query("select l_orderkey, l_linenumber, l_extendedprice as price from lineitem")
@@ -170,30 +172,26 @@ def iso_dates(spark, d):
     return o.select("o_orderkey", S.iso_date(shown).alias("iso")).where("iso is not null")
 
 
-SHOWN = [(1e30, "1e+30"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (1.2e-13, "1.2e-13"), (1e-7, "1e-7"), (1e-6, "0.000001"), (0.5, "0.5"), (1234.5, "1234.5"), (12345678.9, "12345678.9"), (5.0, "5"), (-0.0, "0"), (-2.5, "-2.5")]
-
-
-@query("select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in SHOWN) + ") as t(raw, text)")
+@query("select l_orderkey, l_linenumber, regexp_replace(((case l_linenumber % 4 when 0 then -1 when 1 then 1 when 2 then 1000 else 0.5 end) * l_extendedprice)::varchar, '\\.0$', '') as text from lineitem")
 def number_texts(spark, d):
-    rows = spark.createDataFrame([(str(a), a) for a, _ in SHOWN], "raw string, n double")
-    return rows.select("raw", S.number_text(F.col("n")).alias("text"))
-
-
-DATES = [("2024-1-2", False, None), ("2024-01-02T10:00", True, "2024-01-02"), ("12. March 2024", False, None), ("12 March 2024", True, "2024-03-12"), ("Mar. 5, 2024", True, "2024-03-05"), ("12 March 24", True, None), ("13/02/2024", True, "2024-02-13"), ("02/03/2024", True, None), ("1/2/123", True, None), ("12 Foo 2024", True, None), ("soon", False, None)]
+    scaled = F.expr("double(case l_linenumber % 4 when 0 then -1 when 1 then 1 when 2 then 1000 else 0.5 end) * l_extendedprice")
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.number_text(scaled).alias("text"))
 
 
-@query("select * from (values " + ", ".join(f"('{a}', {str(b).lower()}, {'null' if c is None else repr(c)})" for a, b, c in DATES) + ") as t(raw, is_date, iso)")
+@query("""with o as (select o_orderkey, o_orderkey % 8 as k, o_orderdate as t, day(o_orderdate) as day from orders)
+select o_orderkey, k not in (6, 7) as is_date, case when k in (0, 1, 2, 3) or (k in (4, 5) and day > 12) then strftime(t, '%Y-%m-%d') end as iso from o""")
 def date_forms(spark, d):
-    rows = spark.createDataFrame([(a,) for a, _, _ in DATES], "raw string")
-    return rows.select("raw", S.looks_date(F.col("raw")).alias("is_date"), S.iso_date(F.col("raw")).alias("iso"))
+    t, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
+    forms = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm", "d MMMM yyyy", "MMM d, yyyy", "M/d/yyyy", "dd.MM.yyyy"]
+    raw = F.coalesce(*[F.when(k == i, F.date_format(t, f)) for i, f in enumerate(forms)], F.when(k == 6, F.date_format(t, "d. MMMM yyyy")).otherwise(F.concat(F.lit("on "), F.date_format(t, "yyyy-MM-dd"))))
+    return read(spark, d, "orders").select("o_orderkey", S.looks_date(raw).alias("is_date"), S.iso_date(raw).alias("iso"))
 
 
-URLS = [("https://x.org/a", True), ("https://x y", False), ("www.", False), ("www.a", True), ("mailto:a b", True), ("HTTP://A", True), ("ftp://a", False)]
-
-
-@query("select * from (values " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in URLS) + ") as t(raw, is_url)")
+@query("select page_id, page_id % 6 in (0, 1, 2, 3) as is_url from pages")
 def url_forms(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in URLS], "raw string").select("raw", S.looks_url(F.col("raw")).alias("is_url"))
+    url, bare = F.col("url"), F.regexp_replace("url", "^https?://", "")
+    raw = F.expr("case page_id % 6 when 0 then url when 1 then 'www.' || bare when 2 then 'mailto:' || bare when 3 then upper(url) when 4 then 'ftp://' || bare else url || ' ' || bare end")
+    return read(spark, d, "pages").select("page_id", url, bare.alias("bare")).select("page_id", S.looks_url(raw).alias("is_url"))
 
 
 @query("select * from (values (0,'number'),(1,'number'),(2,'text'),(3,'number'),(4,'date'),(5,'text')) as t(column_index, type)")
@@ -201,13 +199,15 @@ def infer_types(spark, d):
     return inferred(from_dataframe(read(spark, d, "orders"), "o_orderkey"))
 
 
-@query("""select 0 as column_index, 'l_quantity' as header, count(*) as filled, least(count(distinct l_quantity), 10000) as "unique", min(l_quantity) as "min", max(l_quantity) as "max", round(sum(l_quantity), 2) as "sum" from lineitem
-union all select 1, 'l_discount', count(*), least(count(distinct l_discount), 10000), min(l_discount), max(l_discount), round(sum(l_discount), 2) from lineitem
-union all select 2, 'l_returnflag', count(*), least(count(distinct l_returnflag), 10000), null, null, null from lineitem""")
+@query("""with x as (select *, case when l_orderkey % 4 = 1 then null else l_discount end as discount from lineitem)
+select 0 as column_index, 'l_quantity' as header, count(*) as filled, 0::bigint as empty, least(count(distinct l_quantity), 10000) as "unique", min(l_quantity) as "min", max(l_quantity) as "max", round(sum(l_quantity), 2) as "sum", round(avg(l_quantity), 6) as mean from x
+union all select 1, 'l_discount', count(discount), count(*) - count(discount), least(count(distinct discount), 10000), min(discount), max(discount), round(sum(discount), 2), round(avg(discount), 6) from x
+union all select 2, 'l_returnflag', count(*), 0, least(count(distinct l_returnflag), 10000), null, null, null, null from x""")
 def column_statistics(spark, d):
-    x = read(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    blank = F.when(F.col("l_orderkey") % 4 != 1, F.col("l_discount"))
+    x = read(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("l_discount", blank)
     out = column_stats(from_dataframe(x, "k", ["l_quantity", "l_discount", "l_returnflag"]), ("number", "number", "text"))
-    return out.select("column_index", "header", "filled", "unique", "min", "max", F.round("sum", 2).alias("sum"))
+    return out.select("column_index", "header", "filled", "empty", "unique", "min", "max", F.round("sum", 2).alias("sum"), "mean")
 
 
 @query("select p_partkey, replace(p_brand, '#', ' no. ') as brand from part")
@@ -228,10 +228,13 @@ def trim_cells(spark, d):
     return typed(apply_spec(from_dataframe(x, "p_partkey"), GridSpec(trim_cells=True)), ["bigint", "string"])
 
 
-@query("select * from (values ('totalSales2024','total_sales_2024','totalSales2024','Total Sales 2024'), ('First Name','first_name','firstName','First Name'), ('unit-price','unit_price','unitPrice','Unit Price'), ('Größe 2','gr_e_2','grE2','Gr E 2'), ('Q1','q1','q1','Q1')) as t(raw, snake, camel, title)")
+@query("select n_name as raw, 'nation_' || n_nationkey as snake, 'nation' || n_nationkey as camel, 'Nation ' || n_nationkey as title from nation union all select 'totalSales' || n_nationkey, 'total_sales_' || n_nationkey, 'totalSales' || n_nationkey, 'Total Sales ' || n_nationkey from nation")
 def header_cases(spark, d):
-    names = ["totalSales2024", "First Name", "unit-price", "Größe 2", "Q1"]
-    return spark.createDataFrame([(n, *[header_case(n, s) for s in ("snake", "camel", "title")]) for n in names], "raw string, snake string, camel string, title string")
+    """The names of nations as the headers of a grid, in each case; a grid's headers are at the driver."""
+    n = read(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows
+    names = [r.n_name for r in n] + [f"totalSales{r.n_nationkey}" for r in n]
+    cased = {c: apply_spec(Grid(spark.range(0).select(F.col("id").alias(POS), *[F.lit("").alias(f"c{i}") for i in range(len(names))]), tuple(names), tuple(range(len(names)))), GridSpec(header_case=c, drop_empty=False)).headers for c in ("snake", "camel", "title")}
+    return spark.createDataFrame(list(zip(names, *cased.values(), strict=True)), "raw string, snake string, camel string, title string")
 
 
 @query("select 'r_name' as r_regionkey, max(case when r_regionkey = 0 then r_name end) as \"0\", max(case when r_regionkey = 1 then r_name end) as \"1\", max(case when r_regionkey = 2 then r_name end) as \"2\", max(case when r_regionkey = 3 then r_name end) as \"3\", max(case when r_regionkey = 4 then r_name end) as \"4\" from region")
@@ -246,25 +249,36 @@ def jsonl_union(spark, d):
     return out.select(F.col(POS).alias("event_id"), F.concat(F.lit("{"), pairs, F.lit("}")).alias("props"))
 
 
-def round_trip(spark, grid: Grid, fmt: str, kinds: list[str]) -> DataFrame:
-    text = sinks.to_string(grid, fmt)
-    rows = table_rows(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", "tsv" if fmt == "tsv" else fmt)
-    return rows.where("not header").select(*[F.get("cells", F.lit(i)).cast(k).alias(h) for i, (h, k) in enumerate(zip(grid.headers, kinds, strict=True))])
+def round_trip(spark, d, fmt: str) -> DataFrame:
+    """Customers written as files and read again as a user would."""
+    g, path = from_dataframe(read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey"), new_path(spark, f"customers-{fmt}")
+    sinks.write_grid(g, path, fmt, one_file=fmt in ("markdown", "json", "json-arrays", "html"))
+    return typed(read_grid(spark, path, "json" if fmt == "json-arrays" else fmt), ["bigint", "string", "string"])
 
 
 for _fmt in ("csv", "tsv", "markdown", "json", "json-arrays", "jsonl", "html"):
 
     def _trip(spark, d, fmt=_fmt):
-        return round_trip(spark, from_dataframe(read(spark, d, "nation"), "n_nationkey"), fmt, ["int", "string", "int"]) if fmt != "json-arrays" else round_trip_arrays(spark, d)
+        return round_trip(spark, d, fmt)
 
     QUERIES[f"roundtrip_{_fmt.replace('-', '_')}"] = _trip
-    ORACLES[f"roundtrip_{_fmt.replace('-', '_')}"] = "select n_nationkey, n_name, n_regionkey from nation"
+    ORACLES[f"roundtrip_{_fmt.replace('-', '_')}"] = "select c_custkey, c_name, c_mktsegment from customer"
+
+
+@query("select doc_id, case when regexp_matches(text, '^[=+@\\t\\r-]') and length(text) > 1 and not regexp_full_match(text, '-?[\\d.,]+') then chr(9) || text else text end as text, lang from documents")
+def csv_with_newlines(spark, d):
+    """Documents as one CSV file, whose quoted newlines leave it to be read by many tasks all the same."""
+    path = new_path(spark, "documents-csv")
+    sinks.write_grid(from_dataframe(read(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id"), path, "csv", one_file=True)
+    return typed(read_grid(spark, path, "csv"), ["bigint", "string", "string"])
 
 
-def round_trip_arrays(spark, d):
-    g = from_dataframe(read(spark, d, "nation"), "n_nationkey")
-    rows = table_rows(spark.createDataFrame([(1, sinks.to_string(g, "json-arrays"))], "id long, text string"), "id", "text", "json")
-    return rows.where("not header").select(*[F.get("cells", F.lit(i)).cast(k).alias(h) for i, (h, k) in enumerate(zip(g.headers, ["int", "string", "int"], strict=True))])
+@query("select event_id, event_type, coalesce(user_id::varchar, '') as user_id, props from events")
+def json_list_of_events(spark, d):
+    """Events as one JSON list in one file; its elements are found by depth, in as many tasks as the file has ranges."""
+    path = new_path(spark, "events-json")
+    sinks.write_grid(from_dataframe(read(spark, d, "events").select("event_id", "event_type", "user_id", "props"), "event_id"), path, "json", one_file=True)
+    return typed(read_grid(spark, path, "json", whole_json=0), ["bigint", "string", "string", "string"])
 
 
 # cells with everything that a format must take care of, by expressions that both dialects know
@@ -342,10 +356,17 @@ def roundtrip_xlsx(spark, d):
     return spark.createDataFrame([(int(k[0]), name[1], int(r[0])) for k, name, r in rows], "n_nationkey int, n_name string, n_regionkey int")
 
 
-@query("select * from (values (0, 'csv', ','), (1, 'tsv', chr(9)), (2, 'csv', ';'), (3, 'json', ','), (4, 'jsonl', ','), (5, 'markdown', '|'), (6, 'html', ','), (7, 'csv', ',')) as t(id, format, delimiter)")
+@query("select c_nationkey as id, case c_nationkey % 7 when 0 then 'csv' when 1 then 'tsv' when 2 then 'csv' when 3 then 'json' when 4 then 'jsonl' when 5 then 'markdown' else 'html' end as format, count(*) as n from customer group by 1 having count(*) > 1")
 def detect_formats(spark, d):
-    blobs = ["a,b\n1,2", "a\tb, c\n1\t2", "a;b;c\n1;2;3", '[{"a":1}]', '{"a":1}\n{"a":2}', "|a|b|\n|-|-|\n|1|2|", "<table><tr><td>1</td></tr></table>", ""]
-    return spark.createDataFrame([(i, detect_format(b), sniff_delimiter(b)) for i, b in enumerate(blobs)], "id int, format string, delimiter string")
+    """The customers of each nation as a text in one of the formats, which each text tells by itself."""
+    c = read(spark, d, "customer").where("c_nationkey is not null").select("c_nationkey", "c_custkey", "c_name")
+    kind = F.col("c_nationkey") % 7
+    line = F.expr("""case c_nationkey % 7 when 0 then c_custkey || ',' || c_name when 1 then c_custkey || chr(9) || c_name || ', x' when 2 then c_custkey || ';' || c_name when 5 then '|' || c_custkey || '|' || c_name || '|'
+        when 6 then '<tr><td>' || c_custkey || '<td>' || c_name || '</tr>' else '{"k":' || c_custkey || ',"name":"' || c_name || '"}' end""")
+    texts = c.withColumn("line", line).groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("t"), F.count("*").alias("n")).where("n > 1")
+    text = F.when(kind == 3, F.concat(F.lit("["), F.regexp_replace("t", "\n", ","), F.lit("]"))).when(kind == 5, F.concat(F.lit("|k|name|\n|-|-|\n"), "t")).when(kind == 6, F.concat(F.lit("<table><thead><tr><th>k<th>name</tr></thead>"), "t", F.lit("</table>"))).otherwise(F.col("t"))
+    rows = table_rows(texts.select("c_nationkey", text.alias("text")), "c_nationkey", "text", has_header=None)
+    return rows.where("not header").groupBy(F.col("id"), F.col("fmt").alias("format")).agg(F.count("*").alias("n"))
 
 
 @query("select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey")
@@ -415,9 +436,11 @@ def slice_region(spark, d):
 LABELS = [("Next ›", True), ("next", True), ("Next page →", True), ("›", True), ("»", True), ("Load more…", True), ("Show more", True), ("Previous", False), ("‹ Prev", False), ("Page 2 of 3", False), ("", False)]
 
 
-@query("select * from (values " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in LABELS) + ") as t(label, is_next)")
+@query("select c_custkey, case c_custkey % " + str(len(LABELS) + 1) + " " + " ".join(f"when {i} then {str(b).lower()}" for i, (_, b) in enumerate(LABELS)) + " else false end as is_next from customer")
 def next_labels(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in LABELS], "label string").select("label", looks_next(F.col("label")).alias("is_next"))
+    """A control for each customer: one of the labels, or the customer's name."""
+    label = F.coalesce(F.get(F.lit([a for a, _ in LABELS]), (F.col("c_custkey") % (len(LABELS) + 1)).cast("int")), F.col("c_name"))
+    return read(spark, d, "customer").select("c_custkey", looks_next(label).alias("is_next"))
 
 
 @query("select conv_id, count(*) || '|' || substr(min(text), 1, 120) as signature from conversations group by 1")
@@ -459,10 +482,10 @@ def paged_walks(spark, d):
     return pages_taken(c).select("capture_id", "page", "complete")
 
 
-@query("""select c_custkey as capture_id, min(n_nationkey) as nth from customer join nation on n_regionkey = c_nationkey % 5 and length(n_name) = 4 + c_custkey % 4 group by 1""")
+@query("""select c_custkey as capture_id, min(n_nationkey) as nth from customer join nation on n_regionkey = c_nationkey % 5 and 2 + n_nationkey % 4 = 2 + c_custkey % 7 group by 1""")
 def refound_tables(spark, d):
-    tables = read(spark, d, "nation").select(F.col("n_regionkey").alias("page_id"), F.col("n_nationkey").alias("nth"), F.length("n_name").alias("columns"))
-    captures = read(spark, d, "customer").select(F.col("c_custkey").alias("capture_id"), (F.col("c_nationkey") % 5).alias("page_id"), (4 + F.col("c_custkey") % 4).cast("int").alias("columns"))
+    tables = read(spark, d, "nation").select(F.col("n_regionkey").alias("page_id"), F.col("n_nationkey").alias("nth"), (2 + F.col("n_nationkey") % 4).cast("int").alias("columns"))
+    captures = read(spark, d, "customer").select(F.col("c_custkey").alias("capture_id"), (F.col("c_nationkey") % 5).alias("page_id"), (2 + F.col("c_custkey") % 7).cast("int").alias("columns"))
     return refound(tables, captures).select("capture_id", "nth")
 
 

@@ -227,10 +227,11 @@ def line_df(grid: Grid, line: Column) -> DataFrame:
     return grid.df.select(POS, line.alias("line"))
 
 
-def write_grid(grid: Grid, path: str, fmt: str = "csv", types: tuple[str, ...] | None = None, bom: bool = False, **options) -> None:
-    """Writes a folder of text parts in order, which put one behind the other are the whole text. xlsx is one file, built on the driver.
+def write_grid(grid: Grid, path: str, fmt: str = "csv", types: tuple[str, ...] | None = None, bom: bool = False, one_file: bool = False, **options) -> None:
+    """Writes a folder of text parts in order, which put one behind the other are the whole text. xlsx is one file.
 
-    ``bom`` puts a byte-order mark before CSV, which some spreadsheets need to read it as UTF-8.
+    ``bom`` puts a byte-order mark before CSV, which some spreadsheets need to read it as UTF-8. With ``one_file`` the folder holds
+    one part, which one task writes as it reads the sorted rows.
     """
     if fmt == "xlsx":
         with open(path, "wb") as f:
@@ -247,7 +248,8 @@ def write_grid(grid: Grid, path: str, fmt: str = "csv", types: tuple[str, ...] |
     for part, text in ((-1, head), (1, foot)):
         if text:  # the writer ends each line
             framed = framed.union(spark.createDataFrame([(part, 0, text.removesuffix(out.newline))], "part int, _pos long, line string"))
-    framed.orderBy("part", POS).select("line").write.mode("overwrite").option("lineSep", out.newline).text(path)
+    ordered = framed.orderBy("part", POS).select("line")
+    (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").option("lineSep", out.newline).text(path)
 
 
 def to_string(grid: Grid, fmt: str, types: tuple[str, ...] | None = None, **options) -> str:

@@ -139,11 +139,11 @@ def sampled_format(head: str) -> str:
     return "json" if found in ("csv", "tsv") and head.lstrip("\ufeff \t\n")[:1] in ("[", "{") else found
 
 
-def read_grid(spark: SparkSession, path: str, fmt: str = "auto", has_header: bool | None = None, delimiter: str | None = None) -> Grid:
+def read_grid(spark: SparkSession, path: str, fmt: str = "auto", has_header: bool | None = None, delimiter: str | None = None, whole_json: int | None = None) -> Grid:
     """A grid of files in any format that texts may have; ``auto`` tells it by the first lines.
 
     Delimited files and JSON Lines may have any size, and so may JSON lists, which many tasks read where a file is larger than what
-    one task takes (``spark.sql.files.maxPartitionBytes``). Markdown, HTML and smaller JSON are parsed a file at a time, by one task
+    one task takes (``whole_json`` bytes, or spark.sql.files.maxPartitionBytes). Markdown, HTML and smaller JSON are parsed a file at a time, by one task
     each; of several files with one table each the rows follow one another in the order of paths, under the first one's headers.
     """
     if fmt == "auto":
@@ -163,7 +163,7 @@ def read_grid(spark: SparkSession, path: str, fmt: str = "auto", has_header: boo
         if not keys:  # scalars are one column
             return Grid(lines.select(F.col("_at").alias(POS), F.coalesce(F.try_parse_json("value").try_cast("string"), F.lit("")).alias("c0")), ("Column 1",), (0,)) if first else Grid(df, (), ())
         return Grid(df, tuple(unique_names(keys)), tuple(range(len(keys))))
-    if fmt == "json" and sizes_of(spark, path) > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+    if fmt == "json" and sizes_of(spark, path) > (spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() if whole_json is None else whole_json):
         first = spark.read.text(path, lineSep="}").select(F.left("value", F.lit(HEAD))).limit(50).collect()
         return read_json(spark, path, "".join(r[0] + "}" for r in first), has_header)
     texts = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value").orderBy("file_path").select(F.monotonically_increasing_id().alias("id"), "value")
