@@ -25,8 +25,11 @@ FEATURE_BITS, SAMPLE = 20, 2500
 FEATURES = 1 << FEATURE_BITS
 #: Bytes of the beginnings of words that are features too, for stems that take many endings.
 BEGINNINGS = (3, 4, 5, 6)
-#: A feature is a seed if SEEDS_IN toxic documents of the sample have it, and a share of them, at some times the odds of the others; the sample itself tells which.
-SEEDS_IN, SEED_SHARES, SEED_ODDS = 3, (0.003, 0.01, 0.02, 0.04), (10.0, 25.0, 50.0, 100.0)
+#: A feature may be a seed if SEEDS_IN toxic documents of the sample have it. It is one if it is so many deviations and so many times the odds
+#: commoner in them than in the other documents of its kind; so many seeds tell a toxic document. The sample itself tells which demands are made.
+SEEDS_IN, SEED_DEVIATIONS, SEED_ODDS, SEED_TOKENS = 3, (4.0, 6.0, 9.0), (3.0, 6.0, 12.0, 30.0), (1, 2, 3)
+#: Kinds of documents that are told apart, by the commonest words of the sample.
+KINDS, COMMON = 8, 256
 SPAN_AT, SEGMENT = 0.5, 256
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -44,9 +47,12 @@ def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return starts, ends, out, texts.counts(starts)
 
 
-def marginals(odds: np.ndarray, at: np.ndarray, move: np.ndarray, start: float, pairs: np.ndarray | None = None) -> np.ndarray:
+def marginals(odds: np.ndarray, at: np.ndarray, move: np.ndarray, start: float, pairs: np.ndarray | None = None, stay: np.ndarray | None = None) -> np.ndarray:
     """P(toxic) of each token by forward-backward over the two states; to ``pairs`` (2x2) the expected number of each transition is added.
 
+    ``stay`` gets, for each token, the log of the probability that it is not toxic if the one before it is not: their sum over a document
+    is that of having no toxic token.
+
     odds: log-odds of the toxic state of each token; move: 2x2 transition scores; start: log-odds at the first token.
     Messages are kept as odds, which two states need alone. Documents are cut into segments that go side by side; each starts
     so many tokens early and ends so many late that what a message forgets there is below rounding: a step shrinks the
@@ -78,6 +84,11 @@ def marginals(odds: np.ndarray, at: np.ndarray, move: np.ndarray, start: float,
         back, live = np.ones(len(rows)), np.ascontiguousarray(inside.T)
         for t in range(width - 1, -1, -1):
             fore[t] *= back
+            if stay is not None:
+                here = first[rows] + t
+                own = live[t] & (here >= core[rows]) & (here < core[rows] + SEGMENT)
+                begins = (here == at[doc[rows]])[own]
+                stay[here[own]] = -np.log1p(back[own] * x[t][own] * np.where(begins, math.exp(start), e[0, 1] / e[0, 0]))
             if t:
                 y = back * x[t]
                 if pairs is not None:
@@ -113,8 +124,8 @@ class Model:
             out[:-1] += np.where(last[:-1], 0.0, self.after[f[1:, 0]])
         return out
 
-    def marginals(self, f: np.ndarray, at: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
-        return marginals(self.odds(f, at), at, self.move, self.start, pairs)
+    def marginals(self, f: np.ndarray, at: np.ndarray, pairs: np.ndarray | None = None, stay: np.ndarray | None = None) -> np.ndarray:
+        return marginals(self.odds(f, at), at, self.move, self.start, pairs, stay)
 
     def scores(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(aggregates(p, at) @ self.final)))
@@ -148,37 +159,81 @@ def unlike(f: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def occurrences(f: np.ndarray, doc: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """How many of the documents in use have each feature."""
-    f, doc = f[use[doc]], doc[use[doc]]
-    out = np.zeros(FEATURES + 1)
-    for k in range(f.shape[1]):
-        out += np.bincount(np.unique(doc.astype(np.int64) * (FEATURES + 1) + f[:, k]) % (FEATURES + 1), minlength=FEATURES + 1)
-    out[FEATURES] = 0
-    return out
-
-
-def marking(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, share: float, least_odds: float) -> np.ndarray:
-    """Whether a feature marks toxic documents, by the numbers of documents of each kind that have it."""
-    odds = ((bad + 0.1) / max(1, n_bad)) / ((good + 0.1) / max(1, n_good))
-    return (bad >= max(SEEDS_IN, share * n_bad)) & (odds >= least_odds)
-
+def kinds(f: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """A number for each document's kind: documents that share their common words, which those of one language do.
 
-def seeds(f: np.ndarray, doc: np.ndarray, toxic: np.ndarray, counted: np.ndarray) -> np.ndarray:
-    """Whether a hashed feature marks toxic documents. Of several demands the one is made that, put to one half of the sample, finds the other's toxic documents best."""
-    half = np.arange(len(toxic)) % 2 == 0
-    n = [[int((half == h)[counted & (toxic == t)].sum()) for t in (True, False)] for h in (True, False)]
-    found = [[occurrences(f, doc, counted & (toxic == t) & (half == h)) for t in (True, False)] for h in (True, False)]
-    best = (-1.0, 0.0, 0.0)
-    for share in SEED_SHARES:
+    Spherical k-means over the commonest words of the sample, begun at documents as far apart as can be; of equally far ones the first.
+    """
+    word = f[:, 0]
+    common = np.argsort(-np.bincount(word, minlength=FEATURES + 1), kind="stable")[:COMMON]
+    column = np.full(FEATURES + 1, -1)
+    column[common] = np.arange(len(common))
+    at = column[word]
+    x = np.zeros((n, len(common)), np.float32)
+    np.add.at(x, (doc[at >= 0], at[at >= 0]), 1)
+    x = np.sqrt(x)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres, near = [int(np.argmax(x @ x.mean(0)))], np.full(n, -1.0)
+    while len(centres) < min(KINDS, n):
+        near = np.maximum(near, x @ x[centres[-1]])
+        centres.append(int(np.argmin(np.where(x.any(1), near, 2.0))))
+    c = x[centres]
+    for _ in range(20):
+        own = np.argmax(x @ c.T, 1)
+        c = np.stack([x[own == k].sum(0) for k in range(len(c))])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    return own
+
+
+def evidence(bad: np.ndarray, good: np.ndarray, n_bad: np.ndarray, n_good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much commoner features are in toxic documents than in others of their kind: deviations (of Cochran, Mantel and Haenszel) and odds.
+
+    bad, good: documents of each kind (a row) that have a feature; n_bad, n_good: all of each kind.
+    """
+    nb, ng = n_bad[:, None].astype(float), n_good[:, None].astype(float)
+    n, m = np.maximum(nb + ng, 2), bad + good
+    spread = nb * ng * m * (n - m) / (n * n * (n - 1))
+    over = (bad - m * nb / n).sum(0) / np.sqrt(spread.sum(0) + 0.1)
+    return over, ((bad * (ng - good) / n).sum(0) + 0.05) / ((good * (nb - bad) / n).sum(0) + 0.05)
+
+
+def seeds(f: np.ndarray, doc: np.ndarray, toxic: np.ndarray, counted: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, int]:
+    """Whether a hashed feature marks toxic documents, and how many seeds tell one. Of several demands those are made that, put to one half
+    of the sample, find the toxic documents of the other best, as much in rare kinds of documents as in common ones."""
+    n, size = len(toxic), int(kind.max(initial=0)) + 1
+    half = np.arange(n) % 2
+    own = [np.unique(doc.astype(np.int64) * (FEATURES + 1) + column) for column in f.T]  # which document has which feature
+    in_bad = sum(np.bincount((u % (FEATURES + 1))[(toxic & counted)[u // (FEATURES + 1)]], minlength=FEATURES + 1) for u in own)
+    in_bad[FEATURES] = 0
+    some = np.flatnonzero(in_bad >= SEEDS_IN)
+    place = np.full(FEATURES + 1, -1)
+    place[some] = np.arange(len(some))
+    cell = (half * 2 + toxic) * size + kind
+    found = np.zeros(4 * size * max(1, len(some)))
+    for u in own:
+        d, w = u // (FEATURES + 1), place[u % (FEATURES + 1)]
+        use = (w >= 0) & counted[d]
+        found += np.bincount(cell[d[use]] * max(1, len(some)) + w[use], minlength=len(found))
+    found = found.reshape(2, 2, size, -1)
+    all_docs = np.bincount(cell[counted], minlength=4 * size).reshape(2, 2, size)
+    proof = [evidence(found[h, 1], found[h, 0], all_docs[h, 1], all_docs[h, 0]) for h in (0, 1)]
+    at = place[f]  # of each token's features
+    judged = [k for k in range(size) if (toxic & (kind == k)).sum() >= 5]
+    best = (-1.0, 0.0, 0.0, 0)
+    for deviations in SEED_DEVIATIONS:
         for odds in SEED_ODDS:
-            hit = np.zeros(len(toxic), bool)
-            for k, h in enumerate((True, False)):
-                mark = marking(*found[k], *n[k], share, odds)
-                rows = (half != h)[doc]
-                hit[np.unique(doc[rows][mark[f[rows]].any(1)])] = True
-            best = max(best, (2 * (hit & toxic).sum() / max(1, hit.sum() + toxic.sum()), odds, share))
-    return marking(found[0][0] + found[1][0], found[0][1] + found[1][1], n[0][0] + n[1][0], n[0][1] + n[1][1], best[2], best[1])
+            n_seeds = np.zeros(n)
+            for h in (0, 1):
+                mark = np.r_[(proof[h][0] >= deviations) & (proof[h][1] >= odds) & (found[h, 1].sum(0) >= SEEDS_IN), False]  # the last: no feature
+                n_seeds += np.bincount(doc[mark[at].any(1) & (half[doc] != h)], minlength=n)
+            for least in SEED_TOKENS:
+                hit = n_seeds >= least
+                quality = [2 * (hit & toxic & (kind == k)).sum() / max(1, (hit & (kind == k)).sum() + (toxic & (kind == k)).sum()) for k in judged]
+                best = max(best, (float(np.mean(quality)) if quality else 0.0, odds, deviations, least))
+    over, odds = evidence(found[:, 1].sum(0), found[:, 0].sum(0), all_docs[:, 1].sum(0), all_docs[:, 0].sum(0))
+    out = np.zeros(FEATURES + 1, bool)
+    out[some] = ((over >= best[2]) & (odds >= best[1]))[: len(some)]
+    return out, max(1, best[3])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float, steps: int = 60) -> np.ndarray:
@@ -195,55 +250,84 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float, steps: int
     return b
 
 
+def fitted(f: np.ndarray, at: np.ndarray, tag: np.ndarray, some: np.ndarray, passes: int, rate: float, l2: float) -> Model:
+    """Fits the field by adaptive gradient steps: to the tags of documents that have them, and to those of ``some`` having a toxic token or more.
+
+    The latter's gradient is the difference of two marginals: that of a token, given that one at least is toxic, and the plain one.
+    """
+    model = Model(np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), -4.0, np.zeros((2, 2)), 0.0, np.zeros(3))
+    doc = np.repeat(np.arange(len(some)), np.diff(at))
+    first = np.zeros(len(f), bool)
+    first[at[:-1][at[:-1] < len(f)]] = True
+    inner, loose = ~first[1:], some[doc]
+    tagged = ~loose[1:] & inner
+    squares, more = [np.zeros(FEATURES + 1) for _ in range(3)], np.zeros(6)
+    known = np.searchsorted(np.flatnonzero(~loose), at)  # tokens of documents with tags come apart for the transitions
+    fk, y = f[~loose], tag.astype(float)
+    for _ in range(passes):
+        pairs, stay = np.zeros((2, 2)), np.zeros(len(f))
+        p = model.marginals(f, at, None, stay)
+        model.marginals(fk, known, pairs)
+        none = np.exp(np.add.reduceat(np.r_[stay, 0.0], np.minimum(at[:-1], len(stay))) * (np.diff(at) > 0))
+        g = np.where(loose, -p * np.minimum(none / np.maximum(1 - none, 1e-6), 1e3)[doc], p - y)
+        g = np.maximum(g, -1.0)
+        parts = [(model.own, f, g), (model.before, f[:-1, 0][inner], g[1:][inner]), (model.after, f[1:, 0][inner], g[:-1][inner])]
+        for k, (weights, at_f, grad) in enumerate(parts):
+            total = l2 * weights
+            for column in at_f.reshape(len(at_f), -1).T:
+                total += np.bincount(column, grad, FEATURES + 1)
+            total[FEATURES] = 0
+            squares[k] += total * total
+            weights -= rate * 2 * total / np.sqrt(squares[k] + 1e-8) * (total != 0)
+        ya, yb = y[:-1][tagged], y[1:][tagged]
+        steps = [g[~loose].sum(), pairs[1, 1] - (ya * yb).sum(), pairs[1, 0] - (ya * (1 - yb)).sum(), pairs[0, 1] - ((1 - ya) * yb).sum(), g[first & ~loose].sum()]
+        for k, total in enumerate(steps):
+            more[k] += total * total
+            step = 0.2 * total / math.sqrt(more[k] + 1e-8)
+            if k == 0:
+                model.bias -= step
+            elif k == 4:
+                model.start -= step
+            else:
+                model.move[[(1, 1), (1, 0), (0, 1)][k - 1]] -= step
+    return model
+
+
 def train(texts: list[str], labels: list[int], counts: dict[int, int], passes: int = 12, rate: float = 0.5, l2: float = 1e-4) -> Model:
-    """Fits the field to the seeds' tags by adaptive gradient steps on its conditional likelihood, then calibrates document scores."""
+    """Fits the field to the seeds' tags and to toxic documents without them, then calibrates document scores."""
     toxic = np.array(labels) == 1
     parts = [tokens(t)[2:] for _, t in in_parts(texts)]
     f, counted = np.concatenate([p[0] for p in parts]), np.concatenate([np.diff(p[1]) for p in parts])
     at, n = np.r_[0, np.cumsum(counted)], len(texts)
-    doc = np.repeat(np.arange(n, dtype=np.int32), counted)
-    tag = seeds(f, doc, toxic, unlike(f, at))[f].any(1) & toxic[doc]
-    known = np.bincount(doc[tag], minlength=n) > 0
-    use = known | ~toxic  # a toxic document without a seed says nothing on which tokens are toxic
-    model = Model(np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), -4.0, np.zeros((2, 2)), 0.0, np.zeros(3))
-    if known.any():
-        keep = use[doc]
-        fk, yk, dk = f[keep], tag[keep].astype(float), doc[keep]
-        atk = np.searchsorted(dk, np.arange(n + 1))
-        first = np.zeros(len(fk), bool)
-        first[atk[:-1][atk[:-1] < len(fk)]] = True
-        squares = [np.zeros(FEATURES + 1) for _ in range(3)]
-        more = np.zeros(6)
-        for _ in range(passes):
-            pairs = np.zeros((2, 2))
-            p = model.marginals(fk, atk, pairs)
-            g = p - yk  # of the log-likelihood, negated, for each token's odds
-            inner = ~first[1:]
-            parts = [(model.own, fk, g), (model.before, fk[:-1, 0][inner], g[1:][inner]), (model.after, fk[1:, 0][inner], g[:-1][inner])]
-            for k, (weights, at_f, grad) in enumerate(parts):
-                total = l2 * weights
-                for column in at_f.reshape(len(at_f), -1).T:
-                    total += np.bincount(column, grad, FEATURES + 1)
-                total[FEATURES] = 0
-                squares[k] += total * total
-                weights -= rate * 2 * total / np.sqrt(squares[k] + 1e-8) * (total != 0)
-            ya, yb = yk[:-1][inner], yk[1:][inner]
-            steps = [g.sum(), pairs[1, 1] - (ya * yb).sum(), pairs[1, 0] - (ya * (1 - yb)).sum(), pairs[0, 1] - ((1 - ya) * yb).sum(), g[first].sum()]
-            for k, total in enumerate(steps):
-                more[k] += total * total
-                step = 0.2 * total / math.sqrt(more[k] + 1e-8)
-                if k == 0:
-                    model.bias -= step
-                elif k == 4:
-                    model.start -= step
-                else:
-                    model.move[[(1, 1), (1, 0), (0, 1)][k - 1]] -= step
+    model = field_of(f, at, toxic, passes, rate, l2)
+    # what a field gives for the documents that it has learned from says too much: each half is judged by the field of the other
+    gathered, half = np.zeros((n, 3)), np.arange(n) % 2
+    for h in (0, 1):
+        (own, cut), (other, cut_other) = (parted(f, at, half == k) for k in (h, 1 - h))
+        gathered[half != h] = aggregates(field_of(own, cut, toxic[half == h], passes, rate, l2).marginals(other, cut_other), cut_other)
     drawn = {k: max(1, int((toxic == (k == 1)).sum())) for k in counts}
     weights = np.array([counts[k] / drawn[k] for k in labels])
-    model.final = logistic(aggregates(model.marginals(f, at), at), toxic.astype(float), weights / weights.mean(), 0.01)
+    model.final = logistic(gathered, toxic.astype(float), weights / weights.mean(), 0.01)
     return model
 
 
+def parted(f: np.ndarray, at: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the documents in use, and where each begins."""
+    return f[np.repeat(use, np.diff(at))], np.r_[0, np.cumsum(np.diff(at)[use])]
+
+
+def field_of(f: np.ndarray, at: np.ndarray, toxic: np.ndarray, passes: int, rate: float, l2: float) -> Model:
+    """The field that documents teach: its seeds are chosen, toxic documents with too few of them have a toxic token somewhere."""
+    n, counted = len(toxic), np.diff(at)
+    doc = np.repeat(np.arange(n, dtype=np.int32), counted)
+    if not toxic.any():
+        return Model(np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), -4.0, np.zeros((2, 2)), 0.0, np.zeros(3))
+    mark, least = seeds(f, doc, toxic, unlike(f, at), kinds(f, doc, n))
+    tag = mark[f].any(1) & toxic[doc]
+    some = toxic & (np.bincount(doc[tag], minlength=n) < least) & (counted > 0)
+    return fitted(f, at, tag, some, passes, rate, l2)
+
+
 def tagger(shared, with_spans: bool):
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, model = Texts(batch.column(1)), shared.value

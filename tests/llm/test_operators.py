@@ -484,6 +484,9 @@ def test_marginals_match_enumeration():
             moves[a, b] += np.exp(s)
     pairs = np.zeros((2, 2))
     assert np.allclose(toxicity.marginals(odds, np.array([0, 7]), move, 0.4, pairs), on / total) and np.allclose(pairs, moves / total)
+    stay = np.zeros(7)
+    toxicity.marginals(odds, np.array([0, 7]), move, 0.4, None, stay)
+    assert np.isclose(np.exp(stay.sum()), np.exp(6 * move[0, 0]) / total)  # no toxic token at all
     long = r.normal(size=3000)
     cut, whole = np.zeros((2, 2)), np.zeros((2, 2))
     a = toxicity.marginals(long, np.array([0, 900, 3000]), move, 0.0, cut)
@@ -493,6 +496,48 @@ def test_marginals_match_enumeration():
     assert np.allclose(a, b) and np.allclose(cut, whole) and np.isclose(cut.sum(), 2998)
 
 
+def test_toxic_documents_without_tags_have_a_toxic_token():
+    """The gradient for documents of which only that much is known, against the difference of the log-likelihood."""
+    r = np.random.default_rng(1)
+    odds, move, at = r.normal(size=5) - 1, r.normal(size=(2, 2)), np.array([0, 5])
+
+    def loss(odds):
+        every = {t: np.exp(0.2 * t[0] + odds @ np.array(t) + sum(move[a, b] for a, b in itertools.pairwise(t))) for t in itertools.product((0, 1), repeat=5)}
+        return np.log(1 - every[0, 0, 0, 0, 0] / sum(every.values()))
+
+    stay = np.zeros(5)
+    p = toxicity.marginals(odds, at, move, 0.2, None, stay)
+    none = np.exp(stay.sum())
+    numeric = [(loss(odds + 1e-5 * np.eye(5)[k]) - loss(odds - 1e-5 * np.eye(5)[k])) / 2e-5 for k in range(5)]
+    assert np.allclose(p * none / (1 - none), numeric, atol=1e-6)
+
+
+def test_evidence_of_seeds_matches_a_loop():
+    r = np.random.default_rng(2)
+    n_bad, n_good = np.array([7, 12, 0]), np.array([30, 15, 9])
+    bad, good = (np.stack([r.integers(0, n + 1, 20) for n in x]) for x in (n_bad, n_good))
+    over, odds = toxicity.evidence(bad, good, n_bad, n_good)
+    for k in range(20):
+        above = spread = up = down = 0.0
+        for i in range(3):
+            n, m = n_bad[i] + n_good[i], bad[i, k] + good[i, k]
+            above += bad[i, k] - m * n_bad[i] / n
+            spread += n_bad[i] * n_good[i] * m * (n - m) / (n * n * (n - 1))
+            up += bad[i, k] * (n_good[i] - good[i, k]) / n
+            down += good[i, k] * (n_bad[i] - bad[i, k]) / n
+        assert np.isclose(over[k], above / math.sqrt(spread + 0.1)) and np.isclose(odds[k], (up + 0.05) / (down + 0.05))
+
+
+def test_toxic_documents_are_found_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    texts, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.predict(texts, toxicity.fit(texts, labels)).join(texts.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1").select("lang", "toxic", (F.col("score") >= 0.7).alias("hit")).collect()
+    recall = lambda rows: sum(r.hit for r in rows) / len(rows)
+    toxic = [r for r in scored if r.toxic == 1]
+    assert recall(toxic) >= 0.85 and all(recall([r for r in toxic if r.lang == x]) >= 0.7 for x in ("de", "en", "es", "fr"))
+    assert sum(r.toxic for r in scored if r.hit) / sum(r.hit for r in scored) > 0.9
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     model = language.fit(d)
