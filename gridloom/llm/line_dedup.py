@@ -1,20 +1,22 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 A line's tokens are masked (a token with a digit is a variable field) and it is parsed into a leaf by its token count, its
-leading and its closing tokens. In a leaf, the masked line that most documents have is a seed; lines that agree with it at
-most positions are variants of one template, whose other positions are variable fields. Of the lines unlike it, the
-one that most documents have is the next seed, and so on until those left are in too few documents. A masked line recurs if two
-documents have it, a template with variants if ``variants`` documents have one of them. The first occurrence of what recurs
-stays, in the document with the smallest id; all others are dropped. Lines with too few constant tokens to be masked (numbers,
-scripts without spaces) recur by their exact tokens. Counts are by aggregation over hashes, so no group of
-equal lines meets in one task.
+leading and its closing tokens. Below a leaf it stands in branches: one for each block of its other tokens, and one for all of
+them but that block. Blocks are so many that two lines that agree at enough positions share one at least. The masked line that
+most documents have is a branch's seed; a line is a variant of the commonest of the seeds of its branches that it agrees
+with at most positions, and a seed with variants is one of its own. So each line meets as many seeds as it has branches,
+whatever else its leaf holds, and one pass finds all templates. A masked line recurs if two documents have it, a template if
+``variants`` documents have one of its lines. The first occurrence of what recurs stays, in the document with the smallest id; all
+others are dropped. Lines with too few constant tokens to be masked (numbers, scripts without spaces) recur by their exact
+tokens. Counts are by aggregation over hashes, so no group of equal lines meets in one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, per_batch
@@ -22,8 +24,6 @@ from .textnp import Texts, U, mix
 
 #: Leading and closing tokens that lead to a leaf.
 DEPTH = 3
-#: Lines of a leaf that may become seeds in one round.
-CANDIDATES = 16
 _MASK = U(0x5851F42D4C957F2D)
 
 
@@ -71,57 +71,66 @@ def parsed(min_tokens: int, min_chars: int):
     return per_batch(f, "text")
 
 
-def seeded(share: float):
-    """The first seed of its leaf that each masked line agrees with at ``share`` of its tokens, or null.
+def branches(codes: pa.Array, leaf: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the branches of each line, and the line of each: of blocks between the leading and closing tokens, and of all but one block.
 
-    A leaf's candidates come in order; one that agrees with a seed before it is none itself.
+    A line of n tokens may disagree at the most with d = n - ceil(share * n) tokens of another, so of d + 1 blocks one agrees. Where
+    there are not that many tokens between, all lines of the leaf agree, and it is the only branch.
     """
+    n = pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    flat = np.frombuffer(b"".join(codes.to_pylist()), "<u2").astype(U)
+    ends = np.cumsum(n)
+    at = np.arange(len(flat)) - np.repeat(ends - n, n)
+    sums = np.r_[U(0), np.cumsum(mix(flat * U(0x9E3779B97F4A7C15) + at.astype(U)))]
+    blocks = n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+    between = np.maximum(0, n - 2 * DEPTH)
+    few = between < blocks
+    blocks = np.where(few, 0, blocks)
+    line = np.repeat(np.arange(len(n)), blocks)
+    k = np.arange(len(line)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = (ends - n)[line] + DEPTH
+    low, high = begin + between[line] * k // blocks[line], begin + between[line] * (k + 1) // blocks[line]
+    own, every = sums[high] - sums[low], sums[begin + between[line]] - sums[begin]
+    place = leaf.view(U)[line] * U(31) + k.astype(U)
+    keys = np.concatenate([mix(mix(own) + place), mix(mix(every - own) ^ mix(place)), leaf.view(U)[few]])
+    return keys.view(np.int64), np.concatenate([line, line, np.flatnonzero(few)])
+
+
+def branched(share: float):
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, line = branches(batch.column(3), batch.column(0).to_numpy(), share)
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(pa.array(line)) for k in (1, 2))], ["branch", "whole", "docs"])
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = batch.column(3).to_pylist()
-            leaves, first, of = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
-            order, ends = np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))
-            template, known = np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
-            for k in range(len(leaves)):
-                rows = order[ends[k - 1] if k else 0 : ends[k]]
-                a = np.frombuffer(b"".join(codes[r] for r in rows), "<u2").reshape(len(rows), -1)  # lines of a leaf have as many tokens
-                for c in batch.column(4)[int(first[k])].as_py():
-                    seed = np.frombuffer(c["codes"], "<u2")
-                    rest = np.flatnonzero(~known[rows])
-                    # a candidate that agrees with an earlier seed went with it; its own row may be in another batch
-                    if c["rank"] > 1 and any((seed == s).mean() >= share for s in seeds):
-                        continue
-                    seeds = [seed] if c["rank"] == 1 else [*seeds, seed]
-                    hit = rows[rest[(a[rest] == seed).mean(1) >= share]]
-                    template[hit], known[hit] = c["whole"], True
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(template, mask=~known)], ["leaf", "whole", "docs", "codes", "template"])
-
-    return run
-
-
-def templates(left: DataFrame, scratch: Scratch, variants: int, share: float) -> DataFrame:
-    """(whole, template) of the masked lines (leaf, whole, docs, codes) that agree with a seed, a template being named by its seed.
-
-    A round takes some candidates of each leaf, all of which find a seed; rounds go on for leaves whose other lines are in
-    enough documents together.
-    """
-    found = None
-    by_docs = Window.partitionBy("leaf").orderBy(F.desc("docs"), F.desc("whole"))
-    while True:
-        open_leaves = left.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= variants)).select("leaf")
-        left = scratch.keep(left.join(scratch.keep(open_leaves), "leaf", "left_semi"))
-        if found is not None and left.isEmpty():
-            return found
-        ranked = left.withColumn("rank", F.row_number().over(by_docs)).where(F.col("rank") <= CANDIDATES)
-        candidates = ranked.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "whole", "codes"))).alias("candidates"))
-        put = left.join(candidates, "leaf").select("leaf", "whole", "docs", "codes", "candidates")
-        put = scratch.keep(put.mapInArrow(seeded(share), "leaf long, whole long, docs long, codes binary, template long"))
-        members = put.where("template is not null").select("whole", "template")
-        found = members if found is None else found.unionAll(members)
-        left = put.where("template is null").drop("template")
+    return per_batch(f, "codes")
+
+
+def agreeing(share: float):
+    """The rows whose two lines have the same code at ``share`` of their places or more."""
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2") for k in ("codes", "seed_codes"))
+        n = pc.binary_length(batch.column("codes")).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        if not len(n):
+            return batch.select(["whole", "seed", "seed_docs"])
+        same = np.add.reduceat((a == b).astype(np.int64), np.cumsum(n) - n)
+        return batch.select(["whole", "seed", "seed_docs"]).filter(pa.array(same >= share * n - 1e-9))
+
+    return per_batch(f, "codes")
+
+
+def templates(samples: DataFrame, scratch: Scratch, share: float) -> DataFrame:
+    """(whole, template) of the masked lines (leaf, whole, docs, codes) that are variants of a seed, and of seeds with variants; a template is named by its seed."""
+    keyed = scratch.keep(samples.select("leaf", "whole", "docs", "codes").mapInArrow(branched(share), "branch long, whole long, docs long"))
+    # written, so that a branch with many lines can be split where it meets them
+    tops = keyed.groupBy("branch").agg(F.max(F.struct("docs", "whole")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    tops = scratch.keep(tops.select(F.col("branch").alias("b"), F.col("top.whole").alias("seed"), F.col("top.docs").alias("seed_docs")))
+    pairs = keyed.join(tops, F.col("branch") == F.col("b")).where("whole <> seed").select("whole", "seed", "seed_docs").distinct()
+    codes = samples.select(F.col("whole").alias("w"), F.col("codes"))
+    met = pairs.join(codes, F.col("whole") == F.col("w")).drop("w")
+    met = scratch.keep(met).join(codes.select(F.col("w"), F.col("codes").alias("seed_codes")), F.col("seed") == F.col("w"))
+    close = met.select("whole", "seed", "seed_docs", "codes", "seed_codes").mapInArrow(agreeing(share), "whole long, seed long, seed_docs long")
+    member = scratch.keep(close.groupBy("whole").agg(F.max(F.struct("seed_docs", "seed"))["seed"].alias("template")))
+    return member.unionAll(member.select(F.col("template").alias("whole"), "template").distinct())
 
 
 def recurring(docs: DataFrame, scratch: Scratch, min_tokens: int = 3, min_chars: int = 10, copies: int = 2, variants: int = 5, share: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,9 +145,7 @@ def recurring(docs: DataFrame, scratch: Scratch, min_tokens: int = 3, min_chars:
     samples = found.join(mixed, "leaf", "left_semi").groupBy("leaf", "whole").agg(F.min("codes").alias("codes"))
     samples = scratch.keep(samples.join(each, ["leaf", "whole"]).select("leaf", "whole", "docs", "codes"))
     # a line outside any template stands for itself
-    member = scratch.keep(templates(samples, scratch, variants, share).withColumnRenamed("whole", "w"))
-    kinds = member.groupBy("template").agg(F.count("*").alias("n")).where("n > 1").select(F.col("template").alias("t"))
-    member = scratch.keep(member.join(kinds, F.col("template") == F.col("t"), "left_semi"))
+    member = scratch.keep(templates(samples, scratch, share).withColumnRenamed("whole", "w"))
 
     def beyond_first(part: DataFrame, key: list[str], least: int) -> DataFrame:
         """The occurrences after the first of what has ``key``; the keys are written first, so that a frequent one can be split when it meets its rows."""
@@ -165,10 +172,26 @@ def without_recurring(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     """
     gone = recurring(docs, scratch, id_col=id_col, text_col=text_col, **rules)
     by_doc = gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("_gone")).withColumnRenamed("doc", "_of")
-    cut = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    joined = docs.join(by_doc, F.col(id_col) == F.col("_of"), "left")
+    joined = docs.drop("n_lines", "n_dropped").join(by_doc, F.col(id_col) == F.col("_of"), "left").drop("_of")
     n_lines = F.coalesce(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1, F.lit(0)).cast("long")
-    n_dropped = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    out = joined.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(n_dropped).cast("long"), text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)})
-    return out.drop("_gone", "_of")
+    joined = joined.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")})
+    out = joined.mapInArrow(without_lines(text_col), joined.schema)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*names, "n_lines", "n_dropped")
+
+
+def without_lines(text_col: str):
+    """Takes the numbered lines out of each text."""
+
+    def cut(text: str, gone: list[int]) -> str:
+        lines = np.array(text.split("\n"), object)
+        return "\n".join(np.delete(lines, gone))
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        gone, texts = batch.column("_gone"), batch.column(text_col)
+        if gone.null_count == len(gone):
+            return batch
+        kept = [t.as_py() if not g.is_valid else cut(t.as_py(), g.values.to_numpy()) for t, g in zip(texts, gone, strict=True)]
+        return batch.set_column(batch.schema.get_field_index(text_col), batch.schema.field(text_col), pa.array(kept, texts.type))
+
+    return per_batch(f, text_col)
