@@ -22,7 +22,7 @@ from .plans.pipeline import apply_spec, ranked
 from .plans.spec import GridSpec, Replace, Sort
 from .shared import new_path
 from .sources.reader import json_records, read_grid, table_rows
-from .streaming.capture import first_wins, last_wins, looks_next, page_signature, pages_taken, scroll_stops
+from .streaming.capture import accumulate, accumulated, first_wins, last_wins, looks_next, page_signature, pages_taken, scroll_stops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -443,6 +443,18 @@ def next_labels(spark, d):
     return read(spark, d, "customer").select("c_custkey", looks_next(label).alias("is_next"))
 
 
+@query("select user_id, max(event_id) as event_id, max_by(event_type, event_id) as event_type from events group by user_id")
+def streamed_upsert(spark, d):
+    """Events in ten batches, out of order and the first of them twice, as a stream of upserts by user."""
+    root = new_path(spark, "upserts")
+    e = read(spark, d, "events").select("user_id", "event_id", "event_type")
+    for k in (7, 2, 9, 0, 5, 1, 8, 3, 6, 4, 7):
+        e.where(F.pmod("event_id", F.lit(10)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    accumulate(stream, f"{root}/table", "user_id", "event_id", ["event_type"], f"{root}/checkpoint").awaitTermination()
+    return accumulated(spark, f"{root}/table", "user_id", "event_id", ["event_type"])
+
+
 @query("select conv_id, count(*) || '|' || substr(min(text), 1, 120) as signature from conversations group by 1")
 def page_signatures(spark, d):
     pages = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min("text").alias("text"))

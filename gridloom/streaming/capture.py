@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.html import ROW_INDEX_ATTRIBUTES, Options
@@ -41,25 +43,73 @@ def page_signature(text: Column, count: Column) -> Column:
     return F.concat(count.cast("string"), F.lit("|"), F.substring(text, 1, 120))
 
 
-def accumulate(stream: DataFrame, path: str, index: str, arrival: str, values: list[str], checkpoint: str):
-    """A streaming upsert: each batch is merged into a new version of the table beside the old one. Returns the started query.
-
-    Versions are named by batch, so a batch that runs twice after a failure writes the same version again.
+#: Runs of one level that are merged into one of the next.
+FAN = 8
+
+
+def _manifest(spark, path: str, n: int | None = None) -> tuple[int, list[list]]:
+    """The number of the newest batch up to ``n`` that is done, and its runs: level and name. -1 and none before the first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    done = max((int(x) for x in names if x.isdigit() and (n is None or int(x) <= n)), default=-1)
+    return (done, json.loads(spark.read.text(f"{path}/done/{done}", wholetext=True).first()[0])) if done >= 0 else (-1, [])
+
+
+def _commit(spark, path: str, n: int, runs: list[list]) -> None:
+    """Makes the runs those of the table, at one blow; runs that only older batches name go."""
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    fs = made(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    before = {name for _, name in _manifest(spark, path, n - 1)[1]}
+    out = fs.create(made(f"{path}/done/_{n}"), True)
+    out.write(json.dumps(runs).encode())
+    out.close()
+    fs.delete(made(f"{path}/done/{n}"), False)
+    fs.rename(made(f"{path}/done/_{n}"), made(f"{path}/done/{n}"))
+    # the batch before stays readable, for a batch that runs again
+    for run in fs.listStatus(made(f"{path}/runs")):
+        if run.getPath().getName() not in before | {name for _, name in runs}:
+            fs.delete(run.getPath(), True)
+    for old in fs.listStatus(made(f"{path}/done")):
+        if old.getPath().getName().isdigit() and int(old.getPath().getName()) < n - 1:
+            fs.delete(old.getPath(), False)
+
+
+def accumulate(stream: DataFrame, path: str, index: str, arrival: str, values: list[str], checkpoint: str, fan: int = FAN):
+    """A streaming upsert: what an index was given last stays. Returns the started query; ``accumulated`` reads the table.
+
+    Each batch writes a run of its own rows and reads nothing; as soon as ``fan`` runs of one level are there they are merged into
+    one of the next. So a row is written once for each level, of which there are as many as the logarithm of the number of
+    batches, and what a batch writes follows its own size. A batch that runs twice after a failure writes the same runs again.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = last_wins(batch, index, arrival, [arrival, *values])
-        if n:
-            new = last_wins(spark.read.parquet(f"{path}/v{n - 1}").unionByName(new), index, arrival, [arrival, *values])
-        new.write.mode("overwrite").parquet(f"{path}/v{n}")
-        if n > 1:  # the one before stays, for a batch that runs again
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        runs = _manifest(spark, path, n - 1)[1]
+
+        def write(rows: DataFrame, level: int) -> None:
+            last_wins(rows, index, arrival, [arrival, *values]).write.mode("overwrite").parquet(f"{path}/runs/{n}-{level}")
+            runs.append([level, f"{n}-{level}"])
+
+        write(batch, 0)
+        level = 0
+        while len(full := [name for k, name in runs if k == level]) >= fan:
+            runs = [x for x in runs if x[0] != level]
+            write(spark.read.parquet(*[f"{path}/runs/{name}" for name in full]), level + 1)
+            level += 1
+        _commit(spark, path, n, runs)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def accumulated(spark: SparkSession, path: str, index: str, arrival: str, values: list[str]) -> DataFrame:
+    """The table that ``accumulate`` keeps, as of its last batch: one row for each index."""
+    runs = _manifest(spark, path)[1]
+    if not runs:
+        raise ValueError("no batch has been taken in yet")
+    return last_wins(spark.read.parquet(*[f"{path}/runs/{name}" for _, name in runs]), index, arrival, [arrival, *values])
+
+
 def captured(snapshots: DataFrame, options: Options | None = None) -> DataFrame:
     """What a walk down a virtual table has collected: capture_id, strategy, gained, r (from 0; the headers are row -1), cells.
 

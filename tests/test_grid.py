@@ -19,7 +19,7 @@ from gridloom.sources.reader import read_text
 from gridloom.sources.text import detect_format, parse_text, sniff_delimiter
 from gridloom.operators.combine import merge_tables
 from gridloom.operators.region import rebuild, synthesised
-from gridloom.streaming.capture import accumulate, grown
+from gridloom.streaming.capture import accumulate, accumulated, grown
 
 
 def cells(grid):
@@ -160,14 +160,31 @@ def test_unique_names():
 
 
 def test_streaming_upsert(spark, tmp_path):
-    schema = "idx long, at long, v string"
-    src = str(tmp_path / "in")
-    for n, rows in enumerate([[(1, 1, "a"), (2, 2, "b")], [(1, 3, "c")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        q = accumulate(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), "idx", "at", ["v"], str(tmp_path / "cp"))
-        q.awaitTermination(60)
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v1")).select("idx", "v").collect())
-    assert got == [(1, "c"), (2, "b")] and grown(5, 5) == (False, 0)
+    schema, src, out = "idx long, at long, v string", str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(i * 7 % 50, i, f"v{i}") for i in range(200)]
+    order = [rows[k::10] for k in (3, 0, 9, 1, 5, 2, 7, 4, 8, 6, 3, 0)]  # out of order, some twice
+    with pytest.raises(ValueError):
+        accumulated(spark, out, "idx", "at", ["v"])
+    for n, batch in enumerate(order):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        accumulate(spark.readStream.schema(schema).parquet(src), out, "idx", "at", ["v"], str(tmp_path / "cp"), fan=3).awaitTermination(60)
+        newest = {}
+        for idx, at, v in sorted((r for b in order[: n + 1] for r in b), key=lambda r: r[1]):
+            newest[idx] = (at, v)
+        assert {r.idx: (r.at, r.v) for r in accumulated(spark, out, "idx", "at", ["v"]).collect()} == newest
+    runs = sorted(p.name for p in (tmp_path / "out" / "runs").iterdir() if not p.name.startswith("."))
+    assert len(runs) <= 12 and grown(5, 5) == (False, 0)
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    schema, src, out = "idx long, at long, v string", str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(4):
+        spark.createDataFrame([(n, n, "a"), (9, n, f"b{n}")], schema).coalesce(1).write.mode("append").parquet(src)
+        if n == 3:  # the last batch is told to run again: its end was not written down
+            for name in ("commits/2", "commits/.2.crc"):
+                (tmp_path / "cp" / name).unlink(missing_ok=True)
+        accumulate(spark.readStream.schema(schema).parquet(src), out, "idx", "at", ["v"], str(tmp_path / "cp"), fan=2).awaitTermination(60)
+    assert sorted((r.idx, r.v) for r in accumulated(spark, out, "idx", "at", ["v"]).collect()) == [(0, "a"), (1, "a"), (2, "a"), (3, "a"), (9, "b3")]
 
 
 def test_positions_of_typed_tables(spark):
