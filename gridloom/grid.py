@@ -106,9 +106,11 @@ def carried_last(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 def numbered(df: DataFrame, name: str = "_n") -> tuple[DataFrame, int]:
     """Adds the number of each row in the order of positions, from 0, and gives the number of rows: counts of buckets, then places within each.
 
-    The rows stay on the executors' disks, so that both passes see the same positions; a lost one is worked out again.
+    The rows stay on the executors' disks, so that both passes see the same positions; a lost one is worked out again. Who has
+    written the rows lets them go by ``released``.
     """
-    rows = bucketed(df.persist(StorageLevel.DISK_ONLY))
+    held = df.persist(StorageLevel.DISK_ONLY)
+    rows = bucketed(held)
     counts = sorted((r["_bucket"], r["count"]) for r in rows.groupBy("_bucket").count().collect())  # one row a bucket
     starts, total = {}, 0
     for bucket, n in counts:
@@ -117,4 +119,12 @@ def numbered(df: DataFrame, name: str = "_n") -> tuple[DataFrame, int]:
         return df.withColumn(name, F.lit(0).cast("long")), 0
     start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_bucket"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(POS))
-    return rows.withColumn(name, (start + place - 1).cast("long")).drop("_bucket"), total
+    out = rows.withColumn(name, (start + place - 1).cast("long")).drop("_bucket")
+    out.held = held
+    return out, total
+
+
+def released(df: DataFrame) -> None:
+    """Lets go what ``numbered`` has kept for these rows."""
+    if hasattr(df, "held"):
+        df.held.unpersist()

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
 import re
-import zipfile
 from dataclasses import dataclass
 from datetime import date
 from xml.sax.saxutils import escape
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .grid import POS, Grid, numbered
+from .workbook import NUMERIC, WIDEST, write_workbook, xlsx
 
 # fixed values: each format's file extension and media type
 FORMATS = {
@@ -25,9 +24,8 @@ FORMATS = {
 # fixed values: tokens that JSON, XML and YAML write as booleans, and those that SQL does
 JSON_TRUE, JSON_FALSE = ["true", "yes", "y", "1", "✓", "✔"], ["false", "no", "n", "0", "✗", "✘"]
 SQL_TRUE, SQL_FALSE = ["true", "yes", "y", "1"], ["false", "no", "n", "0"]
-NUMERIC = ("number", "currency", "percent")
 #: Rows of one INSERT, and columns that padded formats give a cell at most.
-BATCH, WIDEST = 500, 60
+BATCH = 500
 BOM = "﻿"
 # fixed values: the style sheet of a whole HTML page
 STYLE = """<style>
@@ -234,9 +232,7 @@ def write_grid(grid: Grid, path: str, fmt: str = "csv", types: tuple[str, ...] |
     one part, which one task writes as it reads the sorted rows.
     """
     if fmt == "xlsx":
-        with open(path, "wb") as f:
-            f.write(xlsx(grid, types))
-        return
+        return write_workbook(grid, path, types, **options)
     out = lines_of(grid, fmt, types, **options)
     last = out.rows.agg(F.max(POS)).first()[0]  # one row
     head, foot = (BOM if bom and fmt == "csv" else "") + out.head, out.foot
@@ -262,55 +258,6 @@ def to_string(grid: Grid, fmt: str, types: tuple[str, ...] | None = None, **opti
     return text + (out.newline + out.foot if out.foot else out.newline if out.ends else "")
 
 
-def column_letter(i: int) -> str:
-    out = ""
-    while i >= 0:
-        out, i = chr(65 + i % 26) + out, i // 26 - 1
-    return out
-
-
-def cell_xml(text: str) -> str:
-    return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", escape(text, {'"': "&quot;"}))
-
-
-def xlsx(grid: Grid, types: tuple[str, ...] | None = None, title: str = "Sheet1") -> bytes:
-    """A workbook, built on the driver; a sheet holds 1,048,576 rows at most."""
-    types = types or ("text",) * len(grid.columns)
-    numeric = [t in NUMERIC for t in types]
-    values = grid.df.select(POS, *grid.columns, *[S.number_text(S.parse_number(F.col(c))).alias(f"n_{c}") for c, n in zip(grid.columns, numeric, strict=True) if n])
-    widths = [len(h) for h in grid.headers]
-    rows = ["<row r=\"1\">" + "".join(f'<c r="{column_letter(i)}1" t="inlineStr" s="1"><is><t xml:space="preserve">{cell_xml(h)}</t></is></c>' for i, h in enumerate(grid.headers)) + "</row>"]
-    for r, row in enumerate(values.orderBy(POS).toLocalIterator(), 2):
-        if r > 1_048_576:
-            raise ValueError("a sheet has no more than 1,048,576 rows")
-        cells = []
-        for i, (c, n) in enumerate(zip(grid.columns, numeric, strict=True)):
-            number = row[f"n_{c}"] if n else None
-            widths[i] = max(widths[i], len(row[c]))
-            if number is not None:
-                cells.append(f'<c r="{column_letter(i)}{r}" t="n"><v>{number}</v></c>')
-            elif row[c]:
-                cells.append(f'<c r="{column_letter(i)}{r}" t="inlineStr"><is><t xml:space="preserve">{cell_xml(row[c])}</t></is></c>')
-        rows.append(f'<row r="{r}">{"".join(cells)}</row>')
-    columns = "".join(f'<col min="{i}" max="{i}" width="{min(WIDEST, max(8, w + 2))}" customWidth="1"/>' for i, w in enumerate(widths, 1))
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    name = escape(re.sub(r"[\[\]:*?/\\]", "", title)[:31] or "Sheet1", {'"': "&quot;"})
-    files = {
-        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><cols>{columns}</cols><sheetData>{"".join(rows)}</sheetData></worksheet>',
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for path, text in files.items():
-            z.writestr(path, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + text)
-    return out.getvalue()
-
-
 def suggested_filename(title: str, fmt: str, on: date | None = None) -> str:
     stem = re.sub(r"-+", "-", re.sub(r"\s+", "-", re.sub(r"[^\w\s-]", "", title.lower(), flags=re.ASCII)))
     stem = re.sub(r"^-|-$", "", stem)[:60] or "table"

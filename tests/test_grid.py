@@ -3,6 +3,7 @@
 import io
 import json
 import zipfile
+import zlib
 from datetime import date
 from pathlib import Path
 
@@ -120,6 +121,30 @@ def test_guarded_export_and_workbook(spark):
         sinks.clipboard(g, "xlsx")
 
 
+def test_workbooks_are_put_together_from_parts(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    from gridloom import workbook
+
+    a, b = b"some bytes", bytes(range(256)) * 40
+    assert workbook.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b) and workbook.joined_crc(zlib.crc32(a), 0, 0) == zlib.crc32(a)
+    df = spark.range(503).selectExpr("id", "concat('$', id, '.50') as price", "if(id % 5 = 0, '', concat('<é&\"> ', char(id % 32), id)) as note").repartition(6)
+    g = from_dataframe(df, "id", ["price", "note"], ["price", "a <note>"])
+    sinks.write_grid(g, str(tmp_path / "a.xlsx"), "xlsx", ("currency", "text"), most_rows=101, title="All: rows")
+    book, got, space = zipfile.ZipFile(tmp_path / "a.xlsx"), [], {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    assert book.testzip() is None and len([n for n in book.namelist() if "worksheets" in n]) == 6
+    assert [x.get("name") for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iterfind(".//m:sheet", space)] == ["All rows", *[f"All rows {i}" for i in range(2, 7)]]
+    for i in range(1, 7):
+        rows = list(ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml")).iterfind(".//m:row", space))
+        assert [int(r.get("r")) for r in rows] == list(range(1, len(rows) + 1)) and ["".join(c.itertext()) for c in rows[0]] == ["price", "a <note>"]
+        got += [["".join(c.itertext()) for c in r] for r in rows[1:]]
+    bare = lambda i: "".join(c for c in chr(i % 32) if c in "\t\n\r" or c >= " ").replace("\r", "\n")
+    assert got == [[f"{i}.5", *([f'<é&"> {bare(i)}{i}'] if i % 5 else [])] for i in range(503)]
+    sinks.write_grid(g.with_df(g.df.limit(0)), str(tmp_path / "b.xlsx"), "xlsx")
+    assert zipfile.ZipFile(tmp_path / "b.xlsx").testzip() is None
+    assert zipfile.ZipFile(io.BytesIO(sinks.xlsx(g, ("currency", "text")))).read("xl/worksheets/sheet1.xml").decode().count("<row ") == 504
+
+
 def written(grid, path, fmt, **options):
     """The parts of a written folder, one behind the other."""
     sinks.write_grid(grid, path, fmt, ("number", "text"), **options)
