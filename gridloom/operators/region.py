@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -140,16 +140,39 @@ def candidates(boxes: DataFrame, tables: DataFrame, slices: DataFrame, layouts:
 
 
 def best_boxes(boxes: DataFrame, targets: DataFrame, keep: int = 3, cell: float = 256.0) -> DataFrame:
-    """For each target (target_id and sides) the boxes (box_id and sides) that cover most of it.
+    """For each target (target_id and sides) the ``keep`` boxes (box_id and sides) that cover most of it; of equal ones the smaller ids.
 
-    Both are cut to squares of a lattice and joined on these, so that far boxes never meet; a pair counts in one square only.
+    Both lie on a lattice whose squares double in size from level to level: a box belongs to the level where its longer side is no
+    longer than a square, so it touches four of them at most, there and on every level above. A pair meets on the level of the
+    larger of the two, in the square of the corner where they begin to overlap: the smaller one is laid out on the levels that the
+    other table has. So no size makes a box many rows, and small boxes never meet in a large square.
     """
-    squares = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    laid = lambda df: df.withColumn("sx", F.explode(squares("left", "right"))).withColumn("sy", F.explode(squares("top", "bottom")))
-    b = laid(boxes.select("box_id", *SIDES)).withColumnsRenamed({c: f"b_{c}" for c in SIDES})
-    t = laid(targets.select("target_id", *SIDES)).withColumnsRenamed({c: f"t_{c}" for c in SIDES})
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top"), F.lit(1.0)) / cell))).cast("int")
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        sides = df.select(F.col(name), *[F.col(c).cast("double").alias(c) for c in SIDES]).where("right > left and bottom > top")
+        return sides.withColumn("own", level)
+
+    def laid(df: DataFrame, at: Column) -> DataFrame:
+        """A row for each square of the levels ``at`` that a box touches."""
+        squares = lambda lo, hi: F.sequence(F.floor(F.col(lo) / (cell * F.pow(2.0, "at"))), F.floor(F.col(hi) / (cell * F.pow(2.0, "at"))))
+        return df.withColumn("at", F.explode(at)).withColumn("sx", F.explode(squares("left", "right"))).withColumn("sy", F.explode(squares("top", "bottom")))
+
+    b, t = placed(boxes, "box_id"), placed(targets, "target_id")
+    levels = [sorted(r[0] for r in df.select("own").distinct().collect()) for df in (b, t)]  # a few dozen numbers
+    own = F.array("own")
+    above = lambda found, least: F.filter(F.lit(found).cast("array<int>"), least)
+    pairs = [
+        (laid(b, own), laid(t, above(levels[0], lambda x: x >= F.col("own")))),  # boxes as large as the target or larger
+        (laid(b, above(levels[1], lambda x: x > F.col("own"))), laid(t, own)),
+    ]
     inner, outer = {c: F.col(f"t_{c}") for c in SIDES}, {c: F.col(f"b_{c}") for c in SIDES}
-    once = (F.col("sx") == F.floor(F.greatest("b_left", "t_left") / cell)) & (F.col("sy") == F.floor(F.greatest("b_top", "t_top") / cell))
-    met = b.join(t, ["sx", "sy"]).where(once & S.intersects(inner, outer)).select("target_id", "box_id", S.coverage(inner, outer).alias("coverage"))
-    top = met.groupBy("target_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("coverage"), (-F.col("box_id")).alias("back"))), asc=False), 1, keep).alias("best"))
-    return top.select("target_id", F.posexplode("best").alias("nth", "x")).select("target_id", (-F.col("x.back")).alias("box_id"), F.col("x.coverage").alias("coverage"), (F.col("nth") + 1).alias("rank"))
+    size = cell * F.pow(2.0, "at")
+    once = (F.col("sx") == F.floor(F.greatest("b_left", "t_left") / size)) & (F.col("sy") == F.floor(F.greatest("b_top", "t_top") / size))
+    met = None
+    for one, other in pairs:
+        sides = lambda df, x: df.drop("own").withColumnsRenamed({c: f"{x}_{c}" for c in SIDES})
+        found = sides(one, "b").join(sides(other, "t"), ["at", "sx", "sy"]).where(once & S.intersects(inner, outer)).select("target_id", "box_id", S.coverage(inner, outer).alias("coverage"))
+        met = found if met is None else met.unionAll(found)
+    rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("coverage"), "box_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= keep)

@@ -401,6 +401,21 @@ def coverage_join(spark, d):
     return best_boxes(boxes, targets).withColumn("coverage", F.round("coverage", 6))
 
 
+_SIZED = "select p_partkey as id, power(10, p_partkey % 7)::double as w, power(10, (p_partkey // 7) % 7)::double as h, (p_partkey * 7919 % 100003) * 13.0 - 300000 as l, (p_partkey * 104729 % 99991) * 11.0 as t from part"
+
+
+@query(f"""with x as ({_SIZED}), y as (select id, case when id % 2 = 0 then w else h end as w, h, l + 0.5 as l, t + 0.5 as t from x where id % 20 = 0),
+p as (select y.id as target_id, x.id as box_id, (least(y.l + y.w, x.l + x.w) - greatest(y.l, x.l)) * (least(y.t + y.h, x.t + x.h) - greatest(y.t, x.t)) / (y.w * y.h) as coverage from x join y on x.l < y.l + y.w and x.l + x.w > y.l and x.t < y.t + y.h and x.t + x.h > y.t),
+r as (select *, row_number() over (partition by target_id order by round(coverage, 9) desc, box_id) as rank from p) select target_id, box_id, round(coverage, 6) as coverage, rank::int as rank from r where rank <= 5""")
+def coverage_join_of_all_sizes(spark, d):
+    """Boxes with sides from 1 to 1,000,000 against targets with such sides."""
+    p = read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"))
+    x = p.selectExpr("id", "power(10, id % 7) as w", "power(10, (id div 7) % 7) as h", "double((id * 7919 % 100003) * 13 - 300000) as l", "double((id * 104729 % 99991) * 11) as t")
+    sides = lambda df, name: df.select(F.col("id").alias(name), F.col("l").alias("left"), F.col("t").alias("top"), (F.col("l") + F.col("w")).alias("right"), (F.col("t") + F.col("h")).alias("bottom"))
+    y = x.where("id % 20 = 0").selectExpr("id", "if(id % 2 = 0, w, h) as w", "h", "l + 0.5 as l", "t + 0.5 as t")
+    return best_boxes(sides(x, "box_id"), sides(y, "target_id"), keep=5).withColumn("coverage", F.round("coverage", 6))
+
+
 @query("select n_regionkey, n_nationkey, n_name from nation")
 def region_rebuild(spark, d):
     n = read(spark, d, "nation")

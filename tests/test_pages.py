@@ -103,3 +103,30 @@ def test_captures_never_shrink(spark):
     assert {k: [c for _, c in sorted(v)] for k, v in got.items()} == {
         ("n", "row-index", 1): [["a", "b"], ["x", "1"], ["y", "9"], ["z", "3"]], ("c", "content-dedupe", 1): [["a", "b"], ["x", "1"], ["y", "2"], ["z", "3"]], ("s", "content-dedupe", 0): [["a", "b"], ["x", "1"], ["x", "1"], ["y", "1"]],
     }
+
+
+def test_boxes_of_all_sizes_match_a_loop(spark):
+    from gridloom.operators.region import best_boxes
+
+    r = random.Random(6)
+
+    def box(i):
+        w, h, x, y = (10 ** r.uniform(0, 6) for _ in range(4))
+        x, y = x * r.choice([-1, 1]), y * r.choice([-1, 1])
+        return (i, x, y, x + w, y + h)
+
+    boxes, targets = [box(i) for i in range(300)] + [(900, 0.0, 0.0, 0.0, 5.0), (901, None, 0.0, 1.0, 1.0)], [box(i) for i in range(60)] + [(77, 5.0, 5.0, 4.0, 9.0)]
+    cols = "left double, top double, right double, bottom double"
+    got = {}
+    for x in best_boxes(spark.createDataFrame(boxes, "box_id long, " + cols), spark.createDataFrame(targets, "target_id long, " + cols), keep=4).collect():
+        got.setdefault(x.target_id, []).append((x.rank, x.box_id, round(x.coverage, 9)))
+    want = {}
+    for i, l, t, right, bottom in targets:
+        met = []
+        for j, a, b, c, d in boxes[:300]:
+            if l < c and right > a and t < d and bottom > b:
+                met.append((-(min(right, c) - max(l, a)) * (min(bottom, d) - max(t, b)) / max(1, (right - l) * (bottom - t)), j))
+        if met and right > l:
+            want[i] = [(k, j, round(-x, 9)) for k, (x, j) in enumerate(sorted(met)[:4], 1)]
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 40
+    assert best_boxes(spark.createDataFrame([], "box_id long, " + cols), spark.createDataFrame(targets, "target_id long, " + cols)).count() == 0
