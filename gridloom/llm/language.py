@@ -1,47 +1,61 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Trained on the driver with follow-the-regularised-leader and elastic-net penalties on a bounded sample of labelled rows;
-a temperature fitted on part of the sample calibrates the scores. Only the model, whose size is fixed by GRAMS and the
+n-grams are of one to four characters (code points in lower case; what is no letter is a space). A temperature fitted on part of the sample calibrates the scores. Only the model, whose size is fixed by GRAMS and the
 number of languages, is broadcast.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import per_batch, remainder
 from .learning import sampled
-from .textnp import Texts, in_parts
+from .textnp import Texts, U, in_parts, mix
 
-#: Dimensions of hashed n-grams, and the most rows of labelled text that training looks at.
-GRAMS, SAMPLE = 1 << 16, 2000
-# bytes as n-grams see them: letters in lower case, all else a space
-_FOLD = np.full(256, 32, np.uint8)
-_FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
-_FOLD[128:] = np.arange(128, 256)
+#: Bits of the dimensions of hashed n-grams, the lengths of these in characters, and the most rows of labelled text that training looks at.
+GRAM_BITS, LENGTHS, SAMPLE = 17, (1, 2, 3, 4), 2000
+GRAMS = 1 << GRAM_BITS
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Of each code point, whether it is a letter or a mark that belongs to one."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
+def characters(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in lower case, what is no letter as a space, and where each text begins."""
+    lowered = Texts(pc.utf8_lower(pa.LargeStringArray.from_buffers(texts.n, pa.py_buffer(texts.offsets), pa.py_buffer(texts.data))))
+    points = np.frombuffer(lowered.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begins = np.r_[0, np.cumsum((lowered.data & 0xC0) != 0x80)][lowered.offsets]
+    return np.where(letters()[points], points, np.uint32(32)), begins
 
 
 def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, n-gram, count), sorted, of byte n-grams of 2 and 3 that are not all spaces."""
-    b = _FOLD[texts.data].astype(np.uint32)
-    doc = np.repeat(np.arange(texts.n, dtype=np.int64), np.diff(texts.offsets))
+    """(document, n-gram, count), sorted, of n-grams of characters that are not all spaces."""
+    c, begins = characters(texts)
+    doc = np.repeat(np.arange(texts.n, dtype=np.int64), np.diff(begins))
     keys = []
-    for n in (2, 3):
-        if len(b) < n:
+    for n in LENGTHS:
+        if len(c) < n:
             continue
-        code, letters = np.zeros(len(b) - n + 1, np.uint32), np.zeros(len(b) - n + 1, bool)
+        code, some = np.full(len(c) - n + 1, n, U), np.zeros(len(c) - n + 1, bool)
         for k in range(n):
-            code = (code << np.uint32(8)) | b[k : len(b) - n + 1 + k]
-            letters |= b[k : len(b) - n + 1 + k] != 32
-        inside = letters & (doc[: len(code)] == doc[n - 1 :])
-        code = (code[inside] * np.uint32(2654435761)) >> np.uint32(16)
-        keys.append(doc[: len(inside)][inside] * GRAMS + code.astype(np.int64))
+            part = c[k : len(c) - n + 1 + k]
+            code = code * U(0x9E3779B97F4A7C15) + part.astype(U)
+            some |= part != 32
+        inside = some & (doc[: len(code)] == doc[n - 1 :])
+        keys.append(doc[: len(inside)][inside] * GRAMS + (mix(code[inside]) >> U(64 - GRAM_BITS)).astype(np.int64))
     keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return keys[head] // GRAMS, keys[head] % GRAMS, np.diff(np.r_[head, len(keys)])

@@ -609,6 +609,15 @@ def test_toxic_documents_are_found_in_every_language(spark):
     assert sum(r.toxic for r in scored if r.hit) / sum(r.hit for r in scored) > 0.9
 
 
+def test_grams_are_of_characters():
+    texts = ["Ünï 中文 ab!C", "", "ПриВЕТ", "..", "e\u0301 x"]
+    doc, _, count = language.grams(Texts(pa.array(texts)))
+    for i, t in enumerate(texts):
+        folded = "".join(c if language.letters()[ord(c)] else " " for c in t.lower())
+        want = Counter(folded[k : k + n] for n in language.LENGTHS for k in range(len(folded) - n + 1) if folded[k : k + n].strip())
+        assert sorted(count[doc == i].tolist()) == sorted(want.values()), t
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     model = language.fit(d)
