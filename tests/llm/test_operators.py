@@ -409,12 +409,32 @@ def test_pii_account_numbers_and_addresses(spark, scratch):
 
 
 def test_vector_edges(spark, scratch):
-    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (None, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)]
-    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<double>, label int, node int, cell string")
-    assert sorted(tuple(r) for r in link_vectors(df, scratch).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (None, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [0.0, 1.0], 1), (4, [1.0, 0.05], 1), (4, [1.0, 0.06], 1), (5, None, 1), (5, None, 1), (None, None, None)]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<double>, label int, node int, name string").repartition(4)
+    want = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 1, 1, False), (4, 1, 1, False), (4, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True), (5, 0, 5, True), (None, 0, None, False), (None, 0, None, False)]
+    assert sorted((tuple(r) for r in link_vectors(df, scratch).collect()), key=str) == sorted(want, key=str)
     assert link_vectors(df.limit(0), scratch).count() == 0
 
 
+def test_more_pivots_where_vectors_visit_few_cells(spark, scratch, monkeypatch):
+    """Tight clusters get many cells, others few; what comes out is the same."""
+    from gridloom.llm import vectors
+
+    monkeypatch.setattr(vectors, "CELL", 4)
+    monkeypatch.setattr(vectors, "PIVOTS", 4)
+    r, reach = np.random.default_rng(9), math.sqrt(0.14)
+    base = r.normal(size=(60, 32))
+    tight = (np.repeat(base, 20, 0) + 0.05 * r.normal(size=(1200, 32)))[r.permutation(1200)]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(vectors.chosen(unit(tight), 1200, 64, reach)) >= 16 and len(vectors.chosen(unit(r.normal(size=(1200, 32))), 1200, 64, reach)) == 4
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(tight)], "vec_id long, embedding array<double>, label int")
+    got = {z.vec_id: (z.n_links, z.component_id) for z in link_vectors(df, scratch).collect()}
+    close = unit(tight) @ unit(tight).T >= 0.93
+    np.fill_diagonal(close, False)
+    top = grouped(range(1200), lambda a, b: bool(close[a, b]))
+    assert got == {i: (close[i].sum(), top[i]) for i in range(1200)}
+
+
 def test_pii_collisions_are_resolved(spark, scratch):
     rows = [(i, f"token={i:06d}") for i in range(20000)]  # some of 16**6 surrogates collide
     first = [pii.surrogate(b"k", "secret", t[6:]) for _, t in rows]
