@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from . import sinks
 from .functions import scalar as S
 from .grid import POS, Grid, carried_last, from_dataframe
 from .operators.combine import adjacent_dedupe, merge_tables, transposed
-from .operators.profile import column_stats, inferred
+from .operators.profile import column_sketches, column_stats, inferred, merged_sketches
 from .operators.readings import readings, refound
 from .operators.region import best_boxes, candidates, rebuild, visible_items
 from .operators.slicing import slice_tables
@@ -207,6 +208,27 @@ def column_statistics(spark, d):
     return out.select("column_index", "header", "filled", "empty", "unique", "min", "max", F.round("sum", 2).alias("sum"), "mean")
 
 
+@query("""select 0 as column_index, count(*) as filled, least(count(distinct l_orderkey), 10000) as "unique", min(l_orderkey)::double as "min", max(l_orderkey)::double as "max", sum(l_orderkey)::double as "sum" from lineitem
+union all select 1, count(*), least(count(distinct l_extendedprice), 10000), min(l_extendedprice), max(l_extendedprice), round(sum(l_extendedprice), 2) from lineitem union all select 2, count(*), least(count(distinct l_suppkey), 10000), min(l_suppkey), max(l_suppkey), sum(l_suppkey) from lineitem""")
+def capped_distinct(spark, d):
+    """Columns far above and far below the count at which distinct values stop being told apart."""
+    x = read(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    out = column_stats(from_dataframe(x, "k", ["l_orderkey", "l_extendedprice", "l_suppkey"]), ("number", "number", "number"))
+    return out.select("column_index", "filled", "unique", "min", "max", F.round("sum", 2).alias("sum"))
+
+
+@query("""with e as (select *, event_id % 7 as day from events), a as (select count(*) as n, count(distinct user_id) as users, min(value) as lo, max(value) as hi from e)
+select 0 as column_index, n as filled, 0::bigint as empty, true as close, null::double as "min", null::double as "max" from a union all select 1, n, 0, true, lo, hi from a""")
+def merged_day_statistics(spark, d):
+    """Statistics kept for each of seven days, merged without their rows; the estimate of distinct values beside the exact one."""
+    e = read(spark, d, "events").select("event_id", F.concat(F.lit("user "), F.col("user_id")).alias("user"), F.col("value").cast("string").alias("value"))
+    days = [column_sketches(from_dataframe(e.where(F.pmod("event_id", F.lit(7)) == k), "event_id", ["user", "value"]), ("text", "number")) for k in range(7)]
+    merged = merged_sketches(reduce(DataFrame.unionAll, days))
+    exact = e.agg(F.count_distinct("user").alias("u"), F.count_distinct("value").alias("v")).select(F.inline(F.array(F.struct(F.lit(0).alias("i"), F.col("u").alias("n")), F.struct(F.lit(1).alias("i"), F.col("v").alias("n")))))
+    close = F.abs(F.col("unique") - F.col("n")) <= 0.08 * F.col("n")
+    return merged.join(exact, F.col("column_index") == F.col("i")).select("column_index", "filled", "empty", close.alias("close"), "min", "max")
+
+
 @query("select p_partkey, replace(p_brand, '#', ' no. ') as brand from part")
 def find_replace_literal(spark, d):
     g = from_dataframe(read(spark, d, "part"), "p_partkey", ["p_partkey", "p_brand"], ["p_partkey", "brand"])

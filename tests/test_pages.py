@@ -130,3 +130,13 @@ def test_boxes_of_all_sizes_match_a_loop(spark):
             want[i] = [(k, j, round(-x, 9)) for k, (x, j) in enumerate(sorted(met)[:4], 1)]
     assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 40
     assert best_boxes(spark.createDataFrame([], "box_id long, " + cols), spark.createDataFrame(targets, "target_id long, " + cols)).count() == 0
+
+
+def test_slices_keep_columns_that_cannot_be_measured(spark):
+    from gridloom.operators.slicing import slice_tables
+
+    # column 1 is only covered by a cell that spans two; row 2 is blank in what is kept
+    cells = [(1, 0, 0, "h", True, 1, 0, 50), (1, 0, 1, "wide", True, 2, 50, 150), (1, 0, 2, "wide", True, 2, 50, 150), (1, 1, 0, "a", False, 1, 0, 50), (1, 1, 1, "b", False, 2, 50, 150), (1, 1, 2, "b", False, 2, 50, 150), (1, 2, 0, "gone", False, 1, 0, 50), (1, 2, 1, "", False, 2, 50, 150), (1, 2, 2, "", False, 2, 50, 150)]
+    df = spark.createDataFrame([(t, r, c, x, h, s, float(a), float(b), 20.0 * r, 20.0 * r + 20) for t, r, c, x, h, s, a, b in cells], "table_id int, r int, c int, text string, header boolean, col_span int, left double, right double, top double, bottom double")
+    box = spark.createDataFrame([(1, 60.0, 0.0, 200.0, 60.0)], "table_id int, left double, top double, right double, bottom double")
+    assert sorted((x.r, x.c, x.text, x.partial) for x in slice_tables(df, box).collect()) == [(0, 1, "wide", True), (0, 2, "wide", True), (1, 1, "b", True), (1, 2, "b", True)]
