@@ -423,8 +423,8 @@ def test_more_pivots_where_vectors_visit_few_cells(spark, scratch, monkeypatch):
     monkeypatch.setattr(vectors, "CELL", 4)
     monkeypatch.setattr(vectors, "PIVOTS", 4)
     r, reach = np.random.default_rng(9), math.sqrt(0.14)
-    base = r.normal(size=(60, 32))
-    tight = (np.repeat(base, 20, 0) + 0.05 * r.normal(size=(1200, 32)))[r.permutation(1200)]
+    base = r.normal(size=(12, 32))
+    tight = (np.repeat(base, 100, 0) + 0.05 * r.normal(size=(1200, 32)))[r.permutation(1200)]
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     assert len(vectors.chosen(unit(tight), 1200, 64, reach)) >= 16 and len(vectors.chosen(unit(r.normal(size=(1200, 32))), 1200, 64, reach)) == 4
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(tight)], "vec_id long, embedding array<double>, label int")
