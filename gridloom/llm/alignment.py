@@ -16,7 +16,7 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 from itertools import chain, pairwise
 
@@ -29,6 +29,8 @@ from .common import per_batch
 from .packing import byte_signs
 from .textnp import Texts
 
+#: Bytes of text whose tokens a worker aligns at once; one longer text is taken whole.
+AT_ONCE = 1 << 18
 GROUPS = "groups array<struct<a: array<int>, b: array<int>>>"
 ALIGNED = f"doc_id long, n_a long, n_b long, {GROUPS}, link_a array<int>, link_b array<int>"
 
@@ -62,15 +64,13 @@ class Pair:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(files.a, encoding="utf-8") as f:
             whole = json.load(f)
         signs = {s: b for b, s in byte_signs().items()}
         a = {i: bytes(signs[x] for x in s) for s, i in whole["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in whole["added_tokens"]}
         self.a = Spelled([a.get(i, b"") for i in range(max(a) + 1)])
-        self.library = Tokenizer.from_file(files.a)
-        self.library.encode_special_tokens = True
+        self.files = files
         with open(files.a_ranks, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.ranked = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -79,6 +79,15 @@ class Pair:
         pieces = [(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(self.model.get_piece_size())]
         self.b = Spelled([bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces])
 
+    @cached_property
+    def library(self):
+        """A's own tokenizer, which only some texts need."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.files.a)
+        found.encode_special_tokens = True
+        return found
+
     def most_pairs(self) -> int:
         """No more pairs of ids than these can end together: of each token the ends, of which B may spell one byte twice, as itself and as <0xHH>."""
         return int(2 * self.a.lengths.sum() + self.b.lengths.sum())
@@ -96,7 +105,7 @@ class Pair:
 class Known:
     """Both encodings of the units that a worker has met: texts repeat their words, so few units are encoded."""
 
-    def __init__(self, pair: Pair, limit: int = 1 << 18, ids: int = 1 << 22):
+    def __init__(self, pair: Pair, limit: int = 1 << 17, ids: int = 1 << 21):
         self.pair, self.limit, self.ids = pair, limit, ids
         # a unit ends before a space behind a sign that is none; A's pattern always parts there, B's merges if no piece of it has one inside
         self.apart = not pair.model.is_unknown(pair.space) and not any(re.search("[^▁]▁", pair.model.id_to_piece(i)) for i in range(pair.model.get_piece_size()))
@@ -299,7 +308,7 @@ def aligned(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col
         return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_a": pa.array(n_a.astype(np.int64)), "n_b": pa.array(n_b.astype(np.int64)), **made, "link_a": link_a, "link_b": link_b})
 
     schema = ALIGNED.replace(GROUPS, ", ".join(["n_groups long", *[f"{name} string" for name in derive]])) if derive else ALIGNED
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(f, "text"), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(f, "text", limit=AT_ONCE), schema)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

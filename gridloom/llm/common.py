@@ -100,12 +100,12 @@ def by_lists(batch: pa.RecordBatch, lists: str, limit: int = CHUNK_ITEMS) -> Ite
             yield batch.slice(i, j - i)
 
 
-def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str | None = None, lists: str | None = None) -> Callable:
+def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str | None = None, lists: str | None = None, limit: int | None = None) -> Callable:
     """A mapInArrow function out of one on record batches, cut to bounded bytes where ``text`` is named, to bounded items where ``lists`` is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text) if text else by_lists(batch, lists) if lists else [batch]:
+            for part in chunks(batch, text, limit or CHUNK_BYTES) if text else by_lists(batch, lists, limit or CHUNK_ITEMS) if lists else [batch]:
                 out = f(part)
                 if out is not None and out.num_rows:
                     yield out
