@@ -30,7 +30,7 @@ GRAMS = 1 << GRAM_BITS
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """Of each code point, whether it is a letter or a mark that belongs to one."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
 
 
 def characters(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +101,14 @@ def train(texts: list[str], languages: list[str], alpha: float = 0.3, beta: floa
     for _, t in in_parts(texts):
         df += np.bincount(grams(t)[1], minlength=GRAMS)
     model = Model(names, np.zeros((GRAMS, len(names))), np.zeros(len(names)), np.log((1 + n_texts) / (1 + df)) + 1)
-    parts = [(start + doc, gram.astype(np.int32), w.astype(np.float32)) for start, t in in_parts(texts) for doc, gram, w in [weighed(t, model.idf)]]
-    doc, gram, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    at = np.searchsorted(doc, np.arange(n_texts + 1))
+    parts, sizes = [], []
+    for _, t in in_parts(texts):
+        doc, gram, w = weighed(t, model.idf)
+        parts.append((gram.astype(np.int32), w.astype(np.float32)))
+        sizes.append(np.bincount(doc, minlength=t.n))
+    gram, w = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    at = np.r_[0, np.cumsum(np.concatenate(sizes))]
+    del parts
     z, n = np.zeros((GRAMS + 1, len(names))), np.zeros((GRAMS + 1, len(names)))
     order = np.flatnonzero(~back)
     for turn in range(passes):
