@@ -316,35 +316,20 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.arrays_zip("link_a", "link_b")).alias("link")).groupBy("link.link_a", "link.link_b").agg(F.count("*").alias("n")).select(F.col("link_a").alias("a"), F.col("link_b").alias("b"), "n")
 
 
-def link_scorer(shared) -> Callable:
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, counts, best = shared.value
-        a, b = batch.column("link_a"), batch.column("link_b")
-        at = a.offsets.to_numpy().astype(np.int64)
-        ids_a, ids_b = (x.values.to_numpy()[at[0] : at[-1]].astype(np.int64) for x in (a, b))
-        place = np.searchsorted(keys, (ids_a << 32) + ids_b)
-        of = lambda values: np.diff(np.r_[0, np.cumsum(values[place])][at - at[0]])
-        kept = [n for n in batch.schema.names if n not in ("link_a", "link_b")]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(of(best)), pa.array(of(counts))], [*kept, "n_best", "count_sum"])
-
-    return f
-
-
-def scored(rows: DataFrame, counts: DataFrame, files: Tokenizers) -> DataFrame:
+def scored(rows: DataFrame, counts: DataFrame, files: Tokenizers, row: str = "row") -> DataFrame:
     """Adds n_best, the links whose pair is linked as often as any of its B id in the corpus, and count_sum, over all links; link_a and link_b go.
 
-    ``counts`` is what ``pair_counts`` gives for the same rows. It is sent to all workers; more pairs than the two vocabularies
-    can have raise an error.
+    ``counts`` is what ``pair_counts`` gives for the same rows, written, as it is read more than once; ``row`` tells rows apart. The
+    counts are sent to all workers; more pairs than the two vocabularies can have raise an error. Links meet their counts as they are
+    taken out of their row, and are summed in the task first.
     """
     most = pair_of(files).most_pairs()
-    got = counts.limit(most + 1).toArrow()
-    if len(got) > most:
-        raise ValueError(f"more than {most} pairs: not links of these tokenizers")
-    a, b, n = (got.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n"))
-    order = np.lexsort((b, a))
-    a, b, n = a[order], b[order], n[order]
-    highest = np.zeros(int(b.max(initial=-1)) + 1, np.int64)
-    np.maximum.at(highest, b, n)
-    shared = rows.sparkSession.sparkContext.broadcast(((a << 32) + b, n, (n == highest[b]).astype(np.int64)))
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("link_a", "link_b"))
-    return rows.mapInArrow(per_batch(link_scorer(shared), lists="link_a"), kept + ", n_best long, count_sum long")
+    if (found := counts.count()) > most:
+        raise ValueError(f"{found} pairs are more than the {most} that these tokenizers can link")
+    highest = counts.groupBy("b").agg(F.max("n").alias("most")).withColumnRenamed("b", "of")
+    told = counts.join(highest, F.col("b") == F.col("of")).select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
+    links = rows.select(row, F.explode(F.arrays_zip("link_a", "link_b")).alias("link")).select(row, "link.*")
+    met = links.join(F.broadcast(told), (F.col("link_a") == F.col("a")) & (F.col("link_b") == F.col("b")))
+    sums = met.groupBy(F.col(row).alias("_row")).agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    out = rows.drop("link_a", "link_b").join(sums, F.col(row) == F.col("_row"), "left").drop("_row")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_best", "count_sum")})

@@ -89,8 +89,9 @@ def op8_pii_surrogates(spark, sf_dir):
 def op11_tokenizer_alignment(spark, sf_dir):
     files, scratch = alignment.Tokenizers(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model")), Scratch(spark, "op11")
     found = alignment.aligned(table(spark, sf_dir, "documents"), files, derive={"groups_sha256": alignment.group_digests})
-    rows = scratch.keep(found.select("doc_id", "n_a", "n_b", "n_groups", F.size("link_a").cast("long").alias("n_links"), "groups_sha256", "link_a", "link_b"))
-    return alignment.scored(rows, alignment.pair_counts(rows), files)
+    # rows are numbered as they are written, so that the numbers stay
+    rows = scratch.keep(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", F.size("link_a").cast("long").alias("n_links"), "groups_sha256", "link_a", "link_b"))
+    return alignment.scored(rows, scratch.keep(alignment.pair_counts(rows)), files).drop("row")
 
 
 @query

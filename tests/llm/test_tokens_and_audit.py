@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import alignment, audit, bpe
+from gridloom.llm.common import Scratch
 from gridloom.llm.packing import byte_signs, vocabulary
 
 FILES = alignment.Tokenizers(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model"))
@@ -104,7 +105,7 @@ def test_alignment_matches_a_loop_over_tokens(spark):
     df = rows_of(spark, texts)
     all_texts = {i: t for i, t in enumerate(texts)} | {None: "null id"}
     want = dict(zip(all_texts, aligned_by_hand(all_texts.values()), strict=True))
-    rows = alignment.aligned(df, FILES)
+    rows = Scratch(spark, "test").keep(alignment.aligned(df, FILES).withColumn("row", F.monotonically_increasing_id()))
     got = rows.collect()
     assert len(got) == len(texts) + 2 and not want[16][2] and want[17][2]
     links = Counter()
@@ -123,10 +124,12 @@ def test_alignment_matches_a_loop_over_tokens(spark):
     most = {}
     for (_, b), n in links.items():
         most[b] = max(most.get(b, 0), n)
-    for r in alignment.scored(rows, counts, FILES).collect():
+    scored = alignment.scored(rows, counts, FILES).collect()
+    assert len(scored) == len(got)
+    for r in scored:
         own = [(x[-1], y[-1]) for x, y in want[r.doc_id][2]]
         assert r.count_sum == sum(links[p] for p in own) and r.n_best == sum(links[p] == most[p[1]] for p in own)
-    none = alignment.aligned(df.limit(0), FILES)
+    none = alignment.aligned(df.limit(0), FILES).withColumn("row", F.lit(0))
     assert alignment.scored(none, alignment.pair_counts(none), FILES).count() == 0
 
 
