@@ -73,11 +73,11 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     delimiter = delimiter or ("\t" if detect_format(head) == "tsv" else sniff_delimiter(head))
     if multi_line is None:
         multi_line = not lines.where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+    if multi_line:
+        return scanned(split_records(records(spark, path, Delimited(delimiter)), delimiter), header)
     sample = split_delimited(head, delimiter)
     if header is None:
         header = len(sample) > 1 and is_header(padded(sample)[0])
-    if multi_line:
-        return scanned(split_records(records(spark, path, Delimited(delimiter)), delimiter), header)
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "nullValue": "\x00", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     width, n = 0, max(1, max(map(len, sample), default=1)) + 1
     while not width:
@@ -107,13 +107,14 @@ def scanned(rows: DataFrame, header: bool | None) -> Grid:
     width = rows.agg(F.max(F.size("cells"))).first()[0]  # one row
     if not width:
         return Grid(spark.createDataFrame([], f"{POS} long"), (), ())
-    ordered = rows.orderBy("file_path", "block", "n").select(F.monotonically_increasing_id().alias(POS), *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(width)])
-    top = [list(r)[1:] for r in ordered.orderBy(POS).limit(2).collect()]
+    cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(width)]
+    found = rows.select("file_path", "block", "n", *cells).orderBy("file_path", "block", "n").limit(2).collect()
+    top = [list(r)[3:] for r in found]
     if header is None:
         header = len(top) > 1 and is_header(top[0])
-    if header:
-        first = ordered.agg(F.min(POS)).first()[0]
-        ordered = ordered.where(F.col(POS) > first)
+    if header:  # told by its place: positions are not the same in every plan
+        rows = rows.where(~((F.col("file_path") == found[0].file_path) & (F.col("block") == found[0].block) & (F.col("n") == found[0].n)))
+    ordered = rows.orderBy("file_path", "block", "n").select(F.monotonically_increasing_id().alias(POS), *cells)
     return Grid(ordered, tuple(unique_names(top[0] if header else [""] * width)), tuple(range(width)))
 
 
@@ -127,7 +128,7 @@ def read_json(spark: SparkSession, path: str, head: str, has_header: bool | None
     if not found.where(F.try_parse_json("text").isNull()).isEmpty():
         raise ValueError("an element is not JSON")
     if opening == "[":
-        return scanned(found.select("file_path", "block", F.struct("n", "k").alias("n"), F.transform(F.from_json("text", "array<string>"), lambda x: F.coalesce(x, F.lit(""))).alias("cells")), has_header)
+        return scanned(found.select("file_path", "block", (F.col("n") * (1 << 20) + F.col("k")).alias("n"), F.transform(F.from_json("text", "array<string>"), lambda x: F.coalesce(x, F.lit(""))).alias("cells")), has_header)
     placed = found.orderBy("file_path", "block", "n", "k").select(F.monotonically_increasing_id().alias("_at"), "text")
     df, keys = json_records(placed, "text", "_at")
     return Grid(df, tuple(unique_names(keys)), tuple(range(len(keys))))
