@@ -127,3 +127,14 @@ def test_json_lines_of_rows_and_scalars(spark, tmp_path):
     assert g.headers == ("name", "qty") and g.preview() == [("x", "1"), ("y", "")]
     (tmp_path / "b.jsonl").write_text('1\n"x"\nnull\n')
     assert read_grid(spark, str(tmp_path / "b.jsonl"), "jsonl").preview() == [("1",), ("x",), ("",)]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "tsv"])
+def test_the_header_stands_in_the_first_file_not_in_the_largest(spark, tmp_path, fmt):
+    sign = "," if fmt == "csv" else "\t"
+    (tmp_path / "part-0.csv").write_text("")
+    (tmp_path / "part-1.csv").write_text(f"key{sign}name\n1{sign}one\n")
+    (tmp_path / "part-2.csv").write_text("".join(f"{i}{sign}{'x' * 500}\n" for i in range(2, 400)))
+    g = read_grid(spark, str(tmp_path), fmt)
+    assert g.headers == ("key", "name")
+    assert [r[0] for r in g.preview(1000)] == [str(i) for i in range(1, 400)]
