@@ -16,15 +16,11 @@ from .spec import GridSpec, header_case, unsafe_pattern
 SKIPPED = 10_000
 
 
-def sort_columns(cell, direction: str, kind: str) -> list:
-    """Sort keys of a column by its type; blank and unparseable cells come last either way, ties keep their order."""
+def sort_key(cell, kind: str):
+    """What a column of a type is sorted by; blank and unparseable cells are null."""
     if kind in ("number", "currency", "percent"):
-        key = S.parse_number(cell)
-    elif kind == "date":
-        key = F.when(~S.blank(cell), S.date_key(cell))
-    else:
-        key = F.when(~S.blank(cell), S.natural_key(cell))
-    return [key.desc_nulls_last() if direction == "desc" else key.asc_nulls_last(), F.col(POS).asc()]
+        return S.parse_number(cell)
+    return F.when(~S.blank(cell), S.date_key(cell) if kind == "date" else S.natural_key(cell))
 
 
 def replaced(cell, find: str, replacement: str, regex: bool, case_sensitive: bool):
@@ -85,16 +81,19 @@ def apply_spec(grid: Grid, spec: GridSpec) -> Grid:
     if spec.sort and 0 <= spec.sort.column < len(columns) and columns[spec.sort.column] in kept:
         c = columns[spec.sort.column]
         kind = infer_types(Grid(df.select(POS, c), ("",)))[0]
-        ordered = sort_columns(F.col(c), spec.sort.direction, kind)
+        # a column of its own: an expression would be worked out again at every comparison
+        df, key = df.withColumn("_key", sort_key(F.col(c), kind)), F.col("_key")
+        # blank cells come last either way, ties keep their order
+        ordered = [key.desc_nulls_last() if spec.sort.direction == "desc" else key.asc_nulls_last(), *ordered]
     if spec.limit:
         df = df.orderBy(*ordered).limit(spec.limit)
     if len(ordered) > 1:
         df = df.orderBy(*ordered).withColumn(POS, F.monotonically_increasing_id())
-    out = Grid(df.select(POS, *kept), tuple(headers), tuple(origin[c] for c in kept), grid.caption, None, error)
+    out = Grid(df.select(POS, *kept), tuple(headers), tuple(origin[c] for c in kept), grid.caption, None, error, in_order=len(ordered) > 1)
     return transposed(out) if spec.transpose else out
 
 
 def ranked(grid: Grid, name: str = "rank"):
     """Adds the rank of each row, from 1, at any size."""
-    df, _ = numbered(grid.df, name)
+    df, _ = numbered(grid.df, name, grid.in_order)
     return df.withColumn(name, F.col(name) + 1)

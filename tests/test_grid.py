@@ -1,6 +1,7 @@
 """Parsing, clean-up, sinks and captures on literal cases."""
 
 import io
+import re
 import json
 import zipfile
 import zlib
@@ -262,3 +263,29 @@ def test_regions_with_headers(spark):
 def test_merges_say_from_how_many(spark):
     one, two = read_text(spark, "a,b\n1,2", "csv", True), read_text(spark, "a\n1", "csv", True)
     assert merge_tables([one, one, two]).merged_from == 2 and cells(merge_tables([one, one])) == [["1", "2"]]
+
+
+def test_numbers_of_sorted_rows_need_no_other_order(spark):
+    from gridloom.plans.pipeline import apply_spec, ranked
+    from gridloom.plans.spec import GridSpec, Sort
+
+    df = spark.range(5000).selectExpr("id", "string(date_add(date'2020-01-01', int(id * 37 % 211))) as day").repartition(7)
+    g = apply_spec(from_dataframe(df, "id"), GridSpec(sort=Sort(1, "desc")))
+    assert g.in_order and not g.with_df(g.df.repartition(3)).in_order
+    got = ranked(g)
+    assert "Exchange" not in got._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0] and "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(df.collect(), key=lambda r: (r.day, -r.id), reverse=True)
+    assert [(r["rank"], r["c0"]) for r in sorted(got.collect(), key=lambda r: r["rank"])] == [(i, str(r.id)) for i, r in enumerate(want, 1)]
+
+
+def test_large_workbooks_have_the_wide_form(spark, tmp_path, monkeypatch):
+    from gridloom import workbook
+
+    g = from_dataframe(spark.range(400).selectExpr("id", "repeat('x', 50) as note").repartition(5), "id")
+    monkeypatch.setattr(workbook, "MOST_BYTES", 4000)
+    monkeypatch.setattr(workbook, "PART_ROWS", 30)
+    sinks.write_grid(g, str(tmp_path / "a.xlsx"), "xlsx", ("number", "text"), most_rows=101)
+    book = zipfile.ZipFile(tmp_path / "a.xlsx")
+    assert book.testzip() is None and len([n for n in book.namelist() if "worksheets" in n]) == 4
+    rows = [r for i in range(1, 5) for r in re.findall(r"<v>(\d+)</v>", book.read(f"xl/worksheets/sheet{i}.xml").decode())]
+    assert rows == [str(i) for i in range(400)] and b"PK\x06\x06" in (tmp_path / "a.xlsx").read_bytes()
