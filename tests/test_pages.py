@@ -140,3 +140,29 @@ def test_slices_keep_columns_that_cannot_be_measured(spark):
     df = spark.createDataFrame([(t, r, c, x, h, s, float(a), float(b), 20.0 * r, 20.0 * r + 20) for t, r, c, x, h, s, a, b in cells], "table_id int, r int, c int, text string, header boolean, col_span int, left double, right double, top double, bottom double")
     box = spark.createDataFrame([(1, 60.0, 0.0, 200.0, 60.0)], "table_id int, left double, top double, right double, bottom double")
     assert sorted((x.r, x.c, x.text, x.partial) for x in slice_tables(df, box).collect()) == [(0, 1, "wide", True), (0, 2, "wide", True), (1, 1, "b", True), (1, 2, "b", True)]
+
+
+def test_boxes_that_repeat_sides_and_equal_shares_are_not_paired(spark, monkeypatch):
+    from gridloom.operators import region
+
+    monkeypatch.setattr(region, "CHUNK", 8)
+    r = random.Random(3)
+    shape = lambda: (float(r.randrange(12)), float(r.randrange(12)), r.choice([1.0, 3.0, 9.0]), r.choice([1.0, 3.0, 9.0]))
+    made = [(i, *((x, y, x + w, y + h) if i % 3 else (0.0, 0.0, 20.0, 20.0))) for i, (x, y, w, h) in enumerate(shape() for _ in range(1500))]
+    r.shuffle(made)
+    targets = [(f"t{i}", x, y, x + w, y + h) for i, (x, y, w, h) in enumerate(shape() for _ in range(150))]
+    cols = "left double, top double, right double, bottom double"
+    frame = spark.createDataFrame(targets, "target_id string, " + cols)
+    want = set()
+    for i, l, t, right, bottom in targets:
+        met = [(-round((min(right, c) - max(l, a)) * (min(bottom, d) - max(t, b)) / max(1, (right - l) * (bottom - t)), 9), j) for j, a, b, c, d in made if l < c and right > a and t < d and bottom > b]
+        want |= {(i, j, k, -x) for k, (x, j) in enumerate(sorted(met)[:3], 1)}
+    got = region.best_boxes(spark.createDataFrame(made, "box_id int, " + cols), frame)
+    assert {(x.target_id, x.box_id, x["rank"], round(x.coverage, 9)) for x in got.collect()} == want and dict(got.dtypes)["box_id"] == "int"
+    named = region.best_boxes(spark.createDataFrame([(f"b{i:04}", *x) for i, *x in made], "box_id string, " + cols), frame)
+    assert {(x.target_id, int(x.box_id[1:]), x["rank"], round(x.coverage, 9)) for x in named.collect()} == want
+    # shares that are equal to nine digits are ranked by id; so many pairs of all that overlap would not end here
+    near = spark.createDataFrame([(2, 0.0, 0.0, 50.0, 100.0), (1, 0.0, 0.0, 50.0 - 1e-9, 100.0)], "box_id int, " + cols)
+    assert [x.box_id for x in region.best_boxes(near, spark.createDataFrame([("t", 0.0, 0.0, 100.0, 100.0)], "target_id string, " + cols)).orderBy("rank").collect()] == [1, 2]
+    many = spark.range(300_000).selectExpr("id as box_id", "double(id % 7) as left", "0D as top", "double(id % 7 + 40) as right", "40D as bottom")
+    assert region.best_boxes(many, many.withColumnRenamed("box_id", "target_id").where("target_id % 20 = 0")).agg({"box_id": "max", "rank": "count"}).first()[:] == (20, 45_000)
