@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
 from ..sources.html import ROW_INDEX_ATTRIBUTES, Options
 from ..sources.pages import numbered_rows, page_candidates, page_tables
 
@@ -119,7 +120,7 @@ def captured(snapshots: DataFrame, options: Options | None = None) -> DataFrame:
     its first step: one that has found no more comes back as that step showed it, with ``gained`` 0.
     """
     keyed = snapshots.select(F.struct("capture_id", "step").alias("page"), "html")
-    found = page_candidates(keyed, "page", "html", options)
+    found = kept(page_candidates(keyed, "page", "html", options), "candidates")  # pages are parsed once, and read for numbers and for tables
     own = ["page_id.capture_id", "page_id.step"]
     shown = page_tables(found, options).where("nth = 1").select(*own, "headers", "body")
     first = shown.groupBy("capture_id").agg(F.min_by("body", "step").alias("original"), F.max_by("headers", "step").alias("headers"), F.min_by("headers", "step").alias("first_headers"))

@@ -289,3 +289,16 @@ def test_large_workbooks_have_the_wide_form(spark, tmp_path, monkeypatch):
     assert book.testzip() is None and len([n for n in book.namelist() if "worksheets" in n]) == 4
     rows = [r for i in range(1, 5) for r in re.findall(r"<v>(\d+)</v>", book.read(f"xl/worksheets/sheet{i}.xml").decode())]
     assert rows == [str(i) for i in range(400)] and b"PK\x06\x06" in (tmp_path / "a.xlsx").read_bytes()
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "new_path", lambda _, name: f"file://{tmp_path}/scratch/{name}")
+    df = spark.range(0, 4000, 1, 8).selectExpr("id", "concat(id, '\n\"x\"') as note")
+    g = from_dataframe(df, "id")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "part-old").write_text("old")
+    sinks.write_grid(g, str(tmp_path / "one"), "csv", one_file=True)
+    sinks.write_grid(g, str(tmp_path / "many"), "csv")
+    parts = lambda name: sorted((tmp_path / name).glob("part-*"))
+    assert len(parts("one")) == 1 and parts("one")[0].read_bytes() == b"".join(p.read_bytes() for p in parts("many"))
+    assert (tmp_path / "scratch").exists() and not [p for p in (tmp_path / "scratch").iterdir()]
