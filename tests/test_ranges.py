@@ -138,3 +138,16 @@ def test_the_header_stands_in_the_first_file_not_in_the_largest(spark, tmp_path,
     g = read_grid(spark, str(tmp_path), fmt)
     assert g.headers == ("key", "name")
     assert [r[0] for r in g.preview(1000)] == [str(i) for i in range(1, 400)]
+
+
+@pytest.mark.parametrize("top", ["| a | b |\n|---|---|\n", "| 0 | over |\n| a | b |\n|:-:|---|\n"])
+def test_large_markdown_is_read_by_lines(small_ranges, tmp_path, monkeypatch, top):
+    from gridloom.sources import reader
+
+    text = top + "".join(f"| {i} | x\\|{'y' * (i % 50)}<br>{i} |{' more |' if i == 700 else ''}\n{'text' if i % 9 else '|---|---|'}\n" for i in range(900))
+    (tmp_path / "a.md").write_text(text)
+    want = parse_text(text, "markdown")[0]
+    monkeypatch.setattr(reader, "WHOLE", 1000)
+    monkeypatch.setattr(reader, "table_rows", None)  # the whole text is parsed by no task
+    g = read_grid(small_ranges, str(tmp_path), "markdown")
+    assert list(g.headers) == want.headers and [list(r) for r in g.preview(2000)] == want.rows
