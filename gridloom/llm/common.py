@@ -73,6 +73,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df`` of so many rows in tasks of about ``each`` of them; where it has fewer tasks already it stays as it is."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def large_text(column: pa.Array) -> pa.Array:
     """A string column with 64-bit offsets and empty strings for nulls."""
     return column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, partitions, per_batch
+from .common import Scratch, chunks, gathered, partitions, per_batch
 from .components import components
 from .textnp import Texts, U, mix, set_codes, shingles
 
@@ -44,6 +44,8 @@ POINTS = 64
 SLICE = 2048
 #: Sets whose ids are broadcast to fetch their texts; beyond that they are joined.
 FETCHED = 100_000
+#: Rows for which a step takes a task more: of sketches and sets, of texts that are compared, of ids only.
+SKETCHED, READ, DEALT = 1 << 10, 1 << 8, 1 << 13
 #: Sets with equal codes that are told apart before the job gives up.
 MOST_SHARED = 1000
 
@@ -235,15 +237,16 @@ def receiver(batches):
             yield pa.RecordBatch.from_arrays([pa.array(y[:, j].copy()) for j in range(3)], ["key", "a", "b"])
 
 
-def around_hubs(pairs: DataFrame, things: DataFrame, payload: list[str], judge, n_parts: int) -> DataFrame:
+def around_hubs(pairs: DataFrame, things: DataFrame, payload: list[str], judge, n_parts: int, n: int, each: int) -> DataFrame:
     """(a, b, linked) of every pair (a, b), judged by what ``things`` has of both: (node, payload).
 
     A star is dealt into POINTS parts; each gets its centre once, and its other ends one after the other.
+    The pairs, ``n`` at most, go to as many tasks as they need at ``each`` a task.
     """
     spread = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(POINTS)).cast("int").alias("point"), "b")
     centres = spread.select("a", "point").distinct().join(things.withColumnRenamed("node", "a"), "a").select("a", "point", F.lit(None).cast("long").alias("b"), *payload)
     ends = spread.join(things.withColumnRenamed("node", "b"), "b").select("a", "point", "b", *payload)
-    rows = centres.unionAll(ends).repartition(n_parts, "a", "point").sortWithinPartitions("a", "point", F.col("b").asc_nulls_first())
+    rows = gathered(centres.unionAll(ends).repartition(n_parts, "a", "point"), n, each).sortWithinPartitions("a", "point", F.col("b").asc_nulls_first())
     return rows.mapInArrow(judge, "a long, b long, linked boolean")
 
 
@@ -409,7 +412,7 @@ def signed_sets(docs: DataFrame, scratch: Scratch, size: int, percent: int, code
     while True:
         signed = scratch.keep(docs.mapInArrow(signatures(size, percent, codes), "id long, n long, node long, check long, n_keys long, even int, odd int, sketch binary"))
         sets = signed.where("id is not null and n > 0").groupBy("node").agg(F.min(F.struct("id", "n", "n_keys", "even", "odd", "sketch")).alias("s"), F.min("check").alias("low"), F.max("check").alias("high"))
-        sets = scratch.keep(sets.select("node", "s.*", (F.col("low") < F.col("high")).alias("shared")))
+        sets = scratch.keep(gathered(sets.select("node", "s.*", (F.col("low") < F.col("high")).alias("shared")), signed.count(), SKETCHED))
         shared = [r["node"] for r in sets.where("shared").select("node").limit(MOST_SHARED + 1).collect()]  # none but by a chance of 2**-64 a pair
         if not shared:
             return signed, sets, codes
@@ -440,16 +443,18 @@ def link_documents(docs: DataFrame, scratch: Scratch, size: int = 5, percent: in
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are linked, by their texts."""
-        few = 2 * pairs.count() <= FETCHED  # of 16 bytes each
+        n = pairs.count()
+        few = 2 * n <= FETCHED  # of 16 bytes each
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = nodes.join(sets, "node").select(F.col("node").alias("want"), F.col("id").alias("of"))
         texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("of")).select("want", "text").mapInArrow(rechecked(size, codes), "node long, text string")
-        texts = scratch.keep(texts.dropDuplicates(["node"]))
-        found = scratch.keep(around_hubs(pairs, texts, ["text"], by_text(size, percent), partitions(spark)))
+        texts = scratch.keep(gathered(texts.dropDuplicates(["node"]), 2 * n, 2 * READ))
+        found = scratch.keep(around_hubs(pairs, texts, ["text"], by_text(size, percent), partitions(spark), n, READ))
         scratch.drop(texts)
         return found
 
-    near = scratch.keep(around_hubs(shared.select("a", "b").distinct(), described, ["n", "sketch"], by_sketch(percent), partitions(spark)).where("linked").select("a", "b"))
+    n_shared = shared.count()
+    near = scratch.keep(around_hubs(shared.select("a", "b").distinct(), described, ["n", "sketch"], by_sketch(percent), partitions(spark), n_shared, 2 * SKETCHED).where("linked").select("a", "b"))
     labels = components(linked(near).where("linked").select("a", "b"), scratch)
     scratch.drop(near)
 
@@ -464,7 +469,7 @@ def link_documents(docs: DataFrame, scratch: Scratch, size: int = 5, percent: in
     # each set leaves out its chunks that most sets share, as many as it may
     busiest = Window.partitionBy("node", F.col("key") % 2).orderBy(F.desc("held"), "key")
     inside = inside.withColumn("nth", F.row_number().over(busiest)).where(F.col("nth") > F.when(F.col("key") % 2 == 0, F.col("even")).otherwise(F.col("odd")))
-    inside = scratch.keep(inside.select("key", "node", "label"))
+    inside = scratch.keep(gathered(inside.select("key", "node", "label"), 2 * n_shared, DEALT))
     scratch.drop(shared)
     # of chunks with the same sets, one does
     same = [F.count("*").alias("held"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
@@ -473,28 +478,30 @@ def link_documents(docs: DataFrame, scratch: Scratch, size: int = 5, percent: in
     as_left = F.expr("transform(sequence(at, slices - 1), j -> struct(at as i, j as j, false as right))")
     as_right = F.expr("if(at > 0, transform(sequence(0, at - 1), i -> struct(i as i, at as j, true as right)), array())")
     placed = placed.select("key", "node", F.explode(F.concat(as_left, as_right)).alias("e")).select("key", "e.*", "node").join(described, "node")
-    placed, known, rounds = scratch.keep(placed.select(*GROUP, "right", "node", "n", "sketch")), None, 0
+    placed, known, rounds = scratch.keep(gathered(placed.select(*GROUP, "right", "node", "n", "sketch"), inside.count(), SKETCHED)), None, 0
     while True:
         rows = labelled(placed).select(*GROUP, "right", "node", F.lit(None).cast("long").alias("other"), "n", "label", "sketch")
         if known is not None:
             none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("label", "long"), ("sketch", "binary"))]
             rows = rows.unionAll(known.select(*GROUP, F.lit(False), F.col("a"), F.col("b"), *none))
-        rows = rows.repartition(partitions(spark), *GROUP).sortWithinPartitions(*GROUP)
+        rows = gathered(rows.repartition(partitions(spark), *GROUP), placed.count(), SKETCHED).sortWithinPartitions(*GROUP)
         offered = scratch.keep(rows.mapInArrow(offers(percent, rounds), "key long, i int, j int, a long, b long"))
         if offered.isEmpty():
             break
         found = linked(offered.select("a", "b").distinct())
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(found.where("linked").select("a", "b")), scratch)
-        failed = scratch.keep(offered.join(found.where("not linked").select("a", "b").distinct(), ["a", "b"]).select(*GROUP, "a", "b"))
+        failed = offered.join(found.where("not linked").select("a", "b").distinct(), ["a", "b"]).select(*GROUP, "a", "b")
+        failed = scratch.keep(gathered(failed, offered.count(), DEALT))
         if failed.isEmpty():
             break
         open_groups = failed.select(*GROUP).distinct()
-        placed = scratch.keep(placed.join(open_groups, GROUP, "left_semi"))
+        placed = scratch.keep(gathered(placed.join(open_groups, GROUP, "left_semi"), placed.count(), SKETCHED))
         known = scratch.keep(failed if known is None else known.join(open_groups, GROUP, "left_semi").unionAll(failed))
         rounds += 1
 
     least = labelled(sets.select("node", "id"))
-    least = scratch.keep(least.join(least.groupBy("label").agg(F.min("id").alias("least")), "label").select(F.col("node").alias("of"), "least"))
+    least = least.join(least.groupBy("label").agg(F.min("id").alias("least")), "label").select(F.col("node").alias("of"), "least")
+    least = scratch.keep(gathered(least, sets.count(), DEALT))
     out = signed.join(least, F.col("node") == F.col("of"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
     out = scratch.keep(out)
     scratch.drop_all_but(out)

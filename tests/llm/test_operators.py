@@ -97,6 +97,22 @@ def test_components(spark, scratch):
     assert components(df.limit(0), scratch).count() == 0
 
 
+def test_few_links_take_few_steps_and_tasks(spark, scratch):
+    """A long chain over many partitions, as many as a cluster has for other tables."""
+    nodes = random.Random(5).sample(range(10**6), 3000)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        before = scratch.n
+        out = components(spark.createDataFrame(list(itertools.pairwise(nodes)), "a long, b long").repartition(64), scratch)
+        assert {r.label for r in out.collect()} == {min(nodes)} and out.count() == len(nodes)
+        assert scratch.n == before + 2 and len(out.inputFiles()) == 1
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_mix_meets_targets(spark, scratch):
     r = random.Random(2)
     rows = [(i, "w " * r.randint(0, 60), None, r.choice(["a", "b", "c", None])) for i in range(300)] + [(1000, None, None, "a"), (None, "x y", None, "b")]
