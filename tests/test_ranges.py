@@ -151,3 +151,32 @@ def test_large_markdown_is_read_by_lines(small_ranges, tmp_path, monkeypatch, to
     monkeypatch.setattr(reader, "table_rows", None)  # the whole text is parsed by no task
     g = read_grid(small_ranges, str(tmp_path), "markdown")
     assert list(g.headers) == want.headers and [list(r) for r in g.preview(2000)] == want.rows
+
+
+ROWS = "".join(f"<tr><td>{i}</td> <td>x &amp; &lt;{'y' * (i % 50)}&gt;\n é&nbsp; {i} </td></tr>\n" + "<tr><td></td><td> </td></tr>" * (i % 7 == 0) + "<tr><td>short</td></tr>" * (i == 500) for i in range(900))
+
+
+@pytest.mark.parametrize("top", ["<!doctype html><title>T</title><style>td{a:b}</style><table><caption>c</caption><thead>\n<tr><th>a</th><th class='x'>b</th></tr></thead>\n<tbody>", "<table><tr><td>name</td><td>text</td></tr>", "<p>x</p><table><tbody>"])
+def test_large_html_of_plain_rows_is_read_in_ranges(small_ranges, tmp_path, monkeypatch, top):
+    from gridloom.sources import reader
+
+    text = f"{top}{ROWS}</tbody>\n</table><p>end</p>"
+    (tmp_path / "a.html").write_text(text)
+    want = parse_text(text, "html")[0]
+    monkeypatch.setattr(reader, "WHOLE_PAGE", 1000, raising=False)
+    monkeypatch.setattr(reader, "table_rows", None)  # the whole text is parsed by no task
+    g = read_grid(small_ranges, str(tmp_path), "html")
+    assert list(g.headers) == want.headers and [list(r) for r in g.preview(2000)] == want.rows
+
+
+def test_large_html_of_another_form_is_parsed_whole(small_ranges, tmp_path, monkeypatch):
+    from gridloom.sources import reader
+
+    monkeypatch.setattr(reader, "WHOLE_PAGE", 1000, raising=False)
+    wide, spans = "<tr><td>1</td><td>2</td><td>3</td></tr>", "<tr><td rowspan=2>1</td><td>2</td></tr><tr><td>3</td></tr>"
+    for k, text in enumerate((f"<table>{ROWS}{wide}</table>", f"<table>{ROWS}{spans}{ROWS}</table>", f"<table>{ROWS[:3000]}</tbody></table><table>{ROWS}</table>", f"<!--{ROWS}--><table>{ROWS}</table>")):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.html").write_text(text)
+        want = parse_text(text, "html")[0]
+        g = read_grid(small_ranges, str(tmp_path / str(k)), "html")
+        assert list(g.headers) == want.headers and [list(r) for r in g.preview(4000)] == want.rows
