@@ -1,6 +1,8 @@
 """Parsing, clean-up, sinks and captures on literal cases."""
 
 import io
+import os
+import random
 import re
 import json
 import zipfile
@@ -12,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import sinks
-from gridloom.grid import POS, from_dataframe, numbered, unique_names
+from gridloom.functions import scalar as S
+from gridloom.grid import POS, bucketed, from_dataframe, numbered, numbered_in_ranges, unique_names
 from gridloom.plans.pipeline import apply_spec
 from gridloom.plans.spec import GridSpec, Replace, Sort, unsafe_pattern
 from gridloom.sources import reader
@@ -291,6 +294,72 @@ def test_large_workbooks_have_the_wide_form(spark, tmp_path, monkeypatch):
     assert rows == [str(i) for i in range(400)] and b"PK\x06\x06" in (tmp_path / "a.xlsx").read_bytes()
 
 
+def test_workbooks_are_packed_and_leave_no_scratch(spark, tmp_path, monkeypatch):
+    from gridloom import workbook
+
+    monkeypatch.setattr(workbook, "new_path", lambda _, name: f"file://{tmp_path}/scratch/{name}")
+    monkeypatch.setattr(workbook, "PART_PIECES", 2)
+    df = spark.range(6000).selectExpr("id", "concat('row ', id, if(id % 3 = 0, '\n</x>', '')) as note").repartition(7)
+    grids = {"steady": from_dataframe(df, "id"), "sorted": from_dataframe(df, ["id"], unique=False), "counted wrongly": from_dataframe(df, "id")}
+    assert [g.steady for g in grids.values()] == [True, False, True] and not grids["steady"].with_df(df).steady
+    for name, g in grids.items():
+        kept, path = [], str(tmp_path / f"{name}.xlsx")
+        with monkeypatch.context() as m:
+            m.setattr(workbook, "numbered", lambda *a, _kept=kept, **k: _kept.append(1) or numbered(*a, **k))
+            if name == "counted wrongly":
+                rows_of = lambda df: (lambda x: (x[0].withColumn("_n", F.expr("_n + if(_n > 3000, 1, 0)")), *x[1:]))(numbered_in_ranges(df))
+                m.setattr(workbook, "numbered_in_ranges", rows_of)
+            sinks.write_grid(g, path, "xlsx", ("number", "text"), most_rows=2501)
+        assert bool(kept) == (name != "steady")  # rows with steady positions are not kept on disk beside the shuffle
+        book = zipfile.ZipFile(path)
+        sheets = [book.read(f"xl/worksheets/sheet{i}.xml").decode() for i in (1, 2, 3)]
+        assert book.testzip() is None and [re.findall(r"<v>(\d+)</v>", x) for x in sheets] == [[str(i) for i in range(a, min(a + 2500, 6000))] for a in (0, 2500, 5000)]
+        assert 4 * os.path.getsize(path) < sum(len(x) for x in sheets)
+        assert not (tmp_path / "scratch").exists() or not [f for _, _, files in os.walk(tmp_path / "scratch") for f in files]
+        got = workbook.workbook_rows(spark, path).collect()
+        assert sorted(r.value for r in got) == sorted(x for s in sheets for x in s.replace(workbook.MARK, "").split("<sheetData>")[1].split("</row>")[1:-1])
+
+
+def test_workbooks_are_read_in_ranges_whatever_cells_hold(spark, tmp_path, monkeypatch):
+    from gridloom import workbook
+
+    monkeypatch.setattr(workbook, "PART_ROWS", 40)
+    noise = random.Random(3)
+    cells = [workbook.MARK * 3, "PK\x03\x04", "</row>", *["".join(chr(noise.randrange(32, 0x2000)) for _ in range(noise.randrange(60))) for _ in range(700)], "x" * 3_000_000]
+    g = from_dataframe(spark.createDataFrame(list(enumerate(cells)), "i long, note string"), "i", ["note"], [f"a{workbook.MARK}b"])
+    path = str(tmp_path / "a.xlsx")
+    sinks.write_grid(g, path, "xlsx", title=workbook.MARK)
+    assert zipfile.ZipFile(path).testzip() is None
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        got = workbook.workbook_rows(spark, path)
+        assert got.rdd.getNumPartitions() > 20
+        rows = {int(r[0]): r[1] for r in (re.fullmatch(r'<row r="(\d+)">(.*)', x.value, re.S).groups() for x in got.collect())}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == {i: f'<c r="A{i}" t="inlineStr"><is><t xml:space="preserve">{workbook.cell_xml(c)}</t></is></c>' if c else "" for i, c in enumerate(cells, 2)}
+
+
+def test_numbers_of_workbooks_are_those_of_doubles(spark):
+    from gridloom import workbook
+
+    shown = ["0", "-0", "00", "007", "1.50", "1.5", "-1.5", "-0.5", "0.0", "0.00001", "0.000001", "0.0000001", "9999999999", "12345678901", "1234567890.12345", "1234567890.123456", "1e5", "5\n", ".5", "5.", "$3", "x", "", "٣", "--1", "+1", "1,000"]
+    g = from_dataframe(spark.createDataFrame(list(enumerate(shown)), "i long, v string"), "i", ["v"])
+    lines = workbook.sheet_rows(g, ("number",), g.df.withColumn("_n", F.col("_pos")), 1000)
+    plain = {r[0]: r[1] for r in g.df.select("_pos", S.number_text(S.parse_number(F.col("c0")))).collect()}
+    got = {r.r - 2: re.search(r"<v>(.*)</v>", r.line, re.S) for r in lines.collect()}
+    assert {i: m and m[1] for i, m in got.items()} == plain
+
+
+def test_buckets_are_the_bounds_below(spark):
+    df = spark.range(3000).select((F.xxhash64("id") % 700).alias("_pos")).union(spark.sql("select cast(null as bigint)"))
+    bounds = sorted(set(df.approxQuantile("_pos", [i / 256 for i in range(1, 256)], 0.002)))
+    rows = bucketed(df).collect()
+    assert len(rows) == 3001 and all(r["_bucket"] == (0 if r["_pos"] is None else sum(b <= r["_pos"] for b in bounds)) for r in rows)
+    assert {r["_bucket"] for r in bucketed(df.where("_pos is null")).collect()} == {0}
+
+
 def test_one_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "new_path", lambda _, name: f"file://{tmp_path}/scratch/{name}")
     df = spark.range(0, 4000, 1, 8).selectExpr("id", "concat(id, '\n\"x\"') as note")
